@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from refract.functions import prompts as P
 from refract.functions import text as T
 
-KeyFn = Callable[[Column, Column, Column], Column]  # (sentence, pos, n) -> sort key
+KeyFn = Callable[..., Column]  # (item, n, ctx) -> ascending sort key
 
 
 def _neg(c: Column) -> Column:
@@ -36,23 +36,25 @@ def _neg(c: Column) -> Column:
 
 
 # Sentence ranking rule per perspective template (ascending sort key; ties
-# broken by position).  Stand-ins for the seven prompt styles.
+# broken by position).  Stand-ins for the seven prompt styles.  ``x`` is a
+# sentence item (pos, w = words, len = characters, dig = has a digit, s).
 PERSPECTIVE_RULES: dict[int, KeyFn] = {
-    0: lambda s, i, n: i,                                   # lead
-    1: lambda s, i, n: _neg(i),                             # tail
-    2: lambda s, i, n: _neg(F.length(s)),                   # longest first
-    3: lambda s, i, n: F.length(s),                         # shortest first
-    4: lambda s, i, n: F.when(T.has_digit(s), 0).otherwise(1),  # figures first
-    5: lambda s, i, n: _neg(T.word_count(s)),               # most words first
-    6: lambda s, i, n: F.abs(i * 2 - (n - 1)),              # middle out
+    0: lambda x, n, c: x["pos"],                                 # lead
+    1: lambda x, n, c: _neg(x["pos"]),                           # tail
+    2: lambda x, n, c: _neg(x["len"]),                           # longest first
+    3: lambda x, n, c: x["len"],                                 # shortest first
+    4: lambda x, n, c: F.when(x["dig"], 0).otherwise(1),         # figures first
+    5: lambda x, n, c: _neg(x["w"]),                             # most words first
+    6: lambda x, n, c: F.abs(x["pos"] * 2 - (n - 1)),            # middle out
 }
+NEEDS_N = {6}
 
 # Sentence ranking per question spec (0 generic = document order).
 QUESTION_RULES: dict[int, KeyFn] = {
-    0: lambda s, i, n: i,
-    1: lambda s, i, n: F.when(T.has_digit(s), 0).otherwise(1),
-    2: lambda s, i, n: _neg(T.word_count(s)),
-    3: lambda s, i, n: _neg(i),
+    0: lambda x, n, c: x["pos"],
+    1: lambda x, n, c: F.when(x["dig"], 0).otherwise(1),
+    2: lambda x, n, c: _neg(x["w"]),
+    3: lambda x, n, c: _neg(x["pos"]),
 }
 
 RESPONSE_HEADER = "Here are %s questions:"
@@ -63,51 +65,74 @@ def article_sentences(content: Column | str) -> Column:
     return T.sentences(T.embed_normalize(content))
 
 
-def _ranked(sents: Column, key_fn: KeyFn) -> Column:
-    n = F.size(sents)
-    items = F.transform(sents, lambda s, i: F.struct(
-        key_fn(s, i, n).alias("k"), i.alias("pos"), T.word_count(s).alias("w"), s.alias("s")))
-    return F.array_sort(items)
+def sentence_items(sents: Column) -> Column:
+    """Per-sentence features computed once: ``array<struct<pos, w, len, dig, s>>``."""
+    return F.transform(sents, lambda s, i: F.struct(
+        i.alias("pos"), T.word_count(s).alias("w"), F.length(s).alias("len"),
+        T.has_digit(s).alias("dig"), s.alias("s")))
 
 
-def select_by_budget(sents: Column, key_fn: KeyFn, budget: int | Column) -> Column:
+def with_sentences(df: DataFrame, text_col: str = "content", out_col: str = "_items") -> DataFrame:
+    """Split once per row and featurise; later rules only read the fields."""
+    return df.select("*", sentence_items(article_sentences(text_col)).alias(out_col))
+
+
+def _ranked(items: Column, key_fn: KeyFn, ctx: Column | None = None, needs_n: bool = False) -> Column:
+    """``array<struct<k, pos, w, s>>`` sorted by (key, pos).
+
+    Per-row values a rule needs inside the lambda (sentence count, question
+    tokens) are zipped into the elements rather than referenced from the
+    lambda body, where Spark would re-evaluate them for every element.
+    """
+    if ctx is None and not needs_n:
+        keyed = F.transform(items, lambda x: F.struct(
+            key_fn(x, None, None).alias("k"), x["pos"].alias("pos"), x["w"].alias("w"), x["s"].alias("s")))
+        return F.array_sort(keyed)
+    n = F.size(items)
+    c = ctx if ctx is not None else F.lit(None).cast("int")
+    keyed = F.zip_with(items, F.array_repeat(F.struct(n.alias("n"), c.alias("c")), n),
+                       lambda x, e: F.struct(key_fn(x, e["n"], e["c"]).alias("k"), x["pos"].alias("pos"),
+                                             x["w"].alias("w"), x["s"].alias("s")))
+    return F.array_sort(keyed)
+
+
+def select_by_budget(items: Column, key_fn: KeyFn, budget: int | Column,
+                     ctx: Column | None = None, needs_n: bool = False) -> Column:
     """Keep ranked sentences while the running word total stays within the
     budget (the first is always kept), then restore document order and join
     with a space."""
     b = budget if isinstance(budget, Column) else F.lit(budget)
-    ranked = _ranked(sents, key_fn)
-    acc = F.aggregate(
-        ranked, F.struct(F.lit(0).alias("tot"), F.lit(0).alias("m")),
-        lambda a, x: F.struct(
-            (a["tot"] + x["w"]).alias("tot"),
-            F.when((a["tot"] == 0) | (a["tot"] + x["w"] <= b), a["m"] + 1)
-             .otherwise(a["m"]).alias("m")))
-    kept = F.slice(ranked, F.lit(1), acc["m"])
-    ordered = F.array_sort(F.transform(kept, lambda x: F.struct(x["pos"].alias("pos"),
-                                                                x["s"].alias("s"))))
-    return F.array_join(F.transform(ordered, lambda x: x["s"]), " ")
+    init = F.struct(F.lit(0).alias("tot"),
+                    F.array().cast("array<struct<pos:int,s:string>>").alias("kept"))
+    return F.aggregate(
+        _ranked(items, key_fn, ctx, needs_n), init,
+        lambda acc, x: F.struct(
+            (acc["tot"] + x["w"]).alias("tot"),
+            F.when((acc["tot"] == 0) | (acc["tot"] + x["w"] <= b),
+                   F.array_append(acc["kept"], F.struct(x["pos"].alias("pos"), x["s"].alias("s"))))
+             .otherwise(acc["kept"]).alias("kept")),
+        lambda acc: F.array_join(F.transform(F.array_sort(acc["kept"]), lambda x: x["s"]), " "))
 
 
 # ------------------------------------------------------------ perspectives
-def extractive_perspective(content: Column | str, seq: int,
-                           budget: int | Column = P.DEFAULT_BUDGET) -> Column:
-    return select_by_budget(article_sentences(content), PERSPECTIVE_RULES[seq], budget)
+def perspective(items: Column, seq: int, budget: int | Column = P.DEFAULT_BUDGET) -> Column:
+    return select_by_budget(items, PERSPECTIVE_RULES[seq], budget, needs_n=seq in NEEDS_N)
 
 
-def extractive_perspectives(content: Column | str, budget: int = P.DEFAULT_BUDGET,
+def extractive_perspectives(items: Column, budget: int = P.DEFAULT_BUDGET,
                             seqs=tuple(range(len(P.PERSPECTIVE_TEMPLATES)))) -> Column:
     """``array<string>`` in template order (``sumarries`` of the dataset)."""
-    return F.array(*[extractive_perspective(content, s, budget) for s in seqs])
+    return F.array(*[perspective(items, s, budget) for s in seqs])
 
 
 def extractive_summary(content: Column | str, budget: int | Column = P.DEFAULT_BUDGET) -> Column:
     """Single-prompt summary: lead sentences within the budget."""
-    return select_by_budget(article_sentences(content), PERSPECTIVE_RULES[0], budget)
+    return select_by_budget(sentence_items(article_sentences(content)), PERSPECTIVE_RULES[0], budget)
 
 
 def shorten(text: Column | str, budget: int | Column) -> Column:
     """Second-pass shortening of a summary to a word budget."""
-    return select_by_budget(article_sentences(text), PERSPECTIVE_RULES[0], budget)
+    return select_by_budget(sentence_items(article_sentences(text)), PERSPECTIVE_RULES[0], budget)
 
 
 # --------------------------------------------------------------- questions
@@ -115,60 +140,74 @@ def _as_question(s: Column) -> Column:
     return F.concat(F.regexp_replace(s, "[.!?]+$", ""), F.lit("?"))
 
 
-def question_response(content: Column | str, count: int, rule: int = 0) -> Column:
+def question_response(items: Column, count: int, rule: int = 0) -> Column:
     """A numbered list answer: a header, a blank line, then ``k. <q>`` lines."""
-    sents = article_sentences(content)
-    chosen = F.transform(F.slice(_ranked(sents, QUESTION_RULES[rule]), F.lit(1), F.lit(count)),
+    chosen = F.transform(F.slice(_ranked(items, QUESTION_RULES[rule]), F.lit(1), F.lit(count)),
                          lambda x: x["s"])
     numbered = F.transform(chosen, lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "),
                                                         _as_question(s)))
     return F.concat(F.lit(RESPONSE_HEADER % count), F.lit("\n\n"), F.array_join(numbered, "\n"))
 
 
-def generic_questions(content: Column | str, count: int = P.GENERIC_QUESTION_COUNT) -> Column:
-    return T.parse_questions(question_response(content, count, 0))
+def parsed_questions(items: Column, count: int, rule: int = 0) -> Column:
+    return T.parse_questions(question_response(items, count, rule))
 
 
-def targeted_questions(content: Column | str) -> Column:
-    """The three spec'd requests, concatenated in spec order."""
-    return F.concat(*[T.parse_questions(question_response(content, n, o))
-                      for o, _cat, _spec, n in P.QUESTION_SPECS if o > 0])
+def generic_questions(items: Column, count: int = P.GENERIC_QUESTION_COUNT) -> Column:
+    return parsed_questions(items, count, 0)
 
 
-def segment_questions(content: Column | str, count: int = P.SEGMENT_COUNT,
+def targeted_questions(items: Column) -> Column:
+    """The three spec'd requests, concatenated in spec order."""
+    return F.concat(*[parsed_questions(items, n, o) for o, _c, _s, n in P.QUESTION_SPECS if o > 0])
+
+
+def segment_sentences(items: Column, count: int = P.SEGMENT_COUNT) -> list[Column]:
+    """Item slices of the overlapping segments (see ``context_segments``)."""
+    n = F.size(items)
+    k = (n / F.lit(count)).cast("int")
+    o = F.least(k, F.lit(3))
+    out = []
+    for i in range(count):
+        if i == 0:
+            out.append(F.slice(items, F.lit(1), k + o))
+        elif i == count - 1:
+            out.append(F.slice(items, k * i - o + 1, n))
+        else:
+            out.append(F.slice(items, k * i - o + 1, k + 2 * o))
+    return out
+
+
+def segment_questions(items: Column, count: int = P.SEGMENT_COUNT,
                       per_segment: int = P.SEGMENT_QUESTION_COUNT) -> Column:
     """Questions from each overlapping segment; empty segments ask nothing."""
-    segs = T.context_segments(T.sentences(content), count)
-    return F.flatten(F.transform(
-        segs, lambda seg: T.parse_questions(question_response(seg, per_segment, 0))))
+    return F.concat(*[parsed_questions(seg, per_segment, 0) for seg in segment_sentences(items, count)])
 
 
 # ----------------------------------------------------------------- answers
-def extractive_answer(content: Column | str, question: Column | str,
-                      budget: int = P.DEFAULT_BUDGET) -> Column:
-    """Sentences sharing the most distinct tokens with the question, within
-    the word budget, then capped at ``budget`` words (the token cap)."""
-    qtok = T.tokens(question)
+def _overlap_key(x, n, qtok):
+    shared = F.size(F.array_distinct(F.filter(T.tokens(x["s"]), lambda t: F.array_contains(qtok, t))))
+    return _neg(shared)
 
-    def overlap(s, i, n):
-        return F.struct(_neg(F.size(F.array_distinct(
-            F.filter(T.tokens(s), lambda t: F.array_contains(qtok, t))))).alias("o"),
-            i.alias("i"))
 
-    text = select_by_budget(article_sentences(content), overlap, budget)
+def extractive_answer(items: Column, question: Column | str, budget: int = P.DEFAULT_BUDGET) -> Column:
+    """Sentences sharing the most distinct tokens with the question, within
+    the word budget, then capped at ``budget`` words (the token cap)."""
+    text = select_by_budget(items, _overlap_key, budget, ctx=T.tokens(question))
     return F.array_join(F.slice(F.split(text, " ", -1), F.lit(1), F.lit(budget)), " ")
 
 
 # ----------------------------------------------------------------- dataset
 def with_dataset_columns(arts: DataFrame, budget: int = P.DEFAULT_BUDGET) -> DataFrame:
     """Add the three question lists and the seven perspectives to each
-    article row (narrow: no shuffle)."""
-    return arts.select(
-        "*",
-        generic_questions("content").alias("genericQuestions"),
-        targeted_questions("content").alias("targetQuestions"),
-        segment_questions("content").alias("segmentQuestions"),
-        extractive_perspectives("content", budget).alias("sumarries"),
+    article row (narrow: no shuffle; sentences split once per row)."""
+    s = F.col("_items")
+    return with_sentences(arts).select(
+        *arts.columns,
+        generic_questions(s).alias("genericQuestions"),
+        targeted_questions(s).alias("targetQuestions"),
+        segment_questions(s).alias("segmentQuestions"),
+        extractive_perspectives(s, budget).alias("sumarries"),
     )
 
 
