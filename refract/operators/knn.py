@@ -35,8 +35,11 @@ from pyspark.sql import types as T
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-Q_BLOCK = 2048
-X_BLOCK = 4096
+# Rows per block (per namespace).  Query rows are scored in chunks of
+# SCORE_ROWS so the score matrix stays bounded (SCORE_ROWS x X_BLOCK doubles).
+Q_BLOCK = 16384
+X_BLOCK = 8192
+SCORE_ROWS = 2048
 
 
 # ------------------------------------------------------- scalar functions
@@ -67,7 +70,8 @@ def _matrix(col: pd.Series, kind: str, dims: int | None) -> np.ndarray:
         rows = np.repeat(np.arange(len(col)), lens)
         cols = np.concatenate(col.to_numpy()).astype(np.int64) if lens.sum() else np.zeros(0, np.int64)
         flat = np.bincount(rows * dims + cols, minlength=len(col) * dims)
-        return flat.reshape(len(col), dims).astype(np.float64)
+        # integer counts: float32 products and sums stay exact (< 2**24)
+        return flat.reshape(len(col), dims).astype(np.float32)
     return np.vstack(col.to_numpy()).astype(np.float64)
 
 
@@ -77,11 +81,18 @@ def _block_topk(qpdf: pd.DataFrame, xpdf: pd.DataFrame, *, k, q_id, x_id, kind,
     if len(qpdf) == 0 or len(xpdf) == 0:
         return pd.DataFrame({c: [] for c in out_cols})
     xpdf = xpdf.sort_values(list(x_id), kind="stable").reset_index(drop=True)
-    Q = _matrix(qpdf["_qv"], kind, dims)
     X = _matrix(xpdf["_xv"], kind, dims)
-    dots = Q @ X.T
-    nq = np.einsum("ij,ij->i", Q, Q)
-    nx = np.einsum("ij,ij->i", X, X)
+    nx = np.einsum("ij,ij->i", X, X, dtype=np.float64)
+    parts = [_score_chunk(qpdf.iloc[a:a + SCORE_ROWS], xpdf, X, nx, k=k, q_id=q_id, x_id=x_id,
+                          kind=kind, dims=dims, metric=metric, min_score=min_score, exclude=exclude)
+             for a in range(0, len(qpdf), SCORE_ROWS)]
+    return pd.concat(parts, ignore_index=True)
+
+
+def _score_chunk(qpdf, xpdf, X, nx, *, k, q_id, x_id, kind, dims, metric, min_score, exclude):
+    Q = _matrix(qpdf["_qv"], kind, dims)
+    dots = (Q @ X.T).astype(np.float64)
+    nq = np.einsum("ij,ij->i", Q, Q, dtype=np.float64)
     with np.errstate(divide="ignore", invalid="ignore"):
         if metric == "cosine":
             S = dots / (np.sqrt(nq)[:, None] * np.sqrt(nx)[None, :])
@@ -94,27 +105,27 @@ def _block_topk(qpdf: pd.DataFrame, xpdf: pd.DataFrame, *, k, q_id, x_id, kind,
         S[qpdf[qc].to_numpy()[:, None] == xpdf[xc].to_numpy()[None, :]] = -np.inf
     kk = min(k, S.shape[1])
     if kk == 1:
-        best = S.argmax(axis=1)[:, None]             # first max = lowest key
+        rows = np.arange(S.shape[0])
+        cols = S.argmax(axis=1)                       # first max = lowest key
+        ranks = np.zeros(S.shape[0], dtype=np.int64)
     else:
-        kth = -np.partition(-S, kk - 1, axis=1)[:, kk - 1]
-        best = np.empty((S.shape[0], kk), dtype=np.int64)
-        for r in range(S.shape[0]):
-            cand = np.nonzero(S[r] >= kth[r])[0]      # ascending key order
-            order = np.argsort(-S[r, cand], kind="stable")[:kk]
-            sel = cand[order]
-            best[r, :len(sel)] = sel
-            best[r, len(sel):] = sel[-1] if len(sel) else 0
-    rows = np.repeat(np.arange(S.shape[0]), best.shape[1])
-    cols = best.reshape(-1)
+        # k-th best value per row; everything strictly better is in, ties at
+        # the k-th value are filled by ascending index key (column order)
+        v = -np.partition(-S, kk - 1, axis=1)[:, kk - 1]
+        gt = S > v[:, None]
+        eq = S == v[:, None]
+        need = kk - gt.sum(axis=1)
+        sel = gt | (eq & (np.cumsum(eq, axis=1) <= need[:, None]))
+        rows, cols = np.nonzero(sel)
+        order = np.lexsort((cols, -S[rows, cols], rows))
+        rows, cols = rows[order], cols[order]
+        starts = np.searchsorted(rows, rows, side="left")
+        ranks = np.arange(len(rows)) - starts
     scores = S[rows, cols]
-    ranks = np.tile(np.arange(best.shape[1]), S.shape[0])
     keep = np.isfinite(scores)
-    if kk > 1:  # drop padding duplicates
-        dup = pd.DataFrame({"r": rows, "c": cols}).duplicated().to_numpy()
-        keep &= ~dup
     rows, cols, scores, ranks = rows[keep], cols[keep], scores[keep], ranks[keep]
     if metric == "l2":  # exact distance for the kept pairs (no cancellation)
-        diff = Q[rows] - X[cols]
+        diff = Q[rows].astype(np.float64) - X[cols]
         scores = -np.einsum("ij,ij->i", diff, diff)
     res = {c: qpdf[c].to_numpy()[rows] for c in q_id}
     res.update({c: xpdf[c].to_numpy()[cols] for c in x_id})
