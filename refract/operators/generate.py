@@ -200,15 +200,23 @@ def extractive_answer(items: Column, question: Column | str, budget: int = P.DEF
 # ----------------------------------------------------------------- dataset
 def with_dataset_columns(arts: DataFrame, budget: int = P.DEFAULT_BUDGET) -> DataFrame:
     """Add the three question lists and the seven perspectives to each
-    article row (narrow: no shuffle; sentences split once per row)."""
+    article row (narrow: no shuffle; sentences split once per row).
+
+    Perspectives are separate columns ``perspective_<seq>`` so a consumer
+    that reads only some of them lets Catalyst prune the others;
+    ``sumarries`` (the nested list of the reference dataset) is assembled
+    from them in the final projection.
+    """
     s = F.col("_items")
-    return with_sentences(arts).select(
+    n = len(P.PERSPECTIVE_TEMPLATES)
+    wide = with_sentences(arts).select(
         *arts.columns,
         generic_questions(s).alias("genericQuestions"),
         targeted_questions(s).alias("targetQuestions"),
         segment_questions(s).alias("segmentQuestions"),
-        extractive_perspectives(s, budget).alias("sumarries"),
+        *[perspective(s, i, budget).alias(f"perspective_{i}") for i in range(n)],
     )
+    return wide.withColumn("sumarries", F.array(*[F.col(f"perspective_{i}") for i in range(n)]))
 
 
 # ---------------------------------------------------------- callable path

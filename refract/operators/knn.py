@@ -37,7 +37,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Rows per block (per namespace).  Query rows are scored in chunks of
 # SCORE_ROWS so the score matrix stays bounded (SCORE_ROWS x X_BLOCK doubles).
-Q_BLOCK = 16384
+Q_BLOCK = 4096
 X_BLOCK = 8192
 SCORE_ROWS = 2048
 
@@ -75,54 +75,127 @@ def _matrix(col: pd.Series, kind: str, dims: int | None) -> np.ndarray:
     return np.vstack(col.to_numpy()).astype(np.float64)
 
 
+def _triplets(col: pd.Series, dims: int):
+    """(row, bucket, count) of a bucket-multiset column, sorted by bucket."""
+    lens = col.map(len).to_numpy()
+    if lens.sum() == 0:
+        z = np.zeros(0, np.int64)
+        return z, z, z.astype(np.float32)
+    rows = np.repeat(np.arange(len(col)), lens)
+    cols = np.concatenate(col.to_numpy()).astype(np.int64)
+    keys, cnt = np.unique(cols * len(col) + rows, return_counts=True)   # bucket-major
+    return keys % len(col), keys // len(col), cnt.astype(np.float32)
+
+
+HOT_FRACTION = 1 / 64  # buckets held by more index rows than this go dense
+
+
+def _sparse_dots(q: tuple, x: tuple, nq: int, nx: int, dims: int) -> np.ndarray:
+    """Exact integer dot products of two bucket-count sets.
+
+    Frequent buckets (stop words) are scored with one small dense product
+    over just those columns; every other bucket adds the outer product of
+    the few queries and index rows that hold it.
+    """
+    qr, qb, qc = q
+    xr, xb, xc = x
+    S = np.zeros((nq, nx), np.float32)
+    if len(qb) == 0 or len(xb) == 0:
+        return S
+    xdf = np.bincount(xb, minlength=dims)
+    hot = np.nonzero(xdf > max(8, nx * HOT_FRACTION))[0]
+    if len(hot):
+        pos = np.full(dims, -1)
+        pos[hot] = np.arange(len(hot))
+        qh = pos[qb] >= 0
+        xh = pos[xb] >= 0
+        Qh = np.zeros((nq, len(hot)), np.float32)
+        Qh[qr[qh], pos[qb[qh]]] = qc[qh]
+        Xh = np.zeros((nx, len(hot)), np.float32)
+        Xh[xr[xh], pos[xb[xh]]] = xc[xh]
+        S += Qh @ Xh.T
+        qr, qb, qc = qr[~qh], qb[~qh], qc[~qh]
+    if len(qb) == 0:
+        return S
+    qs = np.searchsorted(qb, np.arange(dims + 1))
+    xs = np.searchsorted(xb, np.arange(dims + 1))
+    for bkt in np.unique(qb):
+        a0, a1 = qs[bkt], qs[bkt + 1]
+        b0, b1 = xs[bkt], xs[bkt + 1]
+        if b1 > b0:
+            S[np.ix_(qr[a0:a1], xr[b0:b1])] += np.outer(qc[a0:a1], xc[b0:b1])
+    return S
+
+
 def _block_topk(qpdf: pd.DataFrame, xpdf: pd.DataFrame, *, k, q_id, x_id, kind, dims,
                 metric, min_score, exclude) -> pd.DataFrame:
     out_cols = list(q_id) + list(x_id) + ["score", "_r"]
     if len(qpdf) == 0 or len(xpdf) == 0:
         return pd.DataFrame({c: [] for c in out_cols})
     xpdf = xpdf.sort_values(list(x_id), kind="stable").reset_index(drop=True)
-    X = _matrix(xpdf["_xv"], kind, dims)
-    nx = np.einsum("ij,ij->i", X, X, dtype=np.float64)
-    parts = [_score_chunk(qpdf.iloc[a:a + SCORE_ROWS], xpdf, X, nx, k=k, q_id=q_id, x_id=x_id,
-                          kind=kind, dims=dims, metric=metric, min_score=min_score, exclude=exclude)
+    if kind == "buckets":
+        X = _triplets(xpdf["_xv"], dims)
+        nx = np.bincount(X[0], weights=X[2].astype(np.float64) ** 2, minlength=len(xpdf))
+    else:
+        X = _matrix(xpdf["_xv"], kind, dims)
+        nx = np.einsum("ij,ij->i", X, X, dtype=np.float64)
+    parts = [_score_chunk(qpdf.iloc[a:a + SCORE_ROWS].reset_index(drop=True), xpdf, X, nx, k=k,
+                          q_id=q_id, x_id=x_id, kind=kind, dims=dims, metric=metric,
+                          min_score=min_score, exclude=exclude)
              for a in range(0, len(qpdf), SCORE_ROWS)]
     return pd.concat(parts, ignore_index=True)
 
 
+SCREEN_TOL = 1e-4  # float32 screening margin on the cosine scale
+
+
 def _score_chunk(qpdf, xpdf, X, nx, *, k, q_id, x_id, kind, dims, metric, min_score, exclude):
-    Q = _matrix(qpdf["_qv"], kind, dims)
-    dots = (Q @ X.T).astype(np.float64)
-    nq = np.einsum("ij,ij->i", Q, Q, dtype=np.float64)
+    if kind == "buckets":
+        Qt = _triplets(qpdf["_qv"], dims)
+        nq = np.bincount(Qt[0], weights=Qt[2].astype(np.float64) ** 2, minlength=len(qpdf))
+        dots = _sparse_dots(Qt, X, len(qpdf), len(xpdf), dims)        # exact (float32 integers)
+        Q = None
+    else:
+        Q = _matrix(qpdf["_qv"], kind, dims)
+        dots = Q @ X.T
+        nq = np.einsum("ij,ij->i", Q, Q, dtype=np.float64)
+
+    def exact(r, c):
+        d = dots[r, c].astype(np.float64)
+        if metric == "cosine":
+            with np.errstate(divide="ignore", invalid="ignore"):
+                v = d / (np.sqrt(nq[r]) * np.sqrt(nx[c]))
+            return np.where(np.isfinite(v), v, -np.inf)
+        return -(nq[r] + nx[c] - 2.0 * d)
+
+    # approximate scores (float32) to screen candidates; exact float64 after
     with np.errstate(divide="ignore", invalid="ignore"):
         if metric == "cosine":
-            S = dots / (np.sqrt(nq)[:, None] * np.sqrt(nx)[None, :])
-            S[~np.isfinite(S)] = -np.inf
-        else:  # l2: larger is better on the negated squared distance
-            S = -(nq[:, None] + nx[None, :] - 2.0 * dots)
+            iq = (1.0 / np.sqrt(nq)).astype(np.float32)
+            ix = (1.0 / np.sqrt(nx)).astype(np.float32)
+            A = dots.astype(np.float32, copy=False) * ix[None, :] * iq[:, None]
+            tol = SCREEN_TOL
+        else:
+            A = -(nq[:, None] + nx[None, :] - 2.0 * dots.astype(np.float64))
+            tol = 1e-6 * (1.0 + np.abs(A).max()) if A.size else 0.0
+    A[~np.isfinite(A)] = -np.inf
     if min_score is not None:
-        S[S <= min_score] = -np.inf
+        A[A <= min_score - tol] = -np.inf
     for qc, xc in exclude:
-        S[qpdf[qc].to_numpy()[:, None] == xpdf[xc].to_numpy()[None, :]] = -np.inf
-    kk = min(k, S.shape[1])
-    if kk == 1:
-        rows = np.arange(S.shape[0])
-        cols = S.argmax(axis=1)                       # first max = lowest key
-        ranks = np.zeros(S.shape[0], dtype=np.int64)
-    else:
-        # k-th best value per row; everything strictly better is in, ties at
-        # the k-th value are filled by ascending index key (column order)
-        v = -np.partition(-S, kk - 1, axis=1)[:, kk - 1]
-        gt = S > v[:, None]
-        eq = S == v[:, None]
-        need = kk - gt.sum(axis=1)
-        sel = gt | (eq & (np.cumsum(eq, axis=1) <= need[:, None]))
-        rows, cols = np.nonzero(sel)
-        order = np.lexsort((cols, -S[rows, cols], rows))
-        rows, cols = rows[order], cols[order]
-        starts = np.searchsorted(rows, rows, side="left")
-        ranks = np.arange(len(rows)) - starts
-    scores = S[rows, cols]
-    keep = np.isfinite(scores)
+        A[qpdf[qc].to_numpy()[:, None] == xpdf[xc].to_numpy()[None, :]] = -np.inf
+    kk = min(k, A.shape[1])
+    v = -np.partition(-A, kk - 1, axis=1)[:, kk - 1] if kk > 1 else A.max(axis=1)
+    cand = (A >= (v - tol)[:, None]) & np.isfinite(A)
+    rows, cols = np.nonzero(cand)
+    scores = exact(rows, cols)
+    ok = np.isfinite(scores)
+    if min_score is not None:
+        ok &= scores > min_score
+    rows, cols, scores = rows[ok], cols[ok], scores[ok]
+    order = np.lexsort((cols, -scores, rows))       # best first, ties: lowest key
+    rows, cols, scores = rows[order], cols[order], scores[order]
+    ranks = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+    keep = ranks < kk
     rows, cols, scores, ranks = rows[keep], cols[keep], scores[keep], ranks[keep]
     if metric == "l2":  # exact distance for the kept pairs (no cancellation)
         diff = Q[rows].astype(np.float64) - X[cols]
