@@ -103,3 +103,15 @@ def json_roundtrip(spark, sf):
     path = scratch_path(spark, "json_roundtrip")
     files.write_json(_roundtrip_frame(spark, sf), path)
     return _roundtrip_report(files.read_json(spark, path, _ROUNDTRIP_SCHEMA))
+
+
+@register("link_list_csv", f"""
+SELECT source AS link, {Q.first_line('text')} AS title FROM documents""")
+def link_list_csv(spark, sf):
+    """A link list (link, title) written as delimited text -- titles may
+    hold quotes and commas -- and read back with an explicit schema."""
+    path = scratch_path(spark, "link_list")
+    links = tables.read_table(spark, sf, "documents").select(
+        F.col("source").alias("link"), TX.first_line("text").alias("title"))
+    links.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    return files.read_link_list(spark, path)
