@@ -87,7 +87,7 @@ def _triplets(col: pd.Series, dims: int):
     return keys % len(col), keys // len(col), cnt.astype(np.float32)
 
 
-HOT_FRACTION = 1 / 64  # buckets held by more index rows than this go dense
+HOT_FRACTION = 1 / 16  # buckets held by more index rows than this go dense
 
 
 def _sparse_dots(q: tuple, x: tuple, nq: int, nx: int, dims: int) -> np.ndarray:
@@ -117,13 +117,16 @@ def _sparse_dots(q: tuple, x: tuple, nq: int, nx: int, dims: int) -> np.ndarray:
         qr, qb, qc = qr[~qh], qb[~qh], qc[~qh]
     if len(qb) == 0:
         return S
-    qs = np.searchsorted(qb, np.arange(dims + 1))
+    # cold buckets: expand (query, index row) pairs sharing a bucket, sum them
     xs = np.searchsorted(xb, np.arange(dims + 1))
-    for bkt in np.unique(qb):
-        a0, a1 = qs[bkt], qs[bkt + 1]
-        b0, b1 = xs[bkt], xs[bkt + 1]
-        if b1 > b0:
-            S[np.ix_(qr[a0:a1], xr[b0:b1])] += np.outer(qc[a0:a1], xc[b0:b1])
+    start, lens = xs[qb], xs[qb + 1] - xs[qb]
+    total = int(lens.sum())
+    if total:
+        offs = np.repeat(np.cumsum(lens) - lens, lens)
+        xpos = np.repeat(start, lens) + (np.arange(total) - offs)
+        flat = np.repeat(qr, lens) * nx + xr[xpos]
+        vals = np.repeat(qc, lens) * xc[xpos]
+        S += np.bincount(flat, weights=vals, minlength=nq * nx).reshape(nq, nx).astype(np.float32)
     return S
 
 
