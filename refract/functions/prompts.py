@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refract.functions import text as T
+from refract.functions import rows as R
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's.  Template wording is kept
@@ -201,6 +202,6 @@ def segment_prompts(arts: DataFrame, count: int = SEGMENT_COUNT,
                     per_segment: int = SEGMENT_QUESTION_COUNT) -> DataFrame:
     """One question request per overlapping segment of the article."""
     segs = T.context_segments(T.sentences("content"), count)
-    return (arts.select("article_index", F.posexplode(segs).alias("segment", "segment_text"))
+    return (R.posexplode_rows(arts, ["article_index"], segs, "segment", "segment_text")
             .select("article_index", "segment", "segment_text",
                     generic_question_prompt(per_segment, "segment_text").alias("prompt")))

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from refract.functions import rows as R
 from refract.functions import text as T
 
 DEFAULT_DIMS = 1024
@@ -37,7 +38,7 @@ def hash_buckets(text: Column | str, dims: int = DEFAULT_DIMS) -> Column:
 
 def bucket_counts(df: DataFrame, id_cols: Sequence[str], buckets_col: str) -> DataFrame:
     """Long form ``(ids..., bucket, cnt)`` of a bucket multiset column."""
-    return (df.select(*id_cols, F.explode(buckets_col).alias("bucket"))
+    return (R.explode_rows(df, list(id_cols), F.col(buckets_col), "bucket")
             .groupBy(*id_cols, "bucket").agg(F.count(F.lit(1)).alias("cnt")))
 
 

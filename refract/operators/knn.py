@@ -33,6 +33,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from refract.functions import rows as R
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Rows per block (per namespace).  Query rows are scored in chunks of
@@ -301,8 +303,8 @@ def lsh_knn(queries: DataFrame, index: DataFrame, *, k: int, q_id: Sequence[str]
             bits: int = 4, exclude: Sequence[tuple[str, str]] = (), seed: int = 7) -> DataFrame:
     """Approximate cosine top-k: candidates share a hyperplane band bucket."""
     planes = hyperplanes(dims, tables, bits, seed)
-    qb = queries.select(*q_id, q_vec, F.explode(lsh_bands(q_vec, planes, tables, bits)).alias("_band"))
-    xb = index.select(*x_id, x_vec, F.explode(lsh_bands(x_vec, planes, tables, bits)).alias("_band"))
+    qb = R.explode_rows(queries, [*q_id, q_vec], lsh_bands(q_vec, planes, tables, bits), "_band")
+    xb = R.explode_rows(index, [*x_id, x_vec], lsh_bands(x_vec, planes, tables, bits), "_band")
     per_band = knn(qb, xb, k=k, q_id=list(q_id), x_id=list(x_id), q_vec=q_vec, x_vec=x_vec,
                    kind="dense", metric="cosine", ns="_band", exclude=exclude)
     best = per_band.groupBy(*q_id, *x_id).agg(F.max("score").alias("score"))

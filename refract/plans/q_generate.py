@@ -11,6 +11,7 @@ from refract.operators import generate as G
 from refract.plans import sqlx as Q
 from refract.plans.catalog import register
 from refract.sources import tables
+from refract.functions import rows as R
 
 BUDGET = P.DEFAULT_BUDGET
 SHORT_BUDGET = 50
@@ -218,7 +219,7 @@ SELECT conv_id, turn, q_no::BIGINT AS q_no, md5(q) AS question_md5 FROM u""")
 def parse_questions(spark, sf):
     c = tables.read_table(spark, sf, "conversations").where(F.col("role") == "assistant")
     qs = TX.parse_questions(_numbered_response("text"))
-    return (c.select("conv_id", "turn", F.posexplode(qs).alias("q_no", "q"))
+    return (R.posexplode_rows(c, ["conv_id", "turn"], qs, "q_no", "q")
             .select("conv_id", "turn", F.col("q_no").cast("long").alias("q_no"),
                     F.md5("q").alias("question_md5")))
 
@@ -228,7 +229,7 @@ SELECT article_index, seq::BIGINT AS seq, {Q.wc('perspective')}::BIGINT AS n_wor
        md5(perspective) AS perspective_md5 FROM persp""")
 def extractive_perspectives(spark, sf):
     d = dataset(spark, sf)
-    return (d.select("article_index", F.posexplode("sumarries").alias("seq", "p"))
+    return (R.posexplode_rows(d, ["article_index"], F.col("sumarries"), "seq", "p")
             .select("article_index", F.col("seq").cast("long").alias("seq"),
                     TX.word_count("p").cast("long").alias("n_words"),
                     F.md5("p").alias("perspective_md5")))
@@ -241,7 +242,7 @@ SELECT p.article_index, p.seq::BIGINT AS seq, {Q.wc("coalesce(sh.txt, '')")}::BI
 FROM persp p LEFT JOIN sh ON sh.article_index = p.article_index AND sh.seq = p.seq""")
 def shorten_perspectives(spark, sf):
     d = dataset(spark, sf)
-    return (d.select("article_index", F.posexplode("sumarries").alias("seq", "p"))
+    return (R.posexplode_rows(d, ["article_index"], F.col("sumarries"), "seq", "p")
             .select("article_index", F.col("seq").cast("long").alias("seq"),
                     G.shorten("p", SHORT_BUDGET).alias("short"))
             .select("article_index", "seq", TX.word_count("short").cast("long").alias("n_words"),
@@ -264,8 +265,8 @@ def extractive_questions(spark, sf):
     for i, seg in enumerate(G.segment_sentences(s, P.SEGMENT_COUNT)):
         reqs.append(F.struct(F.lit(f"segment{i}").alias("request"),
                              G.parsed_questions(seg, P.SEGMENT_QUESTION_COUNT, 0).alias("qs")))
-    return (a.select("article_index", F.explode(F.array(*reqs)).alias("r"))
-            .select("article_index", "r.request", F.posexplode("r.qs").alias("line_no", "question"))
+    r = R.explode_rows(a, ["article_index"], F.array(*reqs), "r")
+    return (R.posexplode_rows(r, ["article_index", "r.request"], F.col("r.qs"), "line_no", "question")
             .select("article_index", "request", (F.col("line_no") + 1).cast("long").alias("line_no"),
                     "question"))
 
@@ -286,7 +287,7 @@ SELECT gq.article_index, gq.q_no::BIGINT AS q_no,
 FROM gq JOIN arts a ON a.article_index = gq.article_index""")
 def render_answer_prompts(spark, sf):
     a = G.with_sentences(arts(spark, sf))
-    q = a.select("article_index", "content", F.posexplode(G.generic_questions(F.col("_items"))).alias("q_no", "question"))
+    q = R.posexplode_rows(a, ["article_index", "content"], G.generic_questions(F.col("_items")), "q_no", "question")
     return q.select("article_index", (F.col("q_no") + 1).cast("long").alias("q_no"),
                     *_md5_len(P.answer_prompt("question", BUDGET, "content"), "prompt"))
 
@@ -298,7 +299,7 @@ SELECT article_index, q_no::BIGINT AS q_no,
 FROM ans""")
 def extractive_answers(spark, sf):
     a = G.with_sentences(arts(spark, sf))
-    q = a.select("article_index", "_items", F.posexplode(G.generic_questions(F.col("_items"))).alias("q_no", "question"))
+    q = R.posexplode_rows(a, ["article_index", "_items"], G.generic_questions(F.col("_items")), "q_no", "question")
     ans = G.extractive_answer(F.col("_items"), "question", BUDGET)
     return (q.select("article_index", (F.col("q_no") + 1).cast("long").alias("q_no"), ans.alias("answer"))
             .select("article_index", "q_no", TX.word_count("answer").cast("long").alias("n_words"),
@@ -405,9 +406,9 @@ def question_long(d):
     """One row per question with its running number across
     generic ++ targeted ++ segment, and its number within the category."""
     g, t = F.size("genericQuestions"), F.size("targetQuestions")
-    q = d.select("article_index", F.posexplode(F.concat("genericQuestions", "targetQuestions",
-                                                        "segmentQuestions")).alias("q_seq", "question"),
-                 g.alias("_g"), t.alias("_t"))
+    q = R.posexplode_rows(d, ["article_index", g.alias("_g"), t.alias("_t")],
+                          F.concat("genericQuestions", "targetQuestions", "segmentQuestions"),
+                          "q_seq", "question")
     cat = (F.when(F.col("q_seq") < F.col("_g"), "generic")
            .when(F.col("q_seq") < F.col("_g") + F.col("_t"), "targeted").otherwise("segment"))
     cat_seq = (F.when(F.col("q_seq") < F.col("_g"), F.col("q_seq"))

@@ -13,6 +13,7 @@ from refract.plans import q_generate as QG
 from refract.plans import sqlx as Q
 from refract.plans.catalog import register
 from refract.sources import tables
+from refract.functions import rows as R
 
 DIMS = E.DEFAULT_DIMS
 EMB_DIMS = 64
@@ -47,7 +48,7 @@ def mean_pool_embedding(spark, sf):
 
 def _persp_long(spark, sf):
     d = QG.dataset(spark, sf)
-    return d.select("article_index", F.posexplode("sumarries").alias("seq", "perspective"))
+    return R.posexplode_rows(d, ["article_index"], F.col("sumarries"), "seq", "perspective")
 
 
 @register("index_records", "WITH " + QG.PERSPECTIVES_CTE + f"""

@@ -9,6 +9,7 @@ from refract.functions import text as TX
 from refract.plans import sqlx as Q
 from refract.plans.catalog import register
 from refract.sources import tables
+from refract.functions import rows as R
 
 # Paragraph separator for the driver documents: they contain no blank lines,
 # so paragraphs are single lines (FIXTURES).
@@ -55,14 +56,14 @@ SELECT doc_id, sent_pos::BIGINT AS sent_pos, {Q.wc('s')}::BIGINT AS n_words, md5
 FROM u""")
 def sentences(spark, sf):
     d = _docs(spark, sf)
-    return (d.select("doc_id", F.posexplode(TX.sentences("text")).alias("sent_pos", "s"))
+    return (R.posexplode_rows(d, ["doc_id"], TX.sentences("text"), "sent_pos", "s")
             .select("doc_id", F.col("sent_pos").cast("long").alias("sent_pos"),
                     TX.word_count("s").cast("long").alias("n_words"),
                     F.md5("s").alias("sent_md5")))
 
 
 def _parts_report(df, arr):
-    return (df.select("doc_id", F.posexplode(arr).alias("part_no", "part"))
+    return (R.posexplode_rows(df, ["doc_id"], arr, "part_no", "part")
             .select("doc_id", F.col("part_no").cast("long").alias("part_no"),
                     F.length("part").cast("long").alias("part_len"),
                     F.md5("part").alias("part_md5")))
