@@ -38,10 +38,16 @@ from refract.functions import rows as R
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Rows per block (per namespace).  Query rows are scored in chunks of
-# SCORE_ROWS so the score matrix stays bounded (SCORE_ROWS x X_BLOCK doubles).
-Q_BLOCK = 4096
+# SCORE_ROWS so the score matrix stays bounded (SCORE_ROWS x X_BLOCK floats);
+# Q_BLOCK only bounds the query rows held at once.  Every index row is copied
+# to each query block of its namespace and every query row to each index
+# block, so query blocks are the larger ones: index rows are the longer texts.
+Q_BLOCK = 16384
 X_BLOCK = 8192
 SCORE_ROWS = 2048
+# Block pairs per task: tasks are CPU-bound, so the pair shuffle gets an
+# explicit partition count (at least this many per core) that AQE leaves alone.
+PAIR_TASKS_PER_CORE = 8
 
 
 # ------------------------------------------------------- scalar functions
@@ -89,15 +95,18 @@ def _triplets(col: pd.Series, dims: int):
     return keys % len(col), keys // len(col), cnt.astype(np.float32)
 
 
-HOT_FRACTION = 1 / 16  # buckets held by more index rows than this go dense
+# A bucket is scored densely when the (query, index row) pairs sharing it
+# exceed this fraction of all pairs: a dense column costs every pair one
+# BLAS multiply-add, an expanded pair costs roughly a thousand times more.
+HOT_PAIR_FRACTION = 1e-3
 
 
 def _sparse_dots(q: tuple, x: tuple, nq: int, nx: int, dims: int) -> np.ndarray:
     """Exact integer dot products of two bucket-count sets.
 
-    Frequent buckets (stop words) are scored with one small dense product
-    over just those columns; every other bucket adds the outer product of
-    the few queries and index rows that hold it.
+    Buckets shared by many pairs (stop words) are scored with one dense
+    product over just those columns; every other bucket adds the outer
+    product of the few queries and index rows that hold it.
     """
     qr, qb, qc = q
     xr, xb, xc = x
@@ -105,7 +114,8 @@ def _sparse_dots(q: tuple, x: tuple, nq: int, nx: int, dims: int) -> np.ndarray:
     if len(qb) == 0 or len(xb) == 0:
         return S
     xdf = np.bincount(xb, minlength=dims)
-    hot = np.nonzero(xdf > max(8, nx * HOT_FRACTION))[0]
+    qdf = np.bincount(qb, minlength=dims)
+    hot = np.nonzero(qdf.astype(np.float64) * xdf > HOT_PAIR_FRACTION * nq * nx)[0]
     if len(hot):
         pos = np.full(dims, -1)
         pos[hot] = np.arange(len(hot))
@@ -115,7 +125,7 @@ def _sparse_dots(q: tuple, x: tuple, nq: int, nx: int, dims: int) -> np.ndarray:
         Qh[qr[qh], pos[qb[qh]]] = qc[qh]
         Xh = np.zeros((nx, len(hot)), np.float32)
         Xh[xr[xh], pos[xb[xh]]] = xc[xh]
-        S += Qh @ Xh.T
+        np.matmul(Qh, Xh.T, out=S)
         qr, qb, qc = qr[~qh], qb[~qh], qc[~qh]
     if len(qb) == 0:
         return S
@@ -128,7 +138,7 @@ def _sparse_dots(q: tuple, x: tuple, nq: int, nx: int, dims: int) -> np.ndarray:
         xpos = np.repeat(start, lens) + (np.arange(total) - offs)
         flat = np.repeat(qr, lens) * nx + xr[xpos]
         vals = np.repeat(qc, lens) * xc[xpos]
-        S += np.bincount(flat, weights=vals, minlength=nq * nx).reshape(nq, nx).astype(np.float32)
+        np.add.at(S.reshape(-1), flat, vals)     # unbuffered: repeated cells all add
     return S
 
 
@@ -173,25 +183,36 @@ def _score_chunk(qpdf, xpdf, X, nx, *, k, q_id, x_id, kind, dims, metric, min_sc
             return np.where(np.isfinite(v), v, -np.inf)
         return -(nq[r] + nx[c] - 2.0 * d)
 
-    # approximate scores (float32) to screen candidates; exact float64 after
-    with np.errstate(divide="ignore", invalid="ignore"):
-        if metric == "cosine":
+    # approximate scores (float32) screen the candidates; the candidates are
+    # re-scored exactly in float64 from the untouched dot products below
+    if metric == "cosine":
+        with np.errstate(divide="ignore"):
             iq = (1.0 / np.sqrt(nq)).astype(np.float32)
             ix = (1.0 / np.sqrt(nx)).astype(np.float32)
-            A = dots.astype(np.float32, copy=False) * ix[None, :] * iq[:, None]
-            tol = SCREEN_TOL
-        else:
-            A = -(nq[:, None] + nx[None, :] - 2.0 * dots.astype(np.float64))
-            tol = 1e-6 * (1.0 + np.abs(A).max()) if A.size else 0.0
-    A[~np.isfinite(A)] = -np.inf
-    if min_score is not None:
-        A[A <= min_score - tol] = -np.inf
+        iq[~np.isfinite(iq)] = 0
+        ix[~np.isfinite(ix)] = 0
+        A = np.multiply(dots, ix[None, :], dtype=np.float32)   # new array: dots stay exact
+        A *= iq[:, None]
+        tol = SCREEN_TOL
+        # zero vectors have no cosine: never candidates
+        if (nq == 0).any():
+            A[nq == 0, :] = -np.inf
+        if (nx == 0).any():
+            A[:, nx == 0] = -np.inf
+    else:
+        A = -(nq[:, None] + nx[None, :] - 2.0 * dots.astype(np.float64))
+        tol = 1e-6 * (1.0 + np.abs(A).max()) if A.size else 0.0
     for qc, xc in exclude:
         A[qpdf[qc].to_numpy()[:, None] == xpdf[xc].to_numpy()[None, :]] = -np.inf
     kk = min(k, A.shape[1])
     v = -np.partition(-A, kk - 1, axis=1)[:, kk - 1] if kk > 1 else A.max(axis=1)
-    cand = (A >= (v - tol)[:, None]) & np.isfinite(A)
-    rows, cols = np.nonzero(cand)
+    # a candidate is finite, within tol of the row's k-th best (every finite
+    # score when the row has fewer than k) and above min_score
+    thr = v - tol
+    thr[~np.isfinite(thr)] = np.finfo(A.dtype).min
+    if min_score is not None:
+        thr = np.maximum(thr, np.nextafter(A.dtype.type(min_score - tol), A.dtype.type(np.inf)))
+    rows, cols = np.nonzero(A >= thr[:, None])
     scores = exact(rows, cols)
     ok = np.isfinite(scores)
     if min_score is not None:
@@ -217,7 +238,7 @@ def knn(queries: DataFrame, index: DataFrame, *, k: int, q_id: Sequence[str], x_
         q_vec: str, x_vec: str, kind: str = "dense", dims: int | None = None,
         metric: str = "cosine", ns: str | None = None, min_score: float | None = None,
         exclude: Sequence[tuple[str, str]] = (), q_block: int = Q_BLOCK,
-        x_block: int = X_BLOCK) -> DataFrame:
+        x_block: int = X_BLOCK, partitions: int | None = None) -> DataFrame:
     """Top-``k`` index rows per query row.
 
     ``kind``: ``dense`` (numeric arrays) or ``buckets`` (hashed bag of words,
@@ -226,6 +247,8 @@ def knn(queries: DataFrame, index: DataFrame, *, k: int, q_id: Sequence[str], x_
     sides restricting matches to the same namespace.  ``exclude``: pairs of
     (query column, index column) that must differ (e.g. self matches).
     ``min_score``: cosine scores at or below are not matches.
+    ``partitions``: tasks scoring block pairs (default: the larger of
+    ``spark.sql.shuffle.partitions`` and ``PAIR_TASKS_PER_CORE`` per core).
 
     Returns ``q_id..., [ns], x_id..., score, rank`` (rank 1 = best).
     """
@@ -260,8 +283,14 @@ def knn(queries: DataFrame, index: DataFrame, *, k: int, q_id: Sequence[str], x_
         return _block_topk(qpdf, xpdf, **params)
 
     keys = ["_ns", "_qb", "_xb"]
-    blocks = (qg.select(*q_keep, *keys, "_qv").groupBy(*keys)
-              .cogroup(xg.select(*x_id, *keys, "_xv").groupBy(*keys))
+    if partitions is None:
+        spark = queries.sparkSession
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                         PAIR_TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+    # both sides hash-partitioned alike on the block keys: the cogroup reuses
+    # this exchange, and a by-number repartition is not coalesced by AQE
+    blocks = (qg.select(*q_keep, *keys, "_qv").repartition(partitions, *keys).groupBy(*keys)
+              .cogroup(xg.select(*x_id, *keys, "_xv").repartition(partitions, *keys).groupBy(*keys))
               .applyInPandas(kernel, schema))
     part = q_keep if not ns or ns in q_keep else q_keep + [ns]
     if metric == "l2":  # kernel scores are negated distances
