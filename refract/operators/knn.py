@@ -38,16 +38,18 @@ from refract.functions import rows as R
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Rows per block (per namespace).  Query rows are scored in chunks of
-# SCORE_ROWS so the score matrix stays bounded (SCORE_ROWS x X_BLOCK floats);
-# Q_BLOCK only bounds the query rows held at once.  Every index row is copied
-# to each query block of its namespace and every query row to each index
-# block, so query blocks are the larger ones: index rows are the longer texts.
-Q_BLOCK = 16384
+# SCORE_ROWS so the score matrix stays bounded (SCORE_ROWS x X_BLOCK floats).
+# Scoring costs tens of nanoseconds per (query, index row) pair, while the
+# copies that send every row to the blocks it meets cost well under a byte
+# of shuffle per pair, so blocks are kept small enough that a block pair is
+# about a second of work and the pairs spread evenly over the cores.
+Q_BLOCK = 4096
 X_BLOCK = 8192
 SCORE_ROWS = 2048
-# Block pairs per task: tasks are CPU-bound, so the pair shuffle gets an
-# explicit partition count (at least this many per core) that AQE leaves alone.
-PAIR_TASKS_PER_CORE = 8
+# Tasks are CPU-bound, so the pair shuffle gets an explicit partition count
+# (this many per core, or spark.sql.shuffle.partitions if larger) that AQE
+# does not coalesce by bytes.
+PAIR_TASKS_PER_CORE = 16
 
 
 # ------------------------------------------------------- scalar functions
