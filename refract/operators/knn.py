@@ -125,9 +125,9 @@ def _sparse_dots(q: tuple, x: tuple, nq: int, nx: int, dims: int) -> np.ndarray:
         xh = pos[xb] >= 0
         Qh = np.zeros((nq, len(hot)), np.float32)
         Qh[qr[qh], pos[qb[qh]]] = qc[qh]
-        Xh = np.zeros((nx, len(hot)), np.float32)
-        Xh[xr[xh], pos[xb[xh]]] = xc[xh]
-        np.matmul(Qh, Xh.T, out=S)
+        XhT = np.zeros((len(hot), nx), np.float32)     # built transposed: contiguous for BLAS
+        XhT[pos[xb[xh]], xr[xh]] = xc[xh]
+        np.matmul(Qh, XhT, out=S)
         qr, qb, qc = qr[~qh], qb[~qh], qc[~qh]
     if len(qb) == 0:
         return S
@@ -186,34 +186,37 @@ def _score_chunk(qpdf, xpdf, X, nx, *, k, q_id, x_id, kind, dims, metric, min_sc
         return -(nq[r] + nx[c] - 2.0 * d)
 
     # approximate scores (float32) screen the candidates; the candidates are
-    # re-scored exactly in float64 from the untouched dot products below
+    # re-scored exactly in float64 from the untouched dot products below.
+    # Cosine screening scores are dot / |x| only: the query norm is one
+    # positive factor per row, so it scales that row's tolerance and
+    # min_score bound instead of every score.
     if metric == "cosine":
         with np.errstate(divide="ignore"):
-            iq = (1.0 / np.sqrt(nq)).astype(np.float32)
             ix = (1.0 / np.sqrt(nx)).astype(np.float32)
-        iq[~np.isfinite(iq)] = 0
         ix[~np.isfinite(ix)] = 0
         A = np.multiply(dots, ix[None, :], dtype=np.float32)   # new array: dots stay exact
-        A *= iq[:, None]
-        tol = SCREEN_TOL
-        # zero vectors have no cosine: never candidates
-        if (nq == 0).any():
-            A[nq == 0, :] = -np.inf
-        if (nx == 0).any():
+        if (nx == 0).any():                # zero vectors have no cosine
             A[:, nx == 0] = -np.inf
+        row_scale = np.sqrt(nq)            # screening score * |q|^-1 = cosine
+        base_tol = SCREEN_TOL
     else:
         A = -(nq[:, None] + nx[None, :] - 2.0 * dots.astype(np.float64))
-        tol = 1e-6 * (1.0 + np.abs(A).max()) if A.size else 0.0
+        row_scale = np.ones(len(nq))
+        base_tol = 1e-6 * (1.0 + np.abs(A).max()) if A.size else 0.0
+    tol = base_tol * row_scale
     for qc, xc in exclude:
         A[qpdf[qc].to_numpy()[:, None] == xpdf[xc].to_numpy()[None, :]] = -np.inf
     kk = min(k, A.shape[1])
     v = -np.partition(-A, kk - 1, axis=1)[:, kk - 1] if kk > 1 else A.max(axis=1)
     # a candidate is finite, within tol of the row's k-th best (every finite
     # score when the row has fewer than k) and above min_score
-    thr = v - tol
+    thr = (v - tol).astype(A.dtype)
     thr[~np.isfinite(thr)] = np.finfo(A.dtype).min
     if min_score is not None:
-        thr = np.maximum(thr, np.nextafter(A.dtype.type(min_score - tol), A.dtype.type(np.inf)))
+        lo = ((min_score - base_tol) * row_scale).astype(A.dtype)
+        thr = np.maximum(thr, np.nextafter(lo, A.dtype.type(np.inf)))
+    if metric == "cosine":
+        thr[nq == 0] = np.inf              # zero query: no cosine
     rows, cols = np.nonzero(A >= thr[:, None])
     scores = exact(rows, cols)
     ok = np.isfinite(scores)
