@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from refract.functions import rows as R
+from refract.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -264,10 +265,18 @@ def knn(queries: DataFrame, index: DataFrame, *, k: int, q_id: Sequence[str], x_
     if ns:
         q = q.withColumn(ns, F.col("_ns")) if ns not in q_id else q
 
-    counts = (q.groupBy("_ns").agg(F.count(F.lit(1)).alias("_nq"))
-              .join(x.groupBy("_ns").agg(F.count(F.lit(1)).alias("_nx")), "_ns")
-              .select("_ns", F.ceil(F.col("_nq") / q_block).cast("int").alias("_bq"),
-                      F.ceil(F.col("_nx") / x_block).cast("int").alias("_bx")))
+    # Block counts per namespace: one row per namespace, written out so the
+    # planner knows its size.  When it is small (the usual case: runs, LSH
+    # bands) the joins below are broadcast hash joins chosen by Spark's own
+    # size threshold, and the query and index rows are never shuffled by
+    # namespace -- a shuffle that would put a namespace holding a third of
+    # all rows into one task.  With very many namespaces it stays a shuffle
+    # join, where AQE splits any hot namespace.
+    counts = materialize(
+        q.groupBy("_ns").agg(F.count(F.lit(1)).alias("_nq"))
+        .join(x.groupBy("_ns").agg(F.count(F.lit(1)).alias("_nx")), "_ns")
+        .select("_ns", F.ceil(F.col("_nq") / q_block).cast("int").alias("_bq"),
+                F.ceil(F.col("_nx") / x_block).cast("int").alias("_bx")), "knn_blocks")
     qg = (q.join(counts, "_ns")
           .withColumn("_qb", F.pmod(F.xxhash64(*q_id), F.col("_bq")).cast("int"))
           .withColumn("_xb", F.explode(F.sequence(F.lit(0), F.col("_bx") - 1))))
