@@ -257,6 +257,9 @@ def knn(queries: DataFrame, index: DataFrame, *, k: int, q_id: Sequence[str], x_
     ``spark.sql.shuffle.partitions`` and ``PAIR_TASKS_PER_CORE`` per core).
 
     Returns ``q_id..., [ns], x_id..., score, rank`` (rank 1 = best).
+    Calling it runs one small job: the per-namespace block counts are
+    written under the checkpoint folder (one row per namespace), so both
+    inputs are read twice; pass materialised inputs when they are costly.
     """
     q_id, x_id = list(q_id), list(x_id)
     nsq = F.col(ns) if ns else F.lit(0)
