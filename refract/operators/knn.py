@@ -51,6 +51,9 @@ SCORE_ROWS = 2048
 # (this many per core, or spark.sql.shuffle.partitions if larger) that AQE
 # does not coalesce by bytes.
 PAIR_TASKS_PER_CORE = 16
+# Block-count rows (one per namespace, three numbers each) broadcast without
+# a size check when the caller bounds the namespace count by this many.
+MAX_BROADCAST_NAMESPACES = 100_000
 
 
 # ------------------------------------------------------- scalar functions
@@ -244,7 +247,8 @@ def knn(queries: DataFrame, index: DataFrame, *, k: int, q_id: Sequence[str], x_
         q_vec: str, x_vec: str, kind: str = "dense", dims: int | None = None,
         metric: str = "cosine", ns: str | None = None, min_score: float | None = None,
         exclude: Sequence[tuple[str, str]] = (), q_block: int = Q_BLOCK,
-        x_block: int = X_BLOCK, partitions: int | None = None) -> DataFrame:
+        x_block: int = X_BLOCK, partitions: int | None = None,
+        ns_bound: int | None = None) -> DataFrame:
     """Top-``k`` index rows per query row.
 
     ``kind``: ``dense`` (numeric arrays) or ``buckets`` (hashed bag of words,
@@ -255,11 +259,14 @@ def knn(queries: DataFrame, index: DataFrame, *, k: int, q_id: Sequence[str], x_
     ``min_score``: cosine scores at or below are not matches.
     ``partitions``: tasks scoring block pairs (default: the larger of
     ``spark.sql.shuffle.partitions`` and ``PAIR_TASKS_PER_CORE`` per core).
+    ``ns_bound``: a known upper bound on the number of namespaces (e.g. the
+    number of runs); without one the block counts are sized by a small job.
 
     Returns ``q_id..., [ns], x_id..., score, rank`` (rank 1 = best).
-    Calling it runs one small job: the per-namespace block counts are
-    written under the checkpoint folder (one row per namespace), so both
-    inputs are read twice; pass materialised inputs when they are costly.
+    Unless the namespaces are bounded (no ``ns``, or ``ns_bound``), calling
+    it runs one small job: the per-namespace block counts are written under
+    the checkpoint folder (one row per namespace), so both inputs are read
+    twice; pass materialised inputs when they are costly.
     """
     q_id, x_id = list(q_id), list(x_id)
     nsq = F.col(ns) if ns else F.lit(0)
@@ -268,18 +275,22 @@ def knn(queries: DataFrame, index: DataFrame, *, k: int, q_id: Sequence[str], x_
     if ns:
         q = q.withColumn(ns, F.col("_ns")) if ns not in q_id else q
 
-    # Block counts per namespace: one row per namespace, written out so the
-    # planner knows its size.  When it is small (the usual case: runs, LSH
-    # bands) the joins below are broadcast hash joins chosen by Spark's own
-    # size threshold, and the query and index rows are never shuffled by
-    # namespace -- a shuffle that would put a namespace holding a third of
-    # all rows into one task.  With very many namespaces it stays a shuffle
-    # join, where AQE splits any hot namespace.
-    counts = materialize(
-        q.groupBy("_ns").agg(F.count(F.lit(1)).alias("_nq"))
-        .join(x.groupBy("_ns").agg(F.count(F.lit(1)).alias("_nx")), "_ns")
-        .select("_ns", F.ceil(F.col("_nq") / q_block).cast("int").alias("_bq"),
-                F.ceil(F.col("_nx") / x_block).cast("int").alias("_bx")), "knn_blocks")
+    # Block counts per namespace: one row per namespace.  The query and index
+    # rows must never be shuffled by namespace to meet them -- that shuffle
+    # would put a namespace holding a third of all rows into one task -- so
+    # the counts are broadcast: directly when the namespace count has a known
+    # bound (one row each), else written out so the planner knows their size
+    # and broadcasts them under Spark's own size threshold (with very many
+    # namespaces it stays a shuffle join, where AQE splits a hot namespace).
+    counts = (q.groupBy("_ns").agg(F.count(F.lit(1)).alias("_nq"))
+              .join(x.groupBy("_ns").agg(F.count(F.lit(1)).alias("_nx")), "_ns")
+              .select("_ns", F.ceil(F.col("_nq") / q_block).cast("int").alias("_bq"),
+                      F.ceil(F.col("_nx") / x_block).cast("int").alias("_bx")))
+    bound = 1 if not ns else ns_bound
+    if bound is not None and bound <= MAX_BROADCAST_NAMESPACES:
+        counts = F.broadcast(counts)
+    else:
+        counts = materialize(counts, "knn_blocks")
     qg = (q.join(counts, "_ns")
           .withColumn("_qb", F.pmod(F.xxhash64(*q_id), F.col("_bq")).cast("int"))
           .withColumn("_xb", F.explode(F.sequence(F.lit(0), F.col("_bx") - 1))))
@@ -352,7 +363,8 @@ def lsh_knn(queries: DataFrame, index: DataFrame, *, k: int, q_id: Sequence[str]
     qb = R.explode_rows(queries, [*q_id, q_vec], lsh_bands(q_vec, planes, tables, bits), "_band")
     xb = R.explode_rows(index, [*x_id, x_vec], lsh_bands(x_vec, planes, tables, bits), "_band")
     per_band = knn(qb, xb, k=k, q_id=list(q_id), x_id=list(x_id), q_vec=q_vec, x_vec=x_vec,
-                   kind="dense", metric="cosine", ns="_band", exclude=exclude)
+                   kind="dense", metric="cosine", ns="_band", exclude=exclude,
+                   ns_bound=tables << bits)
     best = per_band.groupBy(*q_id, *x_id).agg(F.max("score").alias("score"))
     w = Window.partitionBy(*q_id).orderBy(F.col("score").desc(), *[F.col(c).asc() for c in x_id])
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
