@@ -185,14 +185,21 @@ def segment_questions(items: Column, count: int = P.SEGMENT_COUNT,
 
 
 # ----------------------------------------------------------------- answers
+def answer_items(items: Column) -> Column:
+    """Sentence items plus each sentence's distinct tokens (``t``), computed
+    once per article rather than once per question."""
+    return F.transform(items, lambda x: x.withField("t", F.array_distinct(T.tokens(x["s"]))))
+
+
 def _overlap_key(x, n, qtok):
-    shared = F.size(F.array_distinct(F.filter(T.tokens(x["s"]), lambda t: F.array_contains(qtok, t))))
-    return _neg(shared)
+    # distinct sentence tokens that also occur in the question
+    return _neg(F.size(F.array_intersect(x["t"], qtok)))
 
 
 def extractive_answer(items: Column, question: Column | str, budget: int = P.DEFAULT_BUDGET) -> Column:
     """Sentences sharing the most distinct tokens with the question, within
-    the word budget, then capped at ``budget`` words (the token cap)."""
+    the word budget, then capped at ``budget`` words (the token cap).
+    ``items`` come from :func:`answer_items`."""
     text = select_by_budget(items, _overlap_key, budget, ctx=T.tokens(question))
     return F.array_join(F.slice(F.split(text, " ", -1), F.lit(1), F.lit(budget)), " ")
 

@@ -299,8 +299,9 @@ SELECT article_index, q_no::BIGINT AS q_no,
 FROM ans""")
 def extractive_answers(spark, sf):
     a = G.with_sentences(arts(spark, sf))
-    q = R.posexplode_rows(a, ["article_index", "_items"], G.generic_questions(F.col("_items")), "q_no", "question")
-    ans = G.extractive_answer(F.col("_items"), "question", BUDGET)
+    a = a.select("article_index", "_items", G.answer_items(F.col("_items")).alias("_aitems"))
+    q = R.posexplode_rows(a, ["article_index", "_aitems"], G.generic_questions(F.col("_items")), "q_no", "question")
+    ans = G.extractive_answer(F.col("_aitems"), "question", BUDGET)
     return (q.select("article_index", (F.col("q_no") + 1).cast("long").alias("q_no"), ans.alias("answer"))
             .select("article_index", "q_no", TX.word_count("answer").cast("long").alias("n_words"),
                     F.md5("answer").alias("answer_md5")))
