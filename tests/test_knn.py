@@ -151,3 +151,16 @@ def test_block_kernel_hot_and_cold_buckets_match_brute_force(monkeypatch, score_
     xdf = np.bincount(Xt[1], minlength=dims)
     hot = qdf * xdf > K.HOT_PAIR_FRACTION * len(qs) * len(xs)
     assert hot.any() and (~hot & (qdf > 0) & (xdf > 0)).any()
+
+
+def test_bounded_and_sized_namespace_counts_agree(spark):
+    """Block counts broadcast under a namespace bound, or written and sized
+    by a job: the same matches either way."""
+    V, df = _frames(spark, dup=False)
+    q = df.select("id", "ns", F.col("v").alias("qv"))
+    x = df.select(F.col("id").alias("nid"), "ns", F.col("v").alias("xv"))
+    kw = dict(k=2, q_id=["id"], x_id=["nid"], q_vec="qv", x_vec="xv", ns="ns",
+              exclude=[("id", "nid")], q_block=9, x_block=7)
+    a = sorted(tuple(r) for r in K.knn(q, x, **kw).collect())
+    b = sorted(tuple(r) for r in K.knn(q, x, ns_bound=3, **kw).collect())
+    assert a == b and len(a) == 2 * len(V)
