@@ -27,10 +27,11 @@ def upsert_batch(batch: DataFrame, epoch_id: int, base: str) -> None:
     spark = batch.sparkSession
     existing = None
     if epoch_id > 0:
-        try:
-            existing = spark.read.parquet(version_path(base, epoch_id))
-        except Exception:  # noqa: BLE001 -- no previous version (empty first batches)
-            existing = None
+        # Epoch e - 1 wrote this version.  The explicit schema reads an empty
+        # version (written by an empty batch) as no rows; any other failure
+        # fails the epoch, which is replayed, instead of silently starting
+        # the index over from this batch alone.
+        existing = spark.read.schema(batch.schema).parquet(version_path(base, epoch_id))
     merged = X.upsert(existing, batch)
     (merged.write.mode("overwrite").partitionBy("index_name", "namespace")
      .parquet(version_path(base, epoch_id + 1)))
