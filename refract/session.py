@@ -2,13 +2,12 @@
 
 The library never creates machine-local scratch space on its own: anything
 written between stages goes under ``spark.checkpoint.dir`` (a shared folder
-on a cluster).  Only when that setting is absent (tests, a laptop) do we pick
-a local folder and record it in the session so every later call agrees.
+on a cluster).  Only when that setting is absent and the master is local
+(tests, a laptop) a local folder is taken and kept in the context.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -43,32 +42,27 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if unset."""
-    conf_dir = spark.conf.get(CHECKPOINT_KEY, None)
-    sc_dir = spark.sparkContext.getCheckpointDir()
-    path = conf_dir or sc_dir
+    """The folder that driver and executors share.
+
+    Read from ``spark.checkpoint.dir`` or, where only that was set, from the
+    context.  The setting itself is never changed.  With neither, a local
+    folder is taken when the master is local; on a cluster that would be a
+    machine-local path, so it is an error.
+    """
+    sc = spark.sparkContext
+    path = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="refract-ckpt-")
-        spark.conf.set(CHECKPOINT_KEY, path)
-    if not sc_dir:
-        spark.sparkContext.setCheckpointDir(path)
-    if not conf_dir:
-        spark.conf.set(CHECKPOINT_KEY, path)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)
     return path
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never-reused folder under the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return os.path.join(base, "refract", f"{name}-{uuid.uuid4().hex}")
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/refract/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
