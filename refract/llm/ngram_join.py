@@ -2,24 +2,28 @@
 alike, by rare-first prefix filtering.
 
 1. One scan gives each document's set size and set hash, and a sketch of how
-   many documents hold each shingle (``2 ** SKETCH_BITS`` counters: its size
-   is fixed, so it can be broadcast).  Documents with one and the same set are
-   one class from here on.
+   many documents hold each shingle: ``2 ** SKETCH_BITS`` one-byte counters
+   that stop at 255, of fixed size, so it can be broadcast.  Documents with
+   one and the same set are one class from here on.
 2. A second scan orders each class's shingles by (sketched count, hash), rare
    ones first, and emits the prefix that any partner must meet.  The order is
    total and the same everywhere, so the sketch's error costs time only.
-3. In each prefix shingle's group, ordered by set size, neighbours are
-   verified and linked; components follow.  Then every pair of classes that
-   share a prefix shingle, pass the length, prefix and positional filters and
-   still lie in different components is verified.  A pair inside one component
-   changes nothing, so no link between components is lost, and a group of
-   n near copies costs about n verifications, not n * n.
-   The group of a shingle with a high sketched count is dealt over several
-   tasks for the first step; the second looks at whole groups again.
-4. Verification: the suffix filter (an upper bound of the overlap from counts
+3. In each prefix shingle's group, ordered by set size, neighbours that share
+   enough of their prefixes are verified and linked; components follow.  Then
+   every pair of classes that share a prefix shingle and still lie in different
+   components passes the filters below, or not, and is verified.  A pair inside
+   one component changes nothing, so no link between components is lost, and a
+   group of n near copies costs about n verifications, not n * n.
+   The group of a shingle whose counter is full is dealt over several tasks
+   for the first step; the second looks at whole groups again.
+4. Filters of a pair with ``c`` common prefix shingles: length; positional (the
+   first common one leaves room for the needed overlap on both sides); prefix
+   overlap (of the prefix that ends first all common shingles are among the
+   ``c``, so the overlap is at most ``c`` and the rest of that set).
+5. Verification: the suffix filter (an upper bound of the overlap from counts
    in 16 ranges of the hash), then the exact intersection.  Only the sets of
-   classes that share a prefix shingle are made again, found by a fixed-size
-   bitmap whose false positives the joins drop.
+   classes in pairs that passed are made again, found by a fixed-size bitmap
+   whose false positives the joins drop.
 
 Shingles and classes are 64-bit hashes.
 
@@ -32,6 +36,7 @@ that has another; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,12 +50,12 @@ from refract.llm.vec import Words, distinct, mix, shingles
 from refract.session import materialize
 
 WORDS, PERCENT = 5, 75
-#: Counters of the document-frequency sketch, and of the bitmap of classes.
-SKETCH_BITS, BITMAP_BITS = 20, 24
+#: Counters of the document-frequency sketch, and bits of the bitmap of classes.
+SKETCH_BITS, BITMAP_BITS = 25, 24
 #: Counters in one row while the sketch is summed.
-CHUNK = 1 << 10
-#: Rows of one shingle that the neighbour step puts into one group.
-GROUP_ROWS = 1 << 16
+CHUNK = 1 << 15
+#: Groups over which a shingle with a full counter is dealt in the first step.
+FULL, SALTS = 255, 32
 RANGES = 16
 
 
@@ -72,11 +77,12 @@ def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
 
 def _scan(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = Words(), np.zeros(1 << SKETCH_BITS, np.int64)
+        words, counts = Words(), np.zeros(1 << SKETCH_BITS, np.uint8)
         schema = None
         for b in text_slices(batches, "text"):
             _, h, size, cls = _sets(b, words, k)
-            counts += np.bincount(_bucket(h, SKETCH_BITS), minlength=len(counts))
+            at, n = np.unique(_bucket(h, SKETCH_BITS), return_counts=True)
+            counts[at] = np.minimum(counts[at] + n, FULL)
             none = pa.nulls(b.num_rows, pa.binary())
             out = pa.RecordBatch.from_arrays(
                 [b.column("id"), b.column("rid"), pa.array(size), pa.array(cls),
@@ -84,11 +90,11 @@ def _scan(k: int):
             schema = out.schema
             yield out
         if schema is not None:
-            parts = counts.astype("<i8").reshape(-1, CHUNK)
+            parts = counts.reshape(-1, CHUNK)
             some = np.flatnonzero(parts.any(axis=1))
             none = [pa.nulls(len(some), schema.field(c).type) for c in ("id", "rid", "n", "cls")]
             yield pa.RecordBatch.from_arrays(
-                [*none, pa.array(some.astype(np.int32)), pa.array([parts[i].tobytes() for i in some], pa.binary())],
+                [*none, pa.array(some.astype(np.int32)), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in some], pa.binary())],
                 schema=schema)
     return run
 
@@ -96,10 +102,10 @@ def _scan(k: int):
 def _add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, np.ndarray] = {}
     for b in batches:
-        for chunk, blob in zip(b.column(0).to_pylist(), b.column(1)):
-            part = np.frombuffer(blob.as_buffer(), "<i8")
-            held[chunk] = held[chunk] + part if chunk in held else part.copy()
-    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())],
+        for chunk, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            part = np.frombuffer(zlib.decompress(blob), np.uint8)
+            held[chunk] = np.minimum(held[chunk] + part.astype(np.uint16), FULL).astype(np.uint8) if chunk in held else part
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in held.values()], pa.binary())],
                                      ["chunk", "counts"])
 
 
@@ -117,18 +123,19 @@ def _prefixes(k: int, percent: int, sketch):
             keep = first[row]
             row, h = row[keep], h[keep]
             size = np.where(first, size, 0)
-            df = counts[_bucket(h, SKETCH_BITS)].astype(np.int64)
+            df = counts[_bucket(h, SKETCH_BITS)]
             o = np.argsort(df, kind="stable")              # by hash already
             o = o[np.argsort(row[o], kind="stable")]
             row, h, df = row[o], h[o], df[o]
             pos = np.arange(len(row)) - (np.cumsum(size) - size)[row]
             prefix = size - (percent * size + 99) // 100 + 1
             keep = pos < prefix[row]
-            row, pos = row[keep], pos[keep]
+            row, pos, h = row[keep], pos[keep], h[keep]
+            with np.errstate(over="ignore"):
+                salt = np.where(df[keep] == FULL, 1 + mix(h + cls[row].view(np.uint64)) % np.uint64(SALTS), 0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[keep].view(np.int64)), pa.array((df[keep] // GROUP_ROWS).astype(np.int32)),
-                 pa.array(cls[row]), pa.array(size[row].astype(np.int32)), pa.array(pos.astype(np.int32))],
-                ["token", "heavy", "cls", "n", "pos"])
+                [pa.array(h.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(cls[row]),
+                 pa.array(size[row].astype(np.int32)), pa.array(pos.astype(np.int32))], ["token", "salt", "cls", "n", "pos"])
     return run
 
 
@@ -157,10 +164,10 @@ def _sketch(spark, scan: DataFrame):
     """The summed sketch as a broadcast array of fixed size."""
     chunks = (1 << SKETCH_BITS) // CHUNK
     parts = (scan.where("chunk is not null").select("chunk", "counts")
-             .repartition(min(chunks, 64), "chunk").mapInArrow(_add_chunks, "chunk int, counts binary"))
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in parts.collect():                      # 2 ** SKETCH_BITS counters, whatever the data
-        counts[r.chunk * CHUNK:(r.chunk + 1) * CHUNK] += np.frombuffer(r.counts, "<i8")
+             .repartition(64, "chunk").mapInArrow(_add_chunks, "chunk int, counts binary"))
+    counts = np.zeros(1 << SKETCH_BITS, np.uint8)
+    for r in parts.toLocalIterator():              # 2 ** SKETCH_BITS bytes, whatever the data
+        counts[r.chunk * CHUNK:(r.chunk + 1) * CHUNK] = np.frombuffer(zlib.decompress(r.counts), np.uint8)
     return spark.sparkContext.broadcast(counts)
 
 
@@ -181,21 +188,26 @@ def _overlap(percent: int, a: str, b: str) -> str:
     return f"((cast({percent} as bigint) * ({a} + {b}) + {99 + percent}) div {100 + percent})"
 
 
-def _passes(percent: int, a: str, b: str) -> str:
-    """Length, prefix and positional filters for rows ``a`` and ``b`` of one
-    prefix shingle, ``a`` the smaller set."""
-    need_self = _overlap(percent, f"{a}n", f"{a}n")
-    return (f"100L * {a}n >= {percent}L * {b}n and {a}pos <= {a}n - {need_self} "
-            f"and 1 + least({a}n - {a}pos, {b}n - {b}pos) - 1 >= {_overlap(percent, f'{a}n', f'{b}n')}")
+def _prefix_bound(percent: int) -> str:
+    """Length and prefix-overlap filters of a pair of sizes ``m <= n`` with
+    ``c`` common prefix shingles, in SQL."""
+    rest = lambda x: f"(({percent}L * {x} + 99) div 100 - 1)"
+    return f"100L * m >= {percent}L * n and c + greatest({rest('m')}, {rest('n')}) >= {_overlap(percent, 'm', 'n')}"
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
+def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link; ``docs`` has the texts."""
+    pairs = materialize(pairs, "pairs")
+    if not pairs.take(1):
+        return pairs
+    bitmap = _bitmap(docs.sparkSession, pairs.select(F.explode(F.array("a", "b")).alias("cls")))
+    sets = materialize(docs.mapInArrow(_full_sets(k, bitmap), "cls long, n int, ranges array<long>, tokens array<long>")
+                       .dropDuplicates(["cls"]), "fullsets")
     side = lambda s: sets.select(F.col("cls").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "ranges", "tokens")])
     need = F.expr(_overlap(percent, "a_n", "b_n"))
     bound = F.aggregate(F.zip_with("a_ranges", "b_ranges", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
-    return (pairs.join(side("a"), "a").join(side("b"), "b").where(bound >= need)
-            .where(F.size(F.array_intersect("a_tokens", "b_tokens")) >= need).select("a", "b"))
+    return materialize(pairs.join(side("a"), "a").join(side("b"), "b").where(bound >= need)
+                       .where(F.size(F.array_intersect("a_tokens", "b_tokens")) >= need).select("a", "b"), "links")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str | None = None,
@@ -215,34 +227,30 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of = scan.where("chunk is null").select("id", "rid", "n", "cls")
     sketch = _sketch(spark, scan)
 
-    t = docs.select(text).mapInArrow(_prefixes(k, percent, sketch), "token long, heavy int, cls long, n int, pos int")
-    # neighbours in a shingle's group; a heavy shingle's group is dealt out
-    t = t.withColumn("salt", F.when(F.col("heavy") == 0, 0).otherwise(F.pmod(F.xxhash64("token", "cls"), F.col("heavy") + 1)))
+    texts = docs.select(text)
+    t = texts.mapInArrow(_prefixes(k, percent, sketch), "token long, salt int, cls long, n int, pos int")
     w = Window.partitionBy("token", "salt").orderBy("n", "cls")
-    t = t.select("token", "heavy", "cls", "n", "pos", F.lag("cls").over(w).alias("p_cls"), F.lag("n").over(w).alias("p_n"),
-                 F.lag("pos").over(w).alias("p_pos"), F.lead("cls").over(w).alias("next"))
-    t = materialize(t.where("heavy > 0 or p_cls <> cls or next <> cls").drop("heavy", "next"), "prefixes")
-
-    bitmap = _bitmap(spark, t.select("cls"))
-    sets = docs.select(text).mapInArrow(_full_sets(k, bitmap), "cls long, n int, ranges array<long>, tokens array<long>")
-    sets = materialize(sets.dropDuplicates(["cls"]), "fullsets")
-
-    ends = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
-    near = materialize(t.where("p_cls <> cls").where(_passes(percent, "p_", "")).select(F.col("p_cls").alias("x"), F.col("cls").alias("y"))
-                       .select(*ends).distinct(), "near")
-    links = materialize(_verified(near, sets, percent), "links")
+    t = t.withColumn("same", F.lag("cls").over(w)).where("same is null or same <> cls").drop("same")    # one row a class
+    t = t.withColumns({"p_cls": F.lag("cls").over(w), "p_n": F.lag("n").over(w), "next": F.lead("cls").over(w)})
+    t = materialize(t.where("salt > 0 or p_cls is not null or next is not null").drop("next", "salt"), "prefixes")
+
+    near = (t.where("p_cls is not null").groupBy("p_cls", "cls").agg(F.count(F.lit(1)).alias("c"), F.min("p_n").alias("m"), F.min("n").alias("n"))
+            .where(_prefix_bound(percent)).select(F.col("p_cls").alias("a"), F.col("cls").alias("b")))
+    links = _verified(texts, near, k, percent)
     comp = connected_components(links, "a", "b")
 
     # all that share a prefix shingle and aren't in one component yet
     left = t.select("token", "cls", "n", "pos").join(comp.withColumnRenamed("node", "cls"), "cls", "left")
-    left = materialize(left.withColumn("root", F.coalesce("root", "cls")).dropDuplicates(["token", "cls"]), "rooted")
+    left = materialize(left.withColumn("root", F.coalesce("root", "cls")), "rooted")
     mixed = left.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("token")
     left = left.join(mixed, "token", "left_semi")
-    one = left.select("token", *[F.col(c).alias(f"p_{c}") for c in ("cls", "n", "pos", "root")])
-    rest = (one.join(left, "token").where("p_root <> root and (p_n < n or (p_n = n and p_cls < cls))")
-            .where(_passes(percent, "p_", "")).select(F.col("p_cls").alias("x"), F.col("cls").alias("y")).select(*ends).distinct())
-    rest = materialize(rest.join(near, ["a", "b"], "left_anti"), "rest")
-    more = materialize(_verified(rest, sets, percent), "links")
+    one = left.select("token", F.col("cls").alias("a"), F.col("n").alias("m"), F.col("pos").alias("a_pos"), F.col("root").alias("a_root"))
+    two = left.select("token", F.col("cls").alias("b"), "n", "pos", "root")
+    rest = (one.join(two, "token").where("a_root <> root and (m < n or (m = n and a < b))").where(f"100L * m >= {percent}L * n")
+            .groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min("m").alias("m"), F.min("n").alias("n"),
+                                   F.min("a_pos").alias("a_pos"), F.min("pos").alias("b_pos"))
+            .where(f"least(m - a_pos, n - b_pos) >= {_overlap(percent, 'm', 'n')}").where(_prefix_bound(percent)).select("a", "b"))
+    more = _verified(texts, rest, k, percent)
     if more.take(1):
         stars = comp.select(F.col("node").alias("a"), F.col("root").alias("b"))
         comp = connected_components(stars.unionByName(more), "a", "b")
