@@ -8,18 +8,20 @@ alike, by rare-first prefix filtering.
 2. A second scan orders each class's shingles by (sketched count, hash), rare
    ones first, and emits the prefix that any partner must meet.  The order is
    total and the same everywhere, so the sketch's error costs time only.
-3. In each prefix shingle's group, ordered by set size, neighbours that share
-   enough of their prefixes are verified and linked; components follow.  Then
+3. In each prefix shingle's group, the classes are compared with a few pivots;
+   pairs that share enough of their prefixes are verified and linked;
+   components follow.  Then
    every pair of classes that share a prefix shingle and still lie in different
    components passes the filters below, or not, and is verified.  A pair inside
    one component changes nothing, so no link between components is lost, and a
    group of n near copies costs about n verifications, not n * n.
-   The group of a shingle whose counter is full is dealt over several tasks
-   for the first step; the second looks at whole groups again.
-4. Filters of a pair with ``c`` common prefix shingles: length; positional (the
-   first common one leaves room for the needed overlap on both sides); prefix
-   overlap (of the prefix that ends first all common shingles are among the
-   ``c``, so the overlap is at most ``c`` and the rest of that set).
+   Where a shingle's counter is full, its rows are dealt over several tasks
+   when repetitions are dropped; groups are only aggregated and joined after that.
+4. Filters of a pair, at each common prefix shingle: length; positional (the
+   first common shingle leaves room for the needed overlap on both sides, so a
+   linked pair passes there); prefix overlap (all common shingles of the
+   prefix that ends first are common prefix shingles, of which there are at
+   most as many as either class has shared ones).
 5. Verification: the suffix filter (an upper bound of the overlap from counts
    in 16 ranges of the hash), then the exact intersection.  Only the sets of
    classes in pairs that passed are made again, found by a fixed-size bitmap
@@ -54,7 +56,7 @@ WORDS, PERCENT = 5, 75
 SKETCH_BITS, BITMAP_BITS = 25, 24
 #: Counters in one row while the sketch is summed.
 CHUNK = 1 << 15
-#: Groups over which a shingle with a full counter is dealt in the first step.
+#: Parts into which the rows of a shingle with a full counter are dealt.
 FULL, SALTS = 255, 32
 RANGES = 16
 
@@ -130,12 +132,14 @@ def _prefixes(k: int, percent: int, sketch):
             pos = np.arange(len(row)) - (np.cumsum(size) - size)[row]
             prefix = size - (percent * size + 99) // 100 + 1
             keep = pos < prefix[row]
-            row, pos, h = row[keep], pos[keep], h[keep]
+            row, pos, h, df = row[keep], pos[keep], h[keep], df[keep]
+            common = np.bincount(row, weights=df, minlength=len(size)) * 1000 // np.maximum(prefix, 1)
             with np.errstate(over="ignore"):
-                salt = np.where(df[keep] == FULL, 1 + mix(h + cls[row].view(np.uint64)) % np.uint64(SALTS), 0)
+                salt = np.where(df == FULL, 1 + mix(h + cls[row].view(np.uint64)) % np.uint64(SALTS), 0)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(h.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(cls[row]),
-                 pa.array(size[row].astype(np.int32)), pa.array(pos.astype(np.int32))], ["token", "salt", "cls", "n", "pos"])
+                 pa.array(size[row].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(common[row].astype(np.int32))],
+                ["token", "salt", "cls", "n", "pos", "common"])
     return run
 
 
@@ -188,11 +192,11 @@ def _overlap(percent: int, a: str, b: str) -> str:
     return f"((cast({percent} as bigint) * ({a} + {b}) + {99 + percent}) div {100 + percent})"
 
 
-def _prefix_bound(percent: int) -> str:
-    """Length and prefix-overlap filters of a pair of sizes ``m <= n`` with
-    ``c`` common prefix shingles, in SQL."""
+def _prefix_bound(percent: int, c: str = "c") -> str:
+    """Length and prefix-overlap filters of a pair of sizes ``m <= n`` with at
+    most ``c`` common prefix shingles, in SQL."""
     rest = lambda x: f"(({percent}L * {x} + 99) div 100 - 1)"
-    return f"100L * m >= {percent}L * n and c + greatest({rest('m')}, {rest('n')}) >= {_overlap(percent, 'm', 'n')}"
+    return f"100L * m >= {percent}L * n and {c} + greatest({rest('m')}, {rest('n')}) >= {_overlap(percent, 'm', 'n')}"
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -228,28 +232,39 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sketch = _sketch(spark, scan)
 
     texts = docs.select(text)
-    t = texts.mapInArrow(_prefixes(k, percent, sketch), "token long, salt int, cls long, n int, pos int")
-    w = Window.partitionBy("token", "salt").orderBy("n", "cls")
-    t = t.withColumn("same", F.lag("cls").over(w)).where("same is null or same <> cls").drop("same")    # one row a class
-    t = t.withColumns({"p_cls": F.lag("cls").over(w), "p_n": F.lag("n").over(w), "next": F.lead("cls").over(w)})
-    t = materialize(t.where("salt > 0 or p_cls is not null or next is not null").drop("next", "salt"), "prefixes")
-
-    near = (t.where("p_cls is not null").groupBy("p_cls", "cls").agg(F.count(F.lit(1)).alias("c"), F.min("p_n").alias("m"), F.min("n").alias("n"))
-            .where(_prefix_bound(percent)).select(F.col("p_cls").alias("a"), F.col("cls").alias("b")))
+    t = texts.mapInArrow(_prefixes(k, percent, sketch), "token long, salt int, cls long, n int, pos int, common int")
+    # one row a class, of the shingles that several classes may share
+    w = Window.partitionBy("token", "salt").orderBy("cls")
+    t = t.withColumn("same", F.lag("cls").over(w)).where("same is null or same <> cls").drop("same")
+    t = t.withColumns({"before": F.lag("cls").over(w), "after": F.lead("cls").over(w)})
+    t = materialize(t.where("salt > 0 or before is not null or after is not null").select("token", "cls", "n", "pos", "common"), "prefixes")
+
+    # pivots: the class whose prefix is the most common (of a group of near
+    # copies the one with the fewest changes), in two orders of equal ones
+    h = F.xxhash64("cls").alias("h")
+    orders = [F.struct("common", "cls", "n"), F.struct("common", h, "cls", "n"), F.struct(h, "cls", "n")]
+    pivots = t.groupBy("token").agg(*[F.max(o).alias(f"p{i}") for i, o in enumerate(orders)])
+    pivots = pivots.select("token", F.array_distinct(F.array(*[
+        F.struct(F.col(f"p{i}.cls").alias("cls"), F.col(f"p{i}.n").alias("n")) for i in range(len(orders))])).alias("pivots"))
+    near = t.join(pivots, "token").select("cls", "n", F.explode("pivots").alias("p")).where("p.cls <> cls")
+    near = (near.select(F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b"),
+                        F.least("n", "p.n").alias("m"), F.greatest("n", "p.n").alias("n"), (F.col("p.cls") < F.col("cls")).cast("int").alias("d"))
+            .groupBy("a", "b").agg(F.greatest(F.sum("d"), F.sum(1 - F.col("d"))).alias("c"), F.min("m").alias("m"), F.min("n").alias("n"))
+            .where(_prefix_bound(percent)).select("a", "b"))
     links = _verified(texts, near, k, percent)
     comp = connected_components(links, "a", "b")
 
     # all that share a prefix shingle and aren't in one component yet
-    left = t.select("token", "cls", "n", "pos").join(comp.withColumnRenamed("node", "cls"), "cls", "left")
+    of_cls = t.groupBy("cls").agg(F.count(F.lit(1)).alias("s")).join(comp.withColumnRenamed("node", "cls"), "cls", "left")
+    left = t.select("token", "cls", "n", "pos").join(of_cls, "cls")
     left = materialize(left.withColumn("root", F.coalesce("root", "cls")), "rooted")
     mixed = left.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("token")
     left = left.join(mixed, "token", "left_semi")
-    one = left.select("token", F.col("cls").alias("a"), F.col("n").alias("m"), F.col("pos").alias("a_pos"), F.col("root").alias("a_root"))
-    two = left.select("token", F.col("cls").alias("b"), "n", "pos", "root")
-    rest = (one.join(two, "token").where("a_root <> root and (m < n or (m = n and a < b))").where(f"100L * m >= {percent}L * n")
-            .groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min("m").alias("m"), F.min("n").alias("n"),
-                                   F.min("a_pos").alias("a_pos"), F.min("pos").alias("b_pos"))
-            .where(f"least(m - a_pos, n - b_pos) >= {_overlap(percent, 'm', 'n')}").where(_prefix_bound(percent)).select("a", "b"))
+    one = left.select("token", F.col("cls").alias("a"), F.col("n").alias("m"), F.col("pos").alias("a_pos"), F.col("s").alias("a_s"), F.col("root").alias("a_root"))
+    two = left.select("token", F.col("cls").alias("b"), "n", "pos", "s", "root")
+    rest = (one.join(two, "token").where("a_root <> root and (m < n or (m = n and a < b))")
+            .where(_prefix_bound(percent, "least(a_s, s)")).where(f"least(m - a_pos, n - pos) >= {_overlap(percent, 'm', 'n')}")
+            .select("a", "b").distinct())
     more = _verified(texts, rest, k, percent)
     if more.take(1):
         stars = comp.select(F.col("node").alias("a"), F.col("root").alias("b"))
