@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from refract.session import materialize
@@ -42,10 +42,19 @@ def keyed(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return materialize(df.withColumn(key, F.monotonically_increasing_id()), name), key
 
 
+def content_keyed(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """``df`` with a key made of id and text, for decisions that are the same
+    for rows that repeat both: nothing needs to be stored for it."""
+    key = fresh(df, "_key")
+    return df.withColumn(key, F.xxhash64(id_col, text_col, F.lit(0))), key
+
+
 def keep_rows(rows: DataFrame, key: str, kept: DataFrame) -> DataFrame:
-    """The rows of a :func:`keyed` frame whose key is in ``kept[key]``.  The
-    key is unique, so this join has no hot key."""
-    return rows.join(kept.select(key), key, "left_semi").drop(key)
+    """The rows of a :func:`content_keyed` frame whose key is in ``kept[key]``,
+    one of each."""
+    n = fresh(rows, "_n")
+    out = rows.join(kept.select(key), key, "left_semi")
+    return out.withColumn(n, F.row_number().over(Window.partitionBy(key).orderBy(key))).where(F.col(n) == 1).drop(key, n)
 
 
 def ascii_lower(col: Column) -> Column:

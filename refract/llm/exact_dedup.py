@@ -89,7 +89,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns."""
-    rows, key = C.keyed(docs, "exact")
+    rows, key = C.content_keyed(docs, id_col, text_col)
     return C.keep_rows(rows, key, exact_groups(rows, id_col, text_col, key)
                        .where("kept").select(F.col("rid").alias(key)))
 

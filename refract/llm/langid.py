@@ -44,9 +44,9 @@ def features(texts: list, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     than letters count as one space; n-grams with two of these side by side
     are left out, so none spans two texts."""
     low = [(t or "").lower() for t in texts]
-    cp = np.frombuffer(("  ".join(low) + "  ").encode("utf-32-le", "replace"), "<u4")
+    cp = np.frombuffer("  ".join(["", *low, ""]).encode("utf-32-le", "replace"), "<u4")
     size = np.fromiter(map(len, low), np.int64, len(low)) + 2
-    row = np.repeat(np.arange(len(low)), size)
+    row = np.concatenate([np.zeros(2, np.int64), np.repeat(np.arange(len(low)), size)])
     is_letter = letters[cp]
     n_letters = np.bincount(row[is_letter], minlength=len(low))
     c = np.where(is_letter, cp, 32).astype(np.uint64)
@@ -67,7 +67,7 @@ def features(texts: list, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray,
             mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(n) * mult[0]
             mixed ^= mixed >> np.uint64(32)
             buckets.append(((mixed * mult[1])[ok] >> np.uint64(64 - DIM_BITS)).astype(np.int64))
-            rows.append(row[:len(ok)][ok])
+            rows.append(row[n - 1:][ok])             # an n-gram belongs to its last character's text
     return np.concatenate(rows), np.concatenate(buckets), n_letters
 
 
@@ -123,7 +123,7 @@ def posteriors(row: np.ndarray, bucket: np.ndarray, n: int, prior: np.ndarray, l
     """Posterior of each label for each of ``n`` rows.  ``temper``: count a
     text's n-grams as at most so many, which keeps posteriors of long texts
     from being all or nothing."""
-    s = np.stack([np.bincount(row, weights=p[bucket], minlength=n) for p in logp], axis=1)
+    s = np.stack([np.bincount(row, weights=p[bucket], minlength=n) for p in logp], axis=1).astype(float)
     if temper:
         s *= np.minimum(1.0, temper / np.maximum(np.bincount(row, minlength=n), 1))[:, None]
     s += prior

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from refract.llm.common import fresh, keep_rows, keyed, read, text_slices
+from refract.llm.common import content_keyed, keep_rows, read, text_slices
 from refract.llm.components import connected_components
 from refract.llm.vec import Words, distinct, mix, shingles
 from refract.session import materialize
@@ -284,7 +284,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, with all its columns."""
-    rows, key = keyed(docs, "jaccard")
+    rows, key = content_keyed(docs, id_col, text_col)
     return keep_rows(rows, key, jaccard_components(rows, id_col, text_col, key).where("kept").select(F.col("rid").alias(key)))
 
 
