@@ -4,7 +4,7 @@ An index is a DataFrame ``(index_name, namespace, id, embedding, metadata,
 batch_ord)``; metadata is a struct because its field types differ.
 
 * :func:`upsert` -- insert or replace by ``(index_name, namespace, id)``: the
-  later batch wins.  One hash aggregation with ``max_by`` (partial
+  later call wins.  One sort aggregation with ``max_by`` (partial
   aggregation map-side); a key has at most one row per batch, so groups are
   tiny whatever the data.
 * :func:`append` -- the flat-L2 behaviour: duplicates are kept, new rows get
@@ -54,14 +54,20 @@ def dim_check(df: DataFrame, vec_col: str, dims: int) -> DataFrame:
     return df.where(dim_ok(vec_col, dims))
 
 
-def upsert(existing: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """Insert-or-replace by (index_name, namespace, id); later batch wins,
-    within a batch the last row of the key wins (``_row`` order)."""
-    b = batch.withColumn("_row", F.monotonically_increasing_id())
-    allr = b if existing is None else existing.withColumn("_row", F.lit(-1).cast("long")).unionByName(b)
-    payload = [c for c in allr.columns if c not in KEY and c != "_row"]
+def upsert(existing: DataFrame | None, batch: DataFrame, order_col: str | None = None) -> DataFrame:
+    """Insert-or-replace by (index_name, namespace, id).  A row of this call
+    always replaces a stored one, whatever ``batch_ord`` either has.  Inside
+    the batch the highest ``batch_ord`` wins, then the highest ``order_col``
+    (dropped afterwards); without one, the last row as the batch was read."""
+    row = F.col(order_col) if order_col else F.monotonically_increasing_id()
+    b = batch.withColumn("_row", row).withColumn("_new", F.lit(True))
+    if order_col:
+        b = b.drop(order_col)
+    allr = b if existing is None else b.unionByName(
+        existing.withColumn("_row", F.lit(None).cast(b.schema["_row"].dataType)).withColumn("_new", F.lit(False)))
+    payload = [c for c in allr.columns if c not in KEY and c not in ("_row", "_new")]
     latest = (allr.groupBy(*KEY)
-              .agg(F.max_by(F.struct(*payload), F.struct("batch_ord", "_row")).alias("_v")))
+              .agg(F.max_by(F.struct(*payload), F.struct("_new", "batch_ord", "_row")).alias("_v")))
     return latest.select(*KEY, *[F.col(f"_v.{c}").alias(c) for c in payload])
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from refract.functions import text as T
+from refract.session import materialize
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -64,22 +65,23 @@ def index_rows(df: DataFrame, order_cols: Sequence[str | Column],
     """Consecutive 0-based positions in ``order_cols`` order, computed
     distributedly.
 
-    One range-partitioned sort; each row gets ``monotonically_increasing_id``
-    (partition number in the high bits); per-partition row counts -- one row
-    per sort partition, so their size is bounded by the partition count, not
-    by the data -- are turned into offsets and broadcast back.  No step puts
-    all rows into one task.  ``order_cols`` should form a unique key so the
-    positions are reproducible.
+    One range-partitioned sort, whose rows are stored once with their sort
+    partition and their place in it.  The per-partition counts are taken from
+    that same stored table (one row per sort partition, so their size is
+    bounded by the partition count, not by the data), turned into offsets and
+    broadcast back.  No step puts all rows into one task, and no second range
+    exchange can draw other bounds.  ``order_cols`` should form a unique key
+    so the positions are reproducible.
     """
-    tagged = (df.orderBy(*order_cols)
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .withColumn("_part", F.shiftright("_mid", _PART_SHIFT)))
-    counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    mid = F.monotonically_increasing_id()
+    tagged = df.orderBy(*order_cols).withColumn("_mid", mid)
+    stored = materialize(tagged.withColumn("_part", F.shiftright("_mid", _PART_SHIFT)), "positions")
+    counts = stored.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_part",
         F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(
             Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    return (tagged.join(F.broadcast(offsets), "_part")
+    return (stored.join(F.broadcast(offsets), "_part")
             .withColumn(out_col, F.col("_off") + F.col("_mid")
                         - F.shiftleft("_part", _PART_SHIFT))
             .drop("_mid", "_part", "_off"))
