@@ -35,6 +35,8 @@ HEADLINE = [
     "hash_embedding",
     "split_context_3",
     "index_upsert",
+    "index_records",
+    "multi_source_union",
     "mean_pool_embedding",
 ]
 

@@ -6,7 +6,9 @@ Two forms:
   (tag + optional exact ``class`` value), each ``h1, h2, h3, li, p`` element in
   document order contributes its *full descendant text*, so text of nested
   selected elements repeats (an unclosed ``<p>`` nests the following ones, as
-  a lenient tree builder does).  Runs as an Arrow-batched pandas UDF with the
+  a lenient tree builder does).  A container inside a container gives its own
+  text once more, after the outer one's.  Code of scripts, styles, templates
+  and ruby annotations is no text.  Runs as an Arrow-batched pandas UDF with the
   standard-library tokenizer; a page without a container gives null instead
   of failing the job.
 * :func:`extract_main_text_flat` -- native (JVM) approximation for flat pages:
@@ -33,29 +35,32 @@ VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "l
                   "meta", "param", "source", "track", "wbr"))
 
 
+# Elements whose text is not part of the enclosing element's text.
+SILENT = frozenset(("script", "style", "template", "rt", "rp"))
+
+
 class _MainText(HTMLParser):
     def __init__(self, container: str, container_class: str | None):
         super().__init__(convert_charrefs=True)
         self.container, self.cclass = container, container_class
-        self.stack: list[list] = []       # [tag, is_container, selected_buf or None]
-        self.open_containers = 0
-        self.blocks: list[list[str]] = []  # per container: list of element buffers
-        self.current: list | None = None   # buffers of the open container
+        self.stack: list[list] = []        # [tag, is_container, selected_buf or None]
+        self.open: list[list] = []         # buffers of each open container
+        self.silent = 0
+        self.blocks: list[list[list[str]]] = []  # per container, in page order: element buffers
 
     def handle_starttag(self, tag, attrs):
         if tag in VOID:
             return
-        is_cont = False
-        if tag == self.container and (self.cclass is None or dict(attrs).get("class") == self.cclass):
-            is_cont = True
-            if self.open_containers == 0:
-                self.current = []
-                self.blocks.append(self.current)
-            self.open_containers += 1
         buf = None
-        if self.open_containers and tag in SELECTED and not is_cont:
+        if self.open and tag in SELECTED:
             buf = []
-            self.current.append(buf)
+            for elements in self.open:
+                elements.append(buf)
+        is_cont = tag == self.container and (self.cclass is None or dict(attrs).get("class") == self.cclass)
+        if is_cont:
+            self.open.append([])
+            self.blocks.append(self.open[-1])
+        self.silent += tag in SILENT
         self.stack.append([tag, is_cont, buf])
 
     def handle_startendtag(self, tag, attrs):
@@ -64,15 +69,16 @@ class _MainText(HTMLParser):
     def handle_endtag(self, tag):
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
-                for _t, is_cont, _b in self.stack[i:]:
+                for t, is_cont, _b in self.stack[i:]:
                     if is_cont:
-                        self.open_containers -= 1
+                        self.open.pop()
+                    self.silent -= t in SILENT
                 del self.stack[i:]
                 return
         # unmatched end tag: ignored
 
     def handle_data(self, data):
-        if not self.open_containers:
+        if self.silent or not self.open:
             return
         for _t, _c, buf in self.stack:
             if buf is not None:

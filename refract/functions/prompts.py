@@ -17,8 +17,7 @@ from refract.functions import rows as R
 # Fixed values that must equal the reference's.  Template wording is kept
 # verbatim, including the spelling and the case of the ``wordCount`` /
 # ``wordcount`` placeholder, because only the camel-case spelling is
-# substituted; continuation-line indentation is normalised to a single
-# newline.
+# substituted, and the indentation of continuation lines.
 # ---------------------------------------------------------------------------
 SYSTEM_MESSAGE = ("You are a helpful and trustworthy assistant. "
                   "You will generate an answer using the provided contexts.")
@@ -30,38 +29,38 @@ PERSPECTIVE_LENGTHS = (100,)
 
 PERSPECTIVE_TEMPLATES = (
     "Summarize the following content in  wordcount completion_tokens or fewer, emphasizing the main technical \n"
-    "achievements, lessons learned, and actionable insights that are beneficial to others in the field. Focus on\n"
-    "how the work impacts the industry, its technical contributions, and practical applications. The summary \n"
-    "should be professional, concise (1-5 sentences), and geared toward an audience interested in knowledge transfer, \n"
-    "similar methodologies, or potential research directions.",
+    "                      achievements, lessons learned, and actionable insights that are beneficial to others in the field. Focus on\n"
+    "                       how the work impacts the industry, its technical contributions, and practical applications. The summary \n"
+    "                      should be professional, concise (1-5 sentences), and geared toward an audience interested in knowledge transfer, \n"
+    "                      similar methodologies, or potential research directions.",
 
     "Act as an academic expert, synthesize the following content into a concise, \n"
-    "clear summary that encapsulates the main findings, methodologies, results, \n"
-    "and implications. Retain essential terms and nuances. The summary sould be \n"
-    "in wordcount completion_tokens or fewer",
+    "                      clear summary that encapsulates the main findings, methodologies, results, \n"
+    "                      and implications. Retain essential terms and nuances. The summary sould be \n"
+    "                      in wordcount completion_tokens or fewer",
 
     "Create a professional summary of the following content in wordcount completion_tokens or less, \n"
-    "capturing the essential insights and guidance for technical audience. Include core technical terms\n"
-    "(e.g., “backpropagation,” “non-linear regression”) and clarify any uncommon terms specific to this field, \n"
-    "ensuring the author’s message is accurately conveyed.",
+    "                        capturing the essential insights and guidance for technical audience. Include core technical terms\n"
+    "                        (e.g., “backpropagation,” “non-linear regression”) and clarify any uncommon terms specific to this field, \n"
+    "                        ensuring the author’s message is accurately conveyed.",
 
     "Acting as an academic expert, propose a focused research topic derived from the content \n"
-    "provided. The topic should address a gap or opportunity in current knowledge, with relevance \n"
-    "to ongoing discussions or societal needs. Consider key variables, methods, and outcomes.\n"
-    "The summary sould be in wordcount completion_tokens or fewer",
+    "                      provided. The topic should address a gap or opportunity in current knowledge, with relevance \n"
+    "                      to ongoing discussions or societal needs. Consider key variables, methods, and outcomes.\n"
+    "                      The summary sould be in wordcount completion_tokens or fewer",
 
     "Generate a technical summary of the content in wordCount completion_tokens or fewer.\n"
-    "Emphasize essential statistics that offer context, such as sample sizes, key metrics, \n"
-    "or error rates, as well as any significant equations or mathematical models used in the analysis.",
+    "                       Emphasize essential statistics that offer context, such as sample sizes, key metrics, \n"
+    "                      or error rates, as well as any significant equations or mathematical models used in the analysis.",
 
     "Produce a technical summary of the following content in wordCount completion_tokens \n"
-    "or fewer, focusing on actionable insights and implementation strategies. \n"
-    "Where applicable, include practical applications of the findings and discuss \n"
-    "how they can be utilized in real-world scenarios",
+    "                      or fewer, focusing on actionable insights and implementation strategies. \n"
+    "                      Where applicable, include practical applications of the findings and discuss \n"
+    "                      how they can be utilized in real-world scenarios",
 
     "Locate and list one or two tangential or unrelated viewpoints within the article, \n"
-    "noting their placement (e.g., beginning, middle or end). Identify sections that do not directly support the main arguments, \n"
-    "such as off-topic comments, unusual anecdotes, or loosely related statements. It sould be in wordcount completion_tokens or fewer ",
+    "                      noting their placement (e.g., beginning, middle or end). Identify sections that do not directly support the main arguments, \n"
+    "                      such as off-topic comments, unusual anecdotes, or loosely related statements. It sould be in wordcount completion_tokens or fewer ",
 )
 
 # The two-template list is templates 4 and 5 of the full list, the ones the
@@ -84,28 +83,28 @@ SPEC_Q_FORMAT = " create and list %s %s from the content below: \n\n%s"
 
 SUMMARY_FORMAT = (
     " Convert the following content into a technical summary of using %s completion_tokens or less that highlights the key achievements,   \n"
-    "lessons learned, and actionable insights that can benefit others in the field.  Focus on the technical \n"
-    "aspects of the work, the impact of the work on the field, and how others can apply these insights. \n"
-    "Ensure that the summary is professional and geared towards an audience looking to gain knowledge or \n"
-    "apply similar approaches in their own work or looking for future research topics. \n"
-    "Make the summary a 1-5 sentence self-explanatory paragraph.  \n\n%s")
+    "      lessons learned, and actionable insights that can benefit others in the field.  Focus on the technical \n"
+    "      aspects of the work, the impact of the work on the field, and how others can apply these insights. \n"
+    "      Ensure that the summary is professional and geared towards an audience looking to gain knowledge or \n"
+    "       apply similar approaches in their own work or looking for future research topics. \n"
+    "       Make the summary a 1-5 sentence self-explanatory paragraph.  \n\n%s")
 
 ANSWER_FORMAT = (
     " answer this %s according to the content given content: using %s. \n"
-    "please go direct to answer the questions. Do not include any thing like this article, this blog, etc. Straight forward to the answer.\n"
-    "please use original text and writing style as much as possible and focus on  key achievements,   \n"
-    "lessons learned, and actionable insights that can benefit others in the field.  Focus on the technical \n"
-    "aspects of the work, the impact of the work on the field, and how others can apply these insights. \n"
-    "Ensure that the answer is professional and geared towards an audience looking to gain knowledge or \n"
-    "apply similar approaches in their own work or looking for future research topics. Please remember to maintain personality\n"
-    " \n\n%s")
+    "      please go direct to answer the questions. Do not include any thing like this article, this blog, etc. Straight forward to the answer.\n"
+    "      please use original text and writing style as much as possible and focus on  key achievements,   \n"
+    "      lessons learned, and actionable insights that can benefit others in the field.  Focus on the technical \n"
+    "      aspects of the work, the impact of the work on the field, and how others can apply these insights. \n"
+    "      Ensure that the answer is professional and geared towards an audience looking to gain knowledge or \n"
+    "      apply similar approaches in their own work or looking for future research topics. Please remember to maintain personality\n"
+    "       \n\n%s")
 
 SHORTEN_FORMAT = (
     " shorten the following summary into a maxinum %s words paragraph and keep the key achievements,   \n"
-    "lessons learned, and actionable insights that can benefit others in the field.  Focus on the technical \n"
-    "aspects of the work, the impact of the work on the field, and how others can apply these insights. \n"
-    "Ensure that the summary is professional and geared towards an audience looking to gain knowledge or \n"
-    "apply similar approaches in their own work or looking for future research topics. \n\n%s")
+    "      lessons learned, and actionable insights that can benefit others in the field.  Focus on the technical \n"
+    "      aspects of the work, the impact of the work on the field, and how others can apply these insights. \n"
+    "      Ensure that the summary is professional and geared towards an audience looking to gain knowledge or \n"
+    "       apply similar approaches in their own work or looking for future research topics. \n\n%s")
 # ---------------------------------------------------------------------------
 
 
@@ -128,7 +127,7 @@ def template_array(normalize_placeholder: bool = False) -> Column:
 
 
 def substitute_budget(template: Column | str, budget: Column | int) -> Column:
-    """``template.replace("wordCount", "strict" + str(n))`` (case-sensitive)."""
+    """The template with each camel-case placeholder replaced by the budget."""
     b = budget if isinstance(budget, Column) else F.lit(budget)
     return F.replace(_c(template), F.lit(PLACEHOLDER), F.concat(F.lit(BUDGET_PREFIX), b.cast("string")))
 

@@ -21,7 +21,11 @@ from pyspark.sql import functions as F
 # Sentinel used to split text without look-behind (RE2/Java portable).
 _SENT = "\u0001"
 _SENTENCE_END = r"([.!?])\s+"
-_EDGE_WS = r"^\s+|\s+$"
+# The characters that Python's str.isspace() accepts, as a class
+# that Java and RE2 read alike.
+PY_SPACE = (r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+            r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+_EDGE_WS = f"^{PY_SPACE}+|{PY_SPACE}+$"
 
 
 def _col(c: Column | str) -> Column:
@@ -39,13 +43,14 @@ def quote_regex(s: str) -> str:
 
 # --------------------------------------------------------------------- F1
 def strip_ws(c: Column | str) -> Column:
-    """Python ``str.strip()`` for ASCII whitespace (all ends, not just spaces)."""
+    """Without white space at either end, Unicode blanks (NBSP) included."""
     return F.regexp_replace(_col(c), _EDGE_WS, "")
 
 
 def word_count(c: Column | str) -> Column:
-    """``len(text.strip().split(" "))``: runs of spaces give empty words that
-    count, newlines do not separate words, and ``""`` counts as 1."""
+    """Words between single spaces of the stripped text: a run of spaces gives
+    empty words that count, newlines don't separate words, and an empty text
+    counts as 1."""
     return F.size(F.split(strip_ws(c), " ", -1))
 
 
@@ -150,11 +155,6 @@ def embed_normalize(c: Column | str) -> Column:
     return F.replace(_col(c), F.lit("\n"), F.lit(" "))
 
 
-def html_text_cleanup(c: Column | str) -> Column:
-    """Per extracted element: newline -> space, tab removed."""
-    return F.replace(F.replace(_col(c), F.lit("\n"), F.lit(" ")), F.lit("\t"), F.lit(""))
-
-
 # --------------------------------------------------------------------- P2
 @lru_cache(maxsize=1)
 def _non_decimal_digit_class() -> str:
@@ -216,10 +216,3 @@ def tokens(c: Column | str) -> Column:
 
 def has_digit(c: Column | str) -> Column:
     return _col(c).rlike("\\p{Nd}")
-
-
-def unicode_isdigit_first(s: str) -> bool:
-    """Pure-Python restatement of the reference line test (for tests)."""
-    return bool(s) and s[0].isdigit()
-
-

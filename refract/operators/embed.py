@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from refract.functions import rows as R
 from refract.functions import text as T
@@ -45,7 +46,7 @@ def bucket_counts(df: DataFrame, id_cols: Sequence[str], buckets_col: str) -> Da
 def embed_with(df: DataFrame, text_col: str, make_fn: Callable[[], Callable[[list[str]], list[list[float]]]],
                out_col: str = "embedding") -> DataFrame:
     """Apply a user embedder to text batches (newlines normalised first)."""
-    schema = df.schema.add(out_col, "array<float>")
+    schema = StructType([*df.schema.fields, StructField(out_col, ArrayType(FloatType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fn = make_fn()

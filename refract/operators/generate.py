@@ -24,6 +24,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from refract.functions import prompts as P
 from refract.functions import text as T
@@ -236,7 +237,7 @@ def generate_with(df: DataFrame, prompt_col: str, make_fn: Callable[[], Callable
     responses.  Output keeps every input column plus ``out_col`` and
     ``prompt_key`` (md5 of the prompt) for idempotent retries and caching.
     """
-    schema = df.schema.add(out_col, "string").add("prompt_key", "string")
+    schema = StructType([*df.schema.fields, StructField(out_col, StringType()), StructField("prompt_key", StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib

@@ -9,14 +9,13 @@ batch_ord)``; metadata is a struct because its field types differ.
   tiny whatever the data.
 * :func:`append` -- the flat-L2 behaviour: duplicates are kept, new rows get
   consecutive positions after the existing ones.
-* :func:`write_version` -- persist a new version next to the old one, never
+* :func:`open_or_create` -- the newest stored version, or an empty index;
+  :func:`write_version` -- persist the next version beside it, never
   overwriting the path being read.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,9 +39,31 @@ def legacy_id(index: str, seq: str | None = None) -> Column:
     return TX.legacy_vector_id(index, seq)
 
 
-def empty_like(spark: SparkSession, schema: T.StructType) -> DataFrame:
-    """Create-if-absent (K6): an empty index with the right schema."""
-    return spark.createDataFrame([], schema)
+def user_metadata(user_id: Column, user_name: Column, is_published: Column) -> Column:
+    """Metadata of a user's record (P7, T14); the id is kept as text."""
+    return F.struct(user_id.cast("string").alias("user_id"), user_name.alias("user_name"),
+                    is_published.alias("is_published"))
+
+
+def stored_versions(spark: SparkSession, base: str) -> list[int]:
+    """Numbers of the finished versions under ``base``, ascending."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(base)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(root)]
+    return sorted(int(n[1:]) for n in names
+                  if n[:1] == "v" and n[1:].isdigit() and fs.exists(hadoop.Path(f"{base}/{n}/_SUCCESS")))
+
+
+def open_or_create(spark: SparkSession, base: str, schema: T.StructType) -> tuple[DataFrame, int]:
+    """(index, version): the newest finished version under ``base``, or, where
+    there is none, an empty index of this schema with version 0 (K6)."""
+    found = stored_versions(spark, base)
+    if not found:
+        return spark.createDataFrame([], schema), 0
+    return spark.read.schema(schema).parquet(version_path(base, found[-1])), found[-1]
 
 
 def dim_ok(vec_col: str, dims: int) -> Column:
@@ -82,8 +103,12 @@ def append(existing: DataFrame | None, batch: DataFrame, order_cols: list[str])
     return new if existing is None else existing.unionByName(new)
 
 
+def version_path(base: str, version: int) -> str:
+    return f"{base.rstrip('/')}/v{version:06d}"
+
+
 def write_version(df: DataFrame, base: str, version: int) -> str:
     """Write index version ``version`` under ``base``; returns its path."""
-    path = os.path.join(base, f"v{version:06d}")
+    path = version_path(base, version)
     df.write.mode("errorifexists").partitionBy("index_name", "namespace").parquet(path)
     return path

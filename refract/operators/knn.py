@@ -98,17 +98,21 @@ def _triplets(col: pd.Series, dims: int):
     rows = np.repeat(np.arange(len(col)), lens)
     cols = np.concatenate(col.to_numpy()).astype(np.int64)
     keys, cnt = np.unique(cols * len(col) + rows, return_counts=True)   # bucket-major
-    return keys % len(col), keys // len(col), cnt.astype(np.float32)
+    return keys % len(col), keys // len(col), cnt.astype(np.float32 if cnt.max() < EXACT_F32 else np.float64)
 
 
+# Integers below this are exact in float32.
+EXACT_F32 = 1 << 24
+
 # A bucket is scored densely when the (query, index row) pairs sharing it
 # exceed this fraction of all pairs: a dense column costs every pair one
 # BLAS multiply-add, an expanded pair costs roughly a thousand times more.
 HOT_PAIR_FRACTION = 1e-3
 
 
-def _sparse_dots(q: tuple, x: tuple, nq: int, nx: int, dims: int) -> np.ndarray:
-    """Exact integer dot products of two bucket-count sets.
+def _sparse_dots(q: tuple, x: tuple, nq: int, nx: int, dims: int, dtype=np.float32) -> np.ndarray:
+    """Integer dot products of two bucket-count sets, exact when ``dtype``
+    holds the largest of them.
 
     Buckets shared by many pairs (stop words) are scored with one dense
     product over just those columns; every other bucket adds the outer
@@ -116,7 +120,7 @@ def _sparse_dots(q: tuple, x: tuple, nq: int, nx: int, dims: int) -> np.ndarray:
     """
     qr, qb, qc = q
     xr, xb, xc = x
-    S = np.zeros((nq, nx), np.float32)
+    S = np.zeros((nq, nx), dtype)
     if len(qb) == 0 or len(xb) == 0:
         return S
     xdf = np.bincount(xb, minlength=dims)
@@ -127,9 +131,9 @@ def _sparse_dots(q: tuple, x: tuple, nq: int, nx: int, dims: int) -> np.ndarray:
         pos[hot] = np.arange(len(hot))
         qh = pos[qb] >= 0
         xh = pos[xb] >= 0
-        Qh = np.zeros((nq, len(hot)), np.float32)
+        Qh = np.zeros((nq, len(hot)), dtype)
         Qh[qr[qh], pos[qb[qh]]] = qc[qh]
-        XhT = np.zeros((len(hot), nx), np.float32)     # built transposed: contiguous for BLAS
+        XhT = np.zeros((len(hot), nx), dtype)     # built transposed: contiguous for BLAS
         XhT[pos[xb[xh]], xr[xh]] = xc[xh]
         np.matmul(Qh, XhT, out=S)
         qr, qb, qc = qr[~qh], qb[~qh], qc[~qh]
@@ -143,7 +147,7 @@ def _sparse_dots(q: tuple, x: tuple, nq: int, nx: int, dims: int) -> np.ndarray:
         offs = np.repeat(np.cumsum(lens) - lens, lens)
         xpos = np.repeat(start, lens) + (np.arange(total) - offs)
         flat = np.repeat(qr, lens) * nx + xr[xpos]
-        vals = np.repeat(qc, lens) * xc[xpos]
+        vals = np.repeat(qc, lens).astype(dtype, copy=False) * xc[xpos]
         np.add.at(S.reshape(-1), flat, vals)     # unbuffered: repeated cells all add
     return S
 
@@ -174,7 +178,9 @@ def _score_chunk(qpdf, xpdf, X, nx, *, k, q_id, x_id, kind, dims, metric, min_sc
     if kind == "buckets":
         Qt = _triplets(qpdf["_qv"], dims)
         nq = np.bincount(Qt[0], weights=Qt[2].astype(np.float64) ** 2, minlength=len(qpdf))
-        dots = _sparse_dots(Qt, X, len(qpdf), len(xpdf), dims)        # exact (float32 integers)
+        # no dot product, nor any part of one, is above the longest |q| |x|
+        top = np.sqrt(nq.max(initial=0.0) * nx.max(initial=0.0))
+        dots = _sparse_dots(Qt, X, len(qpdf), len(xpdf), dims, np.float32 if top < EXACT_F32 else np.float64)
         Q = None
     else:
         Q = _matrix(qpdf["_qv"], kind, dims)

@@ -10,7 +10,8 @@ from refract.functions import text as TX
 from refract.operators import generate as G
 from refract.plans import sqlx as Q
 from refract.plans.catalog import register
-from refract.sources import tables
+from refract.session import scratch_path
+from refract.sources import files, tables
 from refract.functions import rows as R
 
 BUDGET = P.DEFAULT_BUDGET
@@ -273,37 +274,43 @@ def extractive_questions(spark, sf):
 
 _ANSWER_CTE = ",\n".join([
     QUESTIONS_CTE,
-    "gq AS (SELECT article_index, line_no AS q_no, question FROM ql WHERE cat_ord = 0)",
-    f"au2 AS (SELECT gq.article_index, gq.q_no, au.pos, au.s, au.w, "
-    f"len(list_distinct(list_filter({Q.tokens('au.s')}, lambda t: list_contains({Q.tokens('gq.question')}, t)))) AS ov "
-    f"FROM gq JOIN au ON au.article_index = gq.article_index)",
+    "gq AS (SELECT article_index, category, q_seq AS q_no, question FROM qlong)",
+    f"gt AS (SELECT article_index, q_no, {Q.tokens('question')} AS qt FROM gq)",
+    f"aw AS (SELECT article_index, pos, s, w, {Q.tokens('s')} AS st FROM au)",
+    "au2 AS (SELECT gt.article_index, gt.q_no, aw.pos, aw.s, aw.w, len(list_intersect(aw.st, gt.qt)) AS ov "
+    "FROM gt JOIN aw ON aw.article_index = gt.article_index)",
     budget_cte("ans", "au2", "article_index, q_no", "-ov", str(BUDGET)),
 ])
 
 
-@register("render_answer_prompts", _with(QUESTIONS_CTE, "gq AS (SELECT article_index, line_no AS q_no, question FROM ql WHERE cat_ord = 0)") + f"""
-SELECT gq.article_index, gq.q_no::BIGINT AS q_no,
+def all_questions(items):
+    """Generic, targeted and segment questions of an article, in this order."""
+    return F.concat(G.generic_questions(items), G.targeted_questions(items), G.segment_questions(items))
+
+
+@register("render_answer_prompts", _with(QUESTIONS_CTE) + f"""
+SELECT gq.article_index, gq.q_seq::BIGINT AS q_seq,
        {_sql_md5_len(_sql_format(P.ANSWER_FORMAT, 'gq.question', "'" + str(BUDGET) + "'", 'a.content'), 'prompt')}
-FROM gq JOIN arts a ON a.article_index = gq.article_index""")
+FROM qlong gq JOIN arts a ON a.article_index = gq.article_index""")
 def render_answer_prompts(spark, sf):
     a = G.with_sentences(arts(spark, sf))
-    q = R.posexplode_rows(a, ["article_index", "content"], G.generic_questions(F.col("_items")), "q_no", "question")
-    return q.select("article_index", (F.col("q_no") + 1).cast("long").alias("q_no"),
+    q = R.posexplode_rows(a, ["article_index", "content"], all_questions(F.col("_items")), "q_seq", "question")
+    return q.select("article_index", F.col("q_seq").cast("long").alias("q_seq"),
                     *_md5_len(P.answer_prompt("question", BUDGET, "content"), "prompt"))
 
 
 @register("extractive_answers", _with(_ANSWER_CTE) + f"""
-SELECT article_index, q_no::BIGINT AS q_no,
+SELECT article_index, q_no::BIGINT AS q_seq,
        {Q.wc(f"array_to_string(list_slice(string_split(txt, ' '), 1, {BUDGET}), ' ')")}::BIGINT AS n_words,
        md5(array_to_string(list_slice(string_split(txt, ' '), 1, {BUDGET}), ' ')) AS answer_md5
 FROM ans""")
 def extractive_answers(spark, sf):
     a = G.with_sentences(arts(spark, sf))
     a = a.select("article_index", "_items", G.answer_items(F.col("_items")).alias("_aitems"))
-    q = R.posexplode_rows(a, ["article_index", "_aitems"], G.generic_questions(F.col("_items")), "q_no", "question")
+    q = R.posexplode_rows(a, ["article_index", "_aitems"], all_questions(F.col("_items")), "q_seq", "question")
     ans = G.extractive_answer(F.col("_aitems"), "question", BUDGET)
-    return (q.select("article_index", (F.col("q_no") + 1).cast("long").alias("q_no"), ans.alias("answer"))
-            .select("article_index", "q_no", TX.word_count("answer").cast("long").alias("n_words"),
+    return (q.select("article_index", F.col("q_seq").cast("long").alias("q_seq"), ans.alias("answer"))
+            .select("article_index", "q_seq", TX.word_count("answer").cast("long").alias("n_words"),
                     F.md5("answer").alias("answer_md5")))
 
 
@@ -354,6 +361,37 @@ def process_first_n(spark, sf):
                       F.md5("perspectives").alias("perspectives_md5"))
 
 
+@register("bulk_file_job", _with(_BY_LENGTH_CTE) + f"""
+SELECT a.article_index, a.title, a.link, md5(a.content) AS content_md5, md5(bl.txt) AS perspectives_md5
+FROM (SELECT * FROM arts ORDER BY article_index LIMIT {FIRST_N}) a
+JOIN bl ON bl.article_index = a.article_index AND bl.length = {BUDGET}""")
+def bulk_file_job(spark, sf):
+    """T8 from file to file: read JSON arrays, take the first records, add
+    their perspectives, write JSON."""
+    a = arts(spark, sf)
+    source, target = scratch_path(spark, "bulk_in"), scratch_path(spark, "bulk_out")
+    files.write_json_arrays(a, source)
+    first = tables.first_n(files.read_json(spark, source, a.schema, multi_line=True), FIRST_N)
+    out = first.withColumn("perspectives", G.extractive_summary("content", BUDGET))
+    files.write_json(out, target)
+    return (files.read_json(spark, target, out.schema)
+            .select("article_index", "title", "link", F.md5("content").alias("content_md5"),
+                    F.md5("perspectives").alias("perspectives_md5")))
+
+
+@register("generate_callable", _with(ARTS_CTE, f"p AS (SELECT article_index, "
+          f"{_sql_format(P.GENERIC_Q_FORMAT, repr(str(P.GENERIC_QUESTION_COUNT)), 'content')} AS prompt FROM arts)") + """
+SELECT article_index, length(prompt) || ' ' || right(prompt, 40) AS response, md5(prompt) AS prompt_key FROM p""")
+def generate_callable(spark, sf):
+    """A user's generator over prompt batches; this one echoes the prompt's
+    length and end, so that its responses can be checked."""
+    def make():
+        return lambda prompts: [f"{len(p)} {p[-40:]}" for p in prompts]
+
+    p = arts(spark, sf).select("article_index", P.generic_question_prompt(P.GENERIC_QUESTION_COUNT, "content").alias("prompt"))
+    return G.generate_with(p, "prompt", make).select("article_index", "response", "prompt_key")
+
+
 # --------------------------------------------------------------- dataset
 def _agg_cat(cat: int, name: str) -> str:
     return (f"{name} AS (SELECT article_index, count(*)::BIGINT AS n, "

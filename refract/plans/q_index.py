@@ -12,6 +12,7 @@ from refract.operators import index as X
 from refract.plans import q_generate as QG
 from refract.plans import sqlx as Q
 from refract.plans.catalog import register
+from refract.session import scratch_path
 from refract.sources import tables
 from refract.functions import rows as R
 
@@ -22,6 +23,14 @@ SHORT_DIM_LABEL = 0       # rows of this label arrive truncated (dimension check
 ONE_SEQ = 4
 
 
+def _buckets_md5(c):
+    return F.md5(F.array_join(F.transform(c, lambda b: b.cast("string")), ","))
+
+
+def _vector_md5(c):
+    return F.md5(F.array_join(F.transform(c, lambda v: F.floor(v.cast("double") * 1e6).cast("string")), ","))
+
+
 def _emb(spark, sf):
     return tables.read_table(spark, sf, "embeddings")
 
@@ -55,7 +64,7 @@ def _persp_long(spark, sf):
 SELECT article_index::VARCHAR || seq::VARCHAR AS id,
        row_number() OVER (ORDER BY article_index, seq) - 1 AS rec_ord,
        article_index AS meta_index, seq::INTEGER AS meta_sequence,
-       len({Q.tokens('perspective')})::BIGINT AS n_tokens
+       len({Q.tokens('perspective')})::BIGINT AS n_tokens, {Q.buckets_md5('perspective', DIMS)} AS vec_md5
 FROM persp""")
 def index_records(spark, sf):
     p = _persp_long(spark, sf).withColumn("xv", E.hash_buckets("perspective", DIMS))
@@ -65,7 +74,8 @@ def index_records(spark, sf):
     r = tables.index_rows(r, ["metadata.index", "metadata.sequence"], "rec_ord")
     return r.select("id", "rec_ord", F.col("metadata.index").alias("meta_index"),
                     F.col("metadata.sequence").alias("meta_sequence"),
-                    F.size("embedding").cast("long").alias("n_tokens"))
+                    F.size("embedding").cast("long").alias("n_tokens"),
+                    _buckets_md5("embedding").alias("vec_md5"))
 
 
 def _batches(spark, sf):
@@ -83,25 +93,59 @@ WITH b AS (SELECT vec_id, embedding, 0 AS batch_ord FROM embeddings
            UNION ALL SELECT vec_id, list_reverse(embedding), 1 FROM embeddings WHERE label < {REEMBED_LABEL_BELOW})"""
 
 
-@register("index_upsert", _BATCH_SQL + """
+_LATEST_SQL = _BATCH_SQL + f"""
 SELECT vec_id::VARCHAR AS id, max(batch_ord) AS batch_ord,
-       round(arg_max(embedding[1], batch_ord)::DOUBLE, 6) AS head_val
+       {Q.vector_md5('arg_max(embedding, batch_ord)')} AS vec_md5"""
+
+
+@register("index_upsert", _LATEST_SQL + """
 FROM b GROUP BY vec_id""")
 def index_upsert(spark, sf):
     b0, b1 = _batches(spark, sf)
     idx = X.upsert(X.upsert(None, b0), b1)
-    return idx.select("id", "batch_ord", F.round(F.col("embedding")[0].cast("double"), 6).alias("head_val"))
+    return idx.select("id", "batch_ord", _vector_md5("embedding").alias("vec_md5"))
 
 
-@register("l2_index_append", _BATCH_SQL + """
+@register("index_open_or_create", _LATEST_SQL + """, 2::BIGINT AS version
+FROM b GROUP BY vec_id""")
+def index_open_or_create(spark, sf):
+    """Each batch opens the stored index (absent at first), upserts and
+    stores the next version."""
+    base = scratch_path(spark, "index")
+    batches = _batches(spark, sf)
+    schema = batches[0].schema
+    for b in batches:
+        idx, version = X.open_or_create(spark, base, schema)
+        X.write_version(X.upsert(idx, b), base, version + 1)
+    idx, version = X.open_or_create(spark, base, schema)
+    return idx.select("id", "batch_ord", _vector_md5("embedding").alias("vec_md5"),
+                      F.lit(version).cast("long").alias("version"))
+
+
+@register("index_user_records", f"""
+SELECT 'perspectives' AS namespace, conv_id || '-' || turn AS id, conv_id::VARCHAR AS user_id, role AS user_name,
+       turn % 2 = 0 AS is_published, {Q.buckets_md5('text', DIMS)} AS vec_md5
+FROM conversations""")
+def index_user_records(spark, sf):
+    """Records with their user's metadata; a conversation stands for a user
+    and each of its turns for a perspective."""
+    c = tables.read_table(spark, sf, "conversations").withColumn("xv", E.hash_buckets("text", DIMS))
+    r = X.records(c, index_name="user_perspectives", namespace="perspectives",
+                  id_col=F.concat_ws("-", "conv_id", "turn"), vec_col="xv",
+                  metadata=X.user_metadata(F.col("conv_id"), F.col("role"), F.col("turn") % 2 == 0))
+    return X.upsert(None, r).select("namespace", "id", "metadata.user_id", "metadata.user_name",
+                                    "metadata.is_published", _buckets_md5("embedding").alias("vec_md5"))
+
+
+@register("l2_index_append", _BATCH_SQL + f"""
 SELECT row_number() OVER (ORDER BY batch_ord, vec_id) - 1 AS pos, vec_id::VARCHAR AS id, batch_ord,
-       round(embedding[1]::DOUBLE, 6) AS head_val FROM b""")
+       {Q.vector_md5('embedding')} AS vec_md5 FROM b""")
 def l2_index_append(spark, sf):
     b0, b1 = _batches(spark, sf)
     k0 = b0.withColumn("_k", F.col("id").cast("long")).withColumn("embedding", F.col("embedding").cast("array<float>"))
     k1 = b1.withColumn("_k", F.col("id").cast("long")).withColumn("embedding", F.col("embedding").cast("array<float>"))
     idx = X.append(X.append(None, k0, ["_k"]), k1, ["_k"])
-    return idx.select("pos", "id", "batch_ord", F.round(F.col("embedding")[0].cast("double"), 6).alias("head_val"))
+    return idx.select("pos", "id", "batch_ord", _vector_md5("embedding").alias("vec_md5"))
 
 
 @register("index_dim_check", f"""
@@ -122,14 +166,16 @@ def _index_sql(seqs: str, index_name: str) -> str:
     return "WITH " + QG.PERSPECTIVES_CTE + f"""
 SELECT '{index_name}' AS index_name, 'perspectives' AS namespace,
        article_index::VARCHAR || seq::VARCHAR AS id, article_index AS meta_index,
-       seq::INTEGER AS meta_sequence, len({Q.tokens('perspective')})::BIGINT AS n_tokens
+       seq::INTEGER AS meta_sequence, len({Q.tokens('perspective')})::BIGINT AS n_tokens,
+       {Q.buckets_md5('perspective', DIMS)} AS vec_md5
 FROM persp WHERE seq IN ({seqs})"""
 
 
 def _index_out(idx):
     return idx.select("index_name", "namespace", "id", F.col("metadata.index").alias("meta_index"),
                       F.col("metadata.sequence").alias("meta_sequence"),
-                      F.size("embedding").cast("long").alias("n_tokens"))
+                      F.size("embedding").cast("long").alias("n_tokens"),
+                      _buckets_md5("embedding").alias("vec_md5"))
 
 
 @register("index_one_sequence", _index_sql(str(ONE_SEQ), "hfperspectives_all"))
@@ -158,7 +204,7 @@ def index_all_sequences(spark, sf):
     QG.budget_cte("ps", "au", "article_index", "pos", str(P.DEFAULT_BUDGET))]) + f"""
 SELECT 'perspective{P.DEFAULT_BUDGET}' AS index_name, 'perspectives' AS namespace,
        (row_number() OVER (ORDER BY article_index) - 1)::VARCHAR AS id, article_index AS meta_index,
-       len({Q.tokens('txt')})::BIGINT AS n_tokens FROM ps""")
+       len({Q.tokens('txt')})::BIGINT AS n_tokens, {Q.buckets_md5('txt', DIMS)} AS vec_md5 FROM ps""")
 def index_by_length(spark, sf):
     """One index per perspective length; id = record ordinal, metadata =
     the record's own article index."""
@@ -170,4 +216,19 @@ def index_by_length(spark, sf):
                   vec_col="xv", metadata=F.struct(F.col("article_index").alias("index")))
     idx = X.upsert(None, r)
     return idx.select("index_name", "namespace", "id", F.col("metadata.index").alias("meta_index"),
-                      F.size("embedding").cast("long").alias("n_tokens"))
+                      F.size("embedding").cast("long").alias("n_tokens"),
+                      _buckets_md5("embedding").alias("vec_md5"))
+
+
+@register("embed_callable", f"""
+SELECT doc_id, length(t)::BIGINT AS n_chars, (length(t) - length(replace(t, ' ', '')))::BIGINT AS n_spaces
+FROM (SELECT doc_id, {Q.norm('text')} AS t FROM documents)""")
+def embed_callable(spark, sf):
+    """A user's embedder over text batches; this one counts characters and
+    spaces, so that its vectors can be checked."""
+    def make():
+        return lambda texts: [[float(len(t)), float(t.count(" "))] for t in texts]
+
+    d = tables.read_table(spark, sf, "documents").select("doc_id", "text")
+    v = F.col("embedding")
+    return E.embed_with(d, "text", make).select("doc_id", v[0].cast("long").alias("n_chars"), v[1].cast("long").alias("n_spaces"))

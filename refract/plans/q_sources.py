@@ -105,6 +105,14 @@ def json_roundtrip(spark, sf):
     return _roundtrip_report(files.read_json(spark, path, _ROUNDTRIP_SCHEMA))
 
 
+@register("json_array_roundtrip", _ROUNDTRIP_SQL)
+def json_array_roundtrip(spark, sf):
+    """Files of one JSON array each, as a bulk export gives them."""
+    path = scratch_path(spark, "json_arrays")
+    files.write_json_arrays(_roundtrip_frame(spark, sf), path)
+    return _roundtrip_report(files.read_json(spark, path, _ROUNDTRIP_SCHEMA, multi_line=True))
+
+
 @register("link_list_csv", f"""
 SELECT source AS link, {Q.first_line('text')} AS title FROM documents""")
 def link_list_csv(spark, sf):

@@ -8,12 +8,14 @@ text*; nothing here runs Spark.
 
 from __future__ import annotations
 
+from refract.functions.text import PY_SPACE
+
 NL = "chr(10)"
 BLANK = "(chr(10) || chr(10))"
 
 
 def wc(e: str) -> str:
-    return f"len(string_split(regexp_replace({e}, '^\\s+|\\s+$', '', 'g'), ' '))"
+    return f"len(string_split(regexp_replace({e}, '^{PY_SPACE}+|{PY_SPACE}+$', '', 'g'), ' '))"
 
 
 def first_line(e: str) -> str:
@@ -46,6 +48,16 @@ def bucket(tok: str, dims: int) -> str:
     return f"(('0x' || substr(md5({tok}), 1, 8))::BIGINT % {dims})"
 
 
+def buckets_md5(e: str, dims: int) -> str:
+    """Digest of a text's bucket ids in order."""
+    return f"md5(array_to_string(list_transform({tokens(e)}, lambda t: {bucket('t', dims)}::VARCHAR), ','))"
+
+
+def vector_md5(e: str) -> str:
+    """Digest of a float vector's components in millionths."""
+    return f"md5(array_to_string(list_transform({e}, lambda v: floor(v::DOUBLE * 1e6)::BIGINT::VARCHAR), ','))"
+
+
 def segment_bounds(n: str, count: int, i: int) -> tuple[str, str]:
     """1-based inclusive (start, end) of segment ``i`` over ``n`` sentences."""
     k = f"({n} // {count})"

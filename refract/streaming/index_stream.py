@@ -11,16 +11,11 @@ version (idempotent), and the version being read is never overwritten.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from refract.operators import index as X
-
-
-def version_path(base: str, version: int) -> str:
-    return os.path.join(base, f"v{version:06d}")
+from refract.operators.index import version_path
 
 
 def upsert_batch(batch: DataFrame, epoch_id: int, base: str) -> None:

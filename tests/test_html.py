@@ -24,9 +24,20 @@ def test_class_filter():
     assert H.main_text(html) == "b"
 
 
-def test_udf_matches_python(spark):
-    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
-    got = pages.select("page_id", H.extract_main_text("html", "article", None).alias("t")).collect()
-    src = dict((r.page_id, r.html) for r in pages.collect())
-    for r in got:
-        assert r.t == H.main_text(src[r.page_id], "article", None)
+def test_nested_container_gives_its_text_again():
+    html = "<main><p>a</p><main><p>b</p></main><p>c</p></main>"
+    assert H.main_text(html, "main", None) == "a b c b"
+
+
+def test_scripts_and_styles_are_no_text():
+    html = "<main><p>a<script>var x = '<p>1';</script>b</p><style>p {}</style><li>c<template><p>d</p></template></li></main>"
+    assert H.main_text(html, "main", None) == "ab c "
+
+
+def test_udf_on_hand_worked_pages(spark):
+    pages = [(1, "<article><h1>T</h1><p>x &amp; y</p></article>", "T x & y"),
+             (2, "<div><p>no container</p></div>", None), (3, None, None), (4, "", None),
+             (5, "<article>bare<ul><li>one<li>two</ul></article>", "onetwo two")]
+    df = spark.createDataFrame(pages, "page_id long, html string, want string").repartition(3)
+    got = df.select("page_id", "want", H.extract_main_text("html", "article", None).alias("t")).collect()
+    assert len(got) == len(pages) and all(r.t == r.want for r in got)

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from refract.operators import embed as E
 from refract.operators import evaluate as V
+from refract.operators import generate as G
 from refract.operators import index as X
 
 
@@ -76,3 +78,35 @@ def test_cumulative_equals_isolated_on_union(spark):
     a = {(r.raw_index, r.x_index, r.x_seq) for r in cum.where("run_seq = 5").collect()}
     b = {(r.raw_index, r.x_index, r.x_seq) for r in iso.collect()}
     assert a == b
+
+
+def test_open_or_create(spark, tmp_path):
+    """No folder, an empty one or an unfinished version: created; otherwise
+    the newest finished version is opened, whatever its number."""
+    base = str(tmp_path / "idx")
+    d = spark.createDataFrame([(1, [1.0])], "i long, v array<double>")
+    rec = X.records(d, index_name="a", namespace="b", id_col=F.col("i"), vec_col="v", metadata=F.struct("i"))
+    idx, version = X.open_or_create(spark, base, rec.schema)
+    assert (idx.count(), version) == (0, 0)
+    X.write_version(X.upsert(idx, rec), base, 9)
+    X.write_version(X.upsert(None, rec.withColumn("id", F.lit("2"))).unionByName(rec), base, 10)
+    (tmp_path / "idx" / "v000011").mkdir()
+    idx, version = X.open_or_create(spark, base, rec.schema)
+    assert version == 10 and sorted(r.id for r in idx.collect()) == ["1", "2"]
+
+
+def test_mean_pool_cuts_a_long_group(spark):
+    """Of 600 rows the first 512 count; a group at the cut keeps all."""
+    rows = [(g, i, [float(i), 1.0]) for g, n in ((0, 600), (1, 512)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g int, i int, v array<double>").repartition(7)
+    got = {(r.g, r.dim): r.value for r in E.mean_pool(df, "g", "i", "v").collect()}
+    assert got == {(g, 0): 255.5 for g in (0, 1)} | {(g, 1): 1.0 for g in (0, 1)}
+
+
+def test_callables_leave_the_input_frame_alone(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, None)], "i int, t string")
+    out = G.generate_with(df, "t", lambda: lambda ps: [p.upper() for p in ps])
+    assert df.columns == ["i", "t"] and out.columns == ["i", "t", "response", "prompt_key"]
+    assert {(r.i, r.response) for r in out.collect()} == {(1, "A B"), (2, "")}
+    vecs = E.embed_with(df, "t", lambda: lambda ts: [[float(len(t))] for t in ts]).collect()
+    assert {(r.i, r.embedding[0]) for r in vecs} == {(1, 3.0), (2, 0.0)}

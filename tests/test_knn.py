@@ -164,3 +164,14 @@ def test_bounded_and_sized_namespace_counts_agree(spark):
     a = sorted(tuple(r) for r in K.knn(q, x, **kw).collect())
     b = sorted(tuple(r) for r in K.knn(q, x, ns_bound=3, **kw).collect())
     assert a == b and len(a) == 2 * len(V)
+
+
+def test_kernel_is_exact_above_float32_integers():
+    """Counts whose products pass 2 ** 24: the larger dot product wins by one."""
+    n = 4097
+    q = pd.DataFrame({"qid": [1], "_qv": [np.zeros(n, np.int64)]})
+    x = pd.DataFrame({"xid": [1, 2], "_xv": [np.zeros(n, np.int64), np.concatenate([np.zeros(n, np.int64), [1]])]})
+    dots = K._sparse_dots(K._triplets(q["_qv"], 4), K._triplets(x["_xv"], 4), 1, 2, 4, np.float64)
+    assert dots.tolist() == [[n * n, n * n]]
+    got = K._block_topk(q, x, k=2, q_id=["qid"], x_id=["xid"], kind="buckets", dims=4, metric="cosine", min_score=0.0, exclude=[])
+    assert got.xid.tolist() == [1, 2] and got.score[0] == 1.0 and abs(got.score[1] - n / (n * n + 1) ** 0.5) < 1e-15
