@@ -52,7 +52,7 @@ SCORE_ROWS = 2048
 # does not coalesce by bytes.
 PAIR_TASKS_PER_CORE = 16
 # Block-count rows (one per namespace, three numbers each) broadcast without
-# a size check when the caller bounds the namespace count by this many.
+# a look at their bytes when the caller bounds the namespace count by this many.
 MAX_BROADCAST_NAMESPACES = 100_000
 
 
@@ -294,7 +294,10 @@ def knn(queries: DataFrame, index: DataFrame, *, k: int, q_id: Sequence[str], x_
                       F.ceil(F.col("_nx") / x_block).cast("int").alias("_bx")))
     bound = 1 if not ns else ns_bound
     if bound is not None and bound <= MAX_BROADCAST_NAMESPACES:
-        counts = F.broadcast(counts)
+        # the bound is checked where it is relied on: more rows are an error
+        n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
+        over = F.raise_error(F.lit(f"more than {bound} namespaces, the bound that the caller gave")).cast("boolean")
+        counts = F.broadcast(counts.withColumn("_n", n).where(F.when(F.col("_n") > bound, over).otherwise(True)).drop("_n"))
     else:
         counts = materialize(counts, "knn_blocks")
     qg = (q.join(counts, "_ns")

@@ -75,9 +75,19 @@ def test_cumulative_equals_isolated_on_union(spark):
     cum = V.retrieve(qv, V.run_index(pv, (4, 5), "cumulative"), (4, 5), 1, 8)
     union = pv.withColumn("run_seq", F.lit(5))
     iso = V.retrieve(qv, union, (5,), 1, 8)
-    a = {(r.raw_index, r.x_index, r.x_seq) for r in cum.where("run_seq = 5").collect()}
-    b = {(r.raw_index, r.x_index, r.x_seq) for r in iso.collect()}
-    assert a == b
+    a = {(r.raw_index, r.predicted_index, r.predicted_seq) for r in V.results(qv, cum, (4, 5)).where("run_seq = 5").collect()}
+    b = {(r.raw_index, r.predicted_index, r.predicted_seq) for r in V.results(qv, iso, (5,)).collect()}
+    assert a == b == {(0, 1, 5), (1, 0, 5)}
+
+
+def test_questions_without_tokens_miss(spark):
+    qv = spark.createDataFrame([(0, 0, "generic", [1]), (0, 1, "generic", []), (1, 0, "segment", []), (1, 1, "segment", None)],
+                               "raw_index long, raw_q_seq long, category string, qv array<int>")
+    x = spark.createDataFrame([(0, 4, [1, 1], 4), (1, 4, [], 4)], "x_index long, x_seq int, xv array<int>, run_seq int")
+    m = V.retrieve(qv, x, (4,), 2, 8)
+    got = {(r.raw_index, r.raw_q_seq): (r.predicted_index, r.hit) for r in V.results(qv, m, (4,)).collect()}
+    assert got == {(0, 0): (0, True), (0, 1): (None, False), (1, 0): (None, False), (1, 1): (None, False)}
+    assert {(r.k, r.hits, r.total) for r in V.hit_at_k(qv, m, 2, (4,)).collect()} == {(1, 1, 4), (2, 1, 4)}
 
 
 def test_open_or_create(spark, tmp_path):

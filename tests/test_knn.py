@@ -175,3 +175,11 @@ def test_kernel_is_exact_above_float32_integers():
     assert dots.tolist() == [[n * n, n * n]]
     got = K._block_topk(q, x, k=2, q_id=["qid"], x_id=["xid"], kind="buckets", dims=4, metric="cosine", min_score=0.0, exclude=[])
     assert got.xid.tolist() == [1, 2] and got.score[0] == 1.0 and abs(got.score[1] - n / (n * n + 1) ** 0.5) < 1e-15
+
+
+def test_a_wrong_namespace_bound_is_an_error(spark):
+    V, df = _frames(spark, dup=False)
+    q = df.select("id", "ns", F.col("v").alias("qv"))
+    x = df.select(F.col("id").alias("nid"), "ns", F.col("v").alias("xv"))
+    with pytest.raises(Exception, match="more than 1 namespaces"):
+        K.knn(q, x, k=1, q_id=["id"], x_id=["nid"], q_vec="qv", x_vec="xv", ns="ns", ns_bound=1).collect()
