@@ -5,8 +5,8 @@ pasted into the middle of a line still has units of its own.  Units are
 normalised (lower case, one space between words) and hashed; digests are
 grouped over all documents, the earliest occurrence (smallest id, then
 smallest place) stays, and every other one is removed.  Offsets are code
-points of the original text.  Units under ``MIN_WORDS`` words stay where they
-are and are not compared.
+points of the original text.  Every unit with a word in it is compared
+(``min_words`` can leave shorter ones where they are).
 
 Only 16-byte digests and places are shuffled.  A digest that very many units
 share is counted by partial aggregation, and joined back to a table with one
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from refract.llm.common import fresh, keyed, read, text_slices
 from refract.session import materialize
 
-MIN_WORDS = 5
+MIN_WORDS = 1
 #: A unit: up to a sentence end before white space, or to the line's end.
 UNIT = re.compile(r"[^\n]+?(?:[.!?](?=\s)|(?=\n)|\Z)")
 

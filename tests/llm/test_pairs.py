@@ -255,3 +255,11 @@ def test_passages_against_brute_force(spark):
             t = t[:s.start] + t[s.end:]
         assert r.text == t
     assert passages.repeated_spans(df.where("doc_id < 0")).count() == 0
+
+
+def test_passages_of_short_lines(spark):
+    """Repeated lines of one to four words go, alone and as a passage."""
+    poem = "Red sky\nat night\nStop.\nsailors all glad"
+    texts = ["All rights reserved.\nmine " + "a b c d e f.\n" + poem, "Another text altogether here.\nall  RIGHTS reserved.\n", "Begin here\n" + poem + "\nthe end"]
+    got = {r.doc_id: r.text.split() for r in passages.remove_repeats(frame(spark, texts)).collect()}
+    assert got == {0: texts[0].split(), 1: "Another text altogether here.".split(), 2: "Begin here the end".split()}
