@@ -53,7 +53,7 @@ def _units(min_words: int):
         for b in text_slices(batches, "text"):
             row, found = [], []
             for i, t in enumerate(b.column("text").to_pylist()):
-                u = units_of(t, min_words) if t else []
+                u = [(None, None, None), *(units_of(t, min_words) if t else [])]      # first the row itself
                 row += [i] * len(u)
                 found += u
             take = pa.array(row, pa.int64())
@@ -64,21 +64,33 @@ def _units(min_words: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str | None = None,
-                   min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per unit to remove: ``id``, ``rid`` (``key``, or a number made
-    here), ``start``, ``end``, ``keep_id``, ``keep_start`` (the occurrence that
-    stays)."""
+def stored_units(docs: DataFrame, id_col: str, text_col: str, key: str | None = None, min_words: int = MIN_WORDS) -> DataFrame:
+    """``id``, ``rid`` (``key``, or a number made here), ``start``, ``end``,
+    ``digest`` of each unit, and one row without a digest for each document
+    row, stored."""
     d = docs.select(F.col(id_col).alias("id"), (F.col(key) if key else F.monotonically_increasing_id()).alias("rid"),
                     F.col(text_col).alias("text"))
-    u = materialize(d.mapInArrow(_units(min_words), f"id {docs.schema[id_col].dataType.simpleString()}, rid long, "
-                                                    "start long, end long, digest binary"), "units")
+    return materialize(d.mapInArrow(_units(min_words), f"id {docs.schema[id_col].dataType.simpleString()}, rid long, "
+                                                       "start long, end long, digest binary"), "units")
+
+
+def repeats(stored: DataFrame) -> DataFrame:
+    """:func:`repeated_spans` of :func:`stored_units`."""
+    u = stored.where(F.col("digest").isNotNull())
     place = F.struct(F.col("id").isNull().alias("o"), F.col("id").alias("i"), F.col("rid").alias("r"), F.col("start").alias("s"))
     first = (u.groupBy("digest").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "f"))
     return (u.join(first, "digest").where((F.col("rid") != F.col("f.r")) | (F.col("start") != F.col("f.s")))
             .select("id", "rid", "start", "end", F.col("f.i").alias("keep_id"), F.col("f.s").alias("keep_start")))
 
 
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str | None = None,
+                   min_words: int = MIN_WORDS) -> DataFrame:
+    """One row per unit to remove: ``id``, ``rid`` (``key``, or a number made
+    here), ``start``, ``end``, ``keep_id``, ``keep_start`` (the occurrence that
+    stays)."""
+    return repeats(stored_units(docs, id_col, text_col, key, min_words))
+
+
 def _cut(text: str, out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -104,12 +116,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.mapInArrow(_cut(text_col, spans), out.schema)
 
 
-def query(spark, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = docs.select("doc_id").distinct()
-    gone = (repeated_spans(docs).groupBy("id")
+def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id``, ``n_removed``, ``chars_removed``, ``removed`` (null where there
+    is nothing) of each row of ``docs``, also where ids are null or repeat."""
+    stored = stored_units(docs, id_col, text_col)
+    gone = (repeats(stored).groupBy("rid")
             .agg(F.count(F.lit(1)).alias("n_removed"), F.sum(F.col("end") - F.col("start")).alias("chars_removed"),
                  F.array_sort(F.collect_list(F.struct("start", "end", "keep_id", "keep_start"))).alias("removed")))
     none = F.lit(0).cast("long")
-    return ids.join(gone.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
-        "doc_id", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("chars_removed", none).alias("chars_removed"), "removed")
+    return stored.where(F.col("digest").isNull()).select("id", "rid").join(gone, "rid", "left").select(
+        "id", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("chars_removed", none).alias("chars_removed"), "removed")
+
+
+def query(spark, sf_dir: str) -> DataFrame:
+    return removed(read(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")

@@ -263,3 +263,11 @@ def test_passages_of_short_lines(spark):
     texts = ["All rights reserved.\nmine " + "a b c d e f.\n" + poem, "Another text altogether here.\nall  RIGHTS reserved.\n", "Begin here\n" + poem + "\nthe end"]
     got = {r.doc_id: r.text.split() for r in passages.remove_repeats(frame(spark, texts)).collect()}
     assert got == {0: texts[0].split(), 1: "Another text altogether here.".split(), 2: "Begin here the end".split()}
+
+
+def test_passages_one_row_a_document(spark):
+    """Null and repeated ids: each row of the table has its own row."""
+    line = "one line that stands here"
+    rows = passages.removed(frame(spark, [line, line + "\nmore", line, "else", None], [1, 1, None, None, 2])).collect()
+    spans = sorted((r.id or 0, r.n_removed, r.chars_removed, [(x.start, x.end, x.keep_id) for x in r.removed or []]) for r in rows)
+    assert spans == [(0, 0, 0, []), (0, 1, len(line), [(0, len(line), 1)]), (1, 0, 0, []), (1, 1, len(line), [(0, len(line), 1)]), (2, 0, 0, [])]
