@@ -28,9 +28,13 @@ from refract.llm.common import read, text_slices
 BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset
 figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre
 section summary table tbody tfoot thead tr ul""".split())
-#: Elements whose content is no text.
-SILENT = frozenset("""script style noscript template svg math head title iframe object audio video canvas select
-option button textarea datalist map""".split())
+#: Elements whose content is no text (in an object it is what stands in for
+#: it; a button is text in a heading only; an annotation repeats a formula).
+SILENT = frozenset("""script style noscript template svg head title iframe object audio video canvas select
+option button textarea datalist map annotation annotation-xml""".split())
+#: What can stand in a head; anything else ends an open one.
+IN_HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A begin of one of these ends an open one of the same.
 SELF_CLOSING = frozenset("p li dt dd tr option".split())
@@ -42,6 +46,33 @@ AWAY_NAME = re.compile(
     r"pager|pagination|popup|promo\w*|recommended|related|repl(?:y|ies)|respond|share|sharing|sidebar|signup|site-?info|skip|social|"
     r"sponsor\w*|subscribe|tags|toolbar|topbar|widgets?|alert)(?=$|[\s_-])", re.I)
 TOWARDS_NAME = re.compile(r"(?:^|[\s_-])(?:article|articlebody|body|content|entry|main|post|story|text)(?=$|[\s_-])", re.I)
+#: Of these, what an article in it or of that name is never the page's own.
+NESTED = r"ads?|advert\w*|comments?|commentlist|disqus|promo\w*|recommended|related|repl(?:y|ies)|respond|sponsor\w*|widgets?"
+HARD_NAME = re.compile(rf"(?:^|[_-])(?:{NESTED}|sidebar|foot|footer|nav|navbar|navigation|menu|newsletter|modal|popup|cookies?|consent|gdpr)(?=$|[_-])", re.I)
+#: Class names that tell of a page's or a post's kind, not what an element is.
+SAYS_NOTHING = re.compile(r"(?:has|no|with|without|tag|category|cat|format|type|status)[_-].*", re.I)
+#: A page wrapper, the header of a post, the container of a post's text.
+WRAPPER = re.compile(r"(?:[a-z0-9]+[_-])*(?:wrapper|wrap|container|layout|page|site|grid|row|columns?)", re.I)
+POST_HEADER = re.compile(r"(?:entry|post|article|story|content|page|main)[_-]+(?:header|head|heading)", re.I)
+CONTAINER = re.compile(r"(?:(?:entry|post|article|story|main|page)[_-]?(?:content|body|text)|content|articlebody|primary)", re.I)
+
+
+class Name:
+    """What class, id and role of an element say; ``away``: that it isn't main
+    text, ``container``: that it holds a post's text."""
+
+    def __init__(self, at: dict[str, str]) -> None:
+        said = [t for k in ("class", "id", "role") for t in at.get(k, "").split()]
+        said = [t for t in said if not SAYS_NOTHING.fullmatch(t)]
+        self.tokens = [t for t in said if AWAY_NAME.search(t) and not POST_HEADER.fullmatch(t)]
+        self.bare = any(AWAY_NAME.fullmatch(t) for t in self.tokens)
+        if not self.bare and any(WRAPPER.fullmatch(t) for t in said if t not in self.tokens):
+            self.tokens = []                          # "wrapper sidebar-right"
+        self.away = bool(self.tokens)
+        self.towards = any(TOWARDS_NAME.search(t) for t in said)
+        self.container = not self.away and any(CONTAINER.fullmatch(t) for t in said)
+
+
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "away", "towards", "heading")
 
 
@@ -51,7 +82,8 @@ class Blocks(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, int, str | None]] = []     # tag, away, towards, mark
+        # tag, away, towards, mark, whether an article below can be the page's (None: silent)
+        self.open: list[tuple[str, int, int, str | None, bool | None]] = []
         self.silent = self.links = 0
         self.parts: list[tuple[str, bool]] = []
         self.blocks: list[tuple] = []
@@ -61,15 +93,17 @@ class Blocks(HTMLParser):
             words = "".join(t for t, _ in self.parts).split()
             if words:
                 linked = sum(len(t.split()) for t, a in self.parts if a)
-                tag, away, towards, mark = self.open[-1] if self.open else ("", 0, 0, None)
+                tag, away, towards, mark, _ = self.open[-1] if self.open else ("", 0, 0, None, True)
                 self.blocks.append((" ".join(words), len(words), min(linked, len(words)), away, towards,
-                                    int(any(o[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for o in self.open[-3:])), mark))
+                                    int(any(o[0] in HEADINGS for o in self.open[-3:])), mark))
             self.parts = []
 
     def handle_starttag(self, tag, attrs):
-        if tag in SILENT:
+        if tag not in IN_HEAD:
+            self._end_head()
+        if tag in SILENT and not (tag == "button" and any(o[0] in HEADINGS for o in self.open)):
             self.silent += 1
-            self.open.append((tag, 0, 0, None))
+            self.open.append((tag, 0, 0, None, None))
             return
         if tag in BLOCK:
             self.flush()
@@ -80,20 +114,31 @@ class Blocks(HTMLParser):
         if tag in VOID:
             return
         self.links += tag == "a"
-        above = self.open[-1] if self.open else ("", 0, 0, None)
-        away, towards, mark = above[1], above[2], above[3]
+        above = self.open[-1] if self.open else ("", 0, 0, None, True)
+        away, towards, mark, free = above[1:]
         at = {k: v or "" for k, v in attrs}
-        name = f"{at.get('class', '')} {at.get('id', '')} {at.get('role', '')}"
+        name = Name(at)
+        hidden = "hidden" in at or "none" in at.get("style", "").replace(" ", "").partition("display:")[2][:4]
         if tag in TOWARDS or at.get("itemprop") == "articleBody":
             away, towards = 0, 1                      # an article starts afresh
-        elif tag in AWAY or AWAY_NAME.search(name) or "hidden" in at or "none" in at.get("style", "").replace(" ", "").partition("display:")[2][:4]:
-            if tag not in ("body", "html"):
-                away = 1
-        elif tag in BLOCK and TOWARDS_NAME.search(name):
+        elif tag in ("body", "html"):
+            towards |= name.towards
+        elif tag == "header" and towards and not away and not name.away:
+            pass                                      # the header of an article
+        elif tag in AWAY or name.away or hidden:
+            away = 1
+            free = free and tag not in ("aside", "nav", "footer", "menu", "dialog") and not any(HARD_NAME.search(t) for t in name.tokens)
+        elif tag in BLOCK and name.container and free:
+            away, towards = 0, 1
+        elif tag in BLOCK and name.towards:
             towards = 1
         if above[1] and tag in TOWARDS and any(o[0] in ("aside", "nav", "footer") or o[3] for o in self.open if o[1]):
             away = 1                                  # a card in a sidebar, not the page's article
-        self.open.append((tag, away, towards, at.get("y", mark)))
+        self.open.append((tag, away, int(towards), at.get("y", mark), free))
+
+    def _end_head(self):
+        if self.open and self.open[-1][0] == "head":
+            self._pop(len(self.open) - 1)
 
     def _close_before(self, tag):
         """``<p>`` ends an open paragraph of the same enclosing element."""
@@ -107,7 +152,7 @@ class Blocks(HTMLParser):
     def _pop(self, i):
         for t in self.open[i:]:
             self.links -= t[0] == "a"
-            self.silent -= t[0] in SILENT
+            self.silent -= t[4] is None
         del self.open[i:]
 
     def handle_endtag(self, tag):
@@ -127,6 +172,8 @@ class Blocks(HTMLParser):
             self.handle_starttag(tag, attrs)
 
     def handle_data(self, data):
+        if data.strip():
+            self._end_head()
         if not self.silent:
             self.parts.append((data, self.links > 0))
 
@@ -208,6 +255,8 @@ LABELLED = [
     f"<div id=comments y=0><p>{_w(44)}</p><p>{_w(9)}</p></div><div class=related y=0>{_a(4, 6)}</div></body>",
     f"<body><div class=banner y=0>{_w(16)}</div><article y=1><h1>{_w(4)}</h1><p>{_w(12)} <a href=x>{_w(8)}</a></p><ul><li><a href=x>{_w(3)}</a>"
     f"</li><li><a href=x>{_w(2)}</a></li></ul><div class=ad y=0>{_w(12)}</div><p>{_w(30)}</p><aside y=0>{_w(26)}</aside><p>{_w(15)}</p></article></body>",
+    f"<head><title>{_w(3)}</title><body><div class='wrapper has-sidebar'><div class=content y=1><div class=entry-header><h1>{_w(6)}</h1></div>"
+    f"<p>{_w(40)}</p><p>{_w(3)}</p></div><div class=sidebar y=0><p>{_w(25)}</p></div></div></body>",
 ]
 
 

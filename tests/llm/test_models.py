@@ -220,6 +220,25 @@ def test_extraction_of_a_page():
         assert isinstance(extraction.main_text(bad, tree), str)
 
 
+LONG = "This is a sentence of the article and it has some more words than the others have. " * 3
+
+
+@pytest.mark.parametrize("html, want", [
+    (f"<html><head><title>x</title><body><article><p>{LONG}</p></article></body></html>", [LONG]),
+    (f"<head><meta charset=a><div class=content><p>{LONG}</p></div></html>", [LONG]),
+    (f'<body><div class="wrapper has-sidebar"><div class="content"><h1>A title</h1><p>{LONG}</p></div></div></body>', ["A title", LONG]),
+    (f'<body><div class="wrapper sidebar-right"><div class="content"><p>{LONG}</p></div><div class="sidebar"><p>{LONG}</p></div></div></body>', [LONG]),
+    (f'<body><div class="top-banner"><div id="content"><p>{LONG}</p></div></div></body>', [LONG]),
+    (f'<body><article><div class="entry-header"><h1>A title</h1></div><p>{LONG}</p></article></body>', ["A title", LONG]),
+    (f'<body><article class="post category-ads"><header><h1>A title</h1></header><p>{LONG}</p></article></body>', ["A title", LONG]),
+    (f"<body><article><h2><button>A title</button></h2><p>{LONG}<math><mi>x</mi><mo>=</mo><annotation>q</annotation></math></p></article></body>",
+     ["A title", LONG + "x="]),
+])
+def test_extraction_keeps_whole_pages(html, want):
+    assert [b[0] for b in extraction.blocks_of("<head><title>x</title>text")] == ["text"]
+    assert extraction.main_text(html, extraction.train()).split("\n\n") == [" ".join(w.split()) for w in want]
+
+
 def test_tree_fits_its_table():
     tree = extraction.train()
     for html in extraction.LABELLED:
