@@ -48,6 +48,7 @@ AWAY_NAME = re.compile(
 TOWARDS_NAME = re.compile(r"(?:^|[\s_-])(?:article|articlebody|body|content|entry|main|post|story|text)(?=$|[\s_-])", re.I)
 #: Of these, what an article in it or of that name is never the page's own.
 NESTED = r"ads?|advert\w*|comments?|commentlist|disqus|promo\w*|recommended|related|repl(?:y|ies)|respond|sponsor\w*|widgets?"
+NESTED_NAME = re.compile(rf"(?:^|[_-])(?:{NESTED})(?=$|[_-])", re.I)
 HARD_NAME = re.compile(rf"(?:^|[_-])(?:{NESTED}|sidebar|foot|footer|nav|navbar|navigation|menu|newsletter|modal|popup|cookies?|consent|gdpr)(?=$|[_-])", re.I)
 #: Class names that tell of a page's or a post's kind, not what an element is.
 SAYS_NOTHING = re.compile(r"(?:has|no|with|without|tag|category|cat|format|type|status)[_-].*", re.I)
@@ -120,7 +121,10 @@ class Blocks(HTMLParser):
         name = Name(at)
         hidden = "hidden" in at or "none" in at.get("style", "").replace(" ", "").partition("display:")[2][:4]
         if tag in TOWARDS or at.get("itemprop") == "articleBody":
-            away, towards = 0, 1                      # an article starts afresh
+            if not free or tag == "article" and (name.bare or any(NESTED_NAME.search(t) for t in name.tokens)):
+                away, free = 1, False                 # a comment, or a card in a sidebar
+            else:
+                away, towards = 0, 1                  # an article starts afresh
         elif tag in ("body", "html"):
             towards |= name.towards
         elif tag == "header" and towards and not away and not name.away:
@@ -132,8 +136,6 @@ class Blocks(HTMLParser):
             away, towards = 0, 1
         elif tag in BLOCK and name.towards:
             towards = 1
-        if above[1] and tag in TOWARDS and any(o[0] in ("aside", "nav", "footer") or o[3] for o in self.open if o[1]):
-            away = 1                                  # a card in a sidebar, not the page's article
         self.open.append((tag, away, int(towards), at.get("y", mark), free))
 
     def _end_head(self):
@@ -257,6 +259,9 @@ LABELLED = [
     f"</li><li><a href=x>{_w(2)}</a></li></ul><div class=ad y=0>{_w(12)}</div><p>{_w(30)}</p><aside y=0>{_w(26)}</aside><p>{_w(15)}</p></article></body>",
     f"<head><title>{_w(3)}</title><body><div class='wrapper has-sidebar'><div class=content y=1><div class=entry-header><h1>{_w(6)}</h1></div>"
     f"<p>{_w(40)}</p><p>{_w(3)}</p></div><div class=sidebar y=0><p>{_w(25)}</p></div></div></body>",
+    f"<body><article y=1><header><h1>{_w(5)}</h1></header><p>{_w(50)}</p><p>{_w(20)}</p></article><section class=comments y=0><article class=comment>"
+    f"<p>{_w(30)}</p></article><article class=comment><p>{_w(4)}</p></article></section><div class=related y=0><article><h3>{_w(4)}</h3>"
+    f"<p>{_w(16)}</p></article></div></body>",
 ]
 
 

@@ -239,6 +239,18 @@ def test_extraction_keeps_whole_pages(html, want):
     assert extraction.main_text(html, extraction.train()).split("\n\n") == [" ".join(w.split()) for w in want]
 
 
+@pytest.mark.parametrize("html", [
+    '<section class="comments"><article class="comment"><p>{0}</p></article></section>',
+    '<div id="related-posts"><article><h3>A card</h3><p>{0}</p></article></div>',
+    '<article class="comment-body"><p>{0}</p></article>',
+    '<div class="comments"><div class="content"><p>{0}</p></div></div>',
+    '<aside><article><p>{0}</p></article></aside>',
+])
+def test_extraction_leaves_nested_articles_out(html):
+    page = f"<body><article><h1>A title</h1><p>{LONG}</p></article>{html.format(LONG.replace('article', 'comment'))}</body>"
+    assert extraction.main_text(page, extraction.train()).split("\n\n") == ["A title", LONG.strip()]
+
+
 def test_tree_fits_its_table():
     tree = extraction.train()
     for html in extraction.LABELLED:
