@@ -1,7 +1,9 @@
 """Secret scan with a random forest that removes false positives.
 
-DataFrame functions only: texts are split into words, words that hold a long
-run of key characters are candidates, and each candidate gets its length,
+DataFrame functions only: long runs of key characters with a digit, and what is
+assigned to a name like "password" (any length, any signs but blanks and
+quotes), are candidates.  A text is cut at them once, so that each has its own
+place and neighbours.  Each candidate gets its length,
 character transitions, distinct characters, dictionary coverage, known
 prefixes, what the words before and after it say, and what the document's path
 says.  A random forest over these, trained on a small table of labelled
@@ -27,11 +29,19 @@ from pyspark.sql import functions as F
 
 from refract.llm.common import read
 
-#: A candidate: at least 16 key characters in a run, with a digit.
+#: A candidate: at least 16 key characters in a run (dots inside), with a digit.
 RUN = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
-SPACE = r"[ \t\r\n\x0B\f]"
 #: Words that tell what a neighbouring token is.
 SECRET_WORDS = "token|secret|password|passwd|pwd|api_?key|apikey|access_?key|private_?key|auth|bearer|credential|key"
+#: An assignment to one of these, and a value that follows it (looked at only
+#: behind a separator, because looking back is slow).
+ASSIGN = rf"(?i:(?:(?<![A-Za-z])(?:key|auth)|{SECRET_WORDS.removesuffix('|key').replace('auth|', '')})[\"'`]?[ \t]{{0,3}}(?::=|=>|==?|:)[ \t]{{0,3}})"
+#: Code points on each side in which neighbours are looked for; inside a word
+#: without blanks they end at these signs.
+NEAR = 200
+FIELD = r",;{}()&|<>\[\]"
+BEFORE = rf"(?:\S+\s+){{0,3}}[^\s{FIELD}]*[{FIELD}\"'`]*$"
+AFTER = rf"^[^\s{FIELD}]*[{FIELD}\"'`.]*(?:\s+\S+){{0,2}}"
 OTHER_WORDS = "commit|sha1|sha256|sha|md5|checksum|digest|hash|uuid|guid|revision|rev|build|version|id|etag|integrity|fingerprint"
 TEST_PATHS = "test|example|sample|fixture|mock|docs?|demo"
 #: Beginnings of issued keys.
@@ -44,28 +54,30 @@ version release build license copyright apache commons http https www html json
 content public private static const error message button container section header footer""".split()
 
 FEATURES = ["length", "transitions", "distinct", "digits", "uppers", "hexes", "dictionary", "slashes", "prefix", "uuid", "ascending",
-            "before_secret", "before_other", "after_other", "path_test", "assigned"]
+            "before_secret", "before_other", "after_other", "path_test", "assigned", "named", "signs", "word", "code"]
 TREES, DEPTH, FEATURE_SHARE = 30, 8, 0.5
 THRESHOLD = 0.5
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """``id``, ``path``, ``start`` (code points), ``token``, ``before`` (up to
-    three words and what precedes the token in its own), ``after``."""
+    three words and what precedes the token in its own field), ``after``."""
     d = docs.select(F.col(id_col).alias("id"), F.col(path_col).cast("string").alias("path") if path_col else F.lit(None).cast("string").alias("path"),
                     F.col(text_col).alias("text"))
-    words = F.split("text", SPACE)
-    hit = F.filter(F.transform(words, lambda w, i: F.when((F.length(w) >= 16) & w.rlike(RUN) & w.rlike("[0-9]"), i)), lambda i: i.isNotNull())
-    d = d.where(F.col("text").rlike(RUN)).withColumn("words", words).withColumn("at", F.explode(hit))
-    word = F.element_at("words", F.col("at") + 1)
-    begin = F.aggregate(F.slice("words", 1, F.col("at")), F.lit(0).cast("long"), lambda s, w: s + F.length(w) + 1)
-    d = (d.withColumn("word", word).withColumn("begin", begin)
-         .withColumn("token", F.explode(F.regexp_extract_all("word", F.lit(f"({RUN})"), 1))).where(F.col("token").rlike("[0-9]")))
-    inside = F.expr("instr(word, token) - 1").cast("long")
-    low = F.greatest(F.col("at") - 3, F.lit(0))
-    return d.select("id", "path", (F.col("begin") + inside).alias("start"), "token",
-                    F.concat_ws(" ", F.slice("words", low + 1, F.col("at") - low), F.expr("substring_index(word, token, 1)")).alias("before"),
-                    F.concat_ws(" ", F.expr("substring(word, instr(word, token) + length(token))"), F.slice("words", F.col("at") + 2, F.lit(2))).alias("after"))
+    d = d.where(F.col("text").rlike(RUN))
+    found = F.regexp_extract_all("text", F.lit(f"({RUN})"), 1)
+    parts = F.split("text", RUN, -1)
+    d = d.withColumn("tokens", found).where(F.size("tokens") > 0).withColumn("parts", parts)
+    # ends of the parts before each token, for all tokens at once
+    sizes = F.zip_with("parts", "tokens", lambda p, t: F.struct(F.length(p).alias("p"), F.coalesce(F.length(t), F.lit(0)).alias("t")))
+    d = d.withColumn("sizes", sizes).select("id", "path", "tokens", "parts", "sizes", F.posexplode("tokens").alias("at", "token"))
+    start = F.aggregate(F.slice("sizes", 1, F.col("at")), F.lit(0).cast("long"), lambda n, z: n + z["p"] + z["t"])
+    part = lambda i: F.coalesce(F.get("parts", F.col("at") + i), F.lit(""))
+    token = lambda i: F.coalesce(F.get("tokens", F.col("at") + i), F.lit(""))
+    d = d.where(F.col("token").rlike("[0-9]"))
+    return d.select("id", "path", (start + F.length(part(0))).alias("start"), "token",
+                    F.regexp_extract(F.right(F.concat(F.right(part(-1), F.lit(NEAR)), token(-1), part(0)), F.lit(NEAR)), BEFORE, 0).alias("before"),
+                    F.regexp_extract(F.left(F.concat(part(1), token(1), F.left(part(2), F.lit(NEAR))), F.lit(NEAR)), AFTER, 0).alias("after"))
 
 
 def featured(c: DataFrame) -> DataFrame:
@@ -91,6 +103,10 @@ def featured(c: DataFrame) -> DataFrame:
         "before_other": says(F.col("before"), OTHER_WORDS),
         "after_other": says(F.col("after"), OTHER_WORDS),
         "path_test": says(F.col("path"), TEST_PATHS),
+        "named": F.coalesce(F.col("before").rlike(f"{ASSIGN}[\"'`]?$"), F.lit(False)).cast("double"),
+        "signs": count("[^A-Za-z0-9+/_.=-]") / n,
+        "word": t.rlike("^[^A-Za-z0-9]*([A-Z]?[a-z]+|[A-Z]+)([_./-]([A-Z]?[a-z]+|[A-Z]+))*[^A-Za-z0-9]*$").cast("double"),
+        "code": t.rlike("^[$%{<\\[(*]|[a-zA-Z0-9_][(\\[]|::|[$][{]|^[A-Za-z_]+([.][A-Za-z_]+)+").cast("double"),
         "assigned": F.coalesce(F.col("before").rlike("[:=]\\s*[\"'`]?$"), F.lit(False)).cast("double"),
     })
 
@@ -127,6 +143,17 @@ def labelled_findings(each: int = 60, seed: int = 7) -> list[dict]:
         add(0, some(r.choice([hexes, alnum]), r.choice([32, 40, 64])), said() + " " + r.choice(names) + sep,
             path=r.choice(["tests/fixtures", "docs/example", "sample/demo"]))
         add(0, "-".join(some("abcdefghijklmnopqrstuvwxyz", r.randint(4, 9)) for _ in range(3)) + "-" + str(r.randint(1, 99)), said())
+        # short and odd values of assignments
+        set_to = said() + " " + r.choice(["password", "passwd", "pwd", "secret", "PASSWORD", "db_password", "token", "auth"]) + sep
+        add(1, some(alnum, r.randint(7, 15)) + str(r.randint(0, 99)), set_to)
+        add(1, some(alnum, r.randint(3, 6)) + r.choice("!@#$%^*") + some(alnum + "!@#$%^*", r.randint(4, 9)), set_to)
+        add(1, some(alnum[:52], r.randint(20, 48)), set_to)
+        add(1, r.choice(["SG.", "ya29.", "eyJ"]) + some(alnum + "_-", 22) + "." + some(alnum + "_-", r.randint(30, 43)), r.choice([said(), set_to]))
+        add(0, some("abcdefghijklmnopqrstuvwxyz", r.randint(1, 12)) + r.choice(["", "", ".", "!"]), set_to)
+        add(0, some("abcdefghijklmnopqrstuvwxyz", r.randint(2, 9)).title() + r.choice(["", "."]), set_to)
+        add(0, r.choice(["None", "null", "true", "false", "changeme", "xxxxxxxx", "********", "password", "secret", "NULL", "12345", "0", "test123"]), set_to)
+        add(0, r.choice(["os.environ", "config.get(", "${", "getenv(", "user.", "self._", "{{", "<"]) + some("abcdefghijklmnopqrstuvwxyz", r.randint(3, 9)), set_to)
+        add(0, "www." + some("abcdefghijklmnopqrstuvwxyz", r.randint(4, 9)) + "." + r.choice(["com", "org"]) + "/" + r.choice(DICTIONARY) + "/" + str(r.randint(1, 9999)), said() + " ")
     return out
 
 

@@ -285,3 +285,15 @@ def test_forest_on_unseen_findings(spark):
     rows = spark.createDataFrame(secrets.labelled_findings(30, seed=99))
     s = secrets.scored(rows, secrets.train(spark)).collect()
     assert sum((x.score >= 0.5) == (x.y == 1) for x in s) >= 0.93 * len(s)
+
+
+def test_secret_places_in_one_word(spark):
+    """Minified text: each token has its own place and its own neighbours."""
+    a, b = "q8Zr2LmX0pT5vN7cW1yK4dHs", "q8Zr2LmX0pT5vN7cW1yK4dHsAb93"
+    text = f'{{"id":"{"7" * 30}","token":"{b}","hash":1,"secret":"{a}","pwd":"{a}","key":"{b}"}}'
+    rows = {x.start: x for x in secrets.candidates(docs(spark, [text])).collect()}
+    places = [text.index('"token":"') + 9, text.index('"secret":"') + 10, text.index('"pwd":"') + 7, text.index('"key":"') + 7]
+    assert sorted(rows) == [text.index("7"), *places]
+    assert [(rows[p].token, rows[p].before) for p in places] == [(b, '"token":"'), (a, '"secret":"'), (a, '"pwd":"'), (b, '"key":"')]
+    assert all(len(x.after) < 5 for x in rows.values())
+    assert sorted(x.start for x in secrets.scan(docs(spark, [text])).collect()) == places
