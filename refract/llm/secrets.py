@@ -30,12 +30,15 @@ from pyspark.sql import functions as F
 from refract.llm.common import read
 
 #: A candidate: at least 16 key characters in a run (dots inside), with a digit.
-RUN = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
+RUN = r"[A-Za-z0-9+/_\-][A-Za-z0-9+/_.\-]{14,}[A-Za-z0-9+/_\-]={0,2}"
 #: Words that tell what a neighbouring token is.
 SECRET_WORDS = "token|secret|password|passwd|pwd|api_?key|apikey|access_?key|private_?key|auth|bearer|credential|key"
 #: An assignment to one of these, and a value that follows it (looked at only
 #: behind a separator, because looking back is slow).
 ASSIGN = rf"(?i:(?:(?<![A-Za-z])(?:key|auth)|{SECRET_WORDS.removesuffix('|key').replace('auth|', '')})[\"'`]?[ \t]{{0,3}}(?::=|=>|==?|:)[ \t]{{0,3}})"
+VALUE = (rf"(?:(?<=[\"'`])(?<={ASSIGN}[\"'`])[^\s\"'`]+(?=[\"'`])"
+         rf"|(?<=[=:> \t])(?<={ASSIGN})[^\s\"'`,;<>&=]+={{0,2}})")
+CANDIDATE = f"(?:{VALUE}|{RUN})"
 #: Code points on each side in which neighbours are looked for; inside a word
 #: without blanks they end at these signs.
 NEAR = 200
@@ -64,9 +67,11 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     three words and what precedes the token in its own field), ``after``."""
     d = docs.select(F.col(id_col).alias("id"), F.col(path_col).cast("string").alias("path") if path_col else F.lit(None).cast("string").alias("path"),
                     F.col(text_col).alias("text"))
-    d = d.where(F.col("text").rlike(RUN))
-    found = F.regexp_extract_all("text", F.lit(f"({RUN})"), 1)
-    parts = F.split("text", RUN, -1)
+    d = d.where(F.col("text").rlike(f"{RUN}|{ASSIGN}"))
+    # the slow pattern where something is assigned only
+    found = F.when(F.col("text").rlike(ASSIGN), F.regexp_extract_all("text", F.lit(f"({CANDIDATE})"), 1)).otherwise(
+        F.regexp_extract_all("text", F.lit(f"({RUN})"), 1))
+    parts = F.when(F.col("text").rlike(ASSIGN), F.split("text", CANDIDATE, -1)).otherwise(F.split("text", RUN, -1))
     d = d.withColumn("tokens", found).where(F.size("tokens") > 0).withColumn("parts", parts)
     # ends of the parts before each token, for all tokens at once
     sizes = F.zip_with("parts", "tokens", lambda p, t: F.struct(F.length(p).alias("p"), F.coalesce(F.length(t), F.lit(0)).alias("t")))
@@ -74,7 +79,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     start = F.aggregate(F.slice("sizes", 1, F.col("at")), F.lit(0).cast("long"), lambda n, z: n + z["p"] + z["t"])
     part = lambda i: F.coalesce(F.get("parts", F.col("at") + i), F.lit(""))
     token = lambda i: F.coalesce(F.get("tokens", F.col("at") + i), F.lit(""))
-    d = d.where(F.col("token").rlike("[0-9]"))
+    d = d.where(F.col("token").rlike("[0-9]") & (F.length("token") >= 16) | F.right(part(0), F.lit(NEAR)).rlike(f"{ASSIGN}[\"'`]?$")
+                | (F.length(part(0)) < NEAR) & F.concat(token(-1), part(0)).rlike(f"{ASSIGN}[\"'`]?$"))
     return d.select("id", "path", (start + F.length(part(0))).alias("start"), "token",
                     F.regexp_extract(F.right(F.concat(F.right(part(-1), F.lit(NEAR)), token(-1), part(0)), F.lit(NEAR)), BEFORE, 0).alias("before"),
                     F.regexp_extract(F.left(F.concat(part(1), token(1), F.left(part(2), F.lit(NEAR))), F.lit(NEAR)), AFTER, 0).alias("after"))
