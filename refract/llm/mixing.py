@@ -19,6 +19,7 @@ gives no rows; other columns are kept as they are and not read.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,7 +112,9 @@ def fit_rates(m: DataFrame, domains: list[str], targets: dict[str, float] | None
               rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, dict[str, float]]:
     """(``id``, ``rid``, ``n_tokens``, ``domain`` (the likeliest), ``rate``,
     ``copies``; expected tokens of each domain under the rates).  ``targets``:
-    weights of the domains' tokens, of which there shall be as many as now."""
+    weights of the domains' tokens, of which there shall be as many as now.
+    Where ``rounds`` end above ``tolerance`` (targets that overlapping
+    posteriors can't meet) a warning gives the error that is left."""
     k = len(domains)
     if targets and (odd := set(targets) - set(domains)):
         raise ValueError(f"targets for unknown domains: {sorted(odd)}")
@@ -134,6 +137,9 @@ def fit_rates(m: DataFrame, domains: list[str], targets: dict[str, float] | None
             break
         steps.append(err)
         now = sums(steps)
+    left = float((np.abs(now - want) / np.where(base > 0, base, 1.0)).max(initial=0.0))
+    if left >= tolerance:
+        warnings.warn(f"mixing: targets missed by up to {left:.3g} of a domain's tokens after {len(steps)} rounds", RuntimeWarning, stacklevel=2)
     kind = m.schema["id"].dataType.simpleString()
     rates = m.mapInArrow(_rates(np.array(steps).reshape(-1, k), domains), f"id {kind}, rid long, n_tokens long, domain string, rate double")
     chance = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("mixing")), F.lit(1 << 30)) / F.lit(float(1 << 30))

@@ -308,3 +308,9 @@ def test_secret_places_in_one_word(spark):
     assert [(rows[p].token, rows[p].before) for p in places] == [(b, '"token":"'), (a, '"secret":"'), (a, '"pwd":"'), (b, '"key":"')]
     assert all(len(x.after) < 5 for x in rows.values())
     assert sorted(x.start for x in secrets.scan(docs(spark, [text])).collect()) == places
+
+
+def test_mixing_says_that_targets_are_missed(spark):
+    m = spark.createDataFrame([(1, 1, 10, [0.6, 0.4]), (2, 2, 10, [0.4, 0.6])], "id long, rid long, n_tokens long, p array<double>")
+    with pytest.warns(RuntimeWarning, match="targets missed"):
+        mixing.fit_rates(m, ["x", "y"], {"x": 1.0, "y": 0.0}, rounds=1)
