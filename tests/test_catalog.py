@@ -10,7 +10,7 @@ import pytest
 from refract.plans import catalog
 from refract.sources.tables import TABLES
 
-from conftest import SF_SMALL
+from sample_dirs import SF_SMALL
 
 catalog.load_all()
 
