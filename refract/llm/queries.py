@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from refract.llm import (exact_dedup, extraction, langid, mixing, near_vectors, ngram_join, packing, passages, secrets, toxicity)
+from refract.llm import (exact_dedup, extraction, langid, mixing, near_vectors, ngram_join, packing, passages,
+                         secrets, sharding, toxicity)
 
 QUERIES = {
     "op1_language_id": langid.query,
@@ -15,9 +16,11 @@ QUERIES = {
     "op8_ngram_jaccard_join": ngram_join.query,
     "op9_substring_dedup": passages.query,
     "op10_toxicity": toxicity.query,
+    "op12_weighted_hash_tree": sharding.query,
 }
 
 ORACLE = {
     "op4_embedding_near_dedup": near_vectors.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
+    "op12_weighted_hash_tree": sharding.ORACLE,
 }
