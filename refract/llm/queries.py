@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from refract.llm import (exact_dedup, extraction, langid, mixing, near_vectors, ngram_join, packing, passages,
+from refract.llm import (exact_dedup, extraction, infill, langid, mixing, near_vectors, ngram_join, packing, passages,
                          secrets, sharding, toxicity)
 
 QUERIES = {
@@ -16,11 +16,13 @@ QUERIES = {
     "op8_ngram_jaccard_join": ngram_join.query,
     "op9_substring_dedup": passages.query,
     "op10_toxicity": toxicity.query,
+    "op11_fill_in_middle": infill.query,
     "op12_weighted_hash_tree": sharding.query,
 }
 
 ORACLE = {
     "op4_embedding_near_dedup": near_vectors.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
+    "op11_fill_in_middle": infill.ORACLE,
     "op12_weighted_hash_tree": sharding.ORACLE,
 }
