@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from refract.llm import (exact_dedup, extraction, infill, langid, mixing, near_vectors, ngram_join, packing, passages,
-                         secrets, sharding, toxicity)
+from refract.llm import (alignment, exact_dedup, extraction, infill, langid, mixing, near_vectors, ngram_join, packing,
+                         passages, secrets, sharding, toxicity)
 
 QUERIES = {
     "op1_language_id": langid.query,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_toxicity": toxicity.query,
     "op11_fill_in_middle": infill.query,
     "op12_weighted_hash_tree": sharding.query,
+    "op13_cross_tokenizer_alignment": alignment.query,
 }
 
 ORACLE = {

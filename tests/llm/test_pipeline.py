@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_all_are_registered():
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 13))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 14))
     assert set(queries.ORACLE) <= set(entry.oracle_sql())
 
 
