@@ -43,10 +43,11 @@ def keyed(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 
 def content_keyed(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
-    """``df`` with a key made of id and text, for decisions that are the same
-    for rows that repeat both: nothing needs to be stored for it."""
+    """``df`` with a key of 128 bits made of id and text, for decisions that are
+    the same for rows that repeat both: nothing needs to be stored for it."""
     key = fresh(df, "_key")
-    return df.withColumn(key, F.xxhash64(id_col, text_col, F.lit(0))), key
+    said = F.concat(*[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string"), F.lit("\0")), F.lit("\0")) for c in (id_col, text_col)])
+    return df.withColumn(key, F.unhex(F.md5(said.cast("binary")))), key
 
 
 def keep_rows(rows: DataFrame, key: str, kept: DataFrame) -> DataFrame:

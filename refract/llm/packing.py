@@ -35,10 +35,10 @@ CAPACITY = 4096
 END_ID = 1
 #: Bounds of what one task packs.
 SHARD_TOKENS, SHARD_PIECES = 1 << 26, 1 << 17
-#: Distinct words whose ids a worker remembers.
-CACHE_WORDS = 1 << 20
+#: Distinct words whose ids a task remembers.
+CACHE_WORDS = 1 << 17
 #: Text bytes encoded at once.
-ENCODE_BYTES = 4 << 20
+ENCODE_BYTES = 1 << 20
 
 PIECE = "doc_id {id}, rid long, piece int, start long, length long, ids_crc32 long"
 
@@ -67,20 +67,20 @@ def byte_letters() -> str:
 class Encoder:
     """Token ids of texts.  The vocabulary splits at white space and drops it,
     so a text's ids are those of its words one after another; each distinct
-    word is encoded once and remembered (at most ``CACHE_WORDS``)."""
+    word is encoded once and remembered (at most ``CACHE_WORDS``, and no longer
+    than the encoder lives; a worker keeps the tokenizer alone)."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         held = worker_cache("tokens")
         if path not in held:
             from tokenizers import Tokenizer
-            held[path] = {"tokenizer": Tokenizer.from_file(path)}
-        self.held = held[path]
-        self.tokenizer = self.held["tokenizer"]
+            held[path] = Tokenizer.from_file(path)
+        self.held: dict = {}
+        self.tokenizer = held[path]
         self.model = self.tokenizer.model
         self.letters = byte_letters()
-        if "words" not in self.held:
-            self._forget()
+        self._forget()
 
     def _forget(self) -> None:
         self.held.update(words={}, parts={}, begin=np.zeros(0, np.int64), size=np.zeros(0, np.int64),
