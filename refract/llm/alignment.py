@@ -16,9 +16,9 @@ composes them.  A cuts where its own pattern always parts words, B before a
 space behind another sign, where none of its pieces reaches across; so a
 fragment's tokens are those of the whole text.
 
-Shorter documents are cut at such spaces too, into units of about a word whose
-first and last bytes both vocabularies share, so that a unit's alignment is
-closed and is worked out once for each task (a cache of bounded size).
+A shorter document is one fragment.  A slice of such documents is one stream
+of tokens, in which both vocabularies end where a document ends, so that arrays
+hold the work of all of them and no Python code runs per token.
 
 Counts.  Two tokens that end together spell bytes of which one is the end of
 the other's.  So the number of different (A id, B id) pairs is bounded by the
@@ -53,14 +53,14 @@ from refract.session import materialize
 #: Texts of more bytes are aligned in parts of about so many, and so many
 #: fragments are composed by one step of the tree.
 LONG, PART, FAN = 1 << 16, 1 << 15, 8
-#: Bytes of units and of their groups that a task remembers.
-CACHE_BYTES = 24 << 20
+#: Bytes of text that are aligned at once.
+SLICE = 1 << 18
 #: Where A's pattern always parts words, in every version of Unicode.
 A_CUT = re.compile(r"(?<=\S)(?= )|(?<=[A-Za-z])(?=[!-/:-@\[-`{-~])")
 #: Where no piece of B reaches across.
 B_CUT = re.compile(r"(?<=\S)(?= )")
-_UNITS = re.compile(r"(?<=\S) ")
-_LATIN = re.compile(r"[\0-\xff]*")
+#: Signs that every version of Unicode knows alike: Latin letters, dashes, quotes.
+_LATIN = re.compile("[\0-\u024f\u2010-\u2027]*")
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 ALIGNED = "id {id}, rid long, n_a long, n_b long, n_groups long, links array<long>, groups string"
@@ -124,8 +124,26 @@ class Vocabularies:
             return []
         return [x or [self.space] for x in self.pieces.encode(texts, num_threads=1)]
 
-    def spell(self, ids: list[int], table: list[bytes]) -> bytes:
-        return b"".join(map(table.__getitem__, ids))
+    def streams(self, texts: list[str]) -> tuple[Tokens, np.ndarray, np.ndarray]:
+        """(tokens of all texts, each behind a space, one after another; ends of
+        each text's tokens of A and of B).  A text that one of the two doesn't
+        spell has none."""
+        a, b = self.a([" " + t for t in texts]), self.b(texts)
+        spelt = [(" " + t).encode() for t in texts]
+        for k, x in enumerate(spelt):
+            if not (spells(a[k], self.a_bytes, x) and spells(b[k], self.b_bytes, x)):
+                a[k], b[k] = [], []
+        return (Tokens(*self.ends(a, self.a_len), *self.ends(b, self.b_len)),
+                *[np.cumsum(np.fromiter(map(len, x), np.int64, len(x))) for x in (a, b)])
+
+    @staticmethod
+    def ends(ids: list[list[int]], length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, sum(map(len, ids)))
+        return flat, np.cumsum(length[flat])
+
+
+def spells(ids: list[int], table: list[bytes], text: bytes) -> bool:
+    return b"".join(map(table.__getitem__, ids)) == text
 
 
 def vocabularies(a_path: str, b_path: str) -> Vocabularies:
@@ -190,19 +208,28 @@ EMPTY = Fragment(0, 0, False, NO_TOKENS, NO_GROUPS, NO_TOKENS)
 
 def common_ends(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
     """Places just after the tokens of A and of B that end together."""
-    _, i, j = np.intersect1d(t.a_end, t.b_end, assume_unique=True, return_indices=True)
-    return i + 1, j + 1
+    if not len(t.a) or not len(t.b):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    j = np.minimum(np.searchsorted(t.b_end, t.a_end), len(t.b_end) - 1)
+    i = np.flatnonzero(t.b_end[j] == t.a_end)
+    return i + 1, j[i] + 1
 
 
-def group_texts(t: Tokens, i: np.ndarray, j: np.ndarray) -> list[str]:
+def group_texts(t: Tokens, i: np.ndarray, j: np.ndarray) -> pa.Array:
     """``a1,a2|b1`` of each group; ``i`` and ``j`` are the ends of all groups,
     which begin with the first tokens."""
-    a, b = list(map(str, t.a.tolist())), list(map(str, t.b.tolist()))
-    out, p, q = [], 0, 0
-    for x, y in zip(i.tolist(), j.tolist()):
-        out.append(f"{a[p]}|{b[q]}" if x - p == 1 == y - q else f"{','.join(a[p:x])}|{','.join(b[q:y])}")
-        p, q = x, y
-    return out
+    sides = []
+    for ids, ends in ((t.a, i), (t.b, j)):
+        n = int(ends[-1]) if len(ends) else 0
+        lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], ends])), pa.array(ids[:n]).cast(pa.string()))
+        sides.append(pc.binary_join(lists, ","))
+    return pc.binary_join_element_wise(*sides, "|")
+
+
+def texts_of(groups: pa.Array, first: np.ndarray, last: np.ndarray) -> pa.Array:
+    """The groups of each document, one behind another, as a text."""
+    lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([first[:1], last])), groups)
+    return pc.binary_join(lists, ";")
 
 
 def groups_of(t: Tokens, size_b: int) -> tuple[Groups, Tokens]:
@@ -210,7 +237,7 @@ def groups_of(t: Tokens, size_b: int) -> tuple[Groups, Tokens]:
     i, j = common_ends(t)
     if not len(i):
         return NO_GROUPS, t
-    return (Groups(len(i), t.a[i - 1] * size_b + t.b[j - 1], ";".join(group_texts(t, i, j))),
+    return (Groups(len(i), t.a[i - 1] * size_b + t.b[j - 1], texts_of(group_texts(t, i, j), np.zeros(1, np.int64), np.array([len(i)]))[0].as_py()),
             t.cut(i[-1], None, j[-1], None))
 
 
@@ -246,85 +273,32 @@ def finished(x: Fragment, size_b: int) -> Groups:
 
 
 # ------------------------------------------------------------- short texts
-class Units:
-    """Alignments of units by their text, at most ``limit`` bytes of them."""
-
-    def __init__(self, v: Vocabularies, limit: int = CACHE_BYTES) -> None:
-        self.v, self.limit = v, limit
-        self._forget()
-
-    def _forget(self) -> None:
-        self.at: dict[str, int] = {}
-        self.bytes, self.texts = 0, []
-        self.n = np.zeros((0, 4), np.int64)               # tokens of A and B, groups, 1 if the bytes come back
-        self.begin, self.links = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self, new: list[str]) -> None:
-        v, size_b = self.v, len(self.v.b_bytes)
-        a, b = v.a([" " + x for x in new]), v.b(new)
-        ok = np.ones(len(new), bool)
-        for k, x in enumerate(new):
-            spelt = (" " + x).encode()
-            if v.spell(a[k], v.a_bytes) != spelt or v.spell(b[k], v.b_bytes) != spelt:
-                ok[k], a[k], b[k] = False, (), ()
-        # one stream of all units: both vocabularies end where a unit ends
-        na, nb = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
-        ia, ib = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((a, na), (b, nb)))
-        t = Tokens(ia, np.cumsum(v.a_len[ia]), ib, np.cumsum(v.b_len[ib]))
-        i, j = common_ends(t)
-        texts, last = group_texts(t, i, j), np.searchsorted(i, np.cumsum(na), "right")
-        first = np.concatenate([[0], last[:-1]])
-        found = [";".join(texts[s:e]) for s, e in zip(first.tolist(), last.tolist())]
-        self.at.update(zip(new, range(len(self.texts), len(self.texts) + len(new))))
-        self.texts += found
-        self.bytes += sum(map(len, new)) + sum(map(len, found))
-        self.begin = np.concatenate([self.begin, len(self.links) + first])
-        self.links = np.concatenate([self.links, ia[i - 1] * size_b + ib[j - 1]])
-        self.n = np.concatenate([self.n, np.column_stack([na, nb, last - first, ok])])
-
-    def align(self, texts: list[str]) -> list[tuple[int, int, Groups]]:
-        """(tokens of A, tokens of B, groups) of each text."""
-        parts = [_UNITS.split(t) if t else [] for t in texts]
-        names = list(chain.from_iterable(parts))
-        if self.bytes > self.limit:
-            self._forget()
-        new = list(dict.fromkeys(x for x in names if x not in self.at))
-        if new:
-            self._learn(new)
-        unit = np.fromiter(map(self.at.__getitem__, names), np.int64, len(names))
-        n = self.n[unit]
-        upto = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(n, axis=0)])
-        at = np.arange(int(upto[-1, 2])) - np.repeat(upto[:-1, 2] - self.begin[unit], n[:, 2])
-        links = self.links[at]
-        out, e = [], 0
-        for p in parts:
-            s, e = e, e + len(p)
-            na, nb, ng, ok = (upto[e] - upto[s]).tolist()
-            if ok < e - s or not p:
-                out.append((0, 0, NO_GROUPS))
-            else:
-                out.append((na, nb, Groups(ng, links[upto[s, 2]:upto[e, 2]], ";".join(map(self.texts.__getitem__, unit[s:e].tolist())))))
-        return out
-
-
 def _lists(parts: list[np.ndarray], kind) -> pa.Array:
     off = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)]).astype(np.int32)
     flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
     return pa.ListArray.from_arrays(pa.array(off), pa.array(flat.astype(kind)))
 
 
-def _aligned(ids: pa.Array, rids: pa.Array, found: list[tuple[int, int, Groups]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [ids, rids, *[pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], pa.array([f[2].n for f in found], pa.int64()),
-         _lists([f[2].links for f in found], np.int64), pa.array([f[2].text for f in found], pa.string())],
-        ["id", "rid", "n_a", "n_b", "n_groups", "links", "groups"])
+def _rows(ids, rids, n_a, n_b, n_groups, links: pa.Array, groups: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, rids, *[pa.array(x, pa.int64()) for x in (n_a, n_b, n_groups)], links, groups],
+                                      ["id", "rid", "n_a", "n_b", "n_groups", "links", "groups"])
 
 
 def _short(files: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units(vocabularies(*files))
-        for b in text_slices(batches, "text"):
-            yield _aligned(b.column("id"), b.column("rid"), units.align(pc.fill_null(b.column("text"), "").to_pylist()))
+        v = vocabularies(*files)
+        for b in text_slices(batches, "text", SLICE):
+            texts = pc.fill_null(b.column("text"), "").to_pylist()
+            some = np.flatnonzero(np.fromiter(map(bool, texts), bool, len(texts)))
+            t, a_end, b_end = v.streams([texts[k] for k in some])
+            # of each row, also of those without text
+            row_end = [np.cumsum(np.bincount(some, weights=np.diff(x, prepend=0), minlength=len(texts)).astype(np.int64)) for x in (a_end, b_end)]
+            i, j = common_ends(t)
+            last = np.searchsorted(i, row_end[0], "right")
+            first = np.concatenate([[0], last[:-1]])
+            links = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], last]).astype(np.int32)), pa.array(t.a[i - 1] * len(v.b_bytes) + t.b[j - 1]))
+            yield _rows(b.column("id"), b.column("rid"), *[np.diff(x, prepend=0) for x in row_end], last - first, links,
+                        texts_of(group_texts(t, i, j), first, last))
     return run
 
 
@@ -372,11 +346,10 @@ def tokens_of(v: Vocabularies, a: str, b: str, a_at: int, b_at: int) -> tuple[To
     """The tokens of a part, and whether they spell it."""
     ia = v.a([a])[0] if a else []
     ib = v.b([b[1:]])[0] if b else []
-    ok = v.spell(ia, v.a_bytes) == a.encode() and v.spell(ib, v.b_bytes) == b.encode()
-    if not ok:
+    if not (spells(ia, v.a_bytes, a.encode()) and spells(ib, v.b_bytes, b.encode())):
         return NO_TOKENS, False
-    ia, ib = np.array(ia, np.int64), np.array(ib, np.int64)
-    return Tokens(ia, a_at + np.cumsum(v.a_len[ia]), ib, b_at + np.cumsum(v.b_len[ib])), True
+    (ia, a_end), (ib, b_end) = v.ends([ia], v.a_len), v.ends([ib], v.b_len)
+    return Tokens(ia, a_at + a_end, ib, b_at + b_end), True
 
 
 def _fragment_rows(ids, rids, parts: list[int], found: list[tuple[bool, Fragment]]) -> pa.RecordBatch:
@@ -426,7 +399,8 @@ def _documents(size_b: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [(f.n_a, f.n_b, finished(f, size_b)) if ok else (0, 0, NO_GROUPS) for ok, f in _read_fragments(pa.Table.from_batches([b]))]
-            yield _aligned(b.column("id"), b.column("rid"), found)
+            yield _rows(b.column("id"), b.column("rid"), [f[0] for f in found], [f[1] for f in found], [f[2].n for f in found],
+                        _lists([f[2].links for f in found], np.int64), pa.array([f[2].text for f in found], pa.string()))
     return run
 
 

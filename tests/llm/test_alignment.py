@@ -143,13 +143,3 @@ def test_fragments_compose_associatively_to_the_whole(s):
         p, q = x, y
     done = finished(parts[0], 1000)
     assert done.text == written(groups) and done.n == len(groups) and done.links.tolist() == [x[-1] * 1000 + y[-1] for x, y in groups]
-
-
-def test_the_cache_forgets_and_stays_right():
-    v = alignment.vocabularies(*FILES)
-    small, large = alignment.Units(v, 2000), alignment.Units(v)
-    r = random.Random(2)
-    for _ in range(20):
-        texts = [" ".join(r.choice("abcdefg") * r.randint(1, 9) for _ in range(30)) for _ in range(5)] + ["", "a▁b c"]
-        x, y = small.align(texts), large.align(texts)
-        assert [(p[:2], p[2].n, p[2].links.tolist(), p[2].text) for p in x] == [(p[:2], p[2].n, p[2].links.tolist(), p[2].text) for p in y]
