@@ -228,33 +228,96 @@ def test_plan_follows_the_rows():
     assert small[0] < large[0] and small[1] < large[1]
 
 
-def test_passages_against_brute_force(spark):
+def plain_runs(text, least):
+    """(start, end, what is compared) by the docstring's rules, with loops."""
+    out = set()
+    at = 0
+    for line in (text or "").split("\n"):
+        ends, i = [], 0
+        while i < len(line):
+            if line[i] in ".!?":
+                while i < len(line) and line[i] in ".!?":
+                    i += 1
+                if i == len(line) or not (line[i].isalnum() or line[i] == "_"):
+                    ends.append(i)
+            elif line[i].isspace() and i and not line[i - 1].isspace() and line[i - 1] not in ".!?":
+                while i < len(line) and line[i].isspace():
+                    i += 1
+                if i < len(line) and line[i] in "ABCDEFGHIJKLMNOPQRSTUVWXYZÉ":
+                    ends.append(i)
+            else:
+                i += 1
+        units = [(s, e) for s, e in zip([0, *ends], [*ends, len(line)]) if line[s:e].split()]
+        low = lambda s, e: " ".join(line[s:e].lower().split())
+        n = lambda i, j: sum(len(line[s:e].split()) for s, e in units[i:j])
+
+        def add(i, j, kind):
+            s, e = units[i][0], units[j - 1][1]
+            body = line[s:e]
+            out.add((at + s + len(body) - len(body.lstrip()), at + s + len(body.rstrip()), kind + low(s, e)))
+        if units and n(0, len(units)) < least:
+            add(0, len(units), "line ")
+        for i in range(len(units)):
+            for j in range(i + 1, len(units) + 1):
+                if n(i, j) >= least and (n(i, j - 1) < least or n(i + 1, j) < least):
+                    add(i, j, "run ")
+        at += len(line) + 1
+    return sorted(out)
+
+
+def odd_pages(seed):
+    r = random.Random(seed)
+    word = lambda: r.choice(["a", "bb", "Cc", "É", "d.", "e!", "f?!", "3.14", "g.&&", "it", "x_y", "...", "U.S."])
+    parts = [" ".join(word() for _ in range(r.randint(1, 14))) for _ in range(12)]
+    return ["".join(r.choice([r.choice(parts), word()]) + r.choice([" ", " ", "\n", "  ", ""]) for _ in range(r.randint(0, 12))) for _ in range(40)]
+
+
+@pytest.mark.parametrize("least", [1, 3, 8])
+def test_passages_against_brute_force(spark, least):
     long = " ".join(f"p{i}" for i in range(60)) + "."
     texts = [f"Intro one of mine here. {long} tail words", None, "", f"Other start is this. And more, {long}\n{long.upper()} End.", "A b.\nA b.\n",
-             f"x\n\n {long}  \ny", "one two three four five six", "ONE two  three four five six"]
-    df = frame(spark, texts).repartition(3)
-    first, want = {}, defaultdict(list)
+             f"x\n\n {long}  \ny", "one two three four five six", "ONE two  three four five six", "x. x. x. x. x. x. x. x. x. x. x. x.", *odd_pages(1), *odd_pages(2)]
+    first, want = {}, defaultdict(set)
     for i, t in enumerate(texts):
-        for start, end, digest in passages.units_of(t or ""):
-            if digest in first:
-                want[i].append((start, end, *first[digest]))
-            first.setdefault(digest, (i, start))
-    got = defaultdict(list)
-    for r in passages.repeated_spans(df).collect():
-        got[r.id].append((r.start, r.end, r.keep_id, r.keep_start))
-    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()} and {3, 5, 7} <= set(got)
-    for i, spans in got.items():
-        for s, e, keep, at in spans:
-            a, b = texts[i][s:e], texts[keep][at:]
-            assert a == a.strip() and b.lower().split()[:len(a.split())] == a.lower().split()
-    out = passages.remove_repeats(df)
+        for start, end, said in plain_runs(t, least):
+            if said in first:
+                keep, at, e = first[said]
+                want[i].add((max(start, e) if keep == i else start, end, keep, at))
+            else:
+                first[said] = (i, start, end)
+    want = {i: sorted(x for x in v if x[0] < x[1]) for i, v in want.items()}
+    want = {i: v for i, v in want.items() if v}
+    df = frame(spark, texts).repartition(3)
+    got = defaultdict(set)
+    for r in passages.repeated_runs(df, least=least).collect():
+        got[r.id].add((r.start, r.end, r.keep_id, r.keep_start))
+    assert {i: sorted(v) for i, v in got.items()} == want
+    out = passages.remove_repeats(df, least=least)
     assert out.columns == [*df.columns, "removed"]
     for r in out.collect():
         t = texts[r.doc_id]
-        for s in sorted(r.removed or [], key=lambda x: -x.start):
-            t = t[:s.start] + t[s.end:]
-        assert r.text == t
-    assert passages.repeated_spans(df.where("doc_id < 0")).count() == 0
+        gone = {k for s, e, *_ in want.get(r.doc_id, []) for k in range(s, e)}
+        assert r.text == (t if t is None else "".join(c for k, c in enumerate(t) if k not in gone))
+        assert sorted({k for s in r.removed or [] for k in range(s.start, s.end)}) == sorted(gone)
+    assert passages.repeated_runs(df.where("doc_id < 0")).count() == 0
+
+
+def test_passages_leave_lone_short_sentences_and_settle_frequent_ones(spark):
+    r = random.Random(4)
+    texts = [" ".join(f"{r.choice('abcdefghij')}{r.randint(0, 10 ** 6)}" for _ in range(12)) + f" {i}. The end. So it is! More {i} here." for i in range(300)]
+    hot = "This very line of more than eight words stands in each of them."
+    texts = [t + "\n" + hot for t in texts]
+    stored = passages.stored_units(frame(spark, texts), "doc_id", "text")
+    for heavy in (4, 4096):
+        got = {(r.id, texts[r.id][r.start:r.end], r.keep_id) for r in passages.repeats(stored, heavy).collect()}
+        assert got == {(i, hot, 0) for i in range(1, 300)}
+
+
+def test_passages_pasted_into_a_sentence(spark):
+    passage = "That one was seen by nobody at all here. It then went away. So they say."
+    texts = [f"begin {passage} and so on", f"Another one begins, and then {passage} Then it ends", f"quite else.&&& {passage}"]
+    out = {r.doc_id: r.text for r in passages.remove_repeats(frame(spark, texts)).collect()}
+    assert out == {i: t if i == 0 else t.replace(passage, "") for i, t in enumerate(texts)}
 
 
 def test_passages_of_short_lines(spark):
