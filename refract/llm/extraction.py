@@ -1,10 +1,13 @@
 """Main text of HTML pages from flat text blocks.
 
-A page is cut into blocks at block-level tags.  Each block has its number of
-words and link density, those of its neighbours, and what its enclosing
-elements say of themselves (navigation, footer, advert, comments ... or
-article, main).  A decision tree over these, trained on a small labelled table
-of pages (:data:`LABELLED`), keeps or drops it.
+A page is cut into blocks at block-level tags.  What the parser knows is HTML's
+syntax only.  Each block has its number of words and link density, those of its
+neighbours (-1: none), its place in the tree, what enclosing elements say of
+themselves by tag, class, id and role (navigation, footer, comments ... or
+article, main) with the share of the page's words that they hold, and its
+distance from the element that holds most of the text.  A decision tree over
+these, trained on labelled pages (:mod:`refract.llm.labelled_pages`), keeps or
+drops it.
 
 Defined results: a null or empty page, and one without kept blocks, gives an
 empty text; broken markup is read as far as it goes; repeated rows are pages
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -22,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from refract.llm import labelled_pages
 from refract.llm.common import read, text_slices
 
 #: Elements whose begin and end part blocks.
@@ -36,75 +41,90 @@ option button textarea datalist map annotation annotation-xml""".split())
 IN_HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: What holds paragraphs.
+HOLDERS = frozenset("article aside blockquote body center dd details dialog div fieldset footer form header html main menu nav section td th".split())
 #: A begin of one of these ends an open one of the same.
 SELF_CLOSING = frozenset("p li dt dd tr option".split())
-AWAY = frozenset("nav footer aside header form menu dialog".split())
+#: Elements, and words in class, id and role, that say what a part of a page is.
+AWAY = frozenset("nav footer aside menu dialog".split())
+HEADER = frozenset("header form".split())
 TOWARDS = frozenset("article main".split())
-AWAY_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|byline|comments?|commentlist|consent|cookies?|disclaimer|disqus|dropdown|"
-    r"foot|footer|gdpr|head|header|login|masthead|menu|meta|modal|nav|navbar|navigation|newsletter|notices?|"
-    r"pager|pagination|popup|promo\w*|recommended|related|repl(?:y|ies)|respond|share|sharing|sidebar|signup|site-?info|skip|social|"
-    r"sponsor\w*|subscribe|tags|toolbar|topbar|widgets?|alert)(?=$|[\s_-])", re.I)
-TOWARDS_NAME = re.compile(r"(?:^|[\s_-])(?:article|articlebody|body|content|entry|main|post|story|text)(?=$|[\s_-])", re.I)
-#: Of these, what an article in it or of that name is never the page's own.
-NESTED = r"ads?|advert\w*|comments?|commentlist|disqus|promo\w*|recommended|related|repl(?:y|ies)|respond|sponsor\w*|widgets?"
-NESTED_NAME = re.compile(rf"(?:^|[_-])(?:{NESTED})(?=$|[_-])", re.I)
-HARD_NAME = re.compile(rf"(?:^|[_-])(?:{NESTED}|sidebar|foot|footer|nav|navbar|navigation|menu|newsletter|modal|popup|cookies?|consent|gdpr)(?=$|[_-])", re.I)
+AWAY_WORDS = frozenset("""ad ads advert adverts advertisement advertising adsbygoogle adsense alert aside banner breadcrumb breadcrumbs cc colophon
+comment commentlist comments consent cookie cookies copyright discussion disqus dropdown feedback foot footer gdpr login menu modal nav navbar
+navigation newsletter next notice notices notification notifications pager pagination popup privacy promo promos promotion rail recommended related
+replies reply respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets""".split())
+HEADER_WORDS = frozenset("byline head header masthead meta tags top".split())
+TOWARDS_WORDS = frozenset("article articlebody body content entry hentry main post story text".split())
 #: Class names that tell of a page's or a post's kind, not what an element is.
 SAYS_NOTHING = re.compile(r"(?:has|no|with|without|tag|category|cat|format|type|status)[_-].*", re.I)
-#: A page wrapper, the header of a post, the container of a post's text.
-WRAPPER = re.compile(r"(?:[a-z0-9]+[_-])*(?:wrapper|wrap|container|layout|page|site|grid|row|columns?)", re.I)
-POST_HEADER = re.compile(r"(?:entry|post|article|story|content|page|main)[_-]+(?:header|head|heading)", re.I)
-CONTAINER = re.compile(r"(?:(?:entry|post|article|story|main|page)[_-]?(?:content|body|text)|content|articlebody|primary)", re.I)
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "item", "depth",
+            "away_share", "away_nearest", "header_share", "towards_share", "nearest", "holder_share", "in_main", "from_main", "before_main", "blocks")
 
-class Name:
-    """What class, id and role of an element say; ``away``: that it isn't main
-    text, ``container``: that it holds a post's text."""
 
-    def __init__(self, at: dict[str, str]) -> None:
-        said = [t for k in ("class", "id", "role") for t in at.get(k, "").split()]
-        said = [t for t in said if not SAYS_NOTHING.fullmatch(t)]
-        self.tokens = [t for t in said if AWAY_NAME.search(t) and not POST_HEADER.fullmatch(t)]
-        self.bare = any(AWAY_NAME.fullmatch(t) for t in self.tokens)
-        if not self.bare and any(WRAPPER.fullmatch(t) for t in said if t not in self.tokens):
-            self.tokens = []                          # "wrapper sidebar-right"
-        self.away = bool(self.tokens)
-        self.towards = any(TOWARDS_NAME.search(t) for t in said)
-        self.container = not self.away and any(CONTAINER.fullmatch(t) for t in said)
+def said(at: dict[str, str]) -> set[str]:
+    """The words of class, id and role."""
+    names = [t for k in ("class", "id", "role") for t in at.get(k, "").split()]
+    return {w.lower() for t in names if not SAYS_NOTHING.fullmatch(t) for w in _WORD.findall(t)}
 
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "away", "towards", "heading")
+class Element:
+    """``away``, ``header``, ``towards``: what its tag and names say; ``words``:
+    how many lie in it."""
+
+    __slots__ = ("tag", "above", "depth", "away", "header", "towards", "mark", "silent", "words", "plain")
+
+    def __init__(self, tag: str, above: Element | None, at: dict[str, str], silent: bool = False) -> None:
+        words = said(at)
+        hidden = "hidden" in at or "none" in at.get("style", "").replace(" ", "").partition("display:")[2][:4]
+        self.tag, self.above, self.silent, self.words, self.plain = tag, above, silent, 0, 0
+        self.depth = above.depth + 1 if above else 0
+        page = tag in ("html", "body")
+        self.away = not page and (tag in AWAY or hidden or not words.isdisjoint(AWAY_WORDS))
+        self.header = not page and (tag in HEADER or not words.isdisjoint(HEADER_WORDS))
+        self.towards = not page and (tag in TOWARDS or at.get("itemprop") == "articleBody" or not words.isdisjoint(TOWARDS_WORDS))
+        self.mark = at.get("y", above.mark if above else None)
+
+    def path(self) -> Iterator[Element]:
+        e = self
+        while e is not None:
+            yield e
+            e = e.above
 
 
 class Blocks(HTMLParser):
-    """(text, words, words in links, away, towards, heading, mark) of each
-    block; ``mark`` is the ``y`` attribute of a labelled page."""
+    """The text blocks of a page: (text, words, words in links, element)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        # tag, away, towards, mark, whether an article below can be the page's (None: silent)
-        self.open: list[tuple[str, int, int, str | None, bool | None]] = []
+        self.root = Element("", None, {})
+        self.open: list[Element] = [self.root]
         self.silent = self.links = 0
         self.parts: list[tuple[str, bool]] = []
-        self.blocks: list[tuple] = []
+        self.blocks: list[tuple[str, int, int, Element]] = []
 
     def flush(self) -> None:
         if self.parts:
             words = "".join(t for t, _ in self.parts).split()
             if words:
-                linked = sum(len(t.split()) for t, a in self.parts if a)
-                tag, away, towards, mark, _ = self.open[-1] if self.open else ("", 0, 0, None, True)
-                self.blocks.append((" ".join(words), len(words), min(linked, len(words)), away, towards,
-                                    int(any(o[0] in HEADINGS for o in self.open[-3:])), mark))
+                linked = min(sum(len(t.split()) for t, a in self.parts if a), len(words))
+                at = self.open[-1]
+                for e in at.path():
+                    e.words += len(words)
+                holder = at
+                while holder.tag not in HOLDERS and holder.above:
+                    holder = holder.above
+                holder.plain += len(words) - linked
+                self.blocks.append((" ".join(words), len(words), linked, at))
             self.parts = []
 
     def handle_starttag(self, tag, attrs):
         if tag not in IN_HEAD:
             self._end_head()
-        if tag in SILENT and not (tag == "button" and any(o[0] in HEADINGS for o in self.open)):
+        if tag in SILENT and not (tag == "button" and any(e.tag in HEADINGS for e in self.open)):
             self.silent += 1
-            self.open.append((tag, 0, 0, None, None))
+            self.open.append(Element(tag, self.open[-1], {}, True))
             return
         if tag in BLOCK:
             self.flush()
@@ -115,63 +135,39 @@ class Blocks(HTMLParser):
         if tag in VOID:
             return
         self.links += tag == "a"
-        above = self.open[-1] if self.open else ("", 0, 0, None, True)
-        away, towards, mark, free = above[1:]
-        at = {k: v or "" for k, v in attrs}
-        name = Name(at)
-        hidden = "hidden" in at or "none" in at.get("style", "").replace(" ", "").partition("display:")[2][:4]
-        if tag in TOWARDS or at.get("itemprop") == "articleBody":
-            if not free or tag == "article" and (name.bare or any(NESTED_NAME.search(t) for t in name.tokens)):
-                away, free = 1, False                 # a comment, or a card in a sidebar
-            else:
-                away, towards = 0, 1                  # an article starts afresh
-        elif tag in ("body", "html"):
-            towards |= name.towards
-        elif tag == "header" and towards and not away and not name.away:
-            pass                                      # the header of an article
-        elif tag in AWAY or name.away or hidden:
-            away = 1
-            free = free and tag not in ("aside", "nav", "footer", "menu", "dialog") and not any(HARD_NAME.search(t) for t in name.tokens)
-        elif tag in BLOCK and name.container and free:
-            away, towards = 0, 1
-        elif tag in BLOCK and name.towards:
-            towards = 1
-        self.open.append((tag, away, int(towards), at.get("y", mark), free))
+        self.open.append(Element(tag, self.open[-1], {k: v or "" for k, v in attrs}))
 
     def _end_head(self):
-        if self.open and self.open[-1][0] == "head":
+        if self.open[-1].tag == "head":
             self._pop(len(self.open) - 1)
 
     def _close_before(self, tag):
         """``<p>`` ends an open paragraph of the same enclosing element."""
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i].tag == tag:
                 self._pop(i)
                 return
-            if self.open[i][0] in BLOCK and self.open[i][0] not in SELF_CLOSING:
+            if self.open[i].tag in BLOCK and self.open[i].tag not in SELF_CLOSING:
                 return
 
     def _pop(self, i):
-        for t in self.open[i:]:
-            self.links -= t[0] == "a"
-            self.silent -= t[4] is None
+        for e in self.open[i:]:
+            self.links -= e.tag == "a"
+            self.silent -= e.silent
         del self.open[i:]
 
     def handle_endtag(self, tag):
         if tag in BLOCK:
             self.flush()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i].tag == tag:
                 self._pop(i)
                 return
-            if tag not in BLOCK and self.open[i][0] in BLOCK:
+            if tag not in BLOCK and self.open[i].tag in BLOCK:
                 return                                # an inline end doesn't close blocks
 
     def handle_startendtag(self, tag, attrs):
-        if tag in VOID:
-            self.handle_starttag(tag, attrs)
-        else:                                         # "<div/>" opens a div in HTML
-            self.handle_starttag(tag, attrs)
+        self.handle_starttag(tag, attrs)              # "<div/>" opens a div in HTML
 
     def handle_data(self, data):
         if data.strip():
@@ -180,7 +176,7 @@ class Blocks(HTMLParser):
             self.parts.append((data, self.links > 0))
 
 
-def blocks_of(html: str) -> list[tuple]:
+def blocks_of(html: str) -> list[tuple[str, int, int, Element]]:
     p = Blocks()
     p.feed(html)
     p.close()
@@ -188,34 +184,69 @@ def blocks_of(html: str) -> list[tuple]:
     return p.blocks
 
 
-def table(blocks: list[tuple]) -> np.ndarray:
-    """The features of a page's blocks."""
+def table(blocks: list[tuple[str, int, int, Element]]) -> np.ndarray:
+    """The features of a page's blocks.  Shares are of the page's words: of the
+    innermost element around a block that says "away" (2: none), of the outermost
+    one below any that says "towards", and so on; ``main`` is the element whose
+    own paragraphs hold the most words outside links."""
     n = len(blocks)
-    words = np.array([0, *[b[1] for b in blocks], 0], float)
-    links = np.array([0, *[b[2] for b in blocks], 0]) / np.maximum(words, 1)
-    own = np.array([b[3:6] for b in blocks], float).reshape(n, 3)
-    return np.column_stack([words[1:-1], links[1:-1], words[:-2], links[:-2], words[2:], links[2:], own])
-
-
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2):
+    total = max(1, sum(b[1] for b in blocks))
+    words = np.array([-1, *[b[1] for b in blocks], -1], float)
+    links = np.array([-1, *[b[2] / max(1, b[1]) for b in blocks], -1], float)
+    holders = []
+    for b in blocks:
+        e = b[3]
+        while e.tag not in HOLDERS and e.above:
+            e = e.above
+        holders.append(e)
+    main = max(holders, key=lambda e: e.plain) if holders else None
+    inside = [any(x is main for x in b[3].path()) for b in blocks]
+    places = np.flatnonzero(inside)
+    own = np.zeros((n, len(FEATURES) - 6))
+    for i, (_, _, _, at) in enumerate(blocks):
+        away = nearest_away = header = 2.0
+        towards = nearest = 0.0
+        heading = item = False
+        for k, e in enumerate(at.path()):
+            heading |= k < 3 and e.tag in HEADINGS
+            item |= k < 3 and e.tag in ("li", "dd", "dt", "td", "th")
+            if e.away:
+                away = min(away, e.words / total)
+                if nearest <= 0:
+                    nearest_away = e.words / total        # the outermost one that no article parts from the block
+                nearest = nearest or -1.0
+            if e.header and header == 2.0:
+                header = e.words / total
+            if e.towards:
+                towards = towards or e.words / total
+                nearest = nearest or 1.0
+        own[i] = (heading, item, at.depth, away, nearest_away, header, towards, nearest, holders[i].words / total, inside[i],
+                  min(20, np.abs(places - i).min()) if len(places) else 20, len(places) and i < places[0], min(n, 50))
+    return np.column_stack([words[1:-1], links[1:-1], words[:-2], links[:-2], words[2:], links[2:], own]) if n else np.zeros((0, len(FEATURES)))
+
+
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 12, least: int = 4):
     """A CART tree: a share of ones, or (feature, limit, at most, above)."""
     share = float(y.mean())
-    if depth == 0 or share in (0.0, 1.0) or len(y) < 2 * least:
+    n = len(y)
+    if depth == 0 or share in (0.0, 1.0) or n < 2 * least:
         return share
-    best = None
+    best = (n * share * (1 - share) - 1e-9, None, None)
+    count = np.arange(1, n)
     for f in range(x.shape[1]):
-        values = np.unique(x[:, f])
-        for lim in (values[:-1] + values[1:]) / 2:
-            low = x[:, f] <= lim
-            n = int(low.sum())
-            if least <= n <= len(y) - least:
-                a, b = y[low].mean(), y[~low].mean()
-                impurity = n * a * (1 - a) + (len(y) - n) * b * (1 - b)
-                if best is None or impurity < best[0] - 1e-12:
-                    best = (impurity, f, float(lim), low)
-    if best is None or best[0] >= len(y) * share * (1 - share) - 1e-12:
+        o = np.argsort(x[:, f], kind="stable")
+        v, ones = x[o, f], np.cumsum(y[o])
+        low, high = ones[:-1], ones[-1] - ones[:-1]
+        impurity = low * (1 - low / count) + high * (1 - high / (n - count))
+        ok = (v[1:] > v[:-1]) & (count >= least) & (n - count >= least)
+        if ok.any():
+            k = int(np.where(ok, impurity, np.inf).argmin())
+            if impurity[k] < best[0] - 1e-9:
+                best = (impurity[k], f, float(v[k] + v[k + 1]) / 2)
+    _, f, lim = best
+    if f is None:
         return share
-    _, f, lim, low = best
+    low = x[:, f] <= lim
     return f, lim, grow(x[low], y[low], depth - 1, least), grow(x[~low], y[~low], depth - 1, least)
 
 
@@ -226,56 +257,26 @@ def decide(tree, row) -> float:
     return tree
 
 
-def _w(n: int) -> str:
-    return " ".join(["word"] * n)
-
-
-def _a(n: int, each: int = 1) -> str:
-    return "".join(f"<li><a href=x>{_w(each)}</a></li>" for _ in range(n))
-
-
-#: The labelled table: pages whose blocks say with ``y`` whether they belong to
-#: the main text.  Words don't matter, only how many there are.
-LABELLED = [
-    f"<body><nav y=0><ul>{_a(6)}</ul></nav><div class=ad y=0>{_w(9)}</div><article y=1><h1>{_w(8)}</h1><p>{_w(60)}</p><p>{_w(2)}</p>"
-    f"<p>{_w(25)}</p><p>{_w(4)}</p></article><footer y=0>{_w(14)}</footer></body>",
-    f"<body><nav y=0><ul>{_a(4, 2)}</ul></nav><div class=ad y=0>{_w(30)}</div><article y=1><h1>{_w(3)}</h1><p>{_w(3)}</p><p>{_w(1)}</p>"
-    f"</article><footer y=0>{_w(40)}</footer></body>",
-    f"<body><header y=0><p>{_w(3)}</p><p>{_w(12)}</p></header><main y=1><h1>{_w(6)}</h1><p>{_w(45)}</p><h2>{_w(3)}</h2><ul><li>{_w(5)}</li>"
-    f"<li>{_w(7)}</li><li>{_w(2)}</li></ul><p>{_w(80)}</p></main><aside y=0><h3>{_w(2)}</h3><p>{_w(25)}</p><ul>{_a(3, 4)}</ul></aside>"
-    f"<section class=comments y=0><h3>{_w(2)}</h3><p>{_w(30)}</p><p>{_w(18)}</p></section><footer y=0>{_w(20)}</footer></body>",
-    f"<body><div id=header y=0>{_w(4)}</div><div class=menu y=0>{_a(5)}</div><div class=content y=1><h1>{_w(7)}</h1><p>{_w(50)}</p>"
-    f"<p>{_w(5)}</p><blockquote>{_w(22)}</blockquote><p>{_w(33)} <a href=x>{_w(2)}</a></p></div><div class=sidebar y=0><p>{_w(20)}</p>"
-    f"<p>{_w(3)}</p></div><div class=cookie-notice y=0>{_w(24)}</div><div class=footer y=0>{_w(10)}</div></body>",
-    f"<body><div y=0><a href=x>{_w(1)}</a> <a href=x>{_w(2)}</a> <a href=x>{_w(1)}</a></div><div y=1><h1>{_w(9)}</h1><p>{_w(70)}</p>"
-    f"<p>{_w(40)}</p><p>{_w(6)}</p><p>{_w(55)}</p></div><div y=0><a href=x>{_w(5)}</a></div><div y=0><a href=x>{_w(6)}</a></div>"
-    f"<div y=0><a href=x>{_w(7)}</a></div><div y=0>{_w(4)}</div></body>",
-    f"<body><div y=0>{_w(2)}</div><table y=0><tr><td><a href=x>{_w(2)}</a></td></tr><tr><td><a href=x>{_w(2)}</a></td></tr></table>"
-    f"<div y=1><p>{_w(90)}</p><p>{_w(35)}</p><p>{_w(28)}</p></div><form y=0><p>{_w(5)}</p><p>{_w(11)}</p></form>"
-    f"<div y=0>{_w(3)} <a href=x>{_w(3)}</a></div></body>",
-    f"<body><main y=1><article><div><h1>{_w(5)}</h1></div><p>{_w(20)}</p><p><a href=x>{_w(6)}</a></p><p>{_w(31)}</p></article></main>"
-    f"<div id=comments y=0><p>{_w(44)}</p><p>{_w(9)}</p></div><div class=related y=0>{_a(4, 6)}</div></body>",
-    f"<body><div class=banner y=0>{_w(16)}</div><article y=1><h1>{_w(4)}</h1><p>{_w(12)} <a href=x>{_w(8)}</a></p><ul><li><a href=x>{_w(3)}</a>"
-    f"</li><li><a href=x>{_w(2)}</a></li></ul><div class=ad y=0>{_w(12)}</div><p>{_w(30)}</p><aside y=0>{_w(26)}</aside><p>{_w(15)}</p></article></body>",
-    f"<head><title>{_w(3)}</title><body><div class='wrapper has-sidebar'><div class=content y=1><div class=entry-header><h1>{_w(6)}</h1></div>"
-    f"<p>{_w(40)}</p><p>{_w(3)}</p></div><div class=sidebar y=0><p>{_w(25)}</p></div></div></body>",
-    f"<body><article y=1><header><h1>{_w(5)}</h1></header><p>{_w(50)}</p><p>{_w(20)}</p></article><section class=comments y=0><article class=comment>"
-    f"<p>{_w(30)}</p></article><article class=comment><p>{_w(4)}</p></article></section><div class=related y=0><article><h3>{_w(4)}</h3>"
-    f"<p>{_w(16)}</p></article></div></body>",
-]
-
-
-def train(pages: list[str] | None = None):
-    """The tree of the labelled pages."""
+#: How many labelled pages the tree learns from, and which.
+TRAIN_PAGES, TRAIN_SEED = 1500, 11
+
+
+def labelled(pages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the blocks that say which they have."""
     x, y = [], []
-    for html in LABELLED if pages is None else pages:
-        b = [z for z in blocks_of(html)]
-        t = table(b)
-        for row, block in zip(t, b):
-            if block[6] is not None:
+    for html in pages:
+        b = blocks_of(html)
+        for row, block in zip(table(b), b):
+            if block[3].mark is not None:
                 x.append(row)
-                y.append(float(block[6] == "1"))
-    return grow(np.array(x), np.array(y))
+                y.append(float(block[3].mark == "1"))
+    return np.array(x), np.array(y)
+
+
+@cache
+def train(pages: int = TRAIN_PAGES, seed: int = TRAIN_SEED):
+    """The tree of so many labelled pages."""
+    return grow(*labelled(labelled_pages.pages(pages, seed)))
 
 
 def main_text(html: str | None, tree) -> str:
