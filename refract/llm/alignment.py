@@ -46,7 +46,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refract.llm.common import read, text_slices, worker_cache
+from refract.llm.common import read, releasing, text_slices, worker_cache
 from refract.llm.packing import byte_letters
 from refract.session import materialize
 
@@ -299,7 +299,7 @@ def _short(files: tuple[str, str]):
             links = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], last]).astype(np.int32)), pa.array(t.a[i - 1] * len(v.b_bytes) + t.b[j - 1]))
             yield _rows(b.column("id"), b.column("rid"), *[np.diff(x, prepend=0) for x in row_end], last - first, links,
                         texts_of(group_texts(t, i, j), first, last))
-    return run
+    return releasing(run)
 
 
 # ------------------------------------------------------------- long texts
@@ -371,7 +371,7 @@ def _fragments(files: tuple[str, str]):
                 b = batch.slice(i, 1)
                 t, ok = tokens_of(v, *[b.column(c)[0].as_py() for c in ("a", "b", "a_at", "b_at")])
                 yield _fragment_rows(b.column("id"), b.column("rid"), b.column("part").to_pylist(), [(ok, fragment(t, len(v.b_bytes)))])
-    return run
+    return releasing(run)
 
 
 def _read_fragments(t: pa.Table) -> Iterator[tuple[bool, Fragment]]:

@@ -3,6 +3,8 @@ Arrow batches, worker-lifetime caches."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import sys
 import types
 from collections.abc import Iterable, Iterator
@@ -84,6 +86,22 @@ def text_slices(batches: Iterable[pa.RecordBatch], text: str,
             yield batch.slice(start)
 
 
+def releasing(run):
+    """``run`` over batches, after which the worker gives back the memory that
+    its allocators hold for reuse: workers outlive their tasks, and several of
+    them share an executor's memory."""
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)       # where the C library has it
+            if trim is not None:
+                trim(0)
+    return wrapped
+
+
 def worker_cache(name: str) -> dict:
     """A dictionary that lives as long as the Python worker.  The operators'
     code is shipped by value, so module globals last for one task only."""

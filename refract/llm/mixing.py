@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refract.llm.common import fresh, keyed, read, text_slices
-from refract.llm.langid import features, letter_table, posteriors, train
+from refract.llm.common import fresh, keyed, read, releasing, text_slices
+from refract.llm.langid import SLICE, letter_table, posteriors, train
 from refract.llm.vec import Words
 from refract.session import materialize
 
@@ -46,17 +46,16 @@ def _members(model, labels: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, words = letter_table(), Words()
         names, prior, logp = model.value
-        for b in text_slices(batches, "text"):
+        for b in text_slices(batches, "text", SLICE):
             n = b.num_rows
             tokens = np.bincount(words.split(b.column("text"))[0], minlength=n)
             if names:
-                row, bucket, _ = features(b.column("text").to_pylist(), letters)
-                p = posteriors(row, bucket, n, prior, logp, TEMPER)
+                p, _ = posteriors(b.column("text").to_pylist(), letters, prior, logp, TEMPER)
             else:
                 p = np.ones((n, 1))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("rid"), pa.array(tokens.astype(np.int64)),
                                               pa.array(list(p), pa.list_(pa.float64()))], ["id", "rid", "n_tokens", "p"])
-    return run
+    return releasing(run)
 
 
 def members(docs: DataFrame, labelled: DataFrame, label: Column, id_col: str = "doc_id", text_col: str = "text",

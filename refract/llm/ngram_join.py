@@ -53,7 +53,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from refract.llm.common import content_keyed, keep_rows, read, text_slices
+from refract.llm.common import content_keyed, keep_rows, read, releasing, text_slices
 from refract.llm.components import connected_components
 from refract.llm.vec import Words, distinct, mix, shingles
 from refract.session import materialize
@@ -118,7 +118,7 @@ def _scan(k: int):
             yield pa.RecordBatch.from_arrays(
                 [*none, pa.array(some.astype(np.int32)), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in some], pa.binary())],
                 schema=schema)
-    return run
+    return releasing(run)
 
 
 def _add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +174,7 @@ def _prefixes(k: int, percent: int, model):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(h.view(np.int64)), pa.array(cls[row]), pa.array((size[row] << 32) + pos),
                  pa.array((salt.astype(np.int64) << 32) + common[row].astype(np.int64))], ["token", "cls", "np", "rank"])
-    return run
+    return releasing(run)
 
 
 def _full_sets(k: int, bitmap, model):
@@ -196,7 +196,7 @@ def _full_sets(k: int, bitmap, model):
                 [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()),
                  pa.array([x[2] for x in out], pa.list_(pa.int64())), pa.array([x[3] for x in out], pa.list_(pa.int64()))],
                 ["cls", "n", "ranges", "tokens"])
-    return run
+    return releasing(run)
 
 
 def _model(scan: DataFrame):

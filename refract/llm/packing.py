@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refract.llm.common import read, text_slices, worker_cache
+from refract.llm.common import read, releasing, text_slices, worker_cache
 from refract.session import materialize
 
 CAPACITY = 4096
@@ -160,7 +160,7 @@ def _pieces(path: str, capacity: int, end_id: int):
                 [b.column("doc_id").take(take), b.column("rid").take(take), pa.array(piece.astype(np.int32)),
                  pa.array(piece * capacity), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 ["doc_id", "rid", "piece", "start", "length", "ids_crc32"])
-    return run
+    return releasing(run)
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None,

@@ -23,14 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refract.llm.common import held_out, read, text_slices
+from refract.llm.common import held_out, read, releasing, text_slices
 from refract.llm.vec import Words, mix
 from refract.session import materialize
 
 DIM_BITS = 20
 BEGINS = (4, 5, 6, 7, 8)
 SKIPS = (1, 2, 3)                  # distance of the two words of a pair
-TRAIN_ROWS = 16384
+#: Labelled rows, and features of all of them, that the model is fitted on at most.
+TRAIN_ROWS, TRAIN_FEATURES = 16384, 1 << 26
 EPOCHS = 3
 THRESHOLD = 0.3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 8.0, 1.0
@@ -55,6 +56,7 @@ def features(texts: pa.Array, words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(feats)
 
 
+@releasing
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = Words()
     for b in text_slices(batches, "text"):
@@ -105,15 +107,16 @@ def _fit(epochs: int):
             w = ftrl([x[i] for i in o], [y[i] for i in o], epochs)
         some = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(w[some])], ["i", "w"])
-    return run
+    return releasing(run)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          label_col: str = "toxic", rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
+          label_col: str = "toxic", rows: int = TRAIN_ROWS, epochs: int = EPOCHS, most: int = TRAIN_FEATURES) -> tuple[np.ndarray, np.ndarray]:
     """(features, weights) from the labelled rows of ``docs`` that are not
     held out.  Of more than ``rows`` labels a share of ``rows`` is taken by a
-    hash of the id.  The ids and labels of that sample are broadcast, and one
-    task fits them: both are bounded by ``rows``."""
+    hash of the id; where their texts have more than ``most`` features, a share
+    of those rows.  The ids and labels of that sample are broadcast, and one
+    task fits them: the first is bounded by ``rows``, the second by ``most``."""
     lab = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
            .where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y")).withColumn("k", F.xxhash64("id")))
     n = lab.count()
@@ -121,6 +124,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         lab = lab.where(F.pmod("k", F.lit(1 << 30)) < int(rows / n * (1 << 30)))
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(lab), "id").select("k", "y", "text")
     x = materialize(d.mapInArrow(_examples, "k long, y int, x array<int>"), "examples")
+    size = x.agg(F.sum(F.size("x").cast("long"))).first()[0] or 0
+    if size > most:
+        x = x.where(F.pmod(F.xxhash64("k", F.lit(1)), F.lit(1 << 30)) < int(most / size * (1 << 30)))
     model = x.repartition(1).mapInArrow(_fit(epochs), "i int, w double").collect()   # at most 2 ** DIM_BITS, mostly zero and left out
     return np.array([r.i for r in model], np.int64), np.array([r.w for r in model])
 
@@ -138,20 +144,23 @@ def _score(model):
             s = np.bincount(both >> DIM_BITS, weights=w[both & ((1 << DIM_BITS) - 1)], minlength=b.num_rows) + w[-1]
             p = 1 / (1 + np.exp(-np.clip(s, -35, 35))) if len(i) else np.zeros(b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("rid"), b.column("out"), pa.array(p)], ["id", "rid", "held_out", "score"])
-    return run
+    return releasing(run)
 
 
 def _keep(model, text: str, threshold: float):
-    """Rows below the threshold; the scores are those of :func:`_score`."""
+    """Rows below the threshold, or whose words say nothing against them; the
+    scores are those of :func:`_score`."""
     scores = _score(model)
+    i, weight = model.value
+    bias = 1 / (1 + np.exp(-weight[i == 1 << DIM_BITS].sum()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, text):
             none = pa.nulls(b.num_rows, pa.int64())
             part = pa.RecordBatch.from_arrays([none, none, none, b.column(text)], ["id", "rid", "out", "text"])
             s = np.concatenate([x.column("score").to_numpy() for x in scores([part])])
-            yield b.filter(pa.array(s < threshold))
-    return run
+            yield b.filter(pa.array((s < threshold) | (s <= bias)))
+    return releasing(run)
 
 
 def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", key: str | None = None) -> DataFrame:
@@ -165,7 +174,8 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
 def drop_toxic(docs: DataFrame, labels: DataFrame, learn_from: DataFrame, id_col: str = "doc_id",
                text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with all their
-    columns; the model learns from the labelled rows of ``learn_from``."""
+    columns.  Where the bias alone reaches it (few labels, most of them toxic),
+    a text goes only if its own features raise its score.  The model learns from the labelled rows of ``learn_from``."""
     model = docs.sparkSession.sparkContext.broadcast(train(learn_from, labels, id_col, text_col))
     return docs.mapInArrow(_keep(model, text_col, threshold), docs.schema)
 

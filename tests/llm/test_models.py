@@ -97,6 +97,44 @@ def test_toxicity_sample_is_bounded(spark):
     texts, labels = toxic_corpus(400)
     d, lab = docs(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int")
     assert len(toxicity.train(d, lab, rows=60)[0]) < len(toxicity.train(d, lab)[0])
+    assert len(toxicity.train(d, lab, most=2000)[0]) < len(toxicity.train(d, lab)[0])
+
+
+def test_ftrl_is_the_plain_one():
+    """Against the published per-coordinate update, with dictionaries."""
+    r = random.Random(6)
+    x = [sorted(r.sample(range(50), r.randint(0, 8))) for _ in range(120)]
+    y = [int(any(i < 6 for i in xi)) for xi in x]
+    alpha, beta, l1, l2, bias = 0.3, 1.0, 0.4, 0.7, 1 << toxicity.DIM_BITS
+    z, n = {}, {}
+
+    def weight(i):
+        lim = 0.0 if i == bias else l1
+        zi = z.get(i, 0.0)
+        if abs(zi) <= lim:
+            return 0.0
+        return -(zi - (lim if zi > 0 else -lim)) / ((beta + n.get(i, 0.0) ** 0.5) / alpha + l2)
+
+    for _ in range(3):
+        for xi, yi in zip(x, y):
+            w = {i: weight(i) for i in [*xi, bias]}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - yi
+            for i in w:
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / alpha
+                z[i], n[i] = z.get(i, 0.0) + g - sigma * w[i], n.get(i, 0.0) + g * g
+    got = toxicity.ftrl([np.array(i, np.int64) for i in x], y, 3, alpha, beta, l1, l2)
+    assert got[bias] == pytest.approx(weight(bias)) and {int(i) for i in np.flatnonzero(got)} <= {*range(50), bias}
+    assert [got[i] for i in range(50)] == pytest.approx([weight(i) for i in range(50)])
+    assert 0 < sum(weight(i) != 0 for i in range(50)) < 50
+
+
+def test_texts_that_say_nothing_stay(spark):
+    """With few labels, most of them toxic, the bias alone is no reason."""
+    learn = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2][:12]
+    d = docs(spark, [f"vile awful words {i}" if i in learn[:9] else f"kind and calm text {i}" for i in range(40)])
+    lab = spark.createDataFrame([(i, int(i in learn[:9])) for i in learn], "doc_id long, toxic int")
+    kept = {r.doc_id for r in toxicity.drop_toxic(d.unionByName(docs(spark, [None, ""])), lab, d).collect()}
+    assert {i for i in range(40) if i not in learn[:9]} <= kept
 
 
 @pytest.mark.parametrize("targets", [None, {"x": 1.0, "y": 3.0}, {"y": 1.0}])
