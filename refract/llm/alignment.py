@@ -436,9 +436,21 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key:
 
 
 # ------------------------------------------------------------- counts
+def link_slices(batches: Iterator[pa.RecordBatch], most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with at most ``most`` links; one row with more is a run."""
+    for b in batches:
+        upto = np.cumsum(pc.fill_null(pc.list_value_length(b.column("links")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        s = 0
+        while s < b.num_rows:
+            e = max(s + 1, int(np.searchsorted(upto, most + (upto[s - 1] if s else 0), "right")))
+            yield b.slice(s, e - s)
+            s = e
+
+
+@releasing
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for b in batches:
+    for b in link_slices(batches):
         new, m = np.unique(pc.list_flatten(b.column(0)).to_numpy(zero_copy_only=False), return_counts=True)
         keys, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
         n = np.bincount(at, weights=np.concatenate([n, m]), minlength=len(keys)).astype(np.int64)
@@ -456,7 +468,7 @@ def _scored(model, size_b: int, keep: list[str]):
         best = np.zeros(size_b, np.int64)
         np.maximum.at(best, pair % size_b, n)
         is_best = n == best[pair % size_b]
-        for b in batches:
+        for b in link_slices(batches):
             links = b.column("links")
             at = np.searchsorted(pair, pc.list_flatten(links).to_numpy(zero_copy_only=False))
             size = pc.list_value_length(links).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -465,7 +477,7 @@ def _scored(model, size_b: int, keep: list[str]):
             yield pa.RecordBatch.from_arrays(
                 [*[b.column(c) for c in keep], pa.array(size), *[pa.array(s[end] - s[end - size]) for s in sums]],
                 [*keep, "n_links", "n_best", "count_sum"])
-    return run
+    return releasing(run)
 
 
 def score(aligned: DataFrame, files: tuple[str, str] | None = None) -> DataFrame:
