@@ -141,9 +141,12 @@ def repeats(stored: DataFrame, heavy: int = HEAVY) -> DataFrame:
     def earliest(rows):
         return rows.groupBy("digest").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "f")
 
-    hot = materialize(earliest(u.join(F.broadcast(heavy_digests(u, heavy)), "digest", "left_semi")), "frequent")   # at most 2 * heavy rows
-    rest = u.join(F.broadcast(hot.select("digest")), "digest", "left_anti")
-    found = u.join(F.broadcast(hot), "digest").unionByName(rest.join(earliest(rest), "digest"))
+    # left joins with at most 2 * heavy rows: every row passes once, and is parted after that
+    often = F.broadcast(heavy_digests(u, heavy).withColumn("often", F.lit(True)))
+    hot = materialize(earliest(u.join(often, "digest", "left").where("often")), "frequent")
+    u = u.join(F.broadcast(hot), "digest", "left")
+    rest = u.where("f is null").drop("f")
+    found = u.where("f is not null").unionByName(rest.join(earliest(rest), "digest"))
     same = F.col("rid") == F.col("f.r")
     return (found.where(~same | (F.col("start") != F.col("f.s")))
             .select("id", "rid", F.when(same, F.greatest("start", "f.e")).otherwise(F.col("start")).alias("start"), "end",
