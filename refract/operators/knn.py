@@ -67,16 +67,6 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def l2_squared(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double"))
-                                  * (x.cast("double") - y.cast("double"))),
-                       F.lit(0.0), lambda acc, v: acc + v)
-
-
-def to_float32(a: Column) -> Column:
-    return a.cast("array<float>")
-
-
 # ------------------------------------------------------------- kernel
 def _matrix(col: pd.Series, kind: str, dims: int | None) -> np.ndarray:
     if kind == "buckets":
@@ -341,6 +331,12 @@ def knn(queries: DataFrame, index: DataFrame, *, k: int, q_id: Sequence[str], x_
             .drop("_r"))
 
 
+def top_k(found: DataFrame, q_id: Sequence[str], x_id: Sequence[str], k: int) -> DataFrame:
+    """The ``k`` best scores of each query, ties by index key, with their rank."""
+    w = Window.partitionBy(*q_id).orderBy(F.col("score").desc(), *[F.col(c).asc() for c in x_id])
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 # ----------------------------------------------------------------- LSH
 def hyperplanes(dims: int, tables: int, bits: int, seed: int = 7) -> np.ndarray:
     """Fixed random hyperplanes (a parameter-sized constant, not data)."""
@@ -375,5 +371,4 @@ def lsh_knn(queries: DataFrame, index: DataFrame, *, k: int, q_id: Sequence[str]
                    kind="dense", metric="cosine", ns="_band", exclude=exclude,
                    ns_bound=tables << bits)
     best = per_band.groupBy(*q_id, *x_id).agg(F.max("score").alias("score"))
-    w = Window.partitionBy(*q_id).orderBy(F.col("score").desc(), *[F.col(c).asc() for c in x_id])
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return top_k(best, list(q_id), list(x_id), k)
