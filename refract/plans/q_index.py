@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from refract.functions import prompts as P
+from refract.operators import bucketed_index as B
 from refract.operators import embed as E
 from refract.operators import generate as G
 from refract.operators import index as X
@@ -122,6 +123,21 @@ def index_open_or_create(spark, sf):
                       F.lit(version).cast("long").alias("version"))
 
 
+@register("index_bucketed_upsert", _LATEST_SQL + """, 3::BIGINT AS version
+FROM b GROUP BY vec_id""")
+def index_bucketed_upsert(spark, sf):
+    """Both batches into a bucketed index, then a compaction of what grew."""
+    base = scratch_path(spark, "bucketed")
+    batches = _batches(spark, sf)
+    ix = B.open_index(spark, base, batches[0].schema)
+    for b in batches:
+        ix = B.upsert(ix, b)
+    B.compact(ix)
+    ix = B.open_index(spark, base, batches[0].schema)
+    return B.read(ix).select("id", "batch_ord", _vector_md5("embedding").alias("vec_md5"),
+                             F.lit(ix.version).cast("long").alias("version"))
+
+
 @register("index_user_records", f"""
 SELECT 'perspectives' AS namespace, conv_id || '-' || turn AS id, conv_id::VARCHAR AS user_id, role AS user_name,
        turn % 2 = 0 AS is_published, {Q.buckets_md5('text', DIMS)} AS vec_md5

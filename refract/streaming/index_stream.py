@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from refract.operators import bucketed_index as B
 from refract.operators import index as X
 from refract.operators.index import version_path
 
@@ -44,6 +45,25 @@ def start_index_upsert(records: DataFrame, base: str, checkpoint: str,
     return w.start()
 
 
+def upsert_bucketed(batch: DataFrame, epoch_id: int, base: str) -> None:
+    """Micro-batch ``e`` makes version ``e + 1`` of a bucketed index: it writes
+    its own rows and a manifest.  A replayed epoch writes the same two again."""
+    ix = B.open_index(batch.sparkSession, base, batch.schema, epoch_id)
+    B.upsert(ix, batch, version=epoch_id + 1)
+
+
+def start_bucketed_upsert(records: DataFrame, base: str, checkpoint: str,
+                          available_now: bool = True) -> StreamingQuery:
+    """:func:`start_index_upsert` into a bucketed index
+    (:mod:`refract.operators.bucketed_index`)."""
+    w = (records.writeStream
+         .foreachBatch(lambda df, e: upsert_bucketed(df, e, base))
+         .option("checkpointLocation", checkpoint))
+    if available_now:
+        w = w.trigger(availableNow=True)
+    return w.start()
+
+
 def latest_version(base: str, query: StreamingQuery) -> str:
     """Path of the newest version written by ``query``."""
     last = query.lastProgress
