@@ -10,6 +10,11 @@ distinct: each bucket gives one row a vector, with its number of new links
 and the bucket's local root.  A bucket with more than ``BLOCK`` rows is dealt
 over blocks, and every two blocks meet in a task of their own.
 
+Equal vectors of a label are one class (found by 128 bits of a hash, on narrow
+rows) and are hashed and compared once, by the class's first row; a link of two
+classes counts as often as the other class has rows, and the rows of a class
+are linked with each other.
+
 Defined results: vectors that are null, empty, zero or hold null or
 non-finite components, and rows with a null label, link with nothing; vectors
 of different lengths link with nothing; repeated rows link like any other; an
@@ -67,15 +72,16 @@ def _hash(bits: int, tables: int, kind: str):
                 codes = ((wide / norm[:, None]) @ planes[d] > 0).reshape(-1, tables, bits) @ weights
                 take = pa.array(at)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("rid").take(take), b.column("label").take(take), pa.array(np.full(len(at), d, np.int32)),
+                    [b.column("rid").take(take), b.column("times").take(take), b.column("label").take(take), pa.array(np.full(len(at), d, np.int32)),
                      pa.array([r.tobytes() for r in x], pa.binary()), pa.array(list(codes.astype(np.int32)), pa.list_(pa.int32()))],
-                    ["rid", "label", "dim", "v", "codes"])
+                    ["rid", "times", "label", "dim", "v", "codes"])
     return run
 
 
-def links_in(x: np.ndarray, codes: np.ndarray, table: int, side: np.ndarray, cross: bool, threshold: float):
+def links_in(x: np.ndarray, codes: np.ndarray, table: int, side: np.ndarray, cross: bool, threshold: float, times: np.ndarray):
     """(new links of each row, all linked pairs as two index arrays) of one
-    bucket, or of two of its blocks when ``cross``."""
+    bucket, or of two of its blocks when ``cross``; ``times``: how many equal
+    vectors each row stands for."""
     norm = np.sqrt((x * x).sum(axis=1))
     like = (x @ x.T) / (norm[:, None] * norm[None, :]) >= threshold
     if cross:
@@ -84,8 +90,9 @@ def links_in(x: np.ndarray, codes: np.ndarray, table: int, side: np.ndarray, cro
     else:
         i, j = np.nonzero(np.triu(like, 1))
     first = (codes[i] == codes[j]).argmax(axis=1) == table if len(i) else np.zeros(0, bool)
-    n = np.bincount(i[first], minlength=len(x)) + np.bincount(j[first], minlength=len(x))
-    return n, i, j
+    i1, j1 = i[first], j[first]
+    n = np.bincount(i1, weights=times[j1], minlength=len(x)) + np.bincount(j1, weights=times[i1], minlength=len(x))
+    return n.astype(np.int64), i, j
 
 
 def _buckets(threshold: float, kind: str):
@@ -116,7 +123,7 @@ def _buckets(threshold: float, kind: str):
         for t, cut in groups(batches):
             cut = np.append(cut[cut < t.num_rows], t.num_rows)
             rid = t.column("rid").to_numpy()
-            side, table, bi, bj, dim = (t.column(c).to_numpy() for c in ("block", "t", "bi", "bj", "dim"))
+            side, table, bi, bj, dim, times = (t.column(c).to_numpy() for c in ("block", "t", "bi", "bj", "dim", "times"))
             v = t.column("v").combine_chunks()
             codes = pc.list_flatten(t.column("codes").combine_chunks()).to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
             out = []
@@ -124,7 +131,7 @@ def _buckets(threshold: float, kind: str):
                 if e - s < 2:
                     continue
                 x = np.frombuffer(b"".join(v.slice(s, e - s).to_pylist()), kind).reshape(-1, int(dim[s])).astype(np.float64)
-                n, i, j = links_in(x, codes[s:e], int(table[s]), side[s:e], bi[s] != bj[s], threshold)
+                n, i, j = links_in(x, codes[s:e], int(table[s]), side[s:e], bi[s] != bj[s], threshold, times[s:e])
                 if len(i):
                     ids = rid[s:e]
                     some = np.unique(np.concatenate([i, j]))
@@ -144,20 +151,28 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     ids = materialize(df.select(F.col(id_col).alias("vec_id"), F.monotonically_increasing_id().alias("rid"),
                                 F.col(vec_col).alias("vec"), F.col(label_col).alias("label")), "vecrows")
     kind = "<f8" if "double" in df.schema[vec_col].dataType.simpleString() else "<f4"
-    sizes = ids.where("label is not null and vec is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    some = ids.where("label is not null and vec is not null")
+    same = [F.xxhash64("label", "vec").alias("h1"), F.xxhash64(F.lit(SEED), "vec", "label").alias("h2")]
+    equal = materialize(some.select(*same).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "equal")
+    # rows of a class with several: (rid, class's first row); the join can split a class with very many rows
+    members = materialize(some.select("rid", *same).join(equal, ["h1", "h2"]).drop("times"), "members")
+    first = materialize(members.groupBy("h1", "h2").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("times")), "firsts")
+    member = materialize(members.join(first, ["h1", "h2"]).select("rid", "first", "times"), "member")
+    some = (some.join(member, "rid", "left").where("first is null or first = rid")
+            .select("rid", "label", "vec", F.coalesce("times", F.lit(1).cast("long")).alias("times")))
+    sizes = some.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     bits, tables = plan(sizes.agg(F.max("n")).first()[0] or 0, threshold, miss)
     label = df.schema[label_col].dataType.simpleString()
-    v = materialize(ids.where("label is not null and vec is not null").select("rid", "label", "vec")
-                    .mapInArrow(_hash(bits, tables, kind), f"rid long, label {label}, dim int, v binary, codes array<int>"), "codes")
+    v = materialize(some.mapInArrow(_hash(bits, tables, kind), f"rid long, times long, label {label}, dim int, v binary, codes array<int>"), "codes")
     bucket = ["label", "dim", "t", "code"]
-    rows = v.select("rid", "label", "dim", "v", "codes", F.posexplode("codes").alias("t", "code"))
+    rows = v.select("rid", "times", "label", "dim", "v", "codes", F.posexplode("codes").alias("t", "code"))
     large = (v.select("label", "dim", F.posexplode("codes").alias("t", "code")).groupBy(*bucket)
              .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
              .select(*bucket, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
     rows = (rows.join(large, bucket, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
             .withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select(*bucket, F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "rid", "v", "codes"))
+            .select(*bucket, F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "rid", "times", "v", "codes"))
     # label order within a partition is by hash where it isn't a number
     key = [*bucket, "bi", "bj"]
     rows = rows.withColumn("label", F.xxhash64("label"))
@@ -166,9 +181,16 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     found = materialize(found.groupBy("rid", "root").agg(F.sum("n").alias("n")), "links")
     comp = connected_components(found, "rid", "root").withColumnRenamed("node", "rid")
     n = found.groupBy("rid").agg(F.sum("n").alias("n_links"))
-    out = (ids.select("vec_id", "rid").join(n, "rid", "left").join(comp, "rid", "left")
+    # of each class's first row: links with other classes, root; a vector that can't link has none with its equals either
+    of = materialize(v.select("rid", "times").join(n, "rid", "left").join(comp, "rid", "left").select(
+        F.col("rid").alias("first"), (F.coalesce("n_links", F.lit(0).cast("long")) + F.col("times") - 1).alias("n_links"),
+        F.coalesce("root", "rid").alias("root")), "classes")
+    out = (ids.select("vec_id", "rid").join(member.select("rid", "first"), "rid", "left")
+           .select("vec_id", "rid", F.coalesce("first", "rid").alias("first")).join(of, "first", "left")
            .select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("root", "rid").alias("root")))
-    low = out.groupBy("root").agg(F.min("vec_id").alias("component_id"))
+    out = materialize(out, "linked")
+    # stored, so that the join can split a root with very many rows
+    low = materialize(out.groupBy("root").agg(F.min("vec_id").alias("component_id")), "smallest")
     return out.join(low, "root").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
 
 

@@ -223,6 +223,22 @@ def test_near_vectors_empty_and_repeated(spark):
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in rows) == [("a", 2, "a"), ("a", 2, "a"), ("b", 2, "a"), ("c", 0, "c")]
 
 
+def test_near_vectors_of_many_equal_ones(spark, monkeypatch):
+    """Copies are compared once; their links are all counted."""
+    g = np.random.default_rng(8)
+    one, far = g.standard_normal(16), g.standard_normal(16)
+    near = [one + 0.05 * g.standard_normal(16) for _ in range(3)]
+    rows = [one] * 3000 + near + [near[0]] * 2 + [far] * 50 + [np.full(16, np.nan)] * 2
+    df = spark.createDataFrame([(i, [float(x) for x in v], 1) for i, v in enumerate(rows)], "vec_id long, embedding array<double>, label int").repartition(7)
+    seen = []
+    real = near_vectors.plan
+    monkeypatch.setattr(near_vectors, "plan", lambda n, *a: seen.append(n) or real(n, *a))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors.near_duplicates(df).collect()}
+    assert seen == [6]                                       # one, three near ones, far, and the one that can't link
+    assert {got[i] for i in range(3005)} == {(3004, 0)} and {got[i] for i in range(3005, 3055)} == {(49, 3005)}
+    assert [got[i] for i in (3055, 3056)] == [(0, 3055), (0, 3056)]
+
+
 def test_plan_follows_the_rows():
     small, large = near_vectors.plan(1000, 0.93), near_vectors.plan(10 ** 9, 0.93)
     assert small[0] < large[0] and small[1] < large[1]
