@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from refract.functions import prompts as P
 from refract.functions import text as TX
+from refract.operators import answers as AN
 from refract.operators import generate as G
 from refract.plans import sqlx as Q
 from refract.plans.catalog import register
@@ -314,6 +315,31 @@ def extractive_answers(spark, sf):
                     F.md5("answer").alias("answer_md5")))
 
 
+@register("bm25_answers", _with(",\n".join([
+    QUESTIONS_CTE,
+    f"st AS (SELECT article_index, pos, s, w, {Q.tokens('s')} AS t FROM au)",
+    "tm AS (SELECT article_index, pos, w, len(t) AS n, unnest(t) AS word FROM st)",
+    "tf AS (SELECT article_index, pos, w, n, word, count(*) AS tf FROM tm GROUP BY ALL)",
+    "df AS (SELECT word, count(*) AS df FROM tf GROUP BY word)",
+    "co AS (SELECT count(*) AS sentences, avg(len(t)) AS mean FROM st)",
+    f"qw AS (SELECT DISTINCT article_index, q_seq, unnest({Q.tokens('question')}) AS word FROM qlong)",
+    f"sc AS (SELECT qw.article_index, q_seq, pos, w, round(sum(ln(1 + (sentences - df + 0.5) / (df + 0.5)) * tf * {AN.K1 + 1} "
+    f"/ (tf + {AN.K1} * ({1 - AN.B} + {AN.B} * n / mean))), 6) AS score FROM qw JOIN df USING (word) "
+    "JOIN tf ON tf.article_index = qw.article_index AND tf.word = qw.word, co GROUP BY ALL)",
+    "rk AS (SELECT *, sum(w) OVER o AS cum, row_number() OVER o AS rn FROM sc "
+    "WINDOW o AS (PARTITION BY article_index, q_seq ORDER BY score DESC, pos ROWS UNBOUNDED PRECEDING))",
+    f"an AS (SELECT rk.article_index, q_seq, string_agg(st.s, ' ' ORDER BY rk.pos) AS answer FROM rk "
+    f"JOIN st ON st.article_index = rk.article_index AND st.pos = rk.pos WHERE rn = 1 OR cum <= {BUDGET} GROUP BY ALL)",
+])) + """
+SELECT q.article_index, q.q_seq::BIGINT AS q_seq, md5(coalesce(answer, '')) AS answer_md5
+FROM qlong q LEFT JOIN an ON an.article_index = q.article_index AND an.q_seq = q.q_seq""")
+def bm25_answers(spark, sf):
+    """Every question of every article, answered by corpus statistics."""
+    a = arts(spark, sf)
+    q = R.posexplode_rows(G.with_sentences(a), ["article_index"], all_questions(F.col("_items")), "q_seq", "question")
+    return AN.answer(a, q, BUDGET).select("article_index", F.col("q_seq").cast("long").alias("q_seq"), F.md5("answer").alias("answer_md5"))
+
+
 _LEN_VALUES = "(VALUES " + ", ".join(f"({n})" for n in LENGTHS) + ") AS lv(length)"
 _BY_LENGTH_CTE = ",\n".join([
     ARTS_CTE,
