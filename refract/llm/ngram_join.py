@@ -53,7 +53,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from refract.llm.common import content_keyed, keep_rows, read, releasing, text_slices
+from refract.llm.common import LOWER, UPPER, content_keyed, keep_rows, read, releasing, text_slices
 from refract.llm.components import connected_components
 from refract.llm.vec import Words, distinct, mix, shingles
 from refract.session import materialize
@@ -343,6 +343,22 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return keep_rows(rows, key, jaccard_components(rows, id_col, text_col, key).where("kept").select(F.col("rid").alias(key)))
 
 
+ORACLE = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^ \\t\\n\\x0B\\f\\r]+') AS ws FROM documents),
+x AS (SELECT doc_id, len(ws) AS k, unnest(ws) AS t, generate_subscripts(ws, 1) AS i FROM w),
+y AS (SELECT doc_id, k, i, {" || ' ' || ".join(["t", *[f"lead(t, {j}) OVER o" for j in range(1, WORDS)]])} AS h FROM x
+  WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+v AS (SELECT DISTINCT doc_id, h FROM y WHERE h IS NOT NULL
+  UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND {WORDS - 1}),
+u AS (SELECT doc_id, h, count(*) OVER (PARTITION BY doc_id) AS n FROM v),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) AS m, any_value(b.n) AS n
+  FROM u a JOIN u b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * c >= {PERCENT} * (m + n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT w.doc_id, coalesce(any_value(u.n), 0)::BIGINT AS n_shingles, any_value(c.b) AS component_id
+FROM w LEFT JOIN u USING (doc_id) JOIN (SELECT a, min(b) AS b FROM r GROUP BY a) c ON c.a = w.doc_id GROUP BY w.doc_id"""
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return (jaccard_components(read(spark, sf_dir, "documents"))
             .select(F.col("id").alias("doc_id"), "n_shingles", "component_id"))

@@ -24,6 +24,7 @@ QUERIES = {
 ORACLE = {
     "op4_embedding_near_dedup": near_vectors.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
+    "op8_ngram_jaccard_join": ngram_join.ORACLE,
     "op11_fill_in_middle": infill.ORACLE,
     "op12_weighted_hash_tree": sharding.ORACLE,
 }
