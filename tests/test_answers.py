@@ -44,5 +44,5 @@ def test_answers_like_plain_python(spark):
     for budget in (1, 9, 100):
         got = {(r.article_index, r.q_seq): r.answer for r in AN.answer(arts, asked, budget).collect()}
         assert got == plain(budget)
-    assert plain(9)[2, 1] == "The wind broke a mast. Rain and wind came."[:22] and plain(100)[5, 0] == ""
+    assert plain(9)[2, 1] == "Rain and wind came. The wind broke a mast." and plain(100)[5, 0] == ""
     assert AN.answer(arts.limit(0), asked, 9).where("answer <> ''").count() == 0
