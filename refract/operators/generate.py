@@ -115,6 +115,47 @@ def select_by_budget(items: Column, key_fn: KeyFn, budget: int | Column,
         lambda acc: F.array_join(F.transform(F.array_sort(acc["kept"]), lambda x: x["s"]), " "))
 
 
+def valued_items(items: Column) -> Column:
+    """Sentence items with a value: how many different words they hold."""
+    return F.transform(items, lambda x: F.struct(x["pos"].alias("pos"), x["w"].alias("w"), x["s"].alias("s"),
+                                                 F.size(F.array_distinct(T.tokens(x["s"]))).cast("long").alias("v")))
+
+
+def best_within_budget(items: Column, budget: int = P.DEFAULT_BUDGET) -> Column:
+    """struct<value, words, kept array<struct<pos, s>>>: the sentences with the
+    greatest total value whose words stay within the budget (W6 solved, where
+    :func:`select_by_budget` is greedy), in document order.
+
+    A dynamic programme over word counts, folded over the items of
+    :func:`valued_items` inside the row: place ``c`` of the state is the best
+    choice of at most ``c`` words, so a row of n sentences takes n times
+    ``budget`` steps whatever their length.  Of equal values the choice made
+    first stays.  A sentence longer than the budget is never chosen.
+    """
+    none = F.struct(F.lit(0).cast("long").alias("value"), F.lit(0).alias("words"),
+                    F.array().cast("array<struct<pos:int,s:string>>").alias("kept"))
+
+    def step(best: Column, x: Column) -> Column:
+        def at(c: Column) -> Column:
+            before, now = F.get(best, c - x["w"]), F.get(best, c)
+            return F.when((c >= x["w"]) & (before["value"] + x["v"] > now["value"]), F.struct(
+                (before["value"] + x["v"]).alias("value"), (before["words"] + x["w"]).alias("words"),
+                F.array_append(before["kept"], F.struct(x["pos"].alias("pos"), x["s"].alias("s"))).alias("kept"))).otherwise(now)
+        return F.transform(F.sequence(F.lit(0), F.lit(budget)), at)
+
+    return F.aggregate(items, F.array_repeat(none, budget + 1), step, lambda best: F.get(best, F.lit(budget)))
+
+
+def greedy_value(items: Column, budget: int = P.DEFAULT_BUDGET) -> Column:
+    """The value that taking the best sentences in turn reaches, while their
+    running words stay within the budget."""
+    ranked = F.array_sort(F.transform(items, lambda x: F.struct((-x["v"]).alias("k"), x["pos"].alias("pos"), x["w"].alias("w"))))
+    init = F.struct(F.lit(0).alias("tot"), F.lit(0).cast("long").alias("value"))
+    return F.aggregate(ranked, init, lambda a, x: F.struct(
+        (a["tot"] + x["w"]).alias("tot"), (a["value"] + F.when(a["tot"] + x["w"] <= budget, -x["k"]).otherwise(F.lit(0).cast("long"))).alias("value")),
+        lambda a: a["value"])
+
+
 # ------------------------------------------------------------ perspectives
 def perspective(items: Column, seq: int, budget: int | Column = P.DEFAULT_BUDGET) -> Column:
     return select_by_budget(items, PERSPECTIVE_RULES[seq], budget, needs_n=seq in NEEDS_N)

@@ -340,6 +340,27 @@ def bm25_answers(spark, sf):
     return AN.answer(a, q, BUDGET).select("article_index", F.col("q_seq").cast("long").alias("q_seq"), F.md5("answer").alias("answer_md5"))
 
 
+@register("budget_optimal", _with(",\n".join([
+    ARTS_CTE,
+    units_cte("au", "arts", "article_index", "content"),
+    f"va AS (SELECT article_index, pos, w, len(list_distinct({Q.tokens('s')})) AS v FROM au)",
+    f"gr AS (SELECT *, sum(w) OVER (PARTITION BY article_index ORDER BY v DESC, pos ROWS UNBOUNDED PRECEDING) AS cum FROM va)",
+    f"ga AS (SELECT article_index, coalesce(sum(v) FILTER (cum <= {BUDGET}), 0) AS greedy FROM gr GROUP BY article_index)",
+    "it AS (SELECT article_index, list([w, v] ORDER BY pos) AS xs FROM va GROUP BY article_index)",
+    # the state is a list of the best values of at most 0, 1, ... words, the items are [words, value]
+    f"dp AS (SELECT article_index, list_reduce([list_transform(range({BUDGET + 1}), lambda c: 0::BIGINT)] || xs, lambda best, x: "
+    f"list_transform(range({BUDGET + 1}), lambda c: CASE WHEN c >= x[1] THEN greatest(best[c + 1], best[c + 1 - x[1]] + x[2]) "
+    f"ELSE best[c + 1] END)) AS best FROM it)",
+])) + f"""
+SELECT a.article_index, coalesce(greedy, 0)::BIGINT AS greedy_value, coalesce(best[{BUDGET + 1}], 0)::BIGINT AS best_value
+FROM arts a LEFT JOIN ga USING (article_index) LEFT JOIN dp USING (article_index)""")
+def budget_optimal(spark, sf):
+    """Words of information within the budget: taken greedily, and solved."""
+    a = G.with_sentences(arts(spark, sf)).select("article_index", G.valued_items(F.col("_items")).alias("v"))
+    return a.select("article_index", G.greedy_value(F.col("v"), BUDGET).alias("greedy_value"),
+                    G.best_within_budget(F.col("v"), BUDGET)["value"].alias("best_value"))
+
+
 _LEN_VALUES = "(VALUES " + ", ".join(f"({n})" for n in LENGTHS) + ") AS lv(length)"
 _BY_LENGTH_CTE = ",\n".join([
     ARTS_CTE,
