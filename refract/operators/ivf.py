@@ -15,6 +15,10 @@ size) is taken.  Where vectors have no clusters that number is large, up to all
 lists, which is the exact search: recall is kept, and the share of pairs that
 are scored (:func:`scored_share`) tells what it costs.
 
+Exact Euclidean search (J6) uses the same lists as balls: a centre and a
+radius bound how near any row of a ball can be, so whole balls are skipped
+(:func:`l2_search`).
+
 What reaches the driver is bounded by parameters: the centroids (``lists``
 vectors) and one count for each list.
 """
@@ -29,7 +33,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from refract.functions import rows as R
@@ -51,8 +55,17 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(n > 0, n, 1.0)
 
 
-def _matrix(s: pd.Series) -> np.ndarray:
-    return _unit(np.vstack(s.to_numpy()).astype(np.float64))
+def _matrix(s: pd.Series, unit: bool = True) -> np.ndarray:
+    m = np.vstack(s.to_numpy()).astype(np.float64)
+    return _unit(m) if unit else m
+
+
+def distances(m: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows to centroids, of small differences too."""
+    d = np.empty((len(m), len(c)))
+    for j, x in enumerate(c):
+        d[:, j] = np.sqrt(((m - x) ** 2).sum(axis=1))
+    return d
 
 
 def _share(df: DataFrame, by: Sequence[str], rows: int, of: int, salt: int) -> DataFrame:
@@ -62,28 +75,32 @@ def _share(df: DataFrame, by: Sequence[str], rows: int, of: int, salt: int) -> D
     return df.where(F.pmod(F.xxhash64(*by, F.lit(salt)), F.lit(_BITS)) < int(rows / of * _BITS))
 
 
-def train_centroids(vectors: DataFrame, vec: str, by: Sequence[str], lists: int, rows: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Unit centroids of ``vectors`` (``rows`` of them) after Lloyd rounds that
-    begin with the rows of least hash."""
+def train_centroids(vectors: DataFrame, vec: str, by: Sequence[str], lists: int, rows: int, rounds: int = ROUNDS,
+                    unit: bool = True) -> np.ndarray:
+    """Centroids of ``vectors`` (``rows`` of them) after Lloyd rounds that begin
+    with the rows of least hash: unit ones nearest by cosine, or means nearest
+    by Euclidean distance."""
     sample = materialize(_share(vectors.where(F.col(vec).isNotNull()).select(*by, vec), by, lists * ROWS_PER_LIST, rows, 1), "ivf_sample")
     first = sample.orderBy(F.xxhash64(*by, F.lit(2)), *by).limit(lists).select(vec).toPandas()
     if not len(first):
         return np.zeros((0, 0))
-    c = _matrix(first[vec])
+    c = _matrix(first[vec], unit)
     width = c.shape[1]
     for _ in range(rounds):
         def sums(frames: Iterator[pd.DataFrame], c=c) -> Iterator[pd.DataFrame]:
             total = np.zeros((len(c), width + 1))
             for f in frames:
-                m = _matrix(f[vec])
-                np.add.at(total, (m @ c.T).argmax(axis=1), np.column_stack([m, np.ones(len(m))]))
+                m = _matrix(f[vec], unit)
+                near = (m @ c.T).argmax(axis=1) if unit else distances(m, c).argmin(axis=1)
+                np.add.at(total, near, np.column_stack([m, np.ones(len(m))]))
             some = np.flatnonzero(total[:, -1])
             yield pd.DataFrame({"list": some.astype(np.int32), "s": list(total[some])})
         parts = sample.select(vec).mapInPandas(sums, "list int, s array<double>")
         zero = F.array_repeat(F.lit(0.0), width + 1)
         found = parts.groupBy("list").agg(F.aggregate(F.collect_list("s"), zero, lambda a, b: F.zip_with(a, b, lambda x, y: x + y)).alias("s")).toPandas()
         new = c.copy()                                       # a list without rows keeps its centroid
-        new[found["list"].to_numpy()] = _unit(np.vstack(found["s"].to_numpy())[:, :-1])
+        sums_ = np.vstack(found["s"].to_numpy())
+        new[found["list"].to_numpy()] = _unit(sums_[:, :-1]) if unit else sums_[:, :-1] / sums_[:, -1:]
         moved = float(np.abs(new - c).max())
         c = new
         if moved < 1e-9:
@@ -185,3 +202,107 @@ def scored_share(ix: Lists, questions: DataFrame, q_id: Sequence[str], q_vec: st
     x = ix.rows.groupBy("_list").agg(F.count(F.lit(1)).alias("x"))
     pairs = n.join(x, "_list").agg(F.sum(F.col("q") * F.col("x"))).first()[0] or 0
     return pairs / max(1, ix.n * questions.where(F.col(q_vec).isNotNull()).count())
+
+
+# ------------------------------------------------------------ exact, Euclidean
+@dataclass(frozen=True)
+class Balls:
+    """An index in balls: rows with their ball (``_list``), centres, radii and
+    numbers of rows."""
+
+    rows: DataFrame
+    x_id: tuple[str, ...]
+    x_vec: str
+    centres: np.ndarray
+    radii: np.ndarray
+    sizes: np.ndarray
+
+
+def build_balls(index: DataFrame, x_id: Sequence[str], x_vec: str, balls: int | None = None, rounds: int = ROUNDS) -> Balls:
+    """Every row of ``index`` in the ball of its nearest centre; rows without a
+    vector are in none."""
+    index = materialize(index.where(F.col(x_vec).isNotNull()).select(*x_id, x_vec), "ball_rows")
+    n = index.count()
+    balls = max(1, min(balls or math.isqrt(n), MAX_LISTS, n or 1))
+    c = train_centroids(index, x_vec, list(x_id), balls, n, rounds, unit=False)
+    if not len(c):
+        return Balls(index.withColumn("_list", F.lit(0)), tuple(x_id), x_vec, c, np.zeros(0), np.zeros(0, np.int64))
+
+    @F.pandas_udf("list int, d double")
+    def nearest(s: pd.Series) -> pd.DataFrame:
+        d = distances(_matrix(s, False), c)
+        at = d.argmin(axis=1)
+        return pd.DataFrame({"list": at.astype(np.int32), "d": d[np.arange(len(at)), at]})
+
+    rows = materialize(index.withColumn("_n", nearest(x_vec)).select(*x_id, x_vec, F.col("_n.list").alias("_list"), F.col("_n.d").alias("_d")), "balls")
+    radii, sizes = np.zeros(len(c)), np.zeros(len(c), np.int64)
+    for r in rows.groupBy("_list").agg(F.max("_d").alias("r"), F.count(F.lit(1)).alias("n")).collect():       # a row for each ball
+        radii[r["_list"]], sizes[r["_list"]] = r["r"], r["n"]
+    return Balls(rows.drop("_d"), tuple(x_id), x_vec, c, radii, sizes)
+
+
+def _first_balls(ix: Balls, k: int):
+    """The nearest balls that hold ``k`` rows together."""
+    c, sizes = ix.centres, ix.sizes
+
+    @F.pandas_udf("array<int>")
+    def pick(s: pd.Series) -> pd.Series:
+        o = np.argsort(distances(_matrix(s, False), c), axis=1, kind="stable")
+        n = (np.cumsum(sizes[o], axis=1) < k).sum(axis=1) + 1
+        return pd.Series([row[:m].tolist() for row, m in zip(o, n)])
+    return pick
+
+
+def _other_balls(ix: Balls, k: int):
+    """Of the other balls those that can hold a row as near as ``reach``
+    (null: any): a row of a ball is at least the centre's distance less the
+    radius away."""
+    c, sizes, radii = ix.centres, ix.sizes, ix.radii
+
+    @F.pandas_udf("array<int>")
+    def pick(s: pd.Series, reach: pd.Series) -> pd.Series:
+        d = distances(_matrix(s, False), c)
+        o = np.argsort(d, axis=1, kind="stable")
+        n = (np.cumsum(sizes[o], axis=1) < k).sum(axis=1) + 1
+        far = reach.fillna(np.inf).to_numpy()
+        near = (d - radii <= (far * (1 + 1e-9) + 1e-9)[:, None]) & (sizes > 0)          # rounding never loses a row
+        for i, m in enumerate(n):
+            near[i, o[i, :m]] = False
+        return pd.Series([np.flatnonzero(x).astype(np.int32).tolist() for x in near])
+    return pick
+
+
+def l2_search(ix: Balls, questions: DataFrame, *, k: int, q_id: Sequence[str], q_vec: str,
+              exclude: Sequence[tuple[str, str]] = ()) -> tuple[DataFrame, DataFrame]:
+    """(exact top ``k`` by squared distance: ``q_id..., x_id..., score, rank``;
+    ``q_id..., _list``: the balls that each question looked into).  A question
+    without a vector finds nothing.
+
+    The first round looks into the nearest balls; its ``k``-th distance is the
+    reach of the second, which skips every ball that lies beyond it.  Each round
+    is the blocked kernel with balls as namespaces."""
+    q_id, x_id = list(q_id), list(ix.x_id)
+    q = materialize(questions.where(F.col(q_vec).isNotNull()).select(*q_id, q_vec), "ball_questions")
+    order = [F.col("score").asc(), *[F.col(c).asc() for c in x_id]]
+    best = Window.partitionBy(*q_id).orderBy(*order)
+
+    def of(found: DataFrame) -> DataFrame:
+        return found.drop("rank", "_list").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    if not len(ix.centres):
+        found = K.knn(q, ix.rows, k=k, q_id=q_id, x_id=x_id, q_vec=q_vec, x_vec=ix.x_vec, metric="l2", exclude=exclude)
+        return found, q.select(*q_id, F.lit(0).alias("_list")).limit(0)
+    search = dict(k=k, q_id=q_id, x_id=x_id, q_vec=q_vec, x_vec=ix.x_vec, metric="l2", ns="_list", exclude=exclude, ns_bound=len(ix.centres))
+    one = materialize(R.explode_rows(q, [*q_id, q_vec], _first_balls(ix, k + len(exclude))(q_vec), "_list"), "first_balls")
+    near = materialize(of(K.knn(one, ix.rows, **search)), "first_round")
+    reach = near.where(F.col("rank") == k).select(*q_id, F.sqrt("score").alias("_reach"))
+    two = q.join(reach, q_id, "left")
+    two = materialize(R.explode_rows(two, [*q_id, q_vec], _other_balls(ix, k + len(exclude))(q_vec, "_reach"), "_list"), "other_balls")
+    more = K.knn(two, ix.rows, **search)
+    return of(near.drop("rank").unionByName(more.select(*near.drop("rank").columns))), one.select(*q_id, "_list").unionByName(two.select(*q_id, "_list"))
+
+
+def skipped_share(ix: Balls, visited: DataFrame, questions: int) -> float:
+    """Share of all (question, row) pairs that :func:`l2_search` didn't score."""
+    pairs = visited.join(ix.rows.groupBy("_list").agg(F.count(F.lit(1)).alias("_n")), "_list").agg(F.sum("_n")).first()[0] or 0
+    return 1 - pairs / max(1, questions * int(ix.sizes.sum()))

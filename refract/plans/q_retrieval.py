@@ -80,6 +80,16 @@ def knn_l2_topk(spark, sf):
                     F.round("score", 6).alias("score"))
 
 
+@register("knn_l2_pruned", _knn_sql(L2_TOPK, "pow(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 2)", "ASC"))
+def knn_l2_pruned(spark, sf):
+    """The same by balls that are skipped where none of their rows can be near enough."""
+    e = _emb(spark, sf)
+    q = e.select("vec_id", F.col("embedding").alias("qv"))
+    ix = IVF.build_balls(e.select(F.col("vec_id").alias("nn_vec_id"), F.col("embedding").alias("xv")), ["nn_vec_id"], "xv")
+    r, _ = IVF.l2_search(ix, q, k=L2_TOPK, q_id=["vec_id"], q_vec="qv", exclude=[("vec_id", "nn_vec_id")])
+    return r.select("vec_id", F.col("rank").cast("long").alias("rank"), "nn_vec_id", F.round("score", 6).alias("score"))
+
+
 @register("knn_namespace", _knn_sql(1, _COS, "DESC", on="a.vec_id <> b.vec_id AND a.label = b.label",
                                     extra="label, "))
 def knn_namespace(spark, sf):

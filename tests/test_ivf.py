@@ -80,3 +80,21 @@ def test_runs_over_a_growing_index(spark, k):
     for run in (5, 2):
         state = V.advance(state, found.where(F.col("run_seq") == run), run, k)
         assert key(state) == [w for w in want if w[0] == run]
+
+
+def test_l2_search_by_balls_is_exact_and_skips(spark):
+    r = np.random.default_rng(9)
+    centres = 10 * r.standard_normal((30, 6))
+    x = np.vstack([np.repeat(centres, 40, axis=0) + r.standard_normal((1200, 6)), np.repeat(centres[:1], 3, axis=0)])
+    q = np.vstack([centres[r.integers(0, 30, 200)] + r.standard_normal((200, 6)), 30 * r.standard_normal((20, 6)), centres[:1]])
+    qf, xf = vectors(spark, q, "q"), vectors(spark, x, "x")
+    key = lambda df: sorted((a.q, a["rank"], a.x, round(a.score, 6)) for a in df.collect())
+    ix = IVF.build_balls(xf, ["x"], "xv")
+    found, visited = IVF.l2_search(ix, qf, k=3, q_id=["q"], q_vec="qv")
+    assert key(found) == key(K.knn(qf, xf, k=3, q_id=["q"], x_id=["x"], q_vec="qv", x_vec="xv", metric="l2"))
+    assert IVF.skipped_share(ix, visited, 221) > 0.8
+    far = IVF.build_balls(xf.limit(2), ["x"], "xv")                       # fewer rows than asked for
+    found, _ = IVF.l2_search(far, qf.unionByName(spark.createDataFrame([(999, None)], qf.schema)), k=3, q_id=["q"], q_vec="qv")
+    assert found.count() == 2 * 221
+    none, _ = IVF.l2_search(IVF.build_balls(xf.limit(0), ["x"], "xv"), qf, k=3, q_id=["q"], q_vec="qv")
+    assert none.count() == 0
