@@ -35,8 +35,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Bounds of what one task packs.
 SHARD_TOKENS, SHARD_PIECES = 1 << 26, 1 << 17
-#: Distinct words whose ids a task remembers.
-CACHE_WORDS = 1 << 17
+#: Distinct words whose ids a task remembers; beyond, the less frequent half goes.
+CACHE_WORDS = 1 << 18
 #: Text bytes encoded at once.
 ENCODE_BYTES = 1 << 20
 
@@ -84,7 +84,16 @@ class Encoder:
 
     def _forget(self) -> None:
         self.held.update(words={}, parts={}, begin=np.zeros(0, np.int64), size=np.zeros(0, np.int64),
-                         flat=np.zeros(0, np.uint32))
+                         flat=np.zeros(0, np.uint32), times=np.zeros(0, np.int64))
+
+    def _keep_frequent(self) -> None:
+        held, names = self.held, list(self.held["words"])               # in the order of their places
+        some = np.sort(np.argsort(held["times"], kind="stable")[len(names) // 2:])
+        begin, size = held["begin"][some], held["size"][some]
+        first = np.cumsum(size) - size
+        flat = held["flat"][np.arange(int(size.sum())) + np.repeat(begin - first, size)]
+        held.update(words={names[i]: k for k, i in enumerate(some.tolist())}, parts={}, begin=first, size=size, flat=flat,
+                    times=held["times"][some] // 2)
 
     def _ids(self, part: str) -> tuple[int, ...]:
         shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
@@ -124,7 +133,7 @@ class Encoder:
         whole = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
         names = pc.binary_join(whole, pa.scalar("\n", pa.large_string()))[0].as_py().split("\n")
         if len(self.held["words"]) + len(names) > CACHE_WORDS:
-            self._forget()
+            self._keep_frequent()
         known = self.held["words"]
         found = list(map(known.get, names))
         new = [w for w, i in zip(names, found) if i is None]
@@ -133,6 +142,9 @@ class Encoder:
             self._learn(new)
             found = [next(at) if i is None else i for i in found]
         word = np.array(found, np.int64)[coded.indices.to_numpy()]
+        times = np.bincount(word, minlength=len(self.held["size"]))
+        times[:len(self.held["times"])] += self.held["times"]
+        self.held["times"] = times
         n = self.held["size"][word]
         upto = np.concatenate([[0], np.cumsum(n)])
         at = np.arange(int(upto[-1])) - np.repeat(upto[:-1] - self.held["begin"][word], n)
