@@ -3,6 +3,15 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next stage's ``docs``.  All but the
 last return the columns of documents.
+
+Defined results: a null text counts as empty; an empty text isn't toxic, is an
+exact copy of every other empty one, is no near copy, has rate 1 and takes one
+token.  A null id learns and is learnt from nowhere; among exact copies it stays
+only where no other row has an id, among near copies likewise.  Rows that repeat
+id and text are one document from the exact dedup on.  Ties go to the largest id
+there and to the smallest id among near copies.  Without labels nothing is
+rejected, and there is one domain.  Empty tables give no rows; further columns
+of documents pass through every stage but the last, whatever their names.
 """
 
 from __future__ import annotations

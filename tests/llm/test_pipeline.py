@@ -71,3 +71,43 @@ def test_stages_against_brute_force(spark):
         assert used[r.sequence_id] == r.offset
         used[r.sequence_id] += r.length
     assert max(used.values()) <= 4096 and len(used) <= math.ceil(sum(used.values()) / 4096) + 2
+
+
+def folder(spark, path, docs, labels, extra=""):
+    schema = "doc_id long, text string, lang string, source string, n_chars long" + extra
+    spark.createDataFrame(docs, schema).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("labels", [[], [(1, 1, 0), (2, None, None), (None, 0, 1), (3, 0, 1), (3, 0, 0)]])
+def test_pipeline_on_odd_rows(spark, tmp_path, labels):
+    long = " ".join(f"w{i}" for i in range(3000))
+    texts = [(1, "One text of some words that is kept here."), (2, "ONE text of some words that is kept here."), (3, None), (4, ""), (None, "no id but a text of its own"),
+             (5, long), (6, long + " more"), (7, "b \t\n"), (8, "again and again"), (8, "again and again"), (None, None)]
+    docs = [(i, t, None if k % 3 else "en", "s", None, "x", 1) for k, (i, t) in enumerate(texts)]
+    out = corpus_pipeline.run(spark, folder(spark, tmp_path / "odd", docs, labels, ", rid string, _key int"))
+    rows = out.collect()
+    got = Counter(r.doc_id for r in rows if r.piece == 0)
+    assert set(got) <= {2, 4, None, 5, 7, 8} and {2, 5, 8} <= set(got)                   # copies gone, nothing else
+    assert "text" not in out.columns and all(0 < r.length <= 4096 for r in rows)
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    assert corpus_pipeline.run(spark, folder(spark, tmp_path / "none", [], [])).collect() == []
+
+
+def test_packing_remembers_the_frequent_words_and_stays_right(monkeypatch):
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from refract.llm import packing
+    monkeypatch.setattr(packing, "CACHE_WORDS", 300)
+    plain, enc, r = Tokenizer.from_file(packing.tokenizer_path()), packing.Encoder(packing.tokenizer_path()), random.Random(1)
+    word = lambda: "".join(r.choice(["a", "Bc", "é", "don't", "x.y", "漢", "3", ",", "ß", "'s", "Ünï"]) for _ in range(r.randint(1, 3)))
+    for _ in range(200):
+        texts = [" ".join(word() for _ in range(r.randint(0, 30))) for _ in range(5)] + [None, ""]
+        assert [x.tolist() for x in enc.encode(pa.array(texts, pa.string()))] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert len(enc.held["words"]) <= 300 + 150
