@@ -21,8 +21,9 @@ part behind it is.
 
 Only 16-byte digests and places are shuffled.  Digests that more than one
 ``HEAVY``-th of all rows hold are found by a Misra-Gries pass (at most twice as
-many), their winners are aggregated before the shuffle and broadcast; the
-others take a shuffle and a join that the engine can split.
+many); their winners are aggregated before the shuffle, broadcast, and settle
+those rows where they are read.  The others take a shuffle and a join that the
+engine can split.
 
 Not caught: a passage that is pasted behind a word without a sentence end and
 itself begins with a small letter keeps the words up to its first unit's end.
@@ -39,6 +40,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -133,6 +135,22 @@ def stored_units(docs: DataFrame, id_col: str, text_col: str, key: str | None =
                                                     "start long, end long, digest binary"), "units")
 
 
+def _settled(winners):
+    """The rows whose digest is a frequent one that repeats, each with the
+    place that stays."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = winners.value
+        names = t.column("digest").combine_chunks().cast(pa.binary())
+        places = t.column("f").combine_chunks()
+        for b in batches:
+            at = pc.index_in(b.column("digest").cast(pa.binary()), value_set=names)
+            some = at.is_valid()
+            b = b.filter(some)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("id", "rid", "start", "end")], places.take(at.filter(some))],
+                                             ["id", "rid", "start", "end", "f"])
+    return run
+
+
 def repeats(stored: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """:func:`repeated_runs` of :func:`stored_units`."""
     u = stored.where(F.col("digest").isNotNull())
@@ -141,12 +159,17 @@ def repeats(stored: DataFrame, heavy: int = HEAVY) -> DataFrame:
     def earliest(rows):
         return rows.groupBy("digest").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "f")
 
-    # left joins with at most 2 * heavy rows: every row passes once, and is parted after that
-    often = F.broadcast(heavy_digests(u, heavy).withColumn("often", F.lit(True)))
-    hot = materialize(earliest(u.join(often, "digest", "left").where("often")), "frequent")
-    u = u.join(F.broadcast(hot), "digest", "left")
-    rest = u.where("f is null").drop("f")
-    found = u.where("f is not null").unionByName(rest.join(earliest(rest), "digest"))
+    digests = [bytes(r.digest) for r in heavy_digests(u, heavy).collect()]             # at most 2 * heavy
+    if digests:
+        often = F.col("digest").isin([F.lit(x) for x in digests])
+        winners = earliest(u.where(often)).toArrow()                                   # at most as many
+        kind = f"{u.select('id', 'rid', 'start', 'end').schema.simpleString()[7:-1].replace(':', ' ')}, f {earliest(u).schema['f'].dataType.simpleString()}"
+        settled = u.where(often).mapInArrow(_settled(u.sparkSession.sparkContext.broadcast(winners)), kind)
+        rest = u.where(~often)
+    else:
+        settled, rest = None, u
+    found = rest.join(earliest(rest), "digest").select("id", "rid", "start", "end", "f")
+    found = found if settled is None else settled.unionByName(found)
     same = F.col("rid") == F.col("f.r")
     return (found.where(~same | (F.col("start") != F.col("f.s")))
             .select("id", "rid", F.when(same, F.greatest("start", "f.e")).otherwise(F.col("start")).alias("start"), "end",
