@@ -37,6 +37,8 @@ END_ID = 1
 SHARD_TOKENS, SHARD_PIECES = 1 << 26, 1 << 17
 #: Distinct words whose ids a task remembers; beyond, the less frequent half goes.
 CACHE_WORDS = 1 << 18
+#: Of these, how many a worker keeps for its next task.
+KEPT_WORDS = 1 << 17
 #: Text bytes encoded at once.
 ENCODE_BYTES = 1 << 20
 
@@ -67,8 +69,8 @@ def byte_letters() -> str:
 class Encoder:
     """Token ids of texts.  The vocabulary splits at white space and drops it,
     so a text's ids are those of its words one after another; each distinct
-    word is encoded once and remembered (at most ``CACHE_WORDS``, and no longer
-    than the encoder lives; a worker keeps the tokenizer alone)."""
+    word is encoded once and remembered (at most ``CACHE_WORDS``; between tasks a
+    worker keeps ``KEPT_WORDS`` of them)."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -76,11 +78,12 @@ class Encoder:
         if path not in held:
             from tokenizers import Tokenizer
             held[path] = Tokenizer.from_file(path)
-        self.held: dict = {}
+        self.held: dict = worker_cache("words").setdefault(path, {})
         self.tokenizer = held[path]
         self.model = self.tokenizer.model
         self.letters = byte_letters()
-        self._forget()
+        if "words" not in self.held:
+            self._forget()
 
     def _forget(self) -> None:
         self.held.update(words={}, parts={}, begin=np.zeros(0, np.int64), size=np.zeros(0, np.int64),
@@ -95,6 +98,12 @@ class Encoder:
         held.update(words={names[i]: k for k, i in enumerate(some.tolist())}, parts={}, begin=first, size=size, flat=flat,
                     times=held["times"][some] // 2)
 
+    def rest(self) -> None:
+        """Keep the most frequent words only, until the next task."""
+        while len(self.held["words"]) > KEPT_WORDS:
+            self._keep_frequent()
+        self.held["parts"] = {}
+
     def _ids(self, part: str) -> tuple[int, ...]:
         shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
         return tuple([t.id for t in self.model.tokenize(shown)])
@@ -172,6 +181,7 @@ def _pieces(path: str, capacity: int, end_id: int):
                 [b.column("doc_id").take(take), b.column("rid").take(take), pa.array(piece.astype(np.int32)),
                  pa.array(piece * capacity), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 ["doc_id", "rid", "piece", "start", "length", "ids_crc32"])
+        enc.rest()
     return releasing(run)
 
 

@@ -105,6 +105,7 @@ def test_packing_remembers_the_frequent_words_and_stays_right(monkeypatch):
 
     from refract.llm import packing
     monkeypatch.setattr(packing, "CACHE_WORDS", 300)
+    packing.worker_cache("words").clear()
     plain, enc, r = Tokenizer.from_file(packing.tokenizer_path()), packing.Encoder(packing.tokenizer_path()), random.Random(1)
     word = lambda: "".join(r.choice(["a", "Bc", "é", "don't", "x.y", "漢", "3", ",", "ß", "'s", "Ünï"]) for _ in range(r.randint(1, 3)))
     for _ in range(200):
