@@ -3,10 +3,14 @@ question best by BM25, within a word budget.
 
 How much a word says follows from the number of sentences of the whole corpus
 that hold it.  Those frequencies are a table with a row a word, which grows
-with the corpus, so it is joined, not broadcast by hand; questions and
-sentences meet on (article, word), where no key is longer than an article, and
-only numbers are shuffled until the chosen sentences are fetched.  Scores are
-compared to six places, ties by position.
+with the corpus, so it is stored and joined, not broadcast by hand.
+
+Everything else concerns one article alone, so words of sentences and questions
+are shuffled once, by article, a sentence and a question each in one row.  They
+are made into rows of words, meet on (article, word), and are summed, ranked
+and put together where they lie: grouping by (article, ...) needs no further
+shuffle of rows that are parted by article.  The texts follow once, by article,
+not once for each answer.  Scores are compared to six places, ties by position.
 
 Defined results: a question without a word in common with its article, or of
 an article without sentences, has an empty answer; the best sentence is taken
@@ -37,31 +41,55 @@ def sentence_terms(articles: DataFrame) -> DataFrame:
                        .select("article_index", "pos", "s", "w", F.size("t").alias("n"), terms.alias("terms")), "sentences")
 
 
+def _met(sentences: DataFrame, questions: DataFrame, k1: float, b: float) -> DataFrame:
+    """``article_index, q_seq, pos, w, score, asked``, parted by article: each
+    sentence that shares a word with a question, and one row without ``pos`` for
+    each ``(article_index, q_seq)``; ``asked`` tells how many questions it is."""
+    df = materialize(sentences.select(F.explode("terms.word").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df")), "word_sentences")
+    corpus = F.broadcast(sentences.agg(F.count(F.lit(1)).alias("sentences"), F.avg("n").alias("mean")))      # one row
+    # a word of a sentence has its place and gain, one of a question its weight;
+    # the null word stands for the question itself
+    sent = (sentences.where(F.col("article_index").isNotNull()).join(corpus, how="cross")
+            .select("article_index", F.lit(None).cast(questions.schema["q_seq"].dataType).alias("q_seq"), "pos", "w", F.transform(
+                "terms", lambda x: F.struct(x["word"].alias("word"), (x["tf"] * (k1 + 1) / (x["tf"] + k1 * (1 - b + b * F.col("n") / F.col("mean")))).alias("x"))).alias("words")))
+    idf = F.log(1 + (F.col("sentences") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    said = F.array_append(F.coalesce(F.array_distinct(T.tokens("question")), F.array().cast("array<string>")), F.lit(None).cast("string"))
+    asked = (R.explode_rows(questions, ["article_index", "q_seq"], said, "word").join(df, "word", "left")
+             .where(F.col("df").isNotNull() | F.col("word").isNull()).join(corpus, how="cross")
+             .select("article_index", "q_seq", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("int").alias("w"),
+                     F.array(F.struct("word", idf.alias("x"))).alias("words")))
+    rows = (sent.unionByName(asked).repartition("article_index")
+            .select("article_index", "q_seq", "pos", "w", F.explode("words").alias("x")))
+    here = F.col("pos").isNotNull()
+    word = (rows.groupBy("article_index", "x.word").agg(
+        F.collect_list(F.when(here, F.struct("pos", "w", F.col("x.x").alias("gain")))).alias("s"),
+        F.collect_list(F.when(~here, F.struct("q_seq", F.col("x.x").alias("idf")))).alias("q"))
+        .where(F.size("q") > 0).select("article_index", "word", "s", F.explode("q").alias("q"))
+        .select("article_index", "word", "q", F.explode_outer("s").alias("s")).where(F.col("s").isNotNull() | F.col("word").isNull()))
+    return (word.groupBy("article_index", "q.q_seq", "s.pos", "s.w")
+            .agg(F.round(F.sum(F.col("q.idf") * F.col("s.gain")), 6).alias("score"), F.count(F.lit(1)).alias("asked")))
+
+
 def bm25(sentences: DataFrame, questions: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """``article_index, q_seq, pos, w, score`` of each sentence that shares a
     word with a question (``article_index, q_seq, question``) of its article."""
-    term = sentences.select("article_index", "pos", "w", "n", F.explode("terms").alias("x")).select(
-        "article_index", "pos", "w", "n", "x.word", "x.tf")
-    df = term.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    corpus = F.broadcast(sentences.agg(F.count(F.lit(1)).alias("sentences"), F.avg("n").alias("mean")))      # one row
-    asked = (R.explode_rows(questions, ["article_index", "q_seq"], F.array_distinct(T.tokens("question")), "word")
-             .join(df, "word").join(corpus, how="cross")
-             .withColumn("idf", F.log(1 + (F.col("sentences") - F.col("df") + 0.5) / (F.col("df") + 0.5))))
-    gain = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
-    return (asked.select("article_index", "q_seq", "word", "idf", "mean").join(term, ["article_index", "word"])
-            .groupBy("article_index", "q_seq", "pos", "w").agg(F.round(F.sum(gain), 6).alias("score")))
+    return _met(sentences, questions, k1, b).where(F.col("pos").isNotNull()).drop("asked")
 
 
 def answer(articles: DataFrame, questions: DataFrame, budget: int = P.DEFAULT_BUDGET) -> DataFrame:
     """``article_index, q_seq, answer``: best sentences while their words stay
     within the budget, in document order."""
     s = sentence_terms(articles)
-    best = Window.partitionBy("article_index", "q_seq").orderBy(F.col("score").desc(), "pos")     # of one article
-    chosen = (bm25(s, questions).withColumns({
+    real = F.col("pos").isNotNull()
+    best = Window.partitionBy("article_index", "q_seq").orderBy(real.desc(), F.col("score").desc(), "pos")     # of one article
+    chosen = (_met(s, questions, K1, B).withColumns({
         "_words": F.sum("w").over(best.rowsBetween(Window.unboundedPreceding, 0)), "_rank": F.row_number().over(best)})
-        .where((F.col("_rank") == 1) | (F.col("_words") <= budget)).select("article_index", "q_seq", "pos"))
-    texts = (chosen.join(s.select("article_index", "pos", "s"), ["article_index", "pos"])
-             .groupBy("article_index", "q_seq").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("_s"))
-             .select("article_index", "q_seq", F.array_join(F.col("_s.s"), " ").alias("answer")))
-    return (questions.select("article_index", "q_seq").join(texts, ["article_index", "q_seq"], "left")
-            .select("article_index", "q_seq", F.coalesce("answer", F.lit("")).alias("answer")))
+        .where((F.col("_rank") == 1) | (F.col("_words") <= budget) | ~real)
+        .groupBy("article_index", "q_seq").agg(F.collect_list("pos").alias("_pos"), F.max(F.when(~real, F.col("asked"))).alias("_asked")))
+    texts = (s.where(F.col("article_index").isNotNull()).repartition("article_index")
+             .groupBy("article_index").agg(F.collect_list(F.struct("pos", "s")).alias("_s")))
+    # a chosen place takes each sentence that has it, where articles share a number
+    said = F.flatten(F.transform("_pos", lambda p: F.filter("_s", lambda x: x["pos"] == p)))
+    answers = chosen.join(texts, "article_index", "left").select(
+        "article_index", "q_seq", F.coalesce(F.array_join(F.sort_array(said)["s"], " "), F.lit("")).alias("answer"), "_asked")
+    return answers.select("article_index", "q_seq", "answer", F.explode(F.array_repeat(F.lit(0), F.col("_asked").cast("int"))).alias("_copy")).drop("_copy")

@@ -46,3 +46,17 @@ def test_answers_like_plain_python(spark):
         assert got == plain(budget)
     assert plain(9)[2, 1] == "Rain and wind came. The wind broke a mast." and plain(100)[5, 0] == ""
     assert AN.answer(arts.limit(0), asked, 9).where("answer <> ''").count() == 0
+
+
+def test_words_are_shuffled_by_article_alone(spark):
+    arts = spark.createDataFrame(list(TEXTS.items()), "article_index long, content string")
+    asked = spark.createDataFrame(ASKED, "article_index long, q_seq int, question string")
+    plan = AN.answer(arts, asked, 9)._jdf.queryExecution().executedPlan().toString()
+    assert not re.findall(r"hashpartitioning\(article_index#\d+L?, [a-z]", plan)
+
+
+def test_numbers_that_repeat_or_are_null(spark):
+    arts = spark.createDataFrame([(1, "Rain fell. Wind blew."), (1, "Rain fell. Wind blew."), (None, "Rain fell.")], "article_index long, content string")
+    asked = spark.createDataFrame([(1, 0, "rain"), (1, 1, "zebra"), (1, 1, "zebra"), (None, 0, "rain"), (7, 0, "rain")], "article_index long, q_seq int, question string")
+    got = sorted(((r.article_index or 0, r.q_seq, r.answer) for r in AN.answer(arts, asked, 9).collect()))
+    assert got == [(0, 0, ""), (1, 0, "Rain fell. Rain fell."), (1, 1, ""), (1, 1, ""), (7, 0, "")]
