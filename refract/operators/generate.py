@@ -19,9 +19,12 @@ Responses are turned into question lists by the reference's line rule
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -29,6 +32,9 @@ from pyspark.sql.types import StringType, StructField, StructType
 from refract.functions import prompts as P
 from refract.functions import text as T
 
+# Ship this module's code with the UDFs (workers need not have the package).
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 KeyFn = Callable[..., Column]  # (item, n, ctx) -> ascending sort key
 
 
@@ -81,6 +87,9 @@ def with_sentences(df: DataFrame, text_col: str = "content", out_col: str = "_it
 def _ranked(items: Column, key_fn: KeyFn, ctx: Column | None = None, needs_n: bool = False) -> Column:
     """``array<struct<k, pos, w, s>>`` sorted by (key, pos).
 
+    ``sort_array`` compares natively, ``array_sort`` by a lambda; no element is
+    null, so both give the same order.
+
     Per-row values a rule needs inside the lambda (sentence count, question
     tokens) are zipped into the elements rather than referenced from the
     lambda body, where Spark would re-evaluate them for every element.
@@ -88,13 +97,13 @@ def _ranked(items: Column, key_fn: KeyFn, ctx: Column | None = None, needs_n: bo
     if ctx is None and not needs_n:
         keyed = F.transform(items, lambda x: F.struct(
             key_fn(x, None, None).alias("k"), x["pos"].alias("pos"), x["w"].alias("w"), x["s"].alias("s")))
-        return F.array_sort(keyed)
+        return F.sort_array(keyed)
     n = F.size(items)
     c = ctx if ctx is not None else F.lit(None).cast("int")
     keyed = F.zip_with(items, F.array_repeat(F.struct(n.alias("n"), c.alias("c")), n),
                        lambda x, e: F.struct(key_fn(x, e["n"], e["c"]).alias("k"), x["pos"].alias("pos"),
                                              x["w"].alias("w"), x["s"].alias("s")))
-    return F.array_sort(keyed)
+    return F.sort_array(keyed)
 
 
 def select_by_budget(items: Column, key_fn: KeyFn, budget: int | Column,
@@ -112,7 +121,7 @@ def select_by_budget(items: Column, key_fn: KeyFn, budget: int | Column,
             F.when((acc["tot"] == 0) | (acc["tot"] + x["w"] <= b),
                    F.array_append(acc["kept"], F.struct(x["pos"].alias("pos"), x["s"].alias("s"))))
              .otherwise(acc["kept"]).alias("kept")),
-        lambda acc: F.array_join(F.transform(F.array_sort(acc["kept"]), lambda x: x["s"]), " "))
+        lambda acc: F.array_join(F.transform(F.sort_array(acc["kept"]), lambda x: x["s"]), " "))
 
 
 def valued_items(items: Column) -> Column:
@@ -129,27 +138,47 @@ def best_within_budget(items: Column, budget: int = P.DEFAULT_BUDGET) -> Column:
     A dynamic programme over word counts, folded over the items of
     :func:`valued_items` inside the row: place ``c`` of the state is the best
     choice of at most ``c`` words, so a row of n sentences takes n times
-    ``budget`` steps whatever their length.  Of equal values the choice made
-    first stays.  A sentence longer than the budget is never chosen.
+    ``budget`` steps whatever their length.  The state is one NumPy array of
+    values; which items were taken is read back from one bit a step.  Of equal
+    values the choice made first stays.  A sentence longer than the budget is
+    never chosen.
     """
-    none = F.struct(F.lit(0).cast("long").alias("value"), F.lit(0).alias("words"),
-                    F.array().cast("array<struct<pos:int,s:string>>").alias("kept"))
-
-    def step(best: Column, x: Column) -> Column:
-        def at(c: Column) -> Column:
-            before, now = F.get(best, c - x["w"]), F.get(best, c)
-            return F.when((c >= x["w"]) & (before["value"] + x["v"] > now["value"]), F.struct(
-                (before["value"] + x["v"]).alias("value"), (before["words"] + x["w"]).alias("words"),
-                F.array_append(before["kept"], F.struct(x["pos"].alias("pos"), x["s"].alias("s"))).alias("kept"))).otherwise(now)
-        return F.transform(F.sequence(F.lit(0), F.lit(budget)), at)
-
-    return F.aggregate(items, F.array_repeat(none, budget + 1), step, lambda best: F.get(best, F.lit(budget)))
+    @F.pandas_udf("array<int>")
+    def solve(w: pd.Series, v: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None else fill_budget(a, b, budget) for a, b in zip(w, v)], dtype=object)
+
+    at = solve(F.transform(items, lambda x: x["w"]), F.transform(items, lambda x: x["v"].cast("long")))
+    taken = F.transform(at, lambda i: F.get(items, i))
+    none = F.lit(0).cast("long")
+    return F.when(at.isNotNull(), F.struct(
+        F.aggregate(taken, none, lambda a, x: a + x["v"]).alias("value"),
+        F.aggregate(taken, F.lit(0), lambda a, x: a + x["w"]).alias("words"),
+        F.transform(taken, lambda x: F.struct(x["pos"].alias("pos"), x["s"].alias("s"))).alias("kept")))
+
+
+def fill_budget(words, values, budget: int) -> list[int]:
+    """Places of the items with the greatest total value within the budget."""
+    w, v = np.asarray(words, np.int64), np.asarray(values, np.int64)
+    fits = np.flatnonzero(w <= budget)
+    best, took = np.zeros(budget + 1, np.int64), []
+    for i in fits.tolist():
+        now, found = best[w[i]:], best[:budget + 1 - w[i]] + v[i]
+        better = found > now
+        took.append(np.packbits(better))
+        np.copyto(now, found, where=better)
+    out, c = [], budget
+    for i, bits in zip(fits[::-1].tolist(), reversed(took)):
+        at = c - int(w[i])
+        if at >= 0 and bits[at >> 3] >> (7 - (at & 7)) & 1:
+            out.append(i)
+            c = at
+    return out[::-1]
 
 
 def greedy_value(items: Column, budget: int = P.DEFAULT_BUDGET) -> Column:
     """The value that taking the best sentences in turn reaches, while their
     running words stay within the budget."""
-    ranked = F.array_sort(F.transform(items, lambda x: F.struct((-x["v"]).alias("k"), x["pos"].alias("pos"), x["w"].alias("w"))))
+    ranked = F.sort_array(F.transform(items, lambda x: F.struct((-x["v"]).alias("k"), x["pos"].alias("pos"), x["w"].alias("w"))))
     init = F.struct(F.lit(0).alias("tot"), F.lit(0).cast("long").alias("value"))
     return F.aggregate(ranked, init, lambda a, x: F.struct(
         (a["tot"] + x["w"]).alias("tot"), (a["value"] + F.when(a["tot"] + x["w"] <= budget, -x["k"]).otherwise(F.lit(0).cast("long"))).alias("value")),
@@ -169,7 +198,12 @@ def extractive_perspectives(items: Column, budget: int = P.DEFAULT_BUDGET,
 
 def extractive_summary(content: Column | str, budget: int | Column = P.DEFAULT_BUDGET) -> Column:
     """Single-prompt summary: lead sentences within the budget."""
-    return select_by_budget(sentence_items(article_sentences(content)), PERSPECTIVE_RULES[0], budget)
+    return lead_sentences(sentence_items(article_sentences(content)), budget)
+
+
+def lead_sentences(items: Column, budget: int | Column = P.DEFAULT_BUDGET) -> Column:
+    """The same from sentence items, for several budgets of one text."""
+    return select_by_budget(items, PERSPECTIVE_RULES[0], budget)
 
 
 def shorten(text: Column | str, budget: int | Column) -> Column:

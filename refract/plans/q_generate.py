@@ -375,10 +375,11 @@ SELECT article_index, length::BIGINT AS length, {Q.wc('txt')}::BIGINT AS n_words
 FROM bl""")
 def perspectives_by_length(spark, sf):
     a = arts(spark, sf)
-    lens = F.explode(F.array(*[F.lit(n) for n in LENGTHS])).alias("length")
-    return (a.select("article_index", "content", lens)
-            .select("article_index", F.col("length").cast("long").alias("length"),
-                    G.extractive_summary("content", F.col("length")).alias("p"))
+    # sentences are split once an article, not once a length
+    a = G.with_sentences(a).select("article_index", "_items")
+    of = F.array(*[F.struct(F.lit(n).cast("long").alias("length"), G.lead_sentences(F.col("_items"), n).alias("p")) for n in LENGTHS])
+    return (R.explode_rows(a, ["article_index"], of, "r")
+            .select("article_index", F.col("r.length").alias("length"), F.col("r.p").alias("p"))
             .select("article_index", "length", TX.word_count("p").cast("long").alias("n_words"),
                     F.md5("p").alias("perspective_md5")))
 

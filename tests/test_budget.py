@@ -31,3 +31,12 @@ def test_values_are_different_words(spark):
     df = spark.createDataFrame([("One two two. Three, three! \n Four",), ("",), (None,)], "content string")
     got = [r[0] for r in df.select(G.valued_items(G.sentence_items(G.article_sentences("content")))).collect()]
     assert [[(x.pos, x.w, x.v) for x in g] if g is not None else None for g in got] == [[(0, 3, 2), (1, 2, 1), (2, 1, 1)], [], None]
+
+
+def test_places_read_back_from_bits():
+    r = random.Random(6)
+    for _ in range(200):
+        w, v = r.choices(range(1, 14), k=r.randint(0, 9)), r.choices(range(9), k=9)
+        at = G.fill_budget(w, v[:len(w)], 11)
+        best = max(sum(v[i] for i in c) for n in range(len(w) + 1) for c in itertools.combinations(range(len(w)), n) if sum(w[i] for i in c) <= 11)
+        assert sum(v[i] for i in at) == best and sum(w[i] for i in at) <= 11 and at == sorted(at)
