@@ -8,7 +8,7 @@ Two forms:
   selected elements repeats (an unclosed ``<p>`` nests the following ones, as
   a lenient tree builder does).  A container inside a container gives its own
   text once more, after the outer one's.  Code of scripts, styles, templates
-  and ruby annotations is no text.  Runs as an Arrow-batched pandas UDF with the
+  and ruby annotations is no text.  Runs as an Arrow UDF with the
   standard-library tokenizer; a page without a container gives null instead
   of failing the job.
 * :func:`extract_main_text_flat` -- native (JVM) approximation for flat pages:
@@ -19,9 +19,10 @@ Two forms:
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -87,7 +88,7 @@ class _MainText(HTMLParser):
 
 def main_text(html: str | None, container: str = "main",
               container_class: str | None = "flex flex-1 flex-col") -> str | None:
-    """Plain-Python extraction for one page (used inside the pandas UDF)."""
+    """Plain-Python extraction for one page (used inside the Arrow UDF)."""
     if html is None:
         return None
     p = _MainText(container, container_class)
@@ -102,9 +103,12 @@ def main_text(html: str | None, container: str = "main",
 
 def extract_main_text(html: Column | str, container: str = "main",
                       container_class: str | None = "flex flex-1 flex-col") -> Column:
-    @F.pandas_udf("string")
-    def _extract(s: pd.Series) -> pd.Series:
-        return s.map(lambda h: main_text(h, container, container_class))
+    @F.arrow_udf("string")
+    def _extract(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        # pages stay in Arrow's buffer and become Python strings one at a time
+        for pages in batches:
+            yield pa.array((main_text(h.as_py(), container, container_class) for h in pages), pa.string())
+            pa.default_memory_pool().release_unused()
 
     return _extract(F.col(html) if isinstance(html, str) else html)
 

@@ -41,3 +41,11 @@ def test_udf_on_hand_worked_pages(spark):
     df = spark.createDataFrame(pages, "page_id long, html string, want string").repartition(3)
     got = df.select("page_id", "want", H.extract_main_text("html", "article", None).alias("t")).collect()
     assert len(got) == len(pages) and all(r.t == r.want for r in got)
+
+
+def test_column_like_the_plain_function(spark):
+    pages = ["<main><p>a\tb</p></main>", None, "<p>x</p>", "<main></main>", "<main><p>é</p></main>" * 3]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, html string")
+    got = dict(df.select("i", H.extract_main_text("html", "main", None)).collect())
+    assert [got[i] for i in range(len(pages))] == [H.main_text(p, "main", None) for p in pages]
+    assert not hasattr(H, "pd")                # pages are not held as Python strings a batch at a time
