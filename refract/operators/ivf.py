@@ -293,11 +293,14 @@ def l2_search(ix: Balls, questions: DataFrame, *, k: int, q_id: Sequence[str], q
         found = K.knn(q, ix.rows, k=k, q_id=q_id, x_id=x_id, q_vec=q_vec, x_vec=ix.x_vec, metric="l2", exclude=exclude)
         return found, q.select(*q_id, F.lit(0).alias("_list")).limit(0)
     search = dict(k=k, q_id=q_id, x_id=x_id, q_vec=q_vec, x_vec=ix.x_vec, metric="l2", ns="_list", exclude=exclude, ns_bound=len(ix.centres))
-    one = materialize(R.explode_rows(q, [*q_id, q_vec], _first_balls(ix, k + len(exclude))(q_vec), "_list"), "first_balls")
+    # stored with all their balls in one row: a vector is written once, not once a ball
+    one = materialize(q.withColumn("_lists", _first_balls(ix, k + len(exclude))(q_vec)), "first_balls")
+    one = R.explode_rows(one, [*q_id, q_vec], F.col("_lists"), "_list")
     near = materialize(of(K.knn(one, ix.rows, **search)), "first_round")
     reach = near.where(F.col("rank") == k).select(*q_id, F.sqrt("score").alias("_reach"))
     two = q.join(reach, q_id, "left")
-    two = materialize(R.explode_rows(two, [*q_id, q_vec], _other_balls(ix, k + len(exclude))(q_vec, "_reach"), "_list"), "other_balls")
+    two = materialize(two.select(*q_id, q_vec, _other_balls(ix, k + len(exclude))(q_vec, "_reach").alias("_lists")), "other_balls")
+    two = R.explode_rows(two, [*q_id, q_vec], F.col("_lists"), "_list")
     more = K.knn(two, ix.rows, **search)
     return of(near.drop("rank").unionByName(more.select(*near.drop("rank").columns))), one.select(*q_id, "_list").unionByName(two.select(*q_id, "_list"))
 

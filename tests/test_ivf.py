@@ -98,3 +98,21 @@ def test_l2_search_by_balls_is_exact_and_skips(spark):
     assert found.count() == 2 * 221
     none, _ = IVF.l2_search(IVF.build_balls(xf.limit(0), ["x"], "xv"), qf, k=3, q_id=["q"], q_vec="qv")
     assert none.count() == 0
+
+
+def test_a_question_is_stored_once_not_once_a_ball(spark, monkeypatch):
+    import numpy as np
+    from pyspark.sql import functions as F
+    from refract.operators import ivf as IVF
+    stored = {}
+
+    def noted(df, name, kept=IVF.materialize):
+        out = kept(df, name)
+        stored[name] = out.count()
+        return out
+    monkeypatch.setattr(IVF, "materialize", noted)
+    m = np.random.default_rng(2).standard_normal((60, 8))
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "x int, xv array<double>")
+    ix = IVF.build_balls(e, ["x"], "xv", balls=6)
+    r, _ = IVF.l2_search(ix, e.select(F.col("x").alias("q"), F.col("xv").alias("qv")), k=3, q_id=["q"], q_vec="qv", exclude=[("q", "x")])
+    assert r.count() == 180 and stored["first_balls"] == stored["other_balls"] == 60
