@@ -41,17 +41,19 @@ BLANK = "[ \\t\\n\\r\\f]"
 TOKEN = "[^ \\t\\n\\r\\f]+"
 #: What may stand around a word.
 OPEN, CLOSE = "[(\"'\\[]+", "[)\"'\\],;:]+"
+#: The same characters one by one, as trim takes them.
+BLANKS, OPENS, CLOSES = " \t\n\r\f", "(\"'[", ")\"'],;:"
 _END = "\u0001"
 
 
 def word(token: Column) -> Column:
     """A token in small letters without quotes, brackets and commas."""
-    return F.lower(F.regexp_replace(token, f"^{OPEN}|{CLOSE}$", ""))
+    return F.lower(F.rtrim(F.ltrim(token, F.lit(OPENS)), F.lit(CLOSES)))
 
 
 def bare(w: Column) -> Column:
     """A word without its last full stop."""
-    return F.regexp_replace(w, "\\.$", "")
+    return F.when(w.endswith("."), F.left(w, F.length(w) - 1)).otherwise(w)
 
 
 def dunning(a: Column, b: Column, ab: Column, n: Column) -> Column:
@@ -68,10 +70,10 @@ def dunning(a: Column, b: Column, ab: Column, n: Column) -> Column:
 def train(docs: DataFrame, text_col: str = "text", most: int = MOST) -> DataFrame:
     """``kind``, ``a``, ``b`` (null but for collocations), ``score``, stored."""
     toks = F.filter(F.split(F.col(text_col), BLANK + "+"), lambda x: x != "")
-    d = docs.select(toks.alias("t")).where(F.size("t") > 0)
-    pairs = F.zip_with("t", F.concat(F.slice("t", 2, F.size("t")), F.array(F.lit(None).cast("string"))),
-                       lambda x, y: F.struct(word(x).alias("w"), bare(word(y)).alias("b")))
-    t = R.explode_rows(d, [], pairs, "p").select("p.w", bare(F.col("p.w")).alias("a"), "p.b").where("a <> ''")
+    # each token becomes a word once, whether it is met as a word or as the next one
+    d = docs.select(F.transform(toks, word).alias("t"))
+    pairs = F.arrays_zip(F.col("t").alias("w"), F.slice("t", 2, F.greatest(F.size("t"), F.lit(0))).alias("y"))
+    t = (R.explode_rows(d, [], pairs, "p").select("p.w", bare(F.col("p.w")).alias("a"), bare(F.col("p.y")).alias("b")).where("a <> ''"))
     stop = F.col("w").endswith(".")
     # one table of narrow counts for everything that follows: (word, stop, next word)
     counts = materialize(t.groupBy("a", stop.alias("stop"), F.when(stop, F.col("b")).alias("b")).agg(F.count(F.lit(1)).alias("n")), "sentence_counts")
@@ -131,15 +133,28 @@ def sentences(c: Column | str, model: Model) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     pieces = F.split(F.regexp_replace(c, f"([.!?])({BLANK}+)", "$1$2" + _END), _END, -1)
 
+    # a piece's last and first word and what follows from them are found once
+    # each: a lambda evaluates an expression as often as it is named
+    def ends(piece: Column) -> Column:
+        return F.struct(piece.alias("p"), F.regexp_extract(piece, TOKEN, 0).alias("f"), F.when(
+            F.translate(F.right(piece, F.lit(1)), BLANKS, " " * len(BLANKS)) == " ", F.translate(piece, BLANKS, " " * len(BLANKS))).alias("l"))
+
+    def words(x: Column) -> Column:
+        return F.struct(x["p"].alias("p"), F.ltrim(x["f"], F.lit(OPENS)).alias("f"),
+                        F.coalesce(F.substring_index(F.rtrim(x["l"]), " ", -1), F.lit("")).alias("l"))
+
+    def bares(x: Column) -> Column:
+        return x.withField("a", word(x["l"])).withField("b", word(x["f"]))
+
     def mark(piece: Column, after: Column) -> Column:
-        last = F.regexp_extract(piece, f"({TOKEN}){BLANK}+$", 1)
-        first = F.regexp_replace(F.regexp_extract(after, TOKEN, 0), f"^{OPEN}", "")
-        a, b = bare(word(last)), bare(word(first))
+        last, first, a, b = piece["l"], after["f"], bare(piece["a"]), bare(after["b"])
         short = _in(a, model.abbreviations) | (a.rlike("^\\p{L}$") & first.rlike("^\\p{Lu}"))
         inside = last.endswith(".") & ((short & ~_in(b, model.starters)) | _in(F.concat(a, F.lit(" "), b), model.collocations))
-        return F.concat(piece, F.when(inside, "").otherwise(_END))
+        return F.concat(piece["p"], F.when(inside, "").otherwise(_END))
 
-    marked = F.transform(F.array(pieces), lambda p: F.array_join(
-        F.zip_with(p, F.concat(F.slice(p, 2, F.size(p)), F.array(F.lit(""))), mark), ""))[0]
-    trimmed = F.transform(F.split(marked, _END, -1), lambda s: F.regexp_replace(s, f"^{BLANK}+|{BLANK}+$", ""))
+    found = F.transform(F.transform(F.transform(pieces, ends), words), bares)
+    end = F.struct(*[F.lit("").alias(x) for x in ("p", "f", "l", "a", "b")])
+    marked = F.transform(F.array(found), lambda p: F.array_join(
+        F.zip_with(p, F.concat(F.slice(p, 2, F.size(p)), F.array(end)), mark), ""))[0]
+    trimmed = F.transform(F.split(marked, _END, -1), lambda s: F.btrim(s, F.lit(BLANKS)))
     return F.filter(trimmed, lambda s: s != "")

@@ -50,3 +50,12 @@ def test_little_to_learn_from(spark):
         assert set(SM.load(model).collocations) == set()
     many = spark.createDataFrame([(" ".join(f"w{i}x. and" for i in range(50)),)] * 3, "text string")
     assert SM.train(many, most=7).groupBy("kind").count().where("count > 7").count() == 0
+
+
+def test_words_and_ends_without_a_regex_a_token(spark):
+    from pyspark.sql import functions as F
+    toks = ["(\"Dr.\"),", "'", "[x]", "a..", ".", "(,)", "ß.;"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(toks)], "i int, t string")
+    rows = df.select("i", SM.word(F.col("t")), SM.bare(SM.word(F.col("t")))).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in rows] == [("dr.", "dr"), ("", ""), ("x", "x"), ("a..", "a."), (".", ""), ("", ""), ("ß.", "ß")]
+    assert "regexp" not in str(SM.bare(SM.word(F.col("t")))).lower()
