@@ -47,6 +47,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 Q_BLOCK = 4096
 X_BLOCK = 8192
 SCORE_ROWS = 2048
+# Scores of dense vectors held at once (16 MB of doubles): several workers share
+# an executor's memory, and a chunk that stays in the cache is scored faster.
+SCORE_CELLS = 1 << 21
+# Index rows of which only the best score is looked at for a bound of the k-th best.
+BOUND_ROWS = 64
 # Tasks are CPU-bound, so the pair shuffle gets an explicit partition count
 # (this many per core, or spark.sql.shuffle.partitions if larger) that AQE
 # does not coalesce by bytes.
@@ -154,13 +159,25 @@ def _block_topk(qpdf: pd.DataFrame, xpdf: pd.DataFrame, *, k, q_id, x_id, kind,
     else:
         X = _matrix(xpdf["_xv"], kind, dims)
         nx = np.einsum("ij,ij->i", X, X, dtype=np.float64)
-    parts = [_score_chunk(qpdf.iloc[a:a + SCORE_ROWS].reset_index(drop=True), xpdf, X, nx, k=k,
+    rows = SCORE_ROWS if kind == "buckets" else max(1, min(SCORE_ROWS, SCORE_CELLS // len(xpdf)))
+    parts = [_score_chunk(qpdf.iloc[a:a + rows].reset_index(drop=True), xpdf, X, nx, k=k,
                           q_id=q_id, x_id=x_id, kind=kind, dims=dims, metric=metric,
                           min_score=min_score, exclude=exclude)
-             for a in range(0, len(qpdf), SCORE_ROWS)]
+             for a in range(0, len(qpdf), rows)]
     return pd.concat(parts, ignore_index=True)
 
 
+def _kth_bound(A: np.ndarray, k: int) -> np.ndarray:
+    """A score of each row that at least ``k`` of its scores reach: the ``k``-th
+    best of the best of runs of columns, so that only those are partitioned."""
+    if k == 1:
+        return A.max(axis=1)
+    n = A.shape[1] // BOUND_ROWS
+    if n >= 4 * k:
+        A = A[:, :n * BOUND_ROWS].reshape(len(A), n, BOUND_ROWS).max(axis=2)
+    return -np.partition(-A, k - 1, axis=1)[:, k - 1]
+
+
 SCREEN_TOL = 1e-4  # float32 screening margin on the cosine scale
 
 
@@ -178,12 +195,12 @@ def _score_chunk(qpdf, xpdf, X, nx, *, k, q_id, x_id, kind, dims, metric, min_sc
         nq = np.einsum("ij,ij->i", Q, Q, dtype=np.float64)
 
     def exact(r, c):
+        if metric == "l2":
+            return A[r, c] - nq[r]
         d = dots[r, c].astype(np.float64)
-        if metric == "cosine":
-            with np.errstate(divide="ignore", invalid="ignore"):
-                v = d / (np.sqrt(nq[r]) * np.sqrt(nx[c]))
-            return np.where(np.isfinite(v), v, -np.inf)
-        return -(nq[r] + nx[c] - 2.0 * d)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            v = d / (np.sqrt(nq[r]) * np.sqrt(nx[c]))
+        return np.where(np.isfinite(v), v, -np.inf)
 
     # approximate scores (float32) screen the candidates; the candidates are
     # re-scored exactly in float64 from the untouched dot products below.
@@ -200,16 +217,18 @@ def _score_chunk(qpdf, xpdf, X, nx, *, k, q_id, x_id, kind, dims, metric, min_sc
         row_scale = np.sqrt(nq)            # screening score * |q|^-1 = cosine
         base_tol = SCREEN_TOL
     else:
-        A = -(nq[:, None] + nx[None, :] - 2.0 * dots.astype(np.float64))
+        # the query's norm is one term of its whole row and orders nothing
+        A = np.multiply(dots, 2.0, out=dots)
+        A -= nx[None, :]
         row_scale = np.ones(len(nq))
-        base_tol = 1e-6 * (1.0 + np.abs(A).max()) if A.size else 0.0
+        base_tol = 1e-6 * (1.0 + 2.0 * (nq.max(initial=0.0) + nx.max(initial=0.0)))
     tol = base_tol * row_scale
     for qc, xc in exclude:
         A[qpdf[qc].to_numpy()[:, None] == xpdf[xc].to_numpy()[None, :]] = -np.inf
     kk = min(k, A.shape[1])
-    v = -np.partition(-A, kk - 1, axis=1)[:, kk - 1] if kk > 1 else A.max(axis=1)
-    # a candidate is finite, within tol of the row's k-th best (every finite
-    # score when the row has fewer than k) and above min_score
+    v = _kth_bound(A, kk)
+    # a candidate is finite, within tol of a bound of the row's k-th best (every
+    # finite score when the row has fewer than k) and above min_score
     thr = (v - tol).astype(A.dtype)
     thr[~np.isfinite(thr)] = np.finfo(A.dtype).min
     if min_score is not None:

@@ -183,3 +183,12 @@ def test_a_wrong_namespace_bound_is_an_error(spark):
     x = df.select(F.col("id").alias("nid"), "ns", F.col("v").alias("xv"))
     with pytest.raises(Exception, match="more than 1 namespaces"):
         K.knn(q, x, k=1, q_id=["id"], x_id=["nid"], q_vec="qv", x_vec="xv", ns="ns", ns_bound=1).collect()
+
+
+def test_bound_of_the_kth_best():
+    import numpy as np
+    from refract.operators import knn as K
+    for n, k in ((5, 3), (300, 3), (1000, 1), (1000, 5)):
+        a = np.random.default_rng(n + k).standard_normal((20, n))
+        true, low = np.sort(a, axis=1)[:, -k], K._kth_bound(a, k)
+        assert (low <= true).all() and ((a >= low[:, None]).sum(axis=1) >= k).all()
