@@ -13,7 +13,7 @@ from refract.operators import index as X
 from refract.plans import q_generate as QG
 from refract.plans import sqlx as Q
 from refract.plans.catalog import register
-from refract.session import scratch_path
+from refract.session import materialize, scratch_path
 from refract.sources import tables
 from refract.functions import rows as R
 
@@ -72,7 +72,8 @@ def index_records(spark, sf):
     r = X.records(p, index_name="hfperspectives", namespace="perspectives",
                   id_col=X.legacy_id("article_index", "seq"), vec_col="xv",
                   metadata=F.struct(F.col("article_index").alias("index"), F.col("seq").alias("sequence")))
-    r = tables.index_rows(r, ["metadata.index", "metadata.sequence"], "rec_ord")
+    # stored first: the sort reads its input twice, for its bounds and for its rows
+    r = tables.index_rows(materialize(r, "records"), ["metadata.index", "metadata.sequence"], "rec_ord")
     return r.select("id", "rec_ord", F.col("metadata.index").alias("meta_index"),
                     F.col("metadata.sequence").alias("meta_sequence"),
                     F.size("embedding").cast("long").alias("n_tokens"),
@@ -227,7 +228,7 @@ def index_by_length(spark, sf):
     a = QG.arts(spark, sf)
     n = P.DEFAULT_BUDGET
     p = a.select("article_index", E.hash_buckets(G.extractive_summary("content", n), DIMS).alias("xv"))
-    p = tables.index_rows(p, ["article_index"], "rec_ord")
+    p = tables.index_rows(materialize(p, "by_length"), ["article_index"], "rec_ord")
     r = X.records(p, index_name=f"perspective{n}", namespace="perspectives", id_col=F.col("rec_ord"),
                   vec_col="xv", metadata=F.struct(F.col("article_index").alias("index")))
     idx = X.upsert(None, r)
