@@ -192,3 +192,63 @@ def test_bound_of_the_kth_best():
         a = np.random.default_rng(n + k).standard_normal((20, n))
         true, low = np.sort(a, axis=1)[:, -k], K._kth_bound(a, k)
         assert (low <= true).all() and ((a >= low[:, None]).sum(axis=1) >= k).all()
+
+
+def _copies(df):
+    """Nodes of a plan that multiply rows."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Generate explode") + plan.count("FlatMapCoGroups")
+
+
+def test_streamed_blocks_copy_no_rows(spark):
+    """The rows a query shuffles don't grow with the number of blocks they
+    meet, and many blocks in few tasks give the brute force's rows; with a
+    namespace too."""
+    V, df = _frames(spark)
+    q = df.select("id", "ns", F.col("v").alias("qv"))
+    x = df.select(F.col("id").alias("nid"), "ns", F.col("v").alias("xv"))
+    for partitions in (1, 3, 40):
+        kw = dict(k=3, q_id=["id"], x_id=["nid"], q_vec="qv", x_vec="xv", exclude=[("id", "nid")], q_block=7, x_block=5, partitions=partitions)
+        r = K.knn(q, x, **kw)
+        assert _copies(r) == 0
+        got = {}
+        for row in r.orderBy("id", "rank").collect():
+            got.setdefault(row.id, []).append(row.nid)
+        assert got == _brute(V, V, 3, exclude_self=True)
+        few = K.knn(q, x, ns="ns", ns_bound=3, **kw)
+        assert _copies(few) == 0
+        many = K.knn(q, x, ns="ns", **kw)                    # the cogroup
+        key = lambda rows: sorted((w.id, w["rank"], w.nid, round(w.score, 12)) for w in rows)
+        assert key(few.collect()) == key(many.collect())
+
+
+def test_streamed_blocks_with_null_and_repeated_keys(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0]), (2, [0.0, 1.0]), (2**60 + 1, [0.6, 0.8])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    x = df.select(F.col("id").alias("nid"), F.col("v").alias("xv"))
+    q = df.where("id > 1").select("id", F.col("v").alias("qv"))
+    for x_block in (1, 2, 100):
+        r = K.knn(q, x, k=5, q_id=["id"], x_id=["nid"], q_vec="qv", x_vec="xv", x_block=x_block).collect()
+        got = {i: [w.nid for w in sorted(r, key=lambda w: w["rank"]) if w.id == i] for i in (2, 2**60 + 1)}
+        assert got == {2: [2, 2**60 + 1, None, 1, 1], 2**60 + 1: [2**60 + 1, 2, None, 1, 1]}, x_block
+
+
+def test_empty_sides_give_no_rows(spark):
+    V, df = _frames(spark)
+    q = df.select("id", F.col("v").alias("qv"))
+    x = df.select(F.col("id").alias("nid"), F.col("v").alias("xv"))
+    kw = dict(k=2, q_id=["id"], x_id=["nid"], q_vec="qv", x_vec="xv")
+    assert K.knn(q, x.limit(0), **kw).count() == K.knn(q.limit(0), x, **kw).count() == 0
+
+
+def test_cold_buckets_laid_out_or_expanded_are_the_same(monkeypatch):
+    rng = np.random.default_rng(2)
+    q, x = (K._triplets(pd.Series(_zipf_bags(rng, n, 300, 0, 30)), 300) for n in (90, 700))
+    want = np.zeros((90, 700))
+    Q, X = np.zeros((90, 300)), np.zeros((700, 300))
+    Q[q[0], q[1]], X[x[0], x[1]] = q[2], x[2]
+    want = Q @ X.T
+    for cells, least in ((1 << 21, 256), (300 * 64, 8), (1 << 10, 256)):     # at once, in ranges, pair by pair
+        monkeypatch.setattr(K, "COLD_CELLS", cells)
+        monkeypatch.setattr(K, "COLD_COLUMNS", least)
+        assert (K._sparse_dots(q, x, 90, 700, 300) == want).all()
