@@ -3,9 +3,10 @@
 A coarse quantiser (``lists`` unit centroids) is trained by Lloyd rounds: each
 round is one Spark pass that sums the sample's vectors by their nearest
 centroid, partially in each task.  Every index row is stored with its list.  A
-question looks into its ``probes`` nearest lists, which are namespaces of the
-blocked kernel of :mod:`refract.operators.knn`, so a hot list is cut into
-blocks like any other namespace, and scores are exact.
+question looks into its ``probes`` nearest lists.  Lists side by side make the
+index blocks of :mod:`refract.operators.knn`, which are stored once and read
+beside each block of questions; a hot list is cut into blocks, and scores are
+exact.
 
 How many lists to probe follows from a measured curve: for a sample of
 questions the exact neighbours are found, and with them the place of each
@@ -191,9 +192,17 @@ def search(ix: Lists, questions: DataFrame, *, k: int, q_id: Sequence[str], q_ve
     q_id, x_id = list(q_id), list(ix.x_id)
     if not ix.n:
         return K.knn(questions, ix.rows, k=k, q_id=q_id, x_id=x_id, q_vec=q_vec, x_vec=ix.x_vec, exclude=exclude)
-    found = K.knn(_probed(ix, questions, q_id, q_vec), ix.rows, k=k, q_id=q_id, x_id=x_id, q_vec=q_vec, x_vec=ix.x_vec,
-                  ns="_list", exclude=exclude, ns_bound=len(ix.centroids))
-    return K.top_k(found.drop("rank", "_list"), q_id, x_id, k)
+    c, probes = ix.centroids, ix.probes
+
+    def marks(vecs: pd.Series) -> np.ndarray:
+        order = np.argsort(-(_matrix(vecs) @ c.T), axis=1, kind="stable")[:, :probes]
+        out = np.zeros((len(vecs), len(c)), bool)
+        np.put_along_axis(out, order, True, axis=1)
+        return out
+
+    # a question is stored once, not once a list: the kernel finds its lists
+    return K.knn(questions.where(F.col(q_vec).isNotNull()), ix.rows, k=k, q_id=q_id, x_id=x_id, q_vec=q_vec, x_vec=ix.x_vec,
+                 exclude=exclude, lists=("_list", marks))
 
 
 def scored_share(ix: Lists, questions: DataFrame, q_id: Sequence[str], q_vec: str) -> float:

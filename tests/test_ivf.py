@@ -1,6 +1,8 @@
 """Inverted lists: recall against exact search, cost, odd input; runs over a
 growing index."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -116,3 +118,33 @@ def test_a_question_is_stored_once_not_once_a_ball(spark, monkeypatch):
     ix = IVF.build_balls(e, ["x"], "xv", balls=6)
     r, _ = IVF.l2_search(ix, e.select(F.col("x").alias("q"), F.col("xv").alias("qv")), k=3, q_id=["q"], q_vec="qv", exclude=[("q", "x")])
     assert r.count() == 180 and stored["first_balls"] == stored["other_balls"] == 60
+
+
+def test_search_copies_no_question_and_scores_the_probed_lists(spark, monkeypatch):
+    """As by brute force over each question's nearest lists, with lists in many
+    blocks or many lists in one; a question isn't copied for each list."""
+    rng = np.random.default_rng(5)
+    m = rng.standard_normal((300, 6))
+    m[7] = m[3]                                                       # a tie
+    x = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "x long, xv array<double>")
+    q = x.select(F.col("x").alias("q"), F.col("xv").alias("qv")).unionByName(spark.createDataFrame([(999, None)], "q long, qv array<double>"))
+    ix = replace(IVF.build(x, ["x"], "xv", lists=12), probes=4)
+    at = {r.x: r["_list"] for r in ix.rows.collect()}
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    near = np.argsort(-(u @ ix.centroids.T), axis=1, kind="stable")[:, :4]
+    cos = (u @ u.T).round(9)
+    want = {i: sorted((j for j in range(300) if j != i and at[j] in near[i]), key=lambda j: (-cos[i, j], j))[:3] for i in range(300)}
+    whole = IVF.K.knn
+
+    def small(*args, **kw):
+        return whole(*args, q_block=70, x_block=11, partitions=3, **kw)
+
+    for knn in (whole, small):
+        monkeypatch.setattr(IVF.K, "knn", knn)
+        r = IVF.search(ix, q, k=3, q_id=["q"], q_vec="qv", exclude=[("q", "x")])
+        plan = r._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "FlatMapCoGroups" not in plan
+        got = {}
+        for w in r.orderBy("q", "rank").collect():
+            got.setdefault(w.q, []).append(w.x)
+        assert got == want
