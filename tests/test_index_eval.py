@@ -120,3 +120,63 @@ def test_callables_leave_the_input_frame_alone(spark):
     assert {(r.i, r.response) for r in out.collect()} == {(1, "A B"), (2, "")}
     vecs = E.embed_with(df, "t", lambda: lambda ts: [[float(len(t))] for t in ts]).collect()
     assert {(r.i, r.embedding[0]) for r in vecs} == {(1, 3.0), (2, 0.0)}
+
+
+def _odd_questions(spark):
+    """Questions that share vectors, have no tokens, or repeat or lack keys."""
+    rows = [(0, 0, "generic", [1, 2]), (0, 0, "generic", [1, 2]), (None, 0, "segment", [3]), (None, 0, "segment", [1]),
+            (1, 0, "generic", []), (1, 1, "generic", None), (2, 0, "targeted", [1, 2]), (2, 1, "targeted", [6, 6]), (None, None, None, [3])]
+    qv = spark.createDataFrame(rows, "raw_index long, raw_q_seq long, category string, qv array<smallint>").repartition(3)
+    pv = spark.createDataFrame([(0, 4, [1]), (1, 4, [3, 3]), (2, 4, [2, 1]), (0, 5, [3]), (2, 5, [1, 2]), (1, 5, []), (None, 5, [3])],
+                               "x_index long, x_seq int, xv array<smallint>")
+    return qv, pv
+
+
+def test_numbered_questions_give_the_rows_of_vectors(spark):
+    qv, pv = _odd_questions(spark)
+    runs, rows = (4, 5), lambda d: sorted(map(repr, d.collect()))
+    questions, asked = V.numbered(qv)
+    ids = {tuple(r.qv): r.qid for r in asked.collect()}
+    assert set(ids) == {(1, 2), (3,), (1,), (6, 6)} and len(set(ids.values())) == 4 and min(ids.values()) >= 0
+    assert questions.columns == ["raw_index", "raw_q_seq", "category", "qid"] and questions.count() == 9
+    assert len({r.qid for r in questions.where("qid < 0").collect()}) == 2
+    for k in (1, 3):
+        a = V.cumulative(V.retrieve(qv, V.run_index(pv, runs), runs, k, 8), runs, k)
+        b = V.cumulative(V.retrieve(asked, V.run_index(pv, runs), runs, k, 8), runs, k)
+        assert "qv" not in b.columns
+        want = rows(V.results(qv, a, runs))
+        assert rows(V.results(questions, b, runs)) == want and len(want) == 18
+        assert rows(V.hit_at_k(questions, b, k, runs)) == rows(V.hit_at_k(qv, a, k, runs))
+
+
+def test_vectors_are_not_shuffled_for_each_run(spark):
+    """After scoring no vector is shuffled, and no row of a question for each run:
+    what one run more adds are its matches."""
+    qv, pv = _odd_questions(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        questions, asked = V.numbered(qv)
+        found = V.cumulative(V.retrieve(asked, V.run_index(pv, (4, 5)), (4, 5), 1, 8), (4, 5))
+        plan = V.results(questions, found, (4, 5))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    shuffled = [line for line in plan.splitlines() if "Exchange " in line]
+    # the blocks of questions, their matches, the questions
+    assert len(shuffled) == 3, plan
+    assert sum("hashpartitioning(qid" in line for line in shuffled) == 2 and not any("hashpartitioning(qv" in line or "run_seq" in line for line in shuffled)
+
+
+def test_the_evaluation_stores_vectors_and_no_texts(spark, tmp_path):
+    from refract.plans import q_eval, q_generate
+    docs = [(i, f"Title {i}\nThe cat sat on mat {i}. It slept. Then dogs came by and barked!", "en", "s", 60) for i in range(3)] + [(None, None, "en", "s", 0)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    ds = q_eval.dataset_checkpointed(spark, str(tmp_path))
+    assert "string" not in ds.schema.simpleString() and "smallint" in ds.schema.simpleString()
+    texts = q_generate.dataset(spark, str(tmp_path))
+    want = q_generate.question_long(texts).select("article_index", "q_seq", F.array_sort(E.hash_buckets("question")).alias("v"))
+    got = q_generate.question_long(ds).select("article_index", "q_seq", F.col("question").alias("v"))
+    assert sorted(map(repr, want.collect())) == sorted(map(repr, got.collect())) and want.count() > 3
+    for s in V.RUNS:
+        want = texts.select("article_index", E.hash_buckets(f"perspective_{s}").alias("v"))
+        got = ds.select("article_index", F.col(f"perspective_{s}").alias("v"))
+        assert sorted(map(repr, want.collect())) == sorted(map(repr, got.collect()))

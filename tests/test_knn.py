@@ -252,3 +252,25 @@ def test_cold_buckets_laid_out_or_expanded_are_the_same(monkeypatch):
         monkeypatch.setattr(K, "COLD_CELLS", cells)
         monkeypatch.setattr(K, "COLD_COLUMNS", least)
         assert (K._sparse_dots(q, x, 90, 700, 300) == want).all()
+
+
+def test_queries_asked_in_every_namespace(spark):
+    """One row a query, whatever the number of namespaces: the rows of a query
+    copied to each of them, and no node of the plan that copies."""
+    V, df = _frames(spark)
+    x = df.select(F.col("id").alias("nid"), F.when(F.col("id") != 7, F.col("ns")).alias("ns"), F.col("v").alias("xv"))
+    q = df.where("id % 2 = 0").unionByName(df.where("id = 4")).select("id", F.col("v").alias("qv"))
+    copied = q.crossJoin(spark.createDataFrame([(0,), (1,), (2,)], "ns int"))
+    key = lambda d: sorted((w.ns, w.id, w["rank"], w.nid, w.score) for w in d.collect())
+    for partitions, x_block in ((1, 100), (3, 5), (40, 4)):
+        kw = dict(k=3, q_id=["id"], x_id=["nid"], q_vec="qv", x_vec="xv", ns="ns", ns_bound=3, exclude=[("id", "nid")],
+                  q_block=7, x_block=x_block, partitions=partitions)
+        once = K.knn(q, x, **kw)
+        assert _copies(once) == 0
+        assert once.columns == ["ns", "id", "nid", "score", "rank"]
+        assert key(once) == key(K.knn(copied, x, **kw))
+    kw.pop("ns_bound")
+    with pytest.raises(ValueError, match="bound of 16 namespaces"):
+        K.knn(q, x, **kw)
+    none = K.knn(q, x.limit(0), ns_bound=3, **kw)
+    assert none.count() == K.knn(q.limit(0), x, ns_bound=3, **kw).count() == 0
