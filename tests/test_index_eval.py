@@ -166,6 +166,50 @@ def test_vectors_are_not_shuffled_for_each_run(spark):
     assert sum("hashpartitioning(qid" in line for line in shuffled) == 2 and not any("hashpartitioning(qv" in line or "run_seq" in line for line in shuffled)
 
 
+def _numbering_shuffles(spark, qv, monkeypatch, **how):
+    """The shuffles of each table that numbering stores, with the tables."""
+    stored, keep = {}, V.materialize
+
+    def seen(df, name, *a):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        stored[name] = [line for line in plan.splitlines() if "Exchange " in line and "RoundRobin" not in line]
+        return keep(df, name, *a)
+
+    monkeypatch.setattr(V, "materialize", seen)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        return stored, V.numbered(qv, **how)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_no_question_is_shuffled_to_be_numbered(spark, monkeypatch):
+    """Distinct vectors alone travel: a question works its number out in its place."""
+    qv, _ = _odd_questions(spark)
+    stored, (questions, asked) = _numbering_shuffles(spark, qv, monkeypatch)
+    assert (len(stored["asked"]), len(stored["questions"])) == (1, 0), stored
+    of = {tuple(r.qv): r.qid for r in asked.collect()}
+    got = sorted(map(repr, questions.collect()))
+    want = qv.collect()
+    assert got == sorted(repr(q) for q in spark.createDataFrame(
+        [(r.raw_index, r.raw_q_seq, r.category, of[tuple(r.qv)]) for r in want if r.qv], questions.schema)
+        .unionByName(questions.where("qid < 0")).collect()) and questions.where("qid < 0").count() == 2
+
+
+def test_vectors_that_share_a_number_are_told_apart(spark, monkeypatch):
+    """Where the numbers of different vectors clash, here (1, 2) with (3,), they are
+    counted, and every result is that of the vectors."""
+    qv, pv = _odd_questions(spark)
+    clash = F.aggregate("qv", F.lit(0).cast("long"), lambda a, b: a + b)
+    _, (questions, asked) = _numbering_shuffles(spark, qv, monkeypatch, number=clash)
+    assert asked.count() == 4 == asked.select("qid").distinct().count() and asked.where("qid < 0").isEmpty()
+    assert questions.count() == 9 and questions.where("qid < 0").count() == 2
+    runs, rows = (4, 5), lambda d: sorted(map(repr, d.collect()))
+    a, b = (V.retrieve(v, V.run_index(pv, runs), runs, 2, 8) for v in (qv, asked))
+    assert rows(V.results(questions, b, runs)) == rows(V.results(qv, a, runs))
+    assert rows(V.hit_at_k(questions, b, 2, runs)) == rows(V.hit_at_k(qv, a, 2, runs))
+
+
 def test_the_evaluation_stores_vectors_and_no_texts(spark, tmp_path):
     from refract.plans import q_eval, q_generate
     docs = [(i, f"Title {i}\nThe cat sat on mat {i}. It slept. Then dogs came by and barked!", "en", "s", 60) for i in range(3)] + [(None, None, "en", "s", 0)]
