@@ -14,9 +14,11 @@ ratios of counts,
 and a full stop ends no sentence behind an abbreviation (or a single letter
 before a capital), unless a starter follows, nor inside a collocation.
 
-Training is three aggregations of tokens with partial counts; what is kept is
-bounded by ``MOST`` entries a list (the best scores), so the splitter is a
-column expression with literal sets and needs no join and no Python.
+Training is three aggregations of tokens with partial counts; every entry that
+reaches its threshold is kept, so the lists grow with the corpus.  While they are
+short (``LITERALS`` entries) the splitter is a column expression with literal
+sets (:func:`sentences`); longer ones are joined to the ends of sentences
+(:func:`split`), with the same result.  Neither needs Python.
 
 Defined results: a null text has no sentences (null), an empty one an empty
 list; a corpus without full stops gives empty lists, and the splitter is the
@@ -25,6 +27,7 @@ rule with ends trimmed.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -33,8 +36,10 @@ from pyspark.sql import functions as F
 from refract.functions import rows as R
 from refract.session import materialize
 
-#: Entries of each list, at most.
+#: Entries of each list of the query ``sentence_model``, at most.
 MOST = 2000
+#: Entries of a model, at most, that stand as literals in an expression.
+LITERALS = 6000
 #: Fixed values of the published method.
 ABBREVIATION, STARTER, COLLOCATION, P_STOP = 0.3, 30.0, 7.88, 0.99
 BLANK = "[ \\t\\n\\r\\f]"
@@ -67,8 +72,9 @@ def dunning(a: Column, b: Column, ab: Column, n: Column) -> Column:
     return -2 * (part(ab, a, b / n) + part(b - ab, n - a, b / n) - part(ab, a, ab / a) - part(b - ab, n - a, (b - ab) / (n - a)))
 
 
-def train(docs: DataFrame, text_col: str = "text", most: int = MOST) -> DataFrame:
-    """``kind``, ``a``, ``b`` (null but for collocations), ``score``, stored."""
+def train(docs: DataFrame, text_col: str = "text", most: int | None = None) -> DataFrame:
+    """``kind``, ``a``, ``b`` (null but for collocations), ``score``, stored.
+    ``most``: the best entries of each list alone, that many (none: all)."""
     toks = F.filter(F.split(F.col(text_col), BLANK + "+"), lambda x: x != "")
     # each token becomes a word once, whether it is met as a word or as the next one
     d = docs.select(F.transform(toks, word).alias("t"))
@@ -86,14 +92,18 @@ def train(docs: DataFrame, text_col: str = "text", most: int = MOST) -> DataFram
     without = F.col("n") - F.col("with_stop")
     ratio = -2 * ((F.col("with_stop") * F.log(p) + without * F.log(1 - p)) - (F.col("with_stop") * F.log(F.lit(P_STOP)) + without * F.log(F.lit(1 - P_STOP))))
     score = ratio * F.exp(-signs.cast("double")) * dots * F.pow(signs.cast("double"), -without.cast("double"))
-    best = lambda df, low: df.where(F.col("score") >= low).orderBy(F.col("score").desc(), "a", "b").limit(most)
+
+    def best(df: DataFrame, low: float) -> DataFrame:
+        kept = df.where(F.col("score") >= low)
+        return kept if most is None else kept.orderBy(F.col("score").desc(), "a", "b").limit(most)
+
     none = F.lit(None).cast("string")
     abbreviations = materialize(best(
         words.join(total, how="cross").where((F.col("with_stop") > 0) & (F.col("with_stop") < F.col("total")) & (signs > 0) & F.col("a").rlike("\\p{L}") & (p < 1))
         .select(F.lit("abbreviation").alias("kind"), "a", none.alias("b"), score.alias("score")), ABBREVIATION), "abbreviations")
 
     pairs = counts.where("stop and b is not null and b <> ''").join(
-        F.broadcast(abbreviations.select("a", F.lit(True).alias("abbr"))), "a", "left").withColumn("abbr", F.coalesce("abbr", F.lit(False)))
+        abbreviations.select("a", F.lit(True).alias("abbr")), "a", "left").withColumn("abbr", F.coalesce("abbr", F.lit(False)))
     odd = F.col("abbr") | F.col("a").rlike("^(\\p{L}|[0-9]+)$")
     known = words.select(F.col("a").alias("b"), F.col("n").alias("n_b"))
     ends = pairs.where(~odd)
@@ -118,7 +128,7 @@ class Model:
 
 
 def load(model: DataFrame) -> Model:
-    """The lists of :func:`train` (at most three times ``most`` rows)."""
+    """The lists of :func:`train`, all in the driver: for a model of few entries."""
     rows = model.select("kind", "a", "b").collect()
     of = lambda kind: tuple(sorted(r.a if r.b is None else f"{r.a} {r.b}" for r in rows if r.kind == kind))
     return Model(of("abbreviation"), of("starter"), of("collocation"))
@@ -128,11 +138,15 @@ def _in(x: Column, words: tuple[str, ...]) -> Column:
     return x.isin(list(words)) if words else F.lit(False)
 
 
-def sentences(c: Column | str, model: Model) -> Column:
-    """``array<string>``: the sentences, without white space at their ends."""
+def _pieces(c: Column | str) -> Column:
+    """The text cut behind each white space that follows an end mark."""
     c = F.col(c) if isinstance(c, str) else c
-    pieces = F.split(F.regexp_replace(c, f"([.!?])({BLANK}+)", "$1$2" + _END), _END, -1)
+    return F.split(F.regexp_replace(c, f"([.!?])({BLANK}+)", "$1$2" + _END), _END, -1)
+
 
+def _found(pieces: Column) -> Column:
+    """Each piece with its first and last word (``f``, ``l``) and their small
+    forms (``b``, ``a``)."""
     # a piece's last and first word and what follows from them are found once
     # each: a lambda evaluates an expression as often as it is named
     def ends(piece: Column) -> Column:
@@ -146,15 +160,61 @@ def sentences(c: Column | str, model: Model) -> Column:
     def bares(x: Column) -> Column:
         return x.withField("a", word(x["l"])).withField("b", word(x["f"]))
 
+    return F.transform(F.transform(F.transform(pieces, ends), words), bares)
+
+
+def _after(found: Column) -> Column:
+    """The next piece of each; behind the last one an empty piece."""
+    end = F.struct(*[F.lit("").alias(x) for x in ("p", "f", "l", "a", "b")])
+    return F.concat(F.slice(found, 2, F.size(found)), F.array(end))
+
+
+def _lone(a: Column, first: Column) -> Column:
+    """A single letter before a capital."""
+    return a.rlike("^\\p{L}$") & first.rlike("^\\p{Lu}")
+
+
+def _parts(marked: Column) -> Column:
+    trimmed = F.transform(F.split(marked, _END, -1), lambda s: F.btrim(s, F.lit(BLANKS)))
+    return F.filter(trimmed, lambda s: s != "")
+
+
+def sentences(c: Column | str, model: Model) -> Column:
+    """``array<string>``: the sentences, without white space at their ends."""
     def mark(piece: Column, after: Column) -> Column:
         last, first, a, b = piece["l"], after["f"], bare(piece["a"]), bare(after["b"])
-        short = _in(a, model.abbreviations) | (a.rlike("^\\p{L}$") & first.rlike("^\\p{Lu}"))
+        short = _in(a, model.abbreviations) | _lone(a, first)
         inside = last.endswith(".") & ((short & ~_in(b, model.starters)) | _in(F.concat(a, F.lit(" "), b), model.collocations))
         return F.concat(piece["p"], F.when(inside, "").otherwise(_END))
 
-    found = F.transform(F.transform(F.transform(pieces, ends), words), bares)
-    end = F.struct(*[F.lit("").alias(x) for x in ("p", "f", "l", "a", "b")])
-    marked = F.transform(F.array(found), lambda p: F.array_join(
-        F.zip_with(p, F.concat(F.slice(p, 2, F.size(p)), F.array(end)), mark), ""))[0]
-    trimmed = F.transform(F.split(marked, _END, -1), lambda s: F.btrim(s, F.lit(BLANKS)))
-    return F.filter(trimmed, lambda s: s != "")
+    return _parts(F.transform(F.array(_found(_pieces(c))), lambda p: F.array_join(F.zip_with(p, _after(p), mark), ""))[0])
+
+
+def split(docs: DataFrame, keep: Sequence[str], model: DataFrame, text_col: str = "text", literals: int = LITERALS) -> DataFrame:
+    """``keep..., sentences`` of each row of ``docs`` with a stored model of any
+    size: where it has more than ``literals`` entries, the full stops that may
+    end a sentence meet its lists in joins, and their places meet the texts."""
+    if model.limit(literals + 1).count() <= literals:
+        return docs.select(*keep, sentences(text_col, load(model)).alias("sentences"))
+    # rows are told apart by a number that is stored: keys may repeat or be null
+    d = materialize(docs.select(*keep, F.col(text_col).alias("_text"), F.monotonically_increasing_id().alias("_row")), "sentence_texts")
+
+    def stop(x: Column, y: Column) -> Column:
+        a = bare(x["a"])
+        return F.struct(x["l"].endswith(".").alias("stop"), a.alias("a"), bare(y["b"]).alias("b"), _lone(a, y["f"]).alias("lone"))
+
+    stops = F.transform(F.array(_found(_pieces("_text"))), lambda p: F.zip_with(p, _after(p), stop))[0]
+    yes = F.lit(True)
+    of = {kind: model.where(F.col("kind") == kind) for kind in ("abbreviation", "starter", "collocation")}
+    inside = (R.posexplode_rows(d, ["_row"], stops, "_at", "s").where("s.stop").select("_row", "_at", "s.a", "s.b", "s.lone")
+              .join(of["abbreviation"].select("a", yes.alias("abbr")), "a", "left")
+              .join(of["starter"].select(F.col("a").alias("b"), yes.alias("start")), "b", "left")
+              .join(of["collocation"].select("a", "b", yes.alias("coll")), ["a", "b"], "left")
+              .where("((lone or abbr is not null) and start is null) or coll is not null"))
+    places = inside.groupBy("_row").agg(F.sort_array(F.collect_list("_at")).alias("_at"))            # of one text
+    # a mark for each piece up to the last place, made in one pass
+    gap = lambda at, before: F.concat(F.array_repeat(F.lit(False), at - before - 1), F.array(yes))
+    marks = F.flatten(F.zip_with("_at", F.concat(F.array(F.lit(-1)), F.slice("_at", 1, F.size("_at") - 1)), gap))
+    marks = F.coalesce(marks, F.array().cast("array<boolean>"))
+    marked = F.array_join(F.zip_with(_pieces("_text"), marks, lambda p, m: F.concat(p, F.when(m, "").otherwise(_END))), "")
+    return d.join(places, "_row", "left").select(*keep, _parts(marked).alias("sentences"))

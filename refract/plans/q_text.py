@@ -78,7 +78,8 @@ def _ll_sql(a: str, b: str, ab: str, n: str) -> str:
             f" - {part(ab, a, f'({ab} / {a})')} - {part(f'({b} - {ab})', f'({n} - {a})', f'(({b} - {ab}) / ({n} - {a}))')})")
 
 
-_MODEL_CTE = f"""
+def _model_cte(most: str) -> str:
+    return f"""
 tk AS (SELECT list_filter(regexp_split_to_array(text, '{SM.BLANK}+'), lambda x: x <> '') AS t FROM documents),
 pr AS (SELECT unnest(list_zip(t, t[2:])) AS z FROM tk),
 tw AS (SELECT {_W('z[1]')} AS w, {_BARE(_W('z[2]'))} AS b FROM pr),
@@ -89,24 +90,24 @@ ws AS (SELECT *, n - with_stop AS without, length(regexp_replace(a, '[^.]', '',
 sc AS (SELECT a, -2 * ((with_stop * ln(p) + without * ln(1 - p)) - (with_stop * ln({SM.P_STOP}) + without * ln({1 - SM.P_STOP!r})))
        * exp(-(length(a) - dots + 1)) * dots * pow(length(a) - dots + 1, -without) AS score
        FROM ws WHERE with_stop > 0 AND with_stop < total AND length(a) - dots + 1 > 0 AND regexp_matches(a, '\\p{{L}}')),
-ab AS (SELECT a, score FROM sc WHERE score >= {SM.ABBREVIATION} ORDER BY score DESC, a LIMIT {SM.MOST}),
+ab AS (SELECT a, score FROM sc WHERE score >= {SM.ABBREVIATION} ORDER BY score DESC, a{most}),
 ps AS (SELECT *, a IN (SELECT a FROM ab) OR regexp_matches(a, '^(\\p{{L}}|[0-9]+)$') AS odd FROM ct WHERE stop AND b <> ''),
 br AS (SELECT sum(n) AS breaks FROM ps WHERE NOT odd),
 s1 AS (SELECT b, sum(n) AS ab FROM ps WHERE NOT odd AND regexp_matches(b, '\\p{{L}}') GROUP BY b),
 s2 AS (SELECT s1.b AS a, {_ll_sql('breaks', 'wd.n', 'ab', 'total')} AS score FROM s1 JOIN wd ON wd.a = s1.b, tt, br
        WHERE ab <= wd.n AND breaks < total AND ab * total > breaks * wd.n),
-st AS (SELECT a, score FROM s2 WHERE score >= {SM.STARTER} ORDER BY score DESC, a LIMIT {SM.MOST}),
+st AS (SELECT a, score FROM s2 WHERE score >= {SM.STARTER} ORDER BY score DESC, a{most}),
 c1 AS (SELECT a, b, sum(n) AS ab FROM ps WHERE odd GROUP BY a, b HAVING sum(n) > 1),
 c2 AS (SELECT c1.a, c1.b, {_ll_sql('wa.n', 'wb.n', 'ab', 'total')} AS score FROM c1 JOIN wd wa ON wa.a = c1.a JOIN wd wb ON wb.a = c1.b, tt
        WHERE ab <= wb.n AND wa.n < total AND ab * total > wa.n * wb.n),
-cl AS (SELECT a, b, score FROM c2 WHERE score >= {SM.COLLOCATION} ORDER BY score DESC, a, b LIMIT {SM.MOST}),
+cl AS (SELECT a, b, score FROM c2 WHERE score >= {SM.COLLOCATION} ORDER BY score DESC, a, b{most}),
 md AS (SELECT 'abbreviation' AS kind, a, NULL AS b, score FROM ab UNION ALL SELECT 'starter', a, NULL, score FROM st
        UNION ALL SELECT 'collocation', a, b, score FROM cl)"""
 
 
-@register("sentence_model", f"WITH {_MODEL_CTE} SELECT kind, a, b, round(score, 4) AS score FROM md")
+@register("sentence_model", f"WITH {_model_cte(f' LIMIT {SM.MOST}')} SELECT kind, a, b, round(score, 4) AS score FROM md")
 def sentence_model(spark, sf):
-    return SM.train(_docs(spark, sf)).select("kind", "a", "b", F.round("score", 4).alias("score"))
+    return SM.train(_docs(spark, sf), most=SM.MOST).select("kind", "a", "b", F.round("score", 4).alias("score"))
 
 
 _LAST = f"regexp_extract(p, '({SM.TOKEN}){SM.BLANK}+$', 1)"
@@ -114,7 +115,7 @@ _FIRST = f"regexp_replace(regexp_extract(coalesce(ps[i + 1], ''), '{SM.TOKEN}'),
 
 
 @register("sentences_trained", f"""
-WITH {_MODEL_CTE},
+WITH {_model_cte("")},
 ml AS (SELECT coalesce(list(a) FILTER (kind = 'abbreviation'), []) AS abbr, coalesce(list(a) FILTER (kind = 'starter'), []) AS start,
               coalesce(list(a || ' ' || b) FILTER (kind = 'collocation'), []) AS coll FROM md),
 pc AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])({SM.BLANK}+)', '\\1\\2' || chr(1), 'g'), chr(1)) AS ps FROM documents),
@@ -128,8 +129,7 @@ u AS (SELECT doc_id, generate_subscripts(ss, 1) - 1 AS sent_pos, unnest(ss) AS s
 SELECT doc_id, sent_pos::BIGINT AS sent_pos, {Q.wc('s')}::BIGINT AS n_words, md5(s) AS sent_md5 FROM u""")
 def sentences_trained(spark, sf):
     d = _docs(spark, sf)
-    model = SM.load(SM.train(d))
-    return (R.posexplode_rows(d, ["doc_id"], SM.sentences("text", model), "sent_pos", "s")
+    return (R.posexplode_rows(SM.split(d, ["doc_id"], SM.train(d)), ["doc_id"], F.col("sentences"), "sent_pos", "s")
             .select("doc_id", F.col("sent_pos").cast("long").alias("sent_pos"),
                     TX.word_count("s").cast("long").alias("n_words"), F.md5("s").alias("sent_md5")))
 

@@ -59,3 +59,26 @@ def test_words_and_ends_without_a_regex_a_token(spark):
     rows = df.select("i", SM.word(F.col("t")), SM.bare(SM.word(F.col("t")))).orderBy("i").collect()
     assert [tuple(r)[1:] for r in rows] == [("dr.", "dr"), ("", ""), ("x", "x"), ("a..", "a."), (".", ""), ("", ""), ("ß.", "ß")]
     assert "regexp" not in str(SM.bare(SM.word(F.col("t")))).lower()
+
+
+def test_every_entry_is_kept_and_a_large_model_is_joined(spark):
+    # 2,100 abbreviations, each with its name: more than the 2,000 that were kept
+    names = [f"{a}{b}{c}" for a in "bcdfghjklmnp" for b in "aeiou" for c in "bcdfghjklmnpqrstvwxyzàéëïöüçñøåæœßþð"][:2100]
+    texts = [" ".join(f"so it was by {w}. Smith in a town" for w in names[i:i + 20]) + " and then it was." for i in range(0, 2100, 20)] * 6
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    model = SM.train(df)
+    kept = {r.a for r in model.where("kind = 'abbreviation'").collect()}
+    assert len(kept & set(names)) == 2100
+    rows = [(None, texts[0]), (1, "By bab. Smith. He saw J. Brown. \n No"), (1, "By bab. Smith. He saw J. Brown. \n No"), (2, None), (3, ""), (4, " . "), (5, "a. b. \u0001 c. D"), (6, texts[-1])]
+    docs = spark.createDataFrame(rows, "k int, text string")
+    few, many = (sorted(SM.split(docs, ["k"], model, literals=n).collect(), key=str) for n in (10 ** 6, 0))
+    assert few == many and len(few) == len(rows)
+    assert [r.sentences for r in many if r.k == 1] == [["By bab. Smith.", "He saw J. Brown.", "No"]] * 2
+    assert len(next(r for r in many if r.k == 6).sentences) == 1
+
+
+def test_a_joined_model_is_the_model_as_literals(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(corpus())], "k int, text string")
+    model = SM.train(df)
+    few, many = (SM.split(df, ["k"], model, literals=n).orderBy("k").collect() for n in (10 ** 6, 0))
+    assert few == many and sum(len(r.sentences) for r in many) == 500
