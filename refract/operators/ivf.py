@@ -49,6 +49,8 @@ MAX_LISTS = 4096
 ROWS_PER_LIST, ROUNDS, TUNE_QUESTIONS = 256, 12, 512
 RECALL = 0.95
 _BITS = 1 << 30
+#: Distances of questions to centres held at once (16 MB of doubles).
+DISTANCE_CELLS = 1 << 21
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -262,23 +264,39 @@ def _first_balls(ix: Balls, k: int):
     return pick
 
 
-def _other_balls(ix: Balls, k: int):
-    """Of the other balls those that can hold a row as near as ``reach``
-    (null: any): a row of a ball is at least the centre's distance less the
-    radius away."""
-    c, sizes, radii = ix.centres, ix.sizes, ix.radii
+def _in_first(ix: Balls):
+    """Marks the balls of a first round: a boolean for each question and ball."""
+    balls = len(ix.centres)
 
-    @F.pandas_udf("array<int>")
-    def pick(s: pd.Series, reach: pd.Series) -> pd.Series:
-        d = distances(_matrix(s, False), c)
-        o = np.argsort(d, axis=1, kind="stable")
-        n = (np.cumsum(sizes[o], axis=1) < k).sum(axis=1) + 1
-        far = reach.fillna(np.inf).to_numpy()
-        near = (d - radii <= (far * (1 + 1e-9) + 1e-9)[:, None]) & (sizes > 0)          # rounding never loses a row
-        for i, m in enumerate(n):
-            near[i, o[i, :m]] = False
-        return pd.Series([np.flatnonzero(x).astype(np.int32).tolist() for x in near])
-    return pick
+    def marks(vecs: pd.Series, first: pd.Series) -> np.ndarray:
+        out = np.zeros((len(vecs), balls), bool)
+        n = first.map(len).to_numpy()
+        out[np.repeat(np.arange(len(n)), n), np.concatenate(first.to_numpy())] = True
+        return out
+    return marks
+
+
+def _in_others(ix: Balls):
+    """Marks of the balls that are not among the ``first`` ones those that can
+    hold a row as near as ``reach`` (null: any): a row of a ball is at least the
+    centre's distance less the radius away."""
+    c, sizes, radii = ix.centres, ix.sizes, ix.radii
+    c2 = (c * c).sum(axis=1)
+    rows = max(1, DISTANCE_CELLS // len(c))
+    seen = _in_first(ix)
+
+    def marks(vecs: pd.Series, reach: pd.Series, first: pd.Series) -> np.ndarray:
+        out = ~seen(vecs, first) & (sizes > 0)
+        far = reach.astype(np.float64).fillna(np.inf).to_numpy()
+        for a in range(0, len(vecs), rows):
+            m = _matrix(vecs.iloc[a:a + rows], False)
+            both = (m * m).sum(axis=1)[:, None] + c2
+            # squared distances from products, less what rounding can add: never too large
+            least = both - 2 * (m @ c.T) - both * (4 * (c.shape[1] + 8) * np.finfo(float).eps)
+            too_far = np.sqrt(np.maximum(least, 0)) - radii > (far[a:a + rows] * (1 + 1e-9) + 1e-9)[:, None]
+            out[a:a + rows] &= ~too_far
+        return out
+    return marks
 
 
 def l2_search(ix: Balls, questions: DataFrame, *, k: int, q_id: Sequence[str], q_vec: str,
@@ -288,8 +306,9 @@ def l2_search(ix: Balls, questions: DataFrame, *, k: int, q_id: Sequence[str], q
     without a vector finds nothing.
 
     The first round looks into the nearest balls; its ``k``-th distance is the
-    reach of the second, which skips every ball that lies beyond it.  Each round
-    is the blocked kernel with balls as namespaces."""
+    reach of the second, which skips every ball that lies beyond it.  In each
+    round the blocked kernel streams the balls past the questions, which are
+    stored and shuffled once, whatever the number of balls they look into."""
     q_id, x_id = list(q_id), list(ix.x_id)
     q = materialize(questions.where(F.col(q_vec).isNotNull()).select(*q_id, q_vec), "ball_questions")
     order = [F.col("score").asc(), *[F.col(c).asc() for c in x_id]]
@@ -301,17 +320,22 @@ def l2_search(ix: Balls, questions: DataFrame, *, k: int, q_id: Sequence[str], q
     if not len(ix.centres):
         found = K.knn(q, ix.rows, k=k, q_id=q_id, x_id=x_id, q_vec=q_vec, x_vec=ix.x_vec, metric="l2", exclude=exclude)
         return found, q.select(*q_id, F.lit(0).alias("_list")).limit(0)
-    search = dict(k=k, q_id=q_id, x_id=x_id, q_vec=q_vec, x_vec=ix.x_vec, metric="l2", ns="_list", exclude=exclude, ns_bound=len(ix.centres))
-    # stored with all their balls in one row: a vector is written once, not once a ball
-    one = materialize(q.withColumn("_lists", _first_balls(ix, k + len(exclude))(q_vec)), "first_balls")
-    one = R.explode_rows(one, [*q_id, q_vec], F.col("_lists"), "_list")
-    near = materialize(of(K.knn(one, ix.rows, **search)), "first_round")
+    # a question lies beside those of its nearest ball, which look into like balls
+    search = dict(k=k, q_id=q_id, x_id=x_id, q_vec=q_vec, x_vec=ix.x_vec, metric="l2", exclude=exclude, home="_home")
+    one = materialize(q.withColumn("_first", _first_balls(ix, k + len(exclude))(q_vec)), "first_balls").withColumn("_home", F.col("_first")[0])
+    near = materialize(of(K.knn(one, ix.rows, lists=("_list", _in_first(ix), "_first"), **search)), "first_round")
     reach = near.where(F.col("rank") == k).select(*q_id, F.sqrt("score").alias("_reach"))
-    two = q.join(reach, q_id, "left")
-    two = materialize(two.select(*q_id, q_vec, _other_balls(ix, k + len(exclude))(q_vec, "_reach").alias("_lists")), "other_balls")
-    two = R.explode_rows(two, [*q_id, q_vec], F.col("_lists"), "_list")
-    more = K.knn(two, ix.rows, **search)
-    return of(near.drop("rank").unionByName(more.select(*near.drop("rank").columns))), one.select(*q_id, "_list").unionByName(two.select(*q_id, "_list"))
+    two = materialize(one.join(reach, q_id, "left"), "other_balls")
+    others = _in_others(ix)
+    more = K.knn(two, ix.rows, lists=("_list", others, "_reach", "_first"), **search)
+
+    @F.pandas_udf("array<int>")
+    def marked(s: pd.Series, far: pd.Series, first: pd.Series) -> pd.Series:
+        return pd.Series([np.flatnonzero(x).astype(np.int32).tolist() for x in others(s, far, first)])
+
+    visited = (R.explode_rows(one, q_id, F.col("_first"), "_list")
+               .unionByName(R.explode_rows(two, q_id, marked(q_vec, "_reach", "_first"), "_list")))
+    return of(near.drop("rank").unionByName(more.select(*near.drop("rank").columns))), visited
 
 
 def skipped_share(ix: Balls, visited: DataFrame, questions: int) -> float:

@@ -207,11 +207,12 @@ def _index_block(vecs: pd.Series, kind: str, dims: int | None) -> tuple:
     return X, np.einsum("ij,ij->i", X, X, dtype=np.float64)
 
 
-def _score(qpdf, xpdf, X, nx, *, k, q_id, x_id, kind, dims, metric, min_score, exclude) -> pd.DataFrame:
+def _score(qpdf, xpdf, X, nx, *, k, q_id, x_id, kind, dims, metric, min_score, exclude, Q=None) -> pd.DataFrame:
+    """``Q``: the matrix of ``qpdf``'s vectors, where it is known."""
     rows = SCORE_ROWS if kind == "buckets" else max(1, min(SCORE_ROWS, SCORE_CELLS // len(xpdf)))
     parts = [_score_chunk(qpdf.iloc[a:a + rows].reset_index(drop=True), xpdf, X, nx, k=k,
                           q_id=q_id, x_id=x_id, kind=kind, dims=dims, metric=metric,
-                          min_score=min_score, exclude=exclude)
+                          min_score=min_score, exclude=exclude, Q=None if Q is None else Q[a:a + rows])
              for a in range(0, len(qpdf), rows)]
     return pd.concat(parts, ignore_index=True)
 
@@ -230,7 +231,7 @@ def _kth_bound(A: np.ndarray, k: int) -> np.ndarray:
 SCREEN_TOL = 1e-4  # float32 screening margin on the cosine scale
 
 
-def _score_chunk(qpdf, xpdf, X, nx, *, k, q_id, x_id, kind, dims, metric, min_score, exclude):
+def _score_chunk(qpdf, xpdf, X, nx, *, k, q_id, x_id, kind, dims, metric, min_score, exclude, Q=None):
     if kind == "buckets":
         Qt = _triplets(qpdf["_qv"], dims)
         nq = np.bincount(Qt[0], weights=Qt[2].astype(np.float64) ** 2, minlength=len(qpdf))
@@ -239,7 +240,7 @@ def _score_chunk(qpdf, xpdf, X, nx, *, k, q_id, x_id, kind, dims, metric, min_sc
         dots = _sparse_dots(Qt, X, len(qpdf), len(xpdf), dims, np.float32 if top < EXACT_F32 else np.float64)
         Q = None
     else:
-        Q = _matrix(qpdf["_qv"], kind, dims)
+        Q = _matrix(qpdf["_qv"], kind, dims) if Q is None else Q
         dots = Q @ X.T
         nq = np.einsum("ij,ij->i", Q, Q, dtype=np.float64)
 
@@ -330,12 +331,18 @@ def _best(found: pa.Table, x_id: Sequence[str], k: int) -> pa.Table:
     return found.filter(pa.array(np.arange(len(q)) - np.searchsorted(q, q) < k))
 
 
+def _marks(lists: tuple, rows: pa.Table, vecs: pd.Series) -> np.ndarray:
+    """A boolean for each query and list: what ``lists`` marks for these rows."""
+    return lists[1](vecs, *[rows[c].to_pandas() for c in lists[2:]])
+
+
 def _stream_kernel(schema: pa.Schema, *, q_keep, x_id, q_vec, k, kind, dims, metric, min_score, exclude, lists, every) -> Callable:
     """Block pairs, each index block beside the query blocks of the task, to the
-    top ``k`` of every query.  With ``lists`` = (index column, function) a query
-    meets the index rows of those lists alone that the function marks: query
-    vectors to booleans, a column for each list.  With ``every``, a column's
-    name, a query has a top ``k`` in each namespace, which goes to that column."""
+    top ``k`` of every query.  With ``lists`` = (index column, function, query
+    columns...) a query meets the index rows of those lists alone that the
+    function marks: query vectors and columns to booleans, a column for each
+    list.  With ``every``, a column's name, a query has a top ``k`` in each
+    namespace, which goes to that column."""
     params = dict(k=k, q_id=["_q"], x_id=["_x"], kind=kind, dims=dims, metric=metric, min_score=min_score, exclude=exclude)
 
     def frame(t: pa.Table, no: str, vec: str, name: str, cols) -> pd.DataFrame:
@@ -349,28 +356,37 @@ def _stream_kernel(schema: pa.Schema, *, q_keep, x_id, q_vec, k, kind, dims, met
                 if this != at:
                     xt = _of_block(batch["_xrows"][i])
                     xpdf = frame(xt, "_x", "_xv", "_xv", [c for _, c in exclude])
-                    parts = [(None, slice(0, len(xt)))]
+                    X, nx = _index_block(xpdf["_xv"], kind, dims)
+                    parts = [(xpdf, X, nx)]
                     if lists:
                         of = xt[lists[0]].to_numpy()                   # rows are sorted by list
                         cut = np.flatnonzero(np.diff(of, prepend=of[0] - 1, append=of[-1] + 1)).tolist()
-                        parts = [(int(of[a]), slice(a, b)) for a, b in zip(cut, cut[1:])]
-                    X, nx = _index_block(xpdf["_xv"], kind, dims)
+                        parts += [(xpdf.iloc[a:b], X[a:b], nx[a:b]) for a, b in zip(cut, cut[1:])]
+                        here = of[cut[:-1]].astype(np.int64)
+                        # all of them by key alone, for queries that meet each list of the block
+                        by_key = pc.sort_indices(xt, sort_keys=[(c, "ascending") for c in x_id], null_placement="at_start").to_numpy()
+                        parts[0] = xpdf.iloc[by_key], X[by_key], nx[by_key]
                     xids, at = xt.select(list(x_id)), this
                 no = batch["_qns"][i].as_py(), batch["_qb"][i].as_py()
                 of_ns = no, this[0] if every else None
                 qt = _of_block(batch["_qrows"][i])
                 qpdf = frame(qt, "_q", q_vec, "_qv", [c for c, _ in exclude])
                 if no not in asked:
-                    marks = np.packbits(lists[1](qpdf["_qv"]), axis=1) if lists else None
+                    marks = np.packbits(_marks(lists, qt, qpdf["_qv"]), axis=1) if lists else None
                     asked[no] = qt.select(list(q_keep)), marks
-                found = []
-                for which, rows in parts:
-                    q, x, part = qpdf, xpdf, X
-                    if lists:
-                        x, part = xpdf.iloc[rows], X[rows]
-                        q = qpdf[(asked[no][1][:, which >> 3] >> (7 - (which & 7)) & 1).astype(bool)]
+                found, Q = [], None
+                if kind != "buckets" and len(qpdf):
+                    Q = _matrix(qpdf["_qv"], kind, dims)
+                meets = np.ones((len(qpdf), 1), bool)
+                if lists:
+                    marked = (asked[no][1][:, here >> 3] >> (7 - (here & 7)).astype(np.uint8) & 1).astype(bool)
+                    whole = marked.all(axis=1)
+                    meets = np.column_stack([whole, marked & ~whole[:, None]])
+                for (x, part, norms), q in zip(parts, meets.T):
+                    q = np.flatnonzero(q)
                     if len(q):
-                        found.append(_score(q, x, part, nx[rows], **params))
+                        some = len(q) < len(qpdf)
+                        found.append(_score(qpdf.iloc[q] if some else qpdf, x, part, norms, **params, Q=Q[q] if some and Q is not None else Q))
                 found = [f for f in found if len(f)]
                 if found:
                     f = pd.concat(found, ignore_index=True)
@@ -391,39 +407,82 @@ def _stream_kernel(schema: pa.Schema, *, q_keep, x_id, q_vec, k, kind, dims, met
     return run
 
 
+def _packed(sizes: dict, block: int) -> tuple[list, int]:
+    """Blocks of about ``block`` rows for groups of ``sizes`` rows, each as
+    (group, its first block, its blocks), and their number: small groups share
+    a block, large ones have several."""
+    out, n, held = [], 0, 0
+    for which, rows in sorted(sizes.items()):
+        if held and held + rows > block:
+            n, held = n + 1, 0
+        pieces = -(-rows // block)
+        out.append((which, n, pieces))
+        n, held = (n, held + rows) if pieces == 1 else (n + pieces, 0)
+    return out, n + (held > 0)
+
+
+def _met_namespaces(lists: tuple, q_vec: str, of: int) -> Callable:
+    """The namespaces (``of`` lists each) that the queries of a block have lists in."""
+    # not for the planner to evaluate again where it looks for nulls
+    def met(blocks: pa.Array) -> pa.Array:
+        found = []
+        for value in blocks:
+            rows = _of_block(value)
+            some = np.flatnonzero(_marks(lists, rows, rows[q_vec].to_pandas()).any(axis=0))
+            found.append(np.unique(some // of).astype(np.int32))
+        return pa.array(found, pa.list_(pa.int32()))
+
+    return F.arrow_udf(met, "array<int>").asNondeterministic()
+
+
 def _streamed(q: DataFrame, x: DataFrame, rows: Sequence, schema: T.StructType, *, q_keep: Sequence[str], x_id: Sequence[str],
               q_vec: str, q_key: Sequence[str], q_block: int, x_block: int, partitions: int, lists=None, every=None,
-              **params) -> DataFrame:
+              home: tuple | None = None, **params) -> DataFrame:
     """Top ``k`` of each task's index blocks for every query, without copies of
     rows: index blocks are stored once, and the tasks of a cartesian product
     read them.  ``rows``: (namespace, queries, index rows), collected.
 
     A task holds the query blocks of one partition and one index block.  Where
     query blocks are fewer than ``partitions``, the stored blocks are read in
-    several slices, each giving up to ``k`` rows a query."""
+    several slices, each giving up to ``k`` rows a query.
+
+    ``home``: (query column with a list, queries of each such list, lists in a
+    namespace).  Queries of a list lie in the same blocks then, and a block of
+    them meets the namespaces alone that one of its queries has a list in."""
     share = T.StructType([x.schema["_ns"], T.StructField("_bq", T.IntegerType()), T.StructField("_bx", T.IntegerType())])
     blocks = [(ns, -(-nq // q_block), -(-nx // x_block)) for ns, nq, nx in rows]
     # with lists, or asked in every namespace, all queries are one, which meets those of all index rows
     one = bool(lists or every)
     n_q = max([1, *(b[1] for b in blocks)]) if one else max(1, sum(b[1] for b in blocks))
+    at = []
+    if home:
+        at, n_q = _packed(home[1], q_block)
     n_x = max(1, sum(b[2] for b in blocks))
     counts = F.broadcast(q.sparkSession.createDataFrame(blocks, share))
     cols = [*([lists[0]] if lists else []), *x_id, "_xv"]
     xs = _blocks(x.join(counts, "_ns").withColumn("_xb", _number(x_id, F.col("_bx"))), ["_ns", "_xb"], cols, min(n_x, partitions))
     # sorted by list and key
     xs = materialize(xs.select("_ns", "_xb", F.array_sort("_rows").alias("_xrows")), "knn_index", BLOCKS_PER_FILE)
-    if one:
+    if home:
+        of_home = T.StructType([q.schema[home[0]], T.StructField("_from", T.IntegerType()), T.StructField("_pieces", T.IntegerType())])
+        qs = (q.join(F.broadcast(q.sparkSession.createDataFrame(at, of_home)), home[0])
+              .withColumn("_qb", F.col("_from") + _number(q_key, F.col("_pieces"))))
+    elif one:
         qs = q.withColumn("_qb", _number(q_key, n_q))
     else:
         qs = q.join(counts, "_ns").withColumn("_qb", _number(q_key, F.col("_bq")))
     tasks = min(n_q, partitions)
-    keys, held = (["_qb"] if one else ["_ns", "_qb"]), list(dict.fromkeys([*q_keep, q_vec]))
+    keys, held = (["_qb"] if one else ["_ns", "_qb"]), list(dict.fromkeys([*q_keep, q_vec, *(lists[2:] if lists else [])]))
     qs = _blocks(qs, keys, held, tasks).withColumnsRenamed({"_ns": "_qns", "_rows": "_qrows"})
     if one:
         # a number alone tells their blocks apart: a constant key would cost a second shuffle
         qs = qs.withColumn("_qns", F.lit(0))
     slices = xs.coalesce(max(1, min(n_x, -(-partitions // tasks))))
-    pairs = slices.join(qs.hint("shuffle_replicate_nl"), F.lit(True) if one else F.col("_ns") == F.col("_qns"))
+    meet = F.lit(True) if one else F.col("_ns") == F.col("_qns")
+    if home:
+        qs = qs.withColumn("_met", _met_namespaces(lists, q_vec, home[2])("_qrows"))
+        meet = F.array_contains("_met", F.col("_ns"))
+    pairs = slices.join(qs.hint("shuffle_replicate_nl"), meet).drop("_met")
     run = _stream_kernel(to_arrow_schema(schema), q_keep=list(q_keep), x_id=list(x_id), q_vec=q_vec, lists=lists, every=every, **params)
     return pairs.mapInArrow(run, schema)
 
@@ -473,7 +532,7 @@ def knn(queries: DataFrame, index: DataFrame, *, k: int, q_id: Sequence[str], x_
         metric: str = "cosine", ns: str | None = None, min_score: float | None = None,
         exclude: Sequence[tuple[str, str]] = (), q_block: int = Q_BLOCK,
         x_block: int = X_BLOCK, partitions: int | None = None,
-        ns_bound: int | None = None, lists: tuple | None = None) -> DataFrame:
+        ns_bound: int | None = None, lists: tuple | None = None, home: str | None = None) -> DataFrame:
     """Top-``k`` index rows per query row.
 
     ``kind``: ``dense`` (numeric arrays) or ``buckets`` (hashed bag of words,
@@ -489,9 +548,11 @@ def knn(queries: DataFrame, index: DataFrame, *, k: int, q_id: Sequence[str], x_
     ``ns_bound``: a known upper bound on the number of namespaces (e.g. the
     number of runs); without one the block counts are sized by a small job.
 
-    ``lists``: an index column with a list's number (from 0) and a function
-    from query vectors to booleans, a column for each list: a query meets the
-    rows of its marked lists alone (no ``ns`` then).
+    ``lists``: an index column with a list's number (from 0), a function from
+    query vectors to booleans, a column for each list, and further query columns
+    that the function takes: a query meets the rows of its marked lists alone
+    (no ``ns`` then).  ``home``: a query column with a list near the query, by
+    which blocks of queries are made, so that they need not meet all lists.
 
     Returns ``q_id..., [ns], x_id..., score, rank`` (rank 1 = best).
     Calling it runs small jobs.  With at most ``STREAM_NAMESPACES`` namespaces
@@ -506,7 +567,8 @@ def knn(queries: DataFrame, index: DataFrame, *, k: int, q_id: Sequence[str], x_
         raise ValueError(f"queries asked in every namespace need a bound of {STREAM_NAMESPACES} namespaces at most")
     nsq = F.col(ns) if ns and not every else F.lit(0)
     qv = q_vec if q_vec in q_id else "_qv"
-    q = queries.select(*q_id, nsq.alias("_ns"), *([] if qv in q_id else [F.col(q_vec).alias("_qv")]))
+    q = queries.select(*q_id, nsq.alias("_ns"), *([] if qv in q_id else [F.col(q_vec).alias("_qv")]),
+                       *dict.fromkeys([*(lists[2:] if lists else ()), *([home] if home else ())]))
     in_list = [lists[0]] if lists else []
     x = index.select(*x_id, *in_list, (F.col(ns) if ns else F.lit(0)).alias("_ns"), F.col(x_vec).alias("_xv"))
     if ns and not every:
@@ -535,6 +597,8 @@ def knn(queries: DataFrame, index: DataFrame, *, k: int, q_id: Sequence[str], x_
             for which, n in sizes.items():
                 groups[which // of] += n
             rows = [(g, asked, n) for g, n in groups.items()]
+            if home:
+                home = home, {r[0]: r[1] for r in q.groupBy(home).count().collect()}, of                  # a row for each list
         else:
             if every:
                 both = n_x.where(F.col("_ns").isNotNull()).withColumn("_nq", F.lit(q.count()))
@@ -544,7 +608,7 @@ def knn(queries: DataFrame, index: DataFrame, *, k: int, q_id: Sequence[str], x_
             if len(rows) > bound:
                 raise ValueError(f"more than {bound} namespaces, the bound that the caller gave")
         blocks = _streamed(q, x, rows, schema, q_keep=q_keep, q_vec=qv, q_key=q_id, q_block=q_block, x_block=x_block,
-                           partitions=partitions, lists=lists, every=every, **params)
+                           partitions=partitions, lists=lists, every=every, home=home if lists else None, **params)
         if every:
             # a query's namespaces lie in one partition, so what goes on with them needs no other shuffle
             blocks = blocks.repartition(*q_id)

@@ -148,3 +148,30 @@ def test_search_copies_no_question_and_scores_the_probed_lists(spark, monkeypatc
         for w in r.orderBy("q", "rank").collect():
             got.setdefault(w.q, []).append(w.x)
         assert got == want
+
+
+def test_ball_search_copies_no_question_in_blocks_of_any_size(spark, monkeypatch):
+    """Whole numbers, so many distances are equal; null and repeated keys; balls
+    in many blocks or many balls in one.  Nothing is copied to a ball's blocks."""
+    def copied(*_a, **_k):
+        raise AssertionError("rows are copied for the blocks they meet")
+    monkeypatch.setattr(K, "_cogrouped", copied)
+    r = np.random.default_rng(12)
+    x = np.vstack([r.integers(-2, 3, (400, 3)), np.repeat([[1, 1, 1]], 90, axis=0)]).astype(float)
+    q = np.vstack([r.integers(-3, 4, (150, 3)), np.repeat([[1, 1, 1]], 80, axis=0)]).astype(float)
+    xf = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(r.permutation(490), x)], "x int, xv array<double>")
+    qf = spark.createDataFrame([(None if i == 3 else i // 2 if i < 20 else i, v.tolist()) for i, v in enumerate(q)], "q int, qv array<double>")
+    rows = lambda df: sorted(((a.q, a.x, a["rank"], round(a.score, 9)) for a in df.collect()), key=str)
+    plain, args = K.knn, dict(k=4, q_id=["q"], q_vec="qv", exclude=[("q", "x")])
+    want = rows(plain(qf, xf, x_id=["x"], x_vec="xv", metric="l2", **args))
+    ix = IVF.build_balls(xf, ["x"], "xv", balls=15)
+    for sizes in (dict(), dict(q_block=16, x_block=32), dict(q_block=7, x_block=400, partitions=3)):
+        monkeypatch.setattr(K, "knn", lambda *a, sizes=sizes, **k: plain(*a, **k, **sizes))
+        found, _ = IVF.l2_search(ix, qf, **args)
+        assert rows(found) == want
+
+
+def test_small_groups_share_a_block_and_large_ones_are_cut():
+    at, n = K._packed({2: 5, 0: 3, 7: 25, 8: 1, 9: 10}, 10)
+    assert at == [(0, 0, 1), (2, 0, 1), (7, 1, 3), (8, 4, 1), (9, 5, 1)] and n == 6
+    assert K._packed({}, 10) == ([], 0)
