@@ -5,12 +5,13 @@ How much a word says follows from the number of sentences of the whole corpus
 that hold it.  Those frequencies are a table with a row a word, which grows
 with the corpus, so it is stored and joined, not broadcast by hand.
 
-Everything else concerns one article alone, so words of sentences and questions
-are shuffled once, by article, a sentence and a question each in one row.  They
-are made into rows of words, meet on (article, word), and are summed, ranked
-and put together where they lie: grouping by (article, ...) needs no further
-shuffle of rows that are parted by article.  The texts follow once, by article,
-not once for each answer.  Scores are compared to six places, ties by position.
+Everything else concerns one article alone, so one shuffle by article brings
+together its text, its questions and the frequencies of the words that they
+ask for, each word once an article (or a batch of questions).  Texts travel
+once and as texts: sentences and words are made where they meet, and scores,
+ranks and answers where they lie, one article at a time, so no row is ever a
+pair of a sentence and a question.  Scores are compared to six places, ties by
+position.
 
 Defined results: a question without a word in common with its article, or of
 an article without sentences, has an empty answer; the best sentence is taken
@@ -19,8 +20,18 @@ even when it is longer than the budget.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+import sys
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from refract.functions import prompts as P
 from refract.functions import rows as R
@@ -28,68 +39,158 @@ from refract.functions import text as T
 from refract.operators import generate as G
 from refract.session import materialize
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 K1, B = 1.2, 0.75
+# Parts by article, for each core: small enough to be sorted in memory.
+PARTS_PER_CORE = 16
+# Rows given back at once.
+ROWS_BACK = 1024
+
+
+def word_sentences(articles: DataFrame) -> DataFrame:
+    """``word, df, tokens``: the number of sentences that hold a word; the null
+    word has the number of all sentences and of their tokens.  Stored."""
+    t = R.explode_rows(articles, [], G.article_sentences("content"), "s").select(T.tokens("s").alias("t"))
+    t = t.select(F.size("t").alias("n"), F.array_append(F.array_distinct("t"), F.lit(None).cast("string")).alias("words"))
+    return materialize(R.explode_rows(t, ["n"], F.col("words"), "word").groupBy("word").agg(
+        F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("word").isNull(), F.col("n"))).alias("tokens")), "word_sentences")
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each word with its article, once a batch."""
+    for batch in batches:
+        words = batch.column("t")
+        t = pa.table({"article_index": batch.column("article_index").take(pc.list_parent_indices(words)), "word": pc.list_flatten(words)})
+        yield from t.group_by(["article_index", "word"]).aggregate([]).combine_chunks().to_batches()
+
+
+def _beside(articles: DataFrame, asked: DataFrame, df: DataFrame) -> DataFrame:
+    """The rows of each article one after the other, parted by article: its
+    sentences (``s``) with their words (``w``: how many, ``t``), the asked words
+    (``word``, ``df``), and questions (``q_seq``, ``q``: their words)."""
+    known = F.col("article_index").isNotNull()
+    index = asked.schema["article_index"].dataType
+    toks = asked.where(known).select("article_index", F.coalesce(T.tokens("question"), F.array().cast("array<string>")).alias("t"))
+    pairs = toks.mapInArrow(_pairs, S.StructType([S.StructField("article_index", index), S.StructField("word", S.StringType())]))
+    parts = [articles.where(known).select("article_index", F.lit(0).alias("kind"), F.col("content").alias("text")),
+             pairs.join(df.where("word is not null").select("word", "df"), "word").select("article_index", F.lit(1).alias("kind"), F.col("word").alias("text"), "df"),
+             asked.where(known).select("article_index", F.lit(2).alias("kind"), F.col("question").alias("text"), "q_seq")]
+    both = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+    spark = articles.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), PARTS_PER_CORE * spark.sparkContext.defaultParallelism)
+    rows = both.repartition(n, "article_index").sortWithinPartitions("article_index", "kind")
+    rows = rows.withColumn("s", F.when(F.col("kind") == 0, G.article_sentences("text")))
+    return rows.select("article_index", "kind", "s", F.transform("s", T.word_count).alias("w"), F.transform("s", T.tokens).alias("t"),
+                       F.when(F.col("kind") == 1, F.col("text")).alias("word"), "df", "q_seq",
+                       F.when(F.col("kind") == 2, F.array_distinct(T.tokens("text"))).alias("q"))
+
+
+def _scored(sents: list, idf: dict, asked: dict, mean: float, k1: float, b: float) -> Iterator[tuple]:
+    """(``q_seq``, how many questions have it, ((``pos``, ``w``), score) best
+    first) of one article."""
+    held = defaultdict(list)                                   # the sentences with a word, and its gain there
+    places: dict = {}                                          # number of each (pos, w): short keys for the sums
+    for pos, _, w, words in sents:
+        place = places.setdefault((pos, w), len(places))
+        tf: dict = {}
+        for word in words:
+            if word in idf:
+                tf[word] = tf.get(word, 0) + 1
+        for word, f in tf.items():
+            held[word].append((place, f * (k1 + 1) / (f + k1 * (1 - b + b * len(words) / mean))))
+    at = list(places)
+    for q_seq, questions in asked.items():
+        score: dict = {}
+        for words in questions:
+            for word in words:
+                if word in held:
+                    much = idf[word]
+                    for place, gain in held[word]:
+                        score[place] = score.get(place, 0.0) + much * gain
+        best = sorted((-round(x, 6), at[place]) for place, x in score.items())
+        yield q_seq, len(questions), [(of, -x) for x, of in best]
+
+
+def _articles(batches: Iterator[pa.RecordBatch], sentences: int) -> Iterator[tuple]:
+    """Each article's (number, sentences as (``pos``, text, words, tokens), weight
+    of each asked word, words of its questions by ``q_seq``)."""
+    at, sents, idf, asked = None, [], {}, {}
+    for batch in batches:
+        for article, kind, s, w, t, word, df, q_seq, q in zip(*(batch.column(c).to_pylist() for c in ("article_index", "kind", "s", "w", "t", "word", "df", "q_seq", "q"))):
+            if article != at:
+                if asked:
+                    yield at, sents, idf, asked
+                at, sents, idf, asked = article, [], {}, {}
+            if kind == 0:
+                sents += zip(range(len(s or ())), s or (), w or (), t or ())
+            elif kind == 1:
+                idf[word] = math.log(1 + (sentences - df + 0.5) / (df + 0.5))
+            else:
+                asked.setdefault(q_seq, []).append(q or [])
+    if asked:
+        yield at, sents, idf, asked
+
+
+def _said(sents: list) -> dict:
+    """The sentences of each place: several where articles share a number."""
+    of: dict = {}
+    for pos, s, _, _ in sents:
+        of.setdefault(pos, []).append(s)
+    return of
+
+
+def _answers(said: dict, found: list, budget: int) -> str:
+    """Best sentences while their words stay within the budget, in document order."""
+    words, chosen = 0, []
+    for rank, ((pos, w), _) in enumerate(found):
+        words += w
+        if rank and words > budget:
+            break
+        chosen.append(pos)
+    return " ".join(s for _, s in sorted((pos, s) for pos in chosen for s in said[pos]))
+
+
+def _each(articles: DataFrame, questions: DataFrame, k1: float, b: float, made: Callable, cols: list) -> tuple[DataFrame, DataFrame]:
+    """The rows that ``made`` gives for an article's sentences by place and each
+    ``q_seq``, and the stored questions."""
+    # read twice: for their words and for themselves
+    asked = materialize(questions.select("article_index", "q_seq", "question"), "asked_questions")
+    df = word_sentences(articles)
+    corpus = df.where("word is null").first()
+    sentences, mean = (corpus["df"], corpus["tokens"] / corpus["df"]) if corpus else (0, 0.0)
+    schema = S.StructType([asked.schema["article_index"], asked.schema["q_seq"], *cols])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list = []
+
+        def back() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+        for article, sents, idf, asked in _articles(batches, sentences):
+            said = _said(sents)
+            for q_seq, times, found in _scored(sents, idf, asked, mean, k1, b):
+                out += [(article, q_seq, *row) for row in made(said, found, times)]
+                if len(out) >= ROWS_BACK:
+                    yield back()
+                    out.clear()
+        if out:
+            yield back()
+
+    return _beside(articles, asked, df).mapInArrow(run, schema), asked
 
 
-def sentence_terms(articles: DataFrame) -> DataFrame:
-    """``article_index, pos, s, w, n, terms``: each sentence with its words
-    (array<struct<word, tf>>) and their number; stored."""
-    s = R.posexplode_rows(articles, ["article_index"], G.article_sentences("content"), "pos", "s")
-    toks = T.tokens("s")
-    terms = F.transform(F.array_distinct("t"), lambda w: F.struct(w.alias("word"), F.size(F.filter("t", lambda x: x == w)).alias("tf")))
-    return materialize(s.select("article_index", "pos", "s", T.word_count("s").alias("w"), toks.alias("t"))
-                       .select("article_index", "pos", "s", "w", F.size("t").alias("n"), terms.alias("terms")), "sentences")
-
-
-def _met(sentences: DataFrame, questions: DataFrame, k1: float, b: float) -> DataFrame:
-    """``article_index, q_seq, pos, w, score, asked``, parted by article: each
-    sentence that shares a word with a question, and one row without ``pos`` for
-    each ``(article_index, q_seq)``; ``asked`` tells how many questions it is."""
-    df = materialize(sentences.select(F.explode("terms.word").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df")), "word_sentences")
-    corpus = F.broadcast(sentences.agg(F.count(F.lit(1)).alias("sentences"), F.avg("n").alias("mean")))      # one row
-    # a word of a sentence has its place and gain, one of a question its weight;
-    # the null word stands for the question itself
-    sent = (sentences.where(F.col("article_index").isNotNull()).join(corpus, how="cross")
-            .select("article_index", F.lit(None).cast(questions.schema["q_seq"].dataType).alias("q_seq"), "pos", "w", F.transform(
-                "terms", lambda x: F.struct(x["word"].alias("word"), (x["tf"] * (k1 + 1) / (x["tf"] + k1 * (1 - b + b * F.col("n") / F.col("mean")))).alias("x"))).alias("words")))
-    idf = F.log(1 + (F.col("sentences") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    said = F.array_append(F.coalesce(F.array_distinct(T.tokens("question")), F.array().cast("array<string>")), F.lit(None).cast("string"))
-    asked = (R.explode_rows(questions, ["article_index", "q_seq"], said, "word").join(df, "word", "left")
-             .where(F.col("df").isNotNull() | F.col("word").isNull()).join(corpus, how="cross")
-             .select("article_index", "q_seq", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("int").alias("w"),
-                     F.array(F.struct("word", idf.alias("x"))).alias("words")))
-    rows = (sent.unionByName(asked).repartition("article_index")
-            .select("article_index", "q_seq", "pos", "w", F.explode("words").alias("x")))
-    here = F.col("pos").isNotNull()
-    word = (rows.groupBy("article_index", "x.word").agg(
-        F.collect_list(F.when(here, F.struct("pos", "w", F.col("x.x").alias("gain")))).alias("s"),
-        F.collect_list(F.when(~here, F.struct("q_seq", F.col("x.x").alias("idf")))).alias("q"))
-        .where(F.size("q") > 0).select("article_index", "word", "s", F.explode("q").alias("q"))
-        .select("article_index", "word", "q", F.explode_outer("s").alias("s")).where(F.col("s").isNotNull() | F.col("word").isNull()))
-    return (word.groupBy("article_index", "q.q_seq", "s.pos", "s.w")
-            .agg(F.round(F.sum(F.col("q.idf") * F.col("s.gain")), 6).alias("score"), F.count(F.lit(1)).alias("asked")))
-
-
-def bm25(sentences: DataFrame, questions: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+def bm25(articles: DataFrame, questions: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """``article_index, q_seq, pos, w, score`` of each sentence that shares a
     word with a question (``article_index, q_seq, question``) of its article."""
-    return _met(sentences, questions, k1, b).where(F.col("pos").isNotNull()).drop("asked")
+    cols = [S.StructField("pos", S.IntegerType()), S.StructField("w", S.IntegerType()), S.StructField("score", S.DoubleType())]
+    return _each(articles, questions, k1, b, lambda said, found, times: [(*at, x) for at, x in found], cols)[0]
 
 
 def answer(articles: DataFrame, questions: DataFrame, budget: int = P.DEFAULT_BUDGET) -> DataFrame:
     """``article_index, q_seq, answer``: best sentences while their words stay
     within the budget, in document order."""
-    s = sentence_terms(articles)
-    real = F.col("pos").isNotNull()
-    best = Window.partitionBy("article_index", "q_seq").orderBy(real.desc(), F.col("score").desc(), "pos")     # of one article
-    chosen = (_met(s, questions, K1, B).withColumns({
-        "_words": F.sum("w").over(best.rowsBetween(Window.unboundedPreceding, 0)), "_rank": F.row_number().over(best)})
-        .where((F.col("_rank") == 1) | (F.col("_words") <= budget) | ~real)
-        .groupBy("article_index", "q_seq").agg(F.collect_list("pos").alias("_pos"), F.max(F.when(~real, F.col("asked"))).alias("_asked")))
-    texts = (s.where(F.col("article_index").isNotNull()).repartition("article_index")
-             .groupBy("article_index").agg(F.collect_list(F.struct("pos", "s")).alias("_s")))
-    # a chosen place takes each sentence that has it, where articles share a number
-    said = F.flatten(F.transform("_pos", lambda p: F.filter("_s", lambda x: x["pos"] == p)))
-    answers = chosen.join(texts, "article_index", "left").select(
-        "article_index", "q_seq", F.coalesce(F.array_join(F.sort_array(said)["s"], " "), F.lit("")).alias("answer"), "_asked")
-    return answers.select("article_index", "q_seq", "answer", F.explode(F.array_repeat(F.lit(0), F.col("_asked").cast("int"))).alias("_copy")).drop("_copy")
+    found, asked = _each(articles, questions, K1, B, lambda said, found, times: [(_answers(said, found, budget),)] * times,
+                         [S.StructField("answer", S.StringType())])
+    none = asked.where(F.col("article_index").isNull()).select("article_index", "q_seq", F.lit("").alias("answer"))
+    return found.unionByName(none)

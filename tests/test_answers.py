@@ -60,3 +60,15 @@ def test_numbers_that_repeat_or_are_null(spark):
     asked = spark.createDataFrame([(1, 0, "rain"), (1, 1, "zebra"), (1, 1, "zebra"), (None, 0, "rain"), (7, 0, "rain")], "article_index long, q_seq int, question string")
     got = sorted(((r.article_index or 0, r.q_seq, r.answer) for r in AN.answer(arts, asked, 9).collect()))
     assert got == [(0, 0, ""), (1, 0, "Rain fell. Rain fell."), (1, 1, ""), (1, 1, ""), (7, 0, "")]
+
+
+def test_scores_like_the_answers_and_no_row_for_each_pair(spark):
+    """Texts and questions are shuffled once, each in one row."""
+    arts = spark.createDataFrame(list(TEXTS.items()), "article_index long, content string")
+    asked = spark.createDataFrame(ASKED + [(1, 7, None)], "article_index long, q_seq int, question string")
+    got = {(r.article_index, r.q_seq, r.pos): (r.w, r.score) for r in AN.bm25(arts, asked).collect()}
+    assert set(got) == {(1, 0, 0), (1, 0, 1), (1, 0, 2), (1, 1, 0), (1, 1, 1), (1, 1, 2), (2, 0, 0), (2, 0, 2), (2, 1, 0), (2, 1, 1)}
+    assert got[2, 0, 2][0] == 10 and got[2, 0, 2][1] > got[2, 0, 0][1]
+    plan = AN.answer(arts, asked, 9)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"hashpartitioning\(article_index", plan)) == 1 and "Aggregate" not in plan and "Window" not in plan
+    assert {(r.article_index, r.q_seq): r.answer for r in AN.answer(arts, asked, 9).collect()} == {**plain(9), (1, 7): ""}
