@@ -3,11 +3,13 @@ question best by BM25, within a word budget.
 
 How much a word says follows from the number of sentences of the whole corpus
 that hold it.  Those frequencies are a table with a row a word, which grows
-with the corpus, so it is stored and joined, not broadcast by hand.
+with the corpus, so it is stored and joined, not broadcast by hand; only the most
+frequent words, a bounded number, are known to every task (:func:`frequent`),
+which spares most of the rows of that join and its hot words.
 
 Everything else concerns one article alone, so one shuffle by article brings
-together its text, its questions and the frequencies of the words that they
-ask for, each word once an article (or a batch of questions).  Texts travel
+together its text, its questions and the frequencies of the other words that
+they ask for, each word once an article (or a batch of questions).  Texts travel
 once and as texts: sentences and words are made where they meet, and scores,
 ranks and answers where they lie, one article at a time, so no row is ever a
 pair of a sentence and a question.  Scores are compared to six places, ties by
@@ -44,6 +46,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 K1, B = 1.2, 0.75
 # Parts by article, for each core: small enough to be sorted in memory.
 PARTS_PER_CORE = 16
+# Words, at most, whose frequencies every task knows.
+FREQUENT = 1 << 16
 # Rows given back at once.
 ROWS_BACK = 1024
 
@@ -57,22 +61,42 @@ def word_sentences(articles: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("word").isNull(), F.col("n"))).alias("tokens")), "word_sentences")
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each word with its article, once a batch."""
-    for batch in batches:
-        words = batch.column("t")
-        t = pa.table({"article_index": batch.column("article_index").take(pc.list_parent_indices(words)), "word": pc.list_flatten(words)})
-        yield from t.group_by(["article_index", "word"]).aggregate([]).combine_chunks().to_batches()
+def frequent(df: DataFrame, most: int = FREQUENT) -> dict:
+    """Words held by the most sentences, at most ``most``, with their number: all
+    that reach a step (a quarter of a power of two) which few enough reach."""
+    steps = df.where("word is not null").withColumn("step", F.floor(4 * F.log2(F.col("df").cast("double"))))
+    n, least = 0, None
+    for r in sorted(steps.groupBy("step").count().collect(), key=lambda r: -r["step"]):          # four rows for each power of two
+        n += r["count"]
+        if n > most:
+            break
+        least = r["step"]
+    return {} if least is None else {r["word"]: r["df"] for r in steps.where(F.col("step") >= least).select("word", "df").collect()}
+
+
+def _pairs(often: dict) -> Callable:
+    """Each word that isn't ``often`` met with its article, once a batch."""
+    words = list(often)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(words, pa.string())
+        for batch in batches:
+            t = batch.column("t")
+            t = pa.table({"article_index": batch.column("article_index").take(pc.list_parent_indices(t)), "word": pc.list_flatten(t)})
+            t = t.filter(pc.invert(pc.is_in(t["word"], value_set=known)))
+            yield from t.group_by(["article_index", "word"]).aggregate([]).combine_chunks().to_batches()
+
+    return run
 
-def _beside(articles: DataFrame, asked: DataFrame, df: DataFrame) -> DataFrame:
+
+def _beside(articles: DataFrame, asked: DataFrame, df: DataFrame, often: dict) -> DataFrame:
     """The rows of each article one after the other, parted by article: its
     sentences (``s``) with their words (``w``: how many, ``t``), the asked words
-    (``word``, ``df``), and questions (``q_seq``, ``q``: their words)."""
+    that aren't ``often`` met (``word``, ``df``), and questions (``q_seq``, ``q``: their words)."""
     known = F.col("article_index").isNotNull()
     index = asked.schema["article_index"].dataType
     toks = asked.where(known).select("article_index", F.coalesce(T.tokens("question"), F.array().cast("array<string>")).alias("t"))
-    pairs = toks.mapInArrow(_pairs, S.StructType([S.StructField("article_index", index), S.StructField("word", S.StringType())]))
+    pairs = toks.mapInArrow(_pairs(often), S.StructType([S.StructField("article_index", index), S.StructField("word", S.StringType())]))
     parts = [articles.where(known).select("article_index", F.lit(0).alias("kind"), F.col("content").alias("text")),
              pairs.join(df.where("word is not null").select("word", "df"), "word").select("article_index", F.lit(1).alias("kind"), F.col("word").alias("text"), "df"),
              asked.where(known).select("article_index", F.lit(2).alias("kind"), F.col("question").alias("text"), "q_seq")]
@@ -112,24 +136,28 @@ def _scored(sents: list, idf: dict, asked: dict, mean: float, k1: float, b: floa
         yield q_seq, len(questions), [(of, -x) for x, of in best]
 
 
-def _articles(batches: Iterator[pa.RecordBatch], sentences: int) -> Iterator[tuple]:
-    """Each article's (number, sentences as (``pos``, text, words, tokens), weight
-    of each asked word, words of its questions by ``q_seq``)."""
-    at, sents, idf, asked = None, [], {}, {}
+def _articles(batches: Iterator[pa.RecordBatch], often: dict) -> Iterator[tuple]:
+    """Each article's (number, sentences as (``pos``, text, words, tokens), sentences
+    of the corpus with each asked word, words of its questions by ``q_seq``)."""
+    def whole() -> tuple:
+        words = {word for questions in asked.values() for q in questions for word in q}
+        return at, sents, rare | {word: often[word] for word in words if word in often}, asked
+
+    at, sents, rare, asked = None, [], {}, {}
     for batch in batches:
         for article, kind, s, w, t, word, df, q_seq, q in zip(*(batch.column(c).to_pylist() for c in ("article_index", "kind", "s", "w", "t", "word", "df", "q_seq", "q"))):
             if article != at:
                 if asked:
-                    yield at, sents, idf, asked
-                at, sents, idf, asked = article, [], {}, {}
+                    yield whole()
+                at, sents, rare, asked = article, [], {}, {}
             if kind == 0:
                 sents += zip(range(len(s or ())), s or (), w or (), t or ())
             elif kind == 1:
-                idf[word] = math.log(1 + (sentences - df + 0.5) / (df + 0.5))
+                rare[word] = df
             else:
                 asked.setdefault(q_seq, []).append(q or [])
     if asked:
-        yield at, sents, idf, asked
+        yield whole()
 
 
 def _said(sents: list) -> dict:
@@ -159,6 +187,7 @@ def _each(articles: DataFrame, questions: DataFrame, k1: float, b: float, made:
     df = word_sentences(articles)
     corpus = df.where("word is null").first()
     sentences, mean = (corpus["df"], corpus["tokens"] / corpus["df"]) if corpus else (0, 0.0)
+    often = frequent(df)
     schema = S.StructType([asked.schema["article_index"], asked.schema["q_seq"], *cols])
     arrow = to_arrow_schema(schema)
 
@@ -167,7 +196,8 @@ def _each(articles: DataFrame, questions: DataFrame, k1: float, b: float, made:
 
         def back() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
-        for article, sents, idf, asked in _articles(batches, sentences):
+        for article, sents, df, asked in _articles(batches, often):
+            idf = {word: math.log(1 + (sentences - n + 0.5) / (n + 0.5)) for word, n in df.items()}
             said = _said(sents)
             for q_seq, times, found in _scored(sents, idf, asked, mean, k1, b):
                 out += [(article, q_seq, *row) for row in made(said, found, times)]
@@ -177,7 +207,7 @@ def _each(articles: DataFrame, questions: DataFrame, k1: float, b: float, made:
         if out:
             yield back()
 
-    return _beside(articles, asked, df).mapInArrow(run, schema), asked
+    return _beside(articles, asked, df, often).mapInArrow(run, schema), asked
 
 
 def bm25(articles: DataFrame, questions: DataFrame, k1: float = K1, b: float = B) -> DataFrame:

@@ -72,3 +72,14 @@ def test_scores_like_the_answers_and_no_row_for_each_pair(spark):
     plan = AN.answer(arts, asked, 9)._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"hashpartitioning\(article_index", plan)) == 1 and "Aggregate" not in plan and "Window" not in plan
     assert {(r.article_index, r.q_seq): r.answer for r in AN.answer(arts, asked, 9).collect()} == {**plain(9), (1, 7): ""}
+
+
+def test_frequent_words_are_known_to_every_task(spark, monkeypatch):
+    """The same answers whether all, some or none of the words are shuffled."""
+    arts = spark.createDataFrame(list(TEXTS.items()), "article_index long, content string")
+    asked = spark.createDataFrame(ASKED, "article_index long, q_seq int, question string")
+    df = AN.word_sentences(arts)
+    assert AN.frequent(df, 0) == {} and AN.frequent(df, 1) == {"the": 4} and len(AN.frequent(df)) == df.count() - 1
+    for most in (0, 3, 8):
+        monkeypatch.setattr(AN.frequent, "__defaults__", (most,))
+        assert {(r.article_index, r.q_seq): r.answer for r in AN.answer(arts, asked, 9).collect()} == plain(9)
